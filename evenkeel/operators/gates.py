@@ -129,7 +129,7 @@ def model_ready(df: DataFrame, target: str) -> DataFrame:
 
 def is_identifier(name: Column) -> Column:
     """True where a column name looks like a direct identifier."""
-    lower = F.lower(F.trim(name))
+    lower = F.lower(F.regexp_replace(name, r"^\s+|\s+$", ""))
     clean = F.regexp_replace(lower, NOT_NAME_CHARS, "")
     tokens = F.split(lower, NOT_NAME_CHARS)
     parts = F.lit(False)
