@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -115,6 +116,7 @@ def train_all(splits: DataFrame, feats: Sequence[str], label: str, row_id: str,
     extra = [F.col(row_id)] if row_id in source.columns else [F.lit(None).cast("string").alias(row_id)]
     train = source.select(*numeric, F.col(label).cast("int").alias(label), *extra)
     held = splits.where("split != 'train'").select("split", row_id, F.col(label).cast("int").alias(label), *numeric)
+    train = train.persist(StorageLevel.MEMORY_AND_DISK)        # every fit passes over it several times
     scaler = fit_scaler(train, feats)
     fits = {
         "Logistic Regression": lambda p: fit_logistic(train, feats, label, scaler=scaler, **p),
@@ -133,6 +135,7 @@ def train_all(splits: DataFrame, feats: Sequence[str], label: str, row_id: str,
             F.lit(name).alias("model"), F.lit(sampling).alias("sampling"), "split", row_id,
             F.col(label).alias("y"), "prob", "pred")
         predictions = part if predictions is None else predictions.unionByName(part)
+    train.unpersist()
     return predictions, fitted
 
 

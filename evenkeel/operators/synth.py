@@ -268,7 +268,11 @@ def response_report(responses: DataFrame, cols: Sequence[str]) -> DataFrame:
     """(batch_no, n_rows, n_valid, problem) per batch; problem is NULL for a usable batch."""
     parsed = responses.select("batch_no", F.coalesce(F.from_json("response", ROWS)["rows"], F.array().cast(
         "array<map<string,string>>")).alias("rows"))
-    seen = [F.exists("rows", lambda r, c=c: F.map_contains_key(r, c)) for c in cols]
+
+    def has(c: str):
+        return lambda r: F.map_contains_key(r, c)
+
+    seen = [F.exists("rows", has(c)) for c in cols]
     absent = F.array_compact(F.array(*[F.when(~s, F.lit(c)) for s, c in zip(seen, cols)]))
 
     def whole(r: Column) -> Column:

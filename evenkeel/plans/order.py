@@ -186,37 +186,48 @@ def _narrow(nums: DataFrame, brackets, n: dict[int, int], sketch: int):
     return out
 
 
+def _merged(spans: list[tuple[float, float]]) -> list[tuple[float, float]]:
+    out: list[tuple[float, float]] = []
+    for lo, hi in sorted(spans):
+        if out and lo <= out[-1][1]:
+            out[-1] = (out[-1][0], max(hi, out[-1][1]))
+        else:
+            out.append((lo, hi))
+    return out
+
+
 def _resolve(nums: DataFrame, brackets, n: dict[int, int]) -> dict[tuple[int, float], float]:
+    """Order statistics from one histogram: single values inside brackets, one group per gap between them."""
     if not brackets:
         return {}
-    spark = nums.sparkSession
-    parts = []
-    for j, (i, _, lo, hi) in enumerate(brackets):
-        v = F.col(f"c{i}")
-        # all rows below the bracket fold into one key before the shuffle
-        parts.append(F.struct(F.lit(j).alias("j"), (v < F.lit(lo)).alias("below"),
-                              F.when(v >= F.lit(lo), v).alias("v"),
-                              (v <= F.lit(hi)).alias("keep")))
-    counts = (nums.select(F.explode(F.array(*parts)).alias("r")).select("r.*").where("keep")
-              .groupBy("j", "below", "v").agg(F.count(F.lit(1)).alias("rows")))
-    upto = W.partitionBy("j").orderBy(F.col("below").desc(), "v")
-    running = counts.withColumn("upto", F.sum("rows").over(upto.rowsBetween(W.unboundedPreceding, 0)))
-    ranks = [(j, int(r)) for j, (i, p, _, _) in enumerate(brackets) for r in rank_to_value(n[i], p)[:2]]
-    case = F.lit(False)
-    for j, r in ranks:
-        case = case | ((F.col("j") == j) & (F.col("upto") - F.col("rows") <= r) & (F.col("upto") > r))
-    hits = running.where(case).collect()             # at most two rows per quantile
+    columns = sorted({b[0] for b in brackets})
+    edges, wanted = [], {}
+    for i in columns:
+        spans = _merged([(float(lo), float(np.nextafter(hi, np.inf))) for j, _, lo, hi in brackets if j == i])
+        edges.append([-math.inf, *[e for span in spans for e in span], math.inf])
+        wanted[i] = sorted({r for j, p, _, _ in brackets if j == i for r in rank_to_value(n[i], p)[:2]})
+    # odd stretches are the inside of a bracket; the search among the edges is binary
+    stretch = Bucketizer(splitsArray=edges, inputCols=[f"c{i}" for i in columns],
+                         outputCols=[f"g{i}" for i in columns], handleInvalid="keep").transform(nums)
+    parts = [F.struct(F.lit(i).alias("i"), F.col(f"g{i}").alias("gap"),
+                      F.when(F.col(f"g{i}") % 2 == 1, F.col(f"c{i}")).alias("v"), F.col(f"c{i}").alias("raw"))
+             for i in columns]
+    # groups are disjoint stretches of the value range, so their smallest values order them
+    groups = (stretch.select(F.explode(F.array(*parts)).alias("r")).select("r.*").where("raw IS NOT NULL")
+              .groupBy("i", "gap", "v").agg(F.count(F.lit(1)).alias("rows"), F.min("raw").alias("at")))
+    upto = W.partitionBy("i").orderBy("at").rowsBetween(W.unboundedPreceding, 0)
+    ranks = F.array().cast("array<bigint>")
+    for i, rs in wanted.items():
+        ranks = F.when(F.col("i") == i, F.array(*[F.lit(r).cast("bigint") for r in rs])).otherwise(ranks)
+    hits = (groups.withColumn("upto", F.sum("rows").over(upto))
+            .where(F.exists(ranks, lambda r: (r < F.col("upto")) & (r >= F.col("upto") - F.col("rows"))))
+            .collect())                              # at most two groups per quantile
     found = {}
-    for j, (i, p, lo, hi) in enumerate(brackets):
+    for i, p, _, _ in brackets:
         low, high, frac = rank_to_value(n[i], p)
-        at = {}
-        for h in hits:
-            for r in (low, high):
-                if h["j"] == j and h["upto"] - h["rows"] <= r < h["upto"]:
-                    at[r] = None if h["below"] else h["v"]
+        at = {r: h["v"] for h in hits if h["i"] == i for r in (low, high) if h["upto"] - h["rows"] <= r < h["upto"]}
         if at.get(low) is None or at.get(high) is None:
-            # the sketch missed its bound: take the whole range through the ordered histogram
-            at = _by_histogram(nums, i, (low, high))
+            at = _by_histogram(nums, i, (low, high))     # the sketch missed its bound
         found[(i, p)] = at[low] + (at[high] - at[low]) * frac
     return found
 

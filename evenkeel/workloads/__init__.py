@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["explore"]
+MODULES = ["explore", "prepare", "balance", "flagship"]
 
 
 def load_all():

@@ -39,9 +39,9 @@ LINE_KEYS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]
 CREDIT_FEATS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
-def credit_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+def credit_lineitem(spark: SparkSession, sf_dir: str, row_id: str | None = None) -> DataFrame:
     """Lineitem as a credit table: target 1 where the line was returned (about one in three)."""
-    return table(spark, sf_dir, "lineitem").withColumn("target", (F.col("l_returnflag") == "R").cast("int"))
+    return table(spark, sf_dir, "lineitem", row_id).withColumn("target", (F.col("l_returnflag") == "R").cast("int"))
 
 
 CREDIT = "SELECT *, CAST(l_returnflag = 'R' AS INT) AS target FROM lineitem"
