@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["explore", "prepare", "balance", "flagship"]
+MODULES = ["explore", "prepare", "balance", "models", "flagship"]
 
 
 def load_all():
