@@ -14,7 +14,7 @@ from evenkeel.operators.gates import columns_by_kind
 from evenkeel.plans.order import BUCKET_ROWS, cut_points, prefix_sum, skew_safe_lookup, with_bucket
 
 SCHEMA = "column_a string, column_b string, corr double"
-GROUP_POINTS = 500_000       # points one task counts
+GROUP_POINTS = 2_000_000     # points one task counts
 
 
 def correlation(df: DataFrame, method: str = "pearson", cols: Sequence[str] | None = None,
@@ -76,7 +76,9 @@ def _spearman(nums: DataFrame, pairs: list[tuple[int, int]], bucket_rows: int) -
     Ranks of y are summed per value of x before the ranks of x are needed, so each rank table meets
     the points once; hot values of y are split off.
     """
-    n = nums.count()
+    sizes = nums.agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(c).alias(c) for c in nums.columns]).first()
+    n = sizes["n"]
+    pairs = [(i, j) if sizes[f"c{i}"] >= sizes[f"c{j}"] else (j, i) for i, j in pairs]     # look up the narrow column
     values = nums.select(F.explode(F.array(*nums.columns)).alias("v"))
     cuts = cut_points(values, "v", bucket_rows) if n * len(nums.columns) > bucket_rows else []
     points = _pair_histogram(nums, pairs)
@@ -94,34 +96,43 @@ def _spearman(nums: DataFrame, pairs: list[tuple[int, int]], bucket_rows: int) -
     return {r["pair"]: r["xy"] / (r["xx"] * r["yy"]) ** 0.5 for r in rows if r["xx"] and r["yy"]}
 
 
-def ordered_pairs(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
-    """Total weight of point pairs with x_i < x_j and y_i < y_j.
+def ordered_pairs(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
+    """Total weight of point pairs that rise, and that fall, from smaller to strictly larger x.
 
-    The points, in x order, are split by the bits of their y rank from the top; at each bit the zeros
-    met so far with a strictly smaller x pair with the ones.
+    The points, in x order, are split by the bits of their y rank from the top. At each bit, within
+    points that agree on all higher bits, a one above a zero of smaller x rises and the reverse falls.
     """
     order = np.lexsort((y, x))
-    x, w = x[order], w[order].astype(float)
-    ranks = np.unique(y[order], return_inverse=True)[1].astype(np.int64)
-    total, levels = 0.0, max(1, int(ranks.max(initial=0)).bit_length())
-    for bit in reversed(range(levels)):
-        head = ranks >> (bit + 1)
-        by_head = np.argsort(head, kind="stable")
-        h, xs, one, ws = head[by_head], x[by_head], (ranks[by_head] >> bit) & 1, w[by_head]
-        zeros = np.concatenate(([0.0], np.cumsum(np.where(one == 0, ws, 0.0))))
-        at = np.arange(len(h))
-        new_head = np.concatenate(([True], h[1:] != h[:-1]))
-        new_run = new_head | np.concatenate(([True], xs[1:] != xs[:-1]))
+    xs, ws = x[order], w[order].astype(float)
+    ranks = np.unique(y[order], return_inverse=True)[1].astype(np.int32)
+    at = np.arange(len(xs), dtype=np.int64)
+    head_start = np.zeros(len(xs), dtype=np.int64)
+    rising = falling = 0.0
+    for bit in reversed(range(max(1, int(ranks.max(initial=0)).bit_length()))):
+        one = ((ranks >> bit) & 1).astype(bool)
+        new_run = (at == head_start) | np.concatenate(([True], xs[1:] != xs[:-1]))
         run_start = np.maximum.accumulate(np.where(new_run, at, 0))
-        head_start = np.maximum.accumulate(np.where(new_head, at, 0))
-        total += float(np.sum(np.where(one == 1, ws * (zeros[run_start] - zeros[head_start]), 0.0)))
-    return total
+        zeros = np.concatenate(([0.0], np.cumsum(np.where(one, 0.0, ws))))
+        ones = np.concatenate(([0.0], np.cumsum(np.where(one, ws, 0.0))))
+        rising += float(np.dot(np.where(one, ws, 0.0), zeros[run_start] - zeros[head_start]))
+        falling += float(np.dot(np.where(one, 0.0, ws), ones[run_start] - ones[head_start]))
+        # zeros to the front of their group, ones behind them, both in x order
+        low_before = np.concatenate(([0], np.cumsum(~one)))
+        group_end = np.append(np.flatnonzero(at == head_start)[1:], len(xs))
+        ends = np.repeat(group_end, np.diff(np.append(np.flatnonzero(at == head_start), len(xs))))
+        lows = low_before[:-1] - low_before[head_start]
+        middle = head_start + low_before[ends] - low_before[head_start]
+        to = np.where(one, middle + (at - head_start - lows), head_start + lows)
+        start = np.where(one, middle, head_start)
+        moved = np.empty_like(order)
+        moved[to] = at
+        xs, ws, ranks, head_start = xs[moved], ws[moved], ranks[moved], start[moved]
+    return rising, falling
 
 
 def _count_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    x, y, w = (pdf[c].to_numpy() for c in ("x", "y", "w"))
-    return pd.DataFrame({"pair": [int(pdf["pair"].iloc[0])],
-                         "up": [ordered_pairs(x, y, w)], "down": [ordered_pairs(x, -y, w)]})
+    up, down = ordered_pairs(*(pdf[c].to_numpy() for c in ("x", "y", "w")))
+    return pd.DataFrame({"pair": [int(pdf["pair"].iloc[0])], "up": [up], "down": [down]})
 
 
 COUNTED = "pair int, up double, down double"

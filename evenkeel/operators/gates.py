@@ -132,11 +132,9 @@ def is_identifier(name: Column) -> Column:
     lower = F.lower(F.regexp_replace(name, r"^\s+|\s+$", ""))
     clean = F.regexp_replace(lower, NOT_NAME_CHARS, "")
     tokens = F.split(lower, NOT_NAME_CHARS)
-    parts = F.lit(False)
-    for p in IDENTIFIER_PARTS:
-        parts = parts | clean.contains(p)
     return (clean.isin(EXACT_IDENTIFIERS) | F.array_contains(tokens, "id") | F.array_contains(tokens, "name")
-            | F.endswith(lower, F.lit("_id")) | F.startswith(lower, F.lit("id_")) | parts)
+            | F.endswith(lower, F.lit("_id")) | F.startswith(lower, F.lit("id_"))
+            | clean.rlike("|".join(IDENTIFIER_PARTS)))
 
 
 def identifier_columns(catalog: DataFrame, name: str = "column_name") -> DataFrame:

@@ -75,32 +75,37 @@ def learn_splits(sample: np.ndarray, leaf: int) -> Splits:
     return Splits(np.array(dim, dtype=int), np.array(cut), np.array(child, dtype=int).reshape(-1, 2))
 
 
+FOUND = "pid string, nid string, d double, w long, nv array<double>"
+
+
 def nearest_in(asking: np.ndarray, ask_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, weights: np.ndarray,
-               k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """For each asking point: positions and distances of its nearest others up to total weight k, ties by id."""
+               k: int) -> pd.DataFrame:
+    """For each asking point its nearest others up to total weight k, ties by id."""
+    order = np.argsort(ids)                       # positions follow the ids, so a tie goes to the lower position
+    points, ids, weights = points[order], ids[order], weights[order]
+    m = min(k + 1, len(points))                   # one more, as a point may meet itself
+    parts = []
     for start in range(0, len(asking), BLOCK):
-        block = asking[start:start + BLOCK]
+        block, mine = asking[start:start + BLOCK], ask_ids[start:start + BLOCK]
         gap = np.zeros((len(block), len(points)))
         for d in range(points.shape[1]):
             gap += (block[:, d, None] - points[None, :, d]) ** 2
-        for i, row in enumerate(gap):
-            m = min(k + 1, len(row))
-            limit = np.partition(row, m - 1)[m - 1]
-            near = np.flatnonzero(row <= limit)
-            near = near[ids[near] != ask_ids[start + i]]
-            near = near[np.lexsort((ids[near], row[near]))][:k]
-            enough = np.searchsorted(np.cumsum(weights[near]), k) + 1
-            yield start + i, near[:enough], np.sqrt(row[near[:enough]])
-
-
-FOUND = "pid string, nid string, d double, w long, nv array<double>"
-
-
-def _emit(asking, ask_ids, points, ids, weights, k) -> pd.DataFrame:
-    parts = []
-    for i, near, d in nearest_in(asking, ask_ids, points, ids, weights, k):
-        parts += [(ask_ids[i], ids[j], dist, int(weights[j]), points[j].tolist()) for j, dist in zip(near, d)]
-    return pd.DataFrame(parts, columns=["pid", "nid", "d", "w", "nv"])
+        near = np.sort(np.argpartition(gap, m - 1, axis=1)[:, :m], axis=1)
+        dist = np.take_along_axis(gap, near, axis=1)
+        edge = dist.max(axis=1)
+        for i in np.flatnonzero((gap <= edge[:, None]).sum(axis=1) > m):      # a tie at the edge
+            tied = np.flatnonzero(gap[i] <= edge[i])
+            near[i] = np.sort(tied[np.argsort(gap[i, tied], kind="stable")[:m]])
+            dist[i] = gap[i, near[i]]
+        rank = np.argsort(dist, axis=1, kind="stable")
+        near, dist = np.take_along_axis(near, rank, axis=1), np.take_along_axis(dist, rank, axis=1)
+        weight = np.where(ids[near] == mine[:, None], 0, weights[near])       # a point is no neighbour of itself
+        keep = (weight > 0) & (np.cumsum(weight, axis=1) - weight < k)
+        i, j = np.nonzero(keep)
+        at = near[i, j]
+        parts.append(pd.DataFrame({"pid": mine[i], "nid": ids[at], "d": np.sqrt(dist[i, j]), "w": weights[at],
+                                   "nv": list(points[at])}))
+    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=["pid", "nid", "d", "w", "nv"])
 
 
 def _matrix(pdf: pd.DataFrame, column: str = "v") -> np.ndarray:
@@ -130,7 +135,7 @@ def nearest_neighbours(points: DataFrame, k: int, cell_points: int = CELL_POINTS
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         v, ids = _matrix(pdf), pdf["pid"].to_numpy()
-        return _emit(v, ids, v, ids, pdf["w"].to_numpy(), k)
+        return nearest_in(v, ids, v, ids, pdf["w"].to_numpy(), k)
 
     own = celled.groupBy("cell").applyInPandas(inside, FOUND)
     if cells == 1:
@@ -171,8 +176,8 @@ def nearest_neighbours(points: DataFrame, k: int, cell_points: int = CELL_POINTS
     def across(guests: pd.DataFrame, home: pd.DataFrame) -> pd.DataFrame:
         if not len(guests) or not len(home):
             return pd.DataFrame(columns=["pid", "nid", "d", "w", "nv"])
-        return _emit(_matrix(guests), guests["pid"].to_numpy(), _matrix(home), home["pid"].to_numpy(),
-                     home["w"].to_numpy(), k)
+        return nearest_in(_matrix(guests), guests["pid"].to_numpy(), _matrix(home), home["pid"].to_numpy(),
+                          home["w"].to_numpy(), k)
 
     others = (asked.groupBy("cell", "share").cogroup(hosts.groupBy("cell", "share"))
               .applyInPandas(across, FOUND))

@@ -11,6 +11,7 @@ from evenkeel.operators.gates import columns_with_nulls, non_numeric_columns, se
 from evenkeel.plans.order import BUCKET_ROWS, cut_points, exact_quantiles, number_rows, prefix_sum
 
 NEIGHBOURS = 3
+BLOCK_VALUES = 20_000      # distinct values per block of neighbours
 
 
 def factorize(df: DataFrame, target: str, name: str = "code") -> DataFrame:
@@ -99,7 +100,7 @@ def _same_class_radius(hist: DataFrame, cuts: list, bucket_rows: int) -> DataFra
     Distinct values are numbered within their class and cut into blocks that overlap by k rows, so
     every neighbour is inside the block however unevenly the class is spread.
     """
-    k, size = NEIGHBOURS, max(bucket_rows, 4 * NEIGHBOURS)
+    k, size = NEIGHBOURS, max(min(bucket_rows, BLOCK_VALUES), 4 * NEIGHBOURS)
     placed = number_rows(hist, "x", "_at", ["f", "_class"], cuts=cuts)
     block = F.floor(F.col("_at") / size)
     into = F.col("_at") % size

@@ -43,13 +43,10 @@ def borders(df: DataFrame, u: str, row_id: str, stratum: Column, quotas: dict[ob
         bits = open_cuts[0][4]
         width = min(step, BITS - bits)
         shift = BITS - bits - width
-        inside = F.lit(False)
-        for s, _, _, prefix, _ in open_cuts:
-            here = F.col("s").eqNullSafe(F.lit(s))
-            if bits:
-                here = here & (F.shiftright("u", BITS - bits) == F.lit(prefix))
-            inside = inside | here
-        hist = (keyed.where(inside).groupBy("s", F.shiftright("u", shift).alias("p"))
+        rows_here = keyed
+        if bits:                                      # one reference to the hash, so it is computed once per row
+            rows_here = keyed.where(F.shiftright("u", BITS - bits).isin(sorted({c[3] for c in open_cuts})))
+        hist = (rows_here.groupBy("s", F.shiftright("u", shift).alias("p"))
                 .agg(F.count(F.lit(1)).alias("rows")))
         group = F.shiftright("p", width)
         run = W.partitionBy("s", group).orderBy("p")
@@ -75,17 +72,17 @@ def borders(df: DataFrame, u: str, row_id: str, stratum: Column, quotas: dict[ob
 def _rank(keyed: DataFrame, cuts) -> dict[tuple[object, int], Border]:
     if not cuts:
         return {}
-    inside, pick = F.lit(False), F.lit(False)
-    for s, _, need, prefix, bits in cuts:
-        here = F.col("s").eqNullSafe(F.lit(s)) & (F.shiftright("u", BITS - bits) == F.lit(prefix))
-        inside = inside | here
-        pick = pick | (here & (F.col("rank") == need))
     bits = cuts[0][4]
-    order = W.partitionBy("s", F.shiftright("u", BITS - bits)).orderBy("u", "id")
-    hits = keyed.where(inside).withColumn("rank", F.row_number().over(order)).where(pick).collect()
+    prefix_of = F.shiftright("u", BITS - bits)
+    pick = F.lit(False)
+    for s, _, need, prefix, _ in cuts:
+        pick = pick | (F.col("s").eqNullSafe(F.lit(s)) & (F.col("p") == F.lit(prefix)) & (F.col("rank") == need))
+    order = W.partitionBy("s", "p").orderBy("u", "id")
+    hits = (keyed.where(prefix_of.isin(sorted({c[3] for c in cuts}))).withColumn("p", prefix_of)
+            .withColumn("rank", F.row_number().over(order)).where(pick).collect())
     out = {}
     for s, k, need, prefix, bits in cuts:
-        r = next(h for h in hits if h["s"] == s and h["u"] >> (BITS - bits) == prefix and h["rank"] == need)
+        r = next(h for h in hits if h["s"] == s and h["p"] == prefix and h["rank"] == need)
         out[(s, k)] = Border(s, k, r["u"], r["id"])
     return out
 

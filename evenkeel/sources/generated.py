@@ -40,7 +40,7 @@ def write_generated(df: DataFrame, path: str, job: str, meta: dict, status: str
     last = _latest(spark, path, job)
     run = last["run_id"] if last and last["status"] != "dropped" else uuid.uuid4().hex
     tagged = df.withColumn("job_id", F.lit(job)).withColumn("run_id", F.lit(run))
-    (tagged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (tagged.repartition("batch_no").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("job_id", "run_id", "batch_no").parquet(f"{path}/rows"))
     total = _rows(spark, path, job, run).count()
     _mark(spark, path, job, run, status, total, meta)
