@@ -12,8 +12,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 from evenkeel.functions.scalars import to_number
 from evenkeel.operators.gates import columns_by_kind
 from evenkeel.plans.order import BUCKET_ROWS, cut_points, prefix_sum, skew_safe_lookup, with_bucket
+from evenkeel.session import cut_lineage
 
 SCHEMA = "column_a string, column_b string, corr double"
+LOOKUP_VALUES = 20_000       # distinct values of a column whose ranks are broadcast
 GROUP_POINTS = 2_000_000     # points one task counts
 
 
@@ -62,38 +64,43 @@ def _pair_histogram(nums: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
             .where("x IS NOT NULL AND y IS NOT NULL").groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("w")))
 
 
-def average_ranks(hist: DataFrame, value: str, rows: str, group: Sequence[str] = (), cuts: list | None = None,
+def centred_ranks(hist: DataFrame, value: str, rows: str, group: Sequence[str] = (), cuts: list | None = None,
                   bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Adds `rank`, the mean of the positions that tied rows occupy, and `centred` (rank minus its mean)."""
+    """Adds `centred`: the mean position of the tied rows, less the mean of all positions."""
     run = prefix_sum(hist, value, rows, group, before="_below", total="_all", cuts=cuts, bucket_rows=bucket_rows)
-    rank = F.col("_below") + (F.col(rows) + 1) / 2.0
-    return run.select(*group, value, rows, rank.alias("rank"), (rank - (F.col("_all") + 1) / 2.0).alias("centred"))
+    return (run.withColumn("centred", F.col("_below") + (F.col(rows) + 1) / 2.0 - (F.col("_all") + 1) / 2.0)
+            .drop("_below", "_all"))
 
 
 def _spearman(nums: DataFrame, pairs: list[tuple[int, int]], bucket_rows: int) -> dict[int, float | None]:
     """Pearson of average ranks from the pair histogram, all pairs in one job.
 
-    Ranks of y are summed per value of x before the ranks of x are needed, so each rank table meets
-    the points once; hot values of y are split off.
+    The column with fewer values is looked up; its ranks are summed per value of the other one, whose
+    own ranks then come from the same rows, so nothing is joined back.
     """
     sizes = nums.agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(c).alias(c) for c in nums.columns]).first()
     n = sizes["n"]
-    pairs = [(i, j) if sizes[f"c{i}"] >= sizes[f"c{j}"] else (j, i) for i, j in pairs]     # look up the narrow column
+    wide = [(i, j) if sizes[f"c{i}"] >= sizes[f"c{j}"] else (j, i) for i, j in pairs]
     values = nums.select(F.explode(F.array(*nums.columns)).alias("v"))
-    cuts = cut_points(values, "v", bucket_rows) if n * len(nums.columns) > bucket_rows else []
-    points = _pair_histogram(nums, pairs)
-    ranks = {}
-    for axis in ("x", "y"):
-        hist = points.groupBy("pair", axis).agg(F.sum("w").alias("n"))
-        ranks[axis] = average_ranks(hist, axis, "n", ["pair"], cuts=cuts)
-    y_ranks = ranks["y"].select("pair", "y", "n", F.col("centred").alias("ry"))
-    per_x = (skew_safe_lookup(points, y_ranks, ["pair", "y"], "n", n)
-             .groupBy("pair", "x").agg(F.sum(F.col("ry") * F.col("w")).alias("s")))
-    cross = per_x.join(ranks["x"], ["pair", "x"]).groupBy("pair").agg(
-        F.sum(F.col("s") * F.col("centred")).alias("xy"), F.sum(F.col("centred") ** 2 * F.col("n")).alias("xx"))
-    spread = ranks["y"].groupBy("pair").agg(F.sum(F.col("centred") ** 2 * F.col("n")).alias("yy"))
-    rows = cross.join(spread, "pair").collect()              # one row per pair of columns
-    return {r["pair"]: r["xy"] / (r["xx"] * r["yy"]) ** 0.5 for r in rows if r["xx"] and r["yy"]}
+    # the columns share the cuts, and all values may sit in one column's range
+    cuts = cut_points(values, "v", max(2, bucket_rows // len(nums.columns))) if n > bucket_rows // len(nums.columns) else []
+    points = cut_lineage(_pair_histogram(nums, wide))         # read by the ranks of y and by the lookups
+    y_hist = points.groupBy("pair", "y").agg(F.sum("w").alias("n"))
+    y_ranks = centred_ranks(y_hist, "y", "n", ["pair"], cuts=cuts).withColumnRenamed("centred", "ry")
+    narrow = [p for p, (_, j) in enumerate(wide) if sizes[f"c{j}"] <= LOOKUP_VALUES]
+    few, many = F.col("pair").isin(narrow), ~F.col("pair").isin(narrow)
+    met = []
+    if narrow:                                               # a checked number of values per pair of columns
+        met.append(points.where(few).join(F.broadcast(y_ranks.where(few).drop("n")), ["pair", "y"]))
+    if len(narrow) < len(wide):
+        met.append(skew_safe_lookup(points.where(many), y_ranks.where(many), ["pair", "y"], "n", n))
+    rows = met[0] if len(met) == 1 else met[0].unionByName(met[1])
+    per_x = rows.groupBy("pair", "x").agg(
+        F.sum("w").alias("n"), F.sum(F.col("ry") * F.col("w")).alias("s"), F.sum(F.col("ry") ** 2 * F.col("w")).alias("q"))
+    sums = centred_ranks(per_x, "x", "n", ["pair"], cuts=cuts).groupBy("pair").agg(
+        F.sum(F.col("s") * F.col("centred")).alias("xy"), F.sum(F.col("centred") ** 2 * F.col("n")).alias("xx"),
+        F.sum("q").alias("yy")).collect()                    # one row per pair of columns
+    return {r["pair"]: r["xy"] / (r["xx"] * r["yy"]) ** 0.5 for r in sums if r["xx"] and r["yy"]}
 
 
 def ordered_pairs(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -173,7 +180,7 @@ def pair_totals(points: DataFrame, group_points: int = GROUP_POINTS) -> dict[int
 
 def _kendall(nums: DataFrame, pairs: list[tuple[int, int]], group_points: int) -> dict[int, float | None]:
     """tau-b with ties, all pairs of columns together."""
-    points = _pair_histogram(nums, pairs)
+    points = cut_lineage(_pair_histogram(nums, pairs))        # read by the tie counts and the pair counts
     tied = None
     for axis in ("x", "y"):
         t = (points.groupBy("pair", axis).agg(F.sum("w").cast("double").alias("t"))

@@ -21,23 +21,32 @@ def score_histogram(predictions: DataFrame, by: Sequence[str] = KEYS) -> DataFra
         F.sum(F.col("y").cast("bigint")).alias("pos"), F.sum(1 - F.col("y").cast("bigint")).alias("neg"))
 
 
-def roc_auc(predictions: DataFrame, by: Sequence[str] = KEYS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Exact area with ties counted half; NULL where a class is absent."""
-    by = list(by)
-    run = prefix_sum(score_histogram(predictions, by), "prob", "neg", by, before="_below", total="_neg",
-                     bucket_rows=bucket_rows)
+def _area(hist: DataFrame, by: list[str], bucket_rows: int) -> DataFrame:
+    run = prefix_sum(hist, "prob", "neg", by, before="_below", total="_neg", bucket_rows=bucket_rows)
     sums = run.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("_below") + F.col("neg") / 2.0)).alias("u"),
                                 F.sum("pos").alias("p"), F.sum("neg").alias("n"))
     return sums.select(*by, (F.col("u") / F.nullif(F.col("p").cast("double") * F.col("n"), F.lit(0.0))).alias("roc_auc"))
 
 
-def metrics(predictions: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
-    """Accuracy, precision, recall, F1 (0 when undefined) and ROC-AUC per model and split."""
+def roc_auc(predictions: DataFrame, by: Sequence[str] = KEYS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Exact area with ties counted half; NULL where a class is absent."""
+    return _area(score_histogram(predictions, by), list(by), bucket_rows)
+
+
+def metrics(predictions: DataFrame, by: Sequence[str] = KEYS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Accuracy, precision, recall, F1 (0 when undefined) and ROC-AUC per model and split.
+
+    Everything follows from the counts per score, so the predictions are read once for both joins.
+    """
     by = list(by)
-    y, p = F.col("y") == 1, F.col("pred") == 1
-    counts = predictions.groupBy(*by).agg(
-        F.count_if(y & p).alias("tp"), F.count_if(~y & p).alias("fp"), F.count_if(y & ~p).alias("fn"),
-        F.count(F.lit(1)).alias("n"))
+    called = predictions.groupBy(*by, "prob", "pred").agg(
+        F.sum(F.col("y").cast("bigint")).alias("pos"), F.sum(1 - F.col("y").cast("bigint")).alias("neg"))
+    yes = F.col("pred") == 1
+    counts = called.groupBy(*by).agg(
+        F.coalesce(F.sum(F.when(yes, F.col("pos"))), F.lit(0)).alias("tp"),
+        F.coalesce(F.sum(F.when(yes, F.col("neg"))), F.lit(0)).alias("fp"),
+        F.coalesce(F.sum(F.when(~yes, F.col("pos"))), F.lit(0)).alias("fn"),
+        F.sum(F.col("pos") + F.col("neg")).alias("n"))
     tp, fp, fn = F.col("tp").cast("double"), F.col("fp"), F.col("fn")
 
     def ratio(a, b):
@@ -47,7 +56,8 @@ def metrics(predictions: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
         *by, ratio(F.col("n") - fp - fn, F.col("n").cast("double")).alias("accuracy"),
         ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"),
         ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
-    area = roc_auc(predictions, by).select(*[F.col(k).alias(f"_{k}") for k in by], "roc_auc")
+    hist = called.groupBy(*by, "prob").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    area = _area(hist, by, bucket_rows).select(*[F.col(k).alias(f"_{k}") for k in by], "roc_auc")
     on = F.lit(True)
     for k in by:
         on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))

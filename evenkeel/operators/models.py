@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from evenkeel.functions.scalars import SEED
 from evenkeel.operators.network import Network, fit_dnn, fit_mlp
+from evenkeel.session import on_all_cores
 
 DEEPEST = 30        # Spark's limit; stands in for "unlimited"
 THRESHOLD = 0.5
@@ -116,7 +117,8 @@ def train_all(splits: DataFrame, feats: Sequence[str], label: str, row_id: str,
     extra = [F.col(row_id)] if row_id in source.columns else [F.lit(None).cast("string").alias(row_id)]
     train = source.select(*numeric, F.col(label).cast("int").alias(label), *extra)
     held = splits.where("split != 'train'").select("split", row_id, F.col(label).cast("int").alias(label), *numeric)
-    train = train.persist(StorageLevel.MEMORY_AND_DISK)        # every fit passes over it several times
+    first = train.persist(StorageLevel.MEMORY_AND_DISK)        # every fit passes over it several times
+    train = on_all_cores(first, first.count()).persist(StorageLevel.MEMORY_AND_DISK)
     scaler = fit_scaler(train, feats)
     fits = {
         "Logistic Regression": lambda p: fit_logistic(train, feats, label, scaler=scaler, **p),
@@ -135,7 +137,8 @@ def train_all(splits: DataFrame, feats: Sequence[str], label: str, row_id: str,
             F.lit(name).alias("model"), F.lit(sampling).alias("sampling"), "split", row_id,
             F.col(label).alias("y"), "prob", "pred")
         predictions = part if predictions is None else predictions.unionByName(part)
-    train.unpersist()
+    for kept in (train, first):
+        kept.unpersist()
     return predictions, fitted
 
 

@@ -15,6 +15,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from evenkeel.session import cut_lineage
+
 CELL_POINTS = 2_000          # points one cell should hold
 MAX_CELLS = 1 << 14
 SAMPLE_PER_CELL = 24
@@ -131,6 +133,8 @@ def nearest_neighbours(points: DataFrame, k: int, cell_points: int = CELL_POINTS
             yield pdf.assign(cell=splits.cell(_matrix(pdf)))
 
     celled = points.mapInPandas(place, "pid string, w long, v array<double>, cell long")
+    if cells > 1:
+        celled = cut_lineage(celled)                 # read several times below
     width = len(points.select("v").first()["v"]) if n else 0
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -140,6 +144,7 @@ def nearest_neighbours(points: DataFrame, k: int, cell_points: int = CELL_POINTS
     own = celled.groupBy("cell").applyInPandas(inside, FOUND)
     if cells == 1:
         return _ranked(own, k)
+    own = cut_lineage(own)
     boxes = celled.groupBy("cell").agg(*[x for d in range(width) for x in (
         F.min(F.col("v")[d]).alias(f"lo{d}"), F.max(F.col("v")[d]).alias(f"hi{d}"))]).collect()   # <= MAX_CELLS rows
     cell_ids = np.array([b["cell"] for b in boxes])
@@ -166,6 +171,7 @@ def nearest_neighbours(points: DataFrame, k: int, cell_points: int = CELL_POINTS
 
     visits = radius.mapInPandas(visit, "pid string, v array<double>, cell long")
     # a much-visited cell is repeated so that no group holds more than about visit_chunk visitors
+    visits = cut_lineage(visits)
     load = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(visit_chunk)).cast("int").alias("shares"))
     load = F.broadcast(load)                                                    # <= MAX_CELLS rows
     asked = (visits.join(load, "cell").withColumn("share", F.pmod(F.xxhash64("pid"), F.col("shares").cast("bigint")).cast("int"))

@@ -75,26 +75,14 @@ def numeric_stats(df: DataFrame, cols: Sequence[str]) -> dict[str, dict[str, flo
     """The fitted numbers behind describe, profiles, outlier bounds and imputation."""
     if not cols:
         return {}
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    aggs = []
-    for i, c in enumerate(cols):
-        v = F.col(f"`{c}`")
-        if kind_of(kinds[c]) == "time":
-            v = F.unix_micros(v.cast("timestamp")) / 1e6
-        v = v.cast("double")
-        v = F.when(~F.isnan(v), v)
-        aggs += [F.count(v).alias(f"count{i}"), F.avg(v).alias(f"mean{i}"), F.stddev_samp(v).alias(f"std{i}"),
-                 F.min(v).alias(f"min{i}"), F.max(v).alias(f"max{i}")]
-    row = df.agg(*aggs).first()
+    kinds = {f.name: kind_of(f.dataType) for f in df.schema.fields}
     as_numbers = df.select(*[
-        ((F.unix_micros(F.col(f"`{c}`").cast("timestamp")) / 1e6) if kind_of(kinds[c]) == "time"
+        ((F.unix_micros(F.col(f"`{c}`").cast("timestamp")) / 1e6) if kinds[c] == "time"
          else F.col(f"`{c}`").cast("double")).alias(c) for c in cols])
-    quartiles = exact_quantiles(as_numbers, {c: [0.25, 0.5, 0.75] for c in cols})
-    out = {}
-    for i, c in enumerate(cols):
-        q = quartiles.get(c) or [None] * 3
-        out[c] = {"count": row[f"count{i}"], "mean": row[f"mean{i}"], "std": row[f"std{i}"],
-                  "min": row[f"min{i}"], "p25": q[0], "p50": q[1], "p75": q[2], "max": row[f"max{i}"]}
+    out: dict[str, dict[str, float | None]] = {}
+    quartiles = exact_quantiles(as_numbers, {c: [0.25, 0.5, 0.75] for c in cols}, moments=out)
+    for c in cols:
+        out[c].update(zip(("p25", "p50", "p75"), quartiles[c]))
     return out
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from evenkeel.functions.scalars import digamma
 from evenkeel.operators.gates import columns_with_nulls, non_numeric_columns, select_features
 from evenkeel.plans.order import BUCKET_ROWS, cut_points, exact_quantiles, number_rows, prefix_sum
+from evenkeel.session import cut_lineage
 
 NEIGHBOURS = 3
 BLOCK_VALUES = 20_000      # distinct values per block of neighbours
@@ -80,14 +81,14 @@ def _nearest(df: DataFrame, feats: Sequence[str], bucket_rows: int) -> DataFrame
     hist = (_unpivoted(df, feats, lambda c: F.col(f"`{c}`").cast("double"))
             .groupBy("f", "x", "_class").agg(F.count(F.lit(1)).alias("n")))
     values = df.select(F.explode(F.array(*[F.col(f"`{c}`").cast("double") for c in feats])).alias("x"))
-    cuts = cut_points(values, "x", bucket_rows)
+    cuts = cut_points(values, "x", max(2, bucket_rows // len(feats)))          # the features share the cuts
     sizes = W.partitionBy("f")
     classes = (hist.groupBy("f", "_class").agg(F.sum("n").alias("n_class"))
                .where("n_class > 1"))                            # a class of one has no neighbour
     classes = classes.withColumn("n_all", F.sum("n_class").over(sizes))
     small = F.broadcast(classes)                                 # features x classes rows, classes <= 1,000
     hist = hist.join(small, ["f", "_class"])
-    radii = _same_class_radius(hist, cuts, bucket_rows)
+    radii = cut_lineage(_same_class_radius(hist, cuts, bucket_rows))     # asked for three times below
     counted = _rows_within(hist, radii, bucket_rows, cuts)
     score = (digamma(F.max("n_all")) + F.sum((digamma(F.col("k")) - digamma(F.col("n_class")) - digamma(F.col("m")))
                                              * F.col("n")) / F.sum("n"))

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F, types as T
 
 from evenkeel.functions.scalars import as_column, to_number
 
-BUCKET_ROWS = 500_000       # rows one window slice should hold
+BUCKET_ROWS = 200_000       # rows one window slice should hold
 MAX_BUCKETS = 1 << 16
 SKETCH = 10_000             # percentile_approx accuracy
 BRACKET_ROWS = 200_000      # distinct values one bracket may hold before it is narrowed
@@ -128,10 +128,12 @@ def rank_to_value(n: int, prob: float) -> tuple[int, int, float]:
     return lo, min(lo + 1, n - 1), pos - lo
 
 
-def exact_quantiles(df: DataFrame, wanted: dict[str, Sequence[float]],
-                    bracket_rows: int = BRACKET_ROWS, sketch: int = SKETCH) -> dict[str, list[float | None]]:
+def exact_quantiles(df: DataFrame, wanted: dict[str, Sequence[float]], bracket_rows: int = BRACKET_ROWS,
+                    sketch: int = SKETCH, moments: dict[str, dict] | None = None) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles of many columns, without shuffling the rows.
 
+    `moments`, if given, is filled with count, min, max, mean and std per column from the same first pass.
+
     A mergeable sketch brackets each quantile, and only the distinct values inside the bracket are
     counted. A bracket that would still hold too many rows is narrowed by another sketch pass.
     """
@@ -144,7 +146,13 @@ def exact_quantiles(df: DataFrame, wanted: dict[str, Sequence[float]],
         aggs += [F.count(f"c{i}").alias(f"n{i}"),
                  F.percentile_approx(f"c{i}", probs, sketch).alias(f"q{i}"),
                  F.min(f"c{i}").alias(f"lo{i}"), F.max(f"c{i}").alias(f"hi{i}")]
+        if moments is not None:
+            aggs += [F.avg(f"c{i}").alias(f"mean{i}"), F.stddev_samp(f"c{i}").alias(f"std{i}")]
     first = nums.agg(*aggs).first()
+    if moments is not None:
+        for i, c in enumerate(cols):
+            moments[c] = {"count": first[f"n{i}"], "min": first[f"lo{i}"], "max": first[f"hi{i}"],
+                          "mean": first[f"mean{i}"], "std": first[f"std{i}"]}
     brackets = []                                    # column index, probability, low, high
     for i, c in enumerate(cols):
         if not first[f"n{i}"]:

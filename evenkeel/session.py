@@ -49,3 +49,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(df.sparkSession).rstrip('/')}/evenkeel-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def on_all_cores(cached: DataFrame, rows: int) -> DataFrame:
+    """Deal a cached table with fewer partitions than cores out once; a large table is left as it is."""
+    cores = cached.sparkSession.sparkContext.defaultParallelism
+    if rows < 10_000 or cached.rdd.getNumPartitions() >= cores:
+        return cached
+    return cached.repartition(cores)
