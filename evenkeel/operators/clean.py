@@ -15,6 +15,12 @@ def drop_missing_rows(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.dropna("any", subset=list(cols))
 
 
+def _present(df: DataFrame, c: str) -> Column:
+    """The value as double, missing (NULL or NaN) left out of aggregates."""
+    field = df.schema[c]
+    return F.when(~missing(field), F.col(f"`{c}`").cast("double"))
+
+
 def _kinds(df: DataFrame) -> dict[str, str]:
     return {f.name: kind_of(f.dataType) for f in df.schema.fields}
 
@@ -24,7 +30,7 @@ def imputation_values(df: DataFrame, cols: Sequence[str], method: str, value: st
     kinds = _kinds(df)
     numeric = [c for c in cols if kinds[c] in ("numeric", "boolean")]
     if method == "mean":
-        row = df.agg(*[F.avg(F.col(f"`{c}`").cast("double")).alias(c) for c in numeric]).first() if numeric else {}
+        row = df.agg(*[F.avg(_present(df, c)).alias(c) for c in numeric]).first() if numeric else {}
         return {c: row[c] for c in numeric if row[c] is not None}
     if method in ("median", "auto"):
         cast = df.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in numeric])
@@ -101,8 +107,7 @@ def filter_zscore(df: DataFrame, cols: Sequence[str], t: float = 3.0, fit_on: Da
         raise ValueError("t must lie in 2.0..5.0")
     source = df if fit_on is None else fit_on
     row = source.agg(*[x for i, c in enumerate(cols) for x in (
-        F.avg(F.col(f"`{c}`").cast("double")).alias(f"m{i}"),
-        F.stddev_samp(F.col(f"`{c}`").cast("double")).alias(f"s{i}"))]).first()
+        F.avg(_present(source, c)).alias(f"m{i}"), F.stddev_samp(_present(source, c)).alias(f"s{i}"))]).first()
     fields = {f.name: f for f in df.schema.fields}
     tests = []
     for i, c in enumerate(cols):

@@ -77,7 +77,7 @@ def learn_splits(sample: np.ndarray, leaf: int) -> Splits:
     return Splits(np.array(dim, dtype=int), np.array(cut), np.array(child, dtype=int).reshape(-1, 2))
 
 
-FOUND = "pid string, nid string, d double, w long, nv array<double>"
+FOUND = "pid string, nid string, d2 double, w long, nv array<double>"
 
 
 def nearest_in(asking: np.ndarray, ask_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, weights: np.ndarray,
@@ -105,9 +105,9 @@ def nearest_in(asking: np.ndarray, ask_ids: np.ndarray, points: np.ndarray, ids:
         keep = (weight > 0) & (np.cumsum(weight, axis=1) - weight < k)
         i, j = np.nonzero(keep)
         at = near[i, j]
-        parts.append(pd.DataFrame({"pid": mine[i], "nid": ids[at], "d": np.sqrt(dist[i, j]), "w": weights[at],
+        parts.append(pd.DataFrame({"pid": mine[i], "nid": ids[at], "d2": dist[i, j], "w": weights[at],
                                    "nv": list(points[at])}))
-    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=["pid", "nid", "d", "w", "nv"])
+    return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=["pid", "nid", "d2", "w", "nv"])
 
 
 def _matrix(pdf: pd.DataFrame, column: str = "v") -> np.ndarray:
@@ -116,9 +116,9 @@ def _matrix(pdf: pd.DataFrame, column: str = "v") -> np.ndarray:
 
 def nearest_neighbours(points: DataFrame, k: int, cell_points: int = CELL_POINTS,
                        visit_chunk: int = VISIT_CHUNK) -> DataFrame:
-    """(pid, nid, d, w, nv, place) for distinct weighted points (pid string, w long, v array<double>).
+    """(pid, nid, d2, w, nv, place) for distinct weighted points (pid string, w long, v array<double>).
 
-    Per pid the nearest other points in order of (d, nid), as many as needed for total weight k.
+    Per pid the nearest other points in order of (squared distance, nid), as many as total weight k needs.
     """
     n = points.count()
     cells = min(MAX_CELLS, max(1, -(-n // cell_points)))
@@ -151,9 +151,9 @@ def nearest_neighbours(points: DataFrame, k: int, cell_points: int = CELL_POINTS
     low = np.array([[b[f"lo{d}"] for d in range(width)] for b in boxes])
     high = np.array([[b[f"hi{d}"] for d in range(width)] for b in boxes])
     # the radius is final only when the cell alone already holds weight k
-    reach = own.groupBy("pid").agg(F.sum("w").alias("_w"), F.max("d").alias("_d"))
+    reach = own.groupBy("pid").agg(F.sum("w").alias("_w"), F.max("d2").alias("_d"))
     radius = celled.join(reach, "pid", "left").select(
-        "pid", "v", "cell", F.when(F.col("_w") >= k, F.col("_d")).otherwise(F.lit(float("inf"))).alias("r"))
+        "pid", "v", "cell", F.when(F.col("_w") >= k, F.col("_d")).otherwise(F.lit(float("inf"))).alias("r2"))
 
     def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -164,7 +164,7 @@ def nearest_neighbours(points: DataFrame, k: int, cell_points: int = CELL_POINTS
                 for d in range(v.shape[1]):
                     x = v[:, d, None]
                     gap += np.maximum(0.0, np.maximum(low[None, :, d] - x, x - high[None, :, d])) ** 2
-                go = (gap <= (part["r"].to_numpy() ** 2)[:, None] * (1 + 1e-9)) & (
+                go = (gap <= part["r2"].to_numpy()[:, None] * (1 + 1e-9)) & (
                     cell_ids[None, :] != part["cell"].to_numpy()[:, None])
                 i, c = np.nonzero(go)
                 yield pd.DataFrame({"pid": part["pid"].to_numpy()[i], "v": part["v"].to_numpy()[i], "cell": cell_ids[c]})
@@ -181,7 +181,7 @@ def nearest_neighbours(points: DataFrame, k: int, cell_points: int = CELL_POINTS
 
     def across(guests: pd.DataFrame, home: pd.DataFrame) -> pd.DataFrame:
         if not len(guests) or not len(home):
-            return pd.DataFrame(columns=["pid", "nid", "d", "w", "nv"])
+            return pd.DataFrame(columns=["pid", "nid", "d2", "w", "nv"])
         return nearest_in(_matrix(guests), guests["pid"].to_numpy(), _matrix(home), home["pid"].to_numpy(),
                           home["w"].to_numpy(), k)
 
@@ -192,7 +192,7 @@ def nearest_neighbours(points: DataFrame, k: int, cell_points: int = CELL_POINTS
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     """Keep each point's nearest, at most k rows per visited cell, up to total weight k."""
-    order = W.partitionBy("pid").orderBy("d", "nid")
+    order = W.partitionBy("pid").orderBy("d2", "nid")
     return (found.withColumn("_before", F.coalesce(
         F.sum("w").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
         .withColumn("place", F.row_number().over(order)).where(F.col("_before") < k).drop("_before"))

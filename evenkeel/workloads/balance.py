@@ -74,7 +74,7 @@ _DIST2 = "(p.n_chars - q.n_chars) ** 2 + (p.quality - q.quality) ** 2 + (p.lang_
 @query("smote", f"""WITH t AS ({TOXIC}), mino AS (SELECT n_chars, quality, lang_code, {_PID} AS pid, row_number() OVER (ORDER BY {_PID}) - 1 AS pos,
     row_number() OVER (PARTITION BY {_PID}) AS copy FROM t WHERE toxic = 1),
   near AS (SELECT p.pos, q.n_chars AS a, q.quality AS b, q.lang_code AS c,
-    row_number() OVER (PARTITION BY p.pos ORDER BY sqrt({_DIST2}), CASE WHEN p.pid = q.pid THEN 0 ELSE 1 END, q.pid) - 1 AS slot
+    row_number() OVER (PARTITION BY p.pos ORDER BY {_DIST2}, CASE WHEN p.pid = q.pid THEN 0 ELSE 1 END, q.pid) - 1 AS slot
     FROM mino p JOIN mino q ON p.pos <> q.pos),
   need AS (SELECT (2 * count(*) FILTER (toxic = 0) - count(*))::BIGINT AS n, count(*) FILTER (toxic = 1) AS m FROM t),
   draws AS (SELECT i, {sql_draw(42, "'base|' || i")} % m AS pos, {sql_draw(42, "'slot|' || i")} % 5 AS slot,
@@ -153,15 +153,15 @@ def apply_synthetic(spark, sf):
     return sy.apply_synthetic(train, keyed, TOXIC_FEATS, "toxic", plan, "row_id")
 
 
-def _profile_sql(c: str, allowed: bool) -> str:
-    values = f"(SELECT list_sort(list(DISTINCT {c})) FROM real)" if allowed else "NULL::DOUBLE[]"
+def _profile_sql(c: str) -> str:
+    values = f"(SELECT list_sort(list(DISTINCT {c})) FROM real)"
     return f"""SELECT '{c}' AS "column", 'double' AS dtype, min({c}) AS min, max({c}) AS max, round(avg({c}), 6) AS mean,
     round(CASE WHEN count({c}) > 1 THEN stddev_samp({c}) ELSE 0 END, 6) AS std, quantile_cont({c}, 0.25) AS q1, median({c}) AS median,
     quantile_cont({c}, 0.75) AS q3, CASE WHEN (SELECT count(DISTINCT {c}) FROM real) <= 20 THEN {values} END AS allowed_values FROM real"""
 
 
 @query("minority_profile", f"WITH t AS ({TOXIC}), real AS (SELECT * FROM t WHERE toxic = 1) " + "\nUNION ALL\n".join(
-    _profile_sql(c, c != "n_chars") for c in TOXIC_FEATS))
+    _profile_sql(c) for c in TOXIC_FEATS))
 def minority_profile(spark, sf):
     return rounded(sy.minority_profile(toxic_docs(spark, sf).where("toxic = 1"), TOXIC_FEATS))
 
