@@ -72,6 +72,15 @@ def kind_of(dtype: T.DataType) -> str:
     return "other"
 
 
+def epoch_seconds(field: T.StructField) -> Column:
+    """Seconds since 1970; a time without zone is taken as it reads, whatever the session's zone."""
+    c = F.col(f"`{field.name}`")
+    if isinstance(field.dataType, T.TimestampType):
+        return F.unix_micros(c) / 1e6
+    start = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.timestamp_diff("MICROSECOND", start, c.cast("timestamp_ntz")) / 1e6
+
+
 def missing(field: T.StructField) -> Column:
     """NULL, or NaN in a floating column."""
     c = F.col(f"`{field.name}`")

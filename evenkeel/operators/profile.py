@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from evenkeel.functions.scalars import kind_of, missing
+from evenkeel.functions.scalars import epoch_seconds, kind_of, missing
 from evenkeel.operators.gates import columns_by_kind
 from evenkeel.plans.histogram import column_histogram, value_text
 from evenkeel.plans.order import exact_quantiles
@@ -76,9 +76,8 @@ def numeric_stats(df: DataFrame, cols: Sequence[str]) -> dict[str, dict[str, flo
     if not cols:
         return {}
     kinds = {f.name: kind_of(f.dataType) for f in df.schema.fields}
-    as_numbers = df.select(*[
-        ((F.unix_micros(F.col(f"`{c}`").cast("timestamp")) / 1e6) if kinds[c] == "time"
-         else F.col(f"`{c}`").cast("double")).alias(c) for c in cols])
+    as_numbers = df.select(*[(epoch_seconds(df.schema[c]) if kinds[c] == "time" else F.col(f"`{c}`").cast("double")).alias(c)
+                             for c in cols])
     out: dict[str, dict[str, float | None]] = {}
     quartiles = exact_quantiles(as_numbers, {c: [0.25, 0.5, 0.75] for c in cols}, moments=out)
     for c in cols:

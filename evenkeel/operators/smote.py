@@ -11,6 +11,7 @@ from evenkeel.operators.balance import append_synthetic, require_plan
 from evenkeel.operators.neighbours import CELL_POINTS, nearest_neighbours
 from evenkeel.plans.keys import expand_copies
 from evenkeel.plans.order import BUCKET_ROWS, prefix_sum
+from evenkeel.session import cut_lineage
 
 BLOCK_ROWS = 16      # minority positions per join key of a draw
 
@@ -24,6 +25,7 @@ def weighted_points(rows: DataFrame, feats: Sequence[str]) -> DataFrame:
 
 def neighbour_slots(points: DataFrame, k: int, cell_points: int = CELL_POINTS) -> DataFrame:
     """(pid, w, v, slots): the k neighbour vectors of each point, a copy counting as a neighbour."""
+    points = cut_lineage(points)                      # read by the search several times and by the join
     near = nearest_neighbours(points, k, cell_points)
     lists = near.groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("place", "w", "nv"))).alias("near"))  # <= k entries
     own = F.array_repeat(F.col("v"), F.least(F.col("w") - 1, F.lit(k)).cast("int"))

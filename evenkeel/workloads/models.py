@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from evenkeel.operators import evaluate as ev, models as ml
 from evenkeel.operators.smote import smote
 from evenkeel.operators.split import split
-from evenkeel.session import cut_lineage
+from evenkeel.session import cut_lineage, shared_folder
+from evenkeel.sources.tables import read_table, write_csv
 from evenkeel.workloads.prepare import split_toxic
 from evenkeel.workloads.registry import CREDIT_FEATS, SCORES, TOXIC_FEATS, credit_lineitem, query, rounded, scores, table
 
@@ -69,6 +72,14 @@ def model_detail(spark, sf):
     return rounded(ev.model_detail(ev.metrics(scores(spark, sf)), "F"), 8)
 
 
+@query("results_export", f"WITH {_METRICS} SELECT model, {_round_all(4, 'round_even')} FROM metrics WHERE split = 'test'")
+def results_export(spark, sf):
+    """The comparison table written as CSV and read back."""
+    path = f"{shared_folder(spark)}/results-{uuid.uuid4().hex}"
+    write_csv(ev.comparison(ev.metrics(scores(spark, sf))), path)
+    return read_table(spark, path, "csv")
+
+
 @query("standardise", """WITH s AS (SELECT avg(l_quantity) AS m, stddev_pop(l_quantity) AS d, avg(l_extendedprice) AS pm, stddev_pop(l_extendedprice) AS pd
     FROM lineitem WHERE l_linenumber <= 4)
   SELECT l_orderkey, l_linenumber, round((l_quantity - m) / d, 6) AS l_quantity, round((l_extendedprice - pm) / pd, 6) AS l_extendedprice FROM lineitem, s""")
