@@ -9,7 +9,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from evenkeel.plans.order import BUCKET_ROWS, number_rows, prefix_sum
+from evenkeel.plans.order import BUCKET_ROWS, prefix_sum
+from evenkeel.session import cut_lineage
 
 METRICS = ["accuracy", "precision", "recall", "f1", "roc_auc"]
 KEYS = ["model", "split"]
@@ -30,17 +31,17 @@ def _area(hist: DataFrame, by: list[str], bucket_rows: int) -> DataFrame:
 
 def roc_auc(predictions: DataFrame, by: Sequence[str] = KEYS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Exact area with ties counted half; NULL where a class is absent."""
-    return _area(score_histogram(predictions, by), list(by), bucket_rows)
+    return _area(cut_lineage(score_histogram(predictions, by)), list(by), bucket_rows)
 
 
 def metrics(predictions: DataFrame, by: Sequence[str] = KEYS, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Accuracy, precision, recall, F1 (0 when undefined) and ROC-AUC per model and split.
 
-    Everything follows from the counts per score, so the predictions are read once for both joins.
+    Everything follows from the counts per score; these are written once, so the models score once.
     """
     by = list(by)
-    called = predictions.groupBy(*by, "prob", "pred").agg(
-        F.sum(F.col("y").cast("bigint")).alias("pos"), F.sum(1 - F.col("y").cast("bigint")).alias("neg"))
+    called = cut_lineage(predictions.groupBy(*by, "prob", "pred").agg(
+        F.sum(F.col("y").cast("bigint")).alias("pos"), F.sum(1 - F.col("y").cast("bigint")).alias("neg")))
     yes = F.col("pred") == 1
     counts = called.groupBy(*by).agg(
         F.coalesce(F.sum(F.when(yes, F.col("pos"))), F.lit(0)).alias("tp"),
@@ -72,9 +73,9 @@ def roc_curve(predictions: DataFrame, split: str | None = "test", by: Sequence[s
     """
     by = list(by)
     rows = predictions if split is None else predictions.where(F.col("split") == split)
-    hist = score_histogram(rows, by).withColumn("_down", -F.col("prob"))
-    run = prefix_sum(hist, "_down", "pos", by, before="_tp", total="_p", bucket_rows=bucket_rows)
-    run = prefix_sum(run, "_down", "neg", by, before="_fp", total="_n", bucket_rows=bucket_rows)
+    hist = cut_lineage(score_histogram(rows, by)).select("*", (-F.col("prob")).alias("_down"), F.lit(1).cast("bigint").alias("_one"))
+    run = prefix_sum(hist, "_down", ["pos", "neg", "_one"], by, before=["_tp", "_fp", "_at"], total=["_p", "_n", "_points"],
+                     bucket_rows=bucket_rows)
     # a point stays where the direction of the curve changes: compare its step with the next one
     steps = _with_next_step(run, by, bucket_rows)
     turn = F.col("_next_pos").isNull() | (F.col("pos") * F.col("_next_neg") != F.col("neg") * F.col("_next_pos"))
@@ -82,7 +83,7 @@ def roc_curve(predictions: DataFrame, split: str | None = "test", by: Sequence[s
         *by, ((F.col("_fp") + F.col("neg")) / F.nullif(F.col("_n").cast("double"), F.lit(0.0))).alias("fpr"),
         ((F.col("_tp") + F.col("pos")) / F.nullif(F.col("_p").cast("double"), F.lit(0.0))).alias("tpr"),
         F.col("prob").alias("threshold"))
-    start = rows.select(*by).distinct().select(*by, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"),
+    start = hist.select(*by).distinct().select(*by, F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"),
                                                F.lit(float("inf")).alias("threshold"))
     return start.unionByName(points)
 
@@ -93,10 +94,9 @@ def _with_next_step(run: DataFrame, by: list[str], bucket_rows: int) -> DataFram
     Blocks of consecutive positions, each with one extra row from its neighbour, replace a window over
     all scores of a model.
     """
-    placed = number_rows(run, "_down", "_at", by, bucket_rows)
     block = F.floor(F.col("_at") / bucket_rows)
     homes = F.when((F.col("_at") % bucket_rows == 0) & (F.col("_at") > 0), F.array(block - 1, block)).otherwise(F.array(block))
-    spread = placed.withColumn("_block", F.explode(homes))
+    spread = run.withColumn("_block", F.explode(homes))
     w = W.partitionBy(*by, "_block").orderBy("_at")
     return (spread.withColumn("_next_pos", F.lead("pos").over(w)).withColumn("_next_neg", F.lead("neg").over(w))
             .where(F.col("_block") == block).drop("_block", "_at"))

@@ -13,7 +13,7 @@ from evenkeel.plans.keys import expand_copies
 from evenkeel.plans.order import BUCKET_ROWS, prefix_sum
 from evenkeel.session import cut_lineage
 
-BLOCK_ROWS = 16      # minority positions per join key of a draw
+BLOCK_ROWS = 4      # minority positions per join key of a draw
 
 
 def weighted_points(rows: DataFrame, feats: Sequence[str]) -> DataFrame:

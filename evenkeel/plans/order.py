@@ -22,13 +22,6 @@ SKETCH = 10_000             # percentile_approx accuracy
 BRACKET_ROWS = 200_000      # distinct values one bracket may hold before it is narrowed
 
 
-def same(left: DataFrame, right: DataFrame, keys: Sequence[str]):
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & left[k].eqNullSafe(right[k])
-    return cond
-
-
 def cut_points(df: DataFrame, order: str, bucket_rows: int = BUCKET_ROWS,
                max_buckets: int = MAX_BUCKETS) -> list:
     """Ascending cuts that split `order` into slices of about `bucket_rows` rows.
@@ -81,36 +74,38 @@ def with_bucket(df: DataFrame, order: str, cuts: list, name: str = "_bucket") ->
     return sliced.withColumn(name, F.col(raw + "_out").cast("int")).drop(raw, raw + "_out")
 
 
-def prefix_sum(df: DataFrame, order: str, weight: str, group: Sequence[str] = (), *,
-               before: str = "before", total: str = "total", cuts: list | None = None,
-               bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Running total of `weight` over rows strictly below, and the group total.
+def prefix_sum(df: DataFrame, order: str, weight: str | Sequence[str], group: Sequence[str] = (), *,
+               before: str | Sequence[str] = "before", total: str | Sequence[str] = "total",
+               cuts: list | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """Running total of each weight over rows strictly below, and its group total.
 
-    Rows must be unique per (group, order): pre-aggregate first.
+    Rows must be unique per (group, order): pre-aggregate first. Without `cuts`, `df` is read to plan
+    them, so pass something cheap to read or the cuts of the source column.
     """
+    weights, befores, totals = ([x] if isinstance(x, str) else list(x) for x in (weight, before, total))
     group = list(group)
     if cuts is None:
         cuts = cut_points(df, order, bucket_rows)
+    part = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
     if not cuts:
-        part = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
         below = part.orderBy(order).rowsBetween(W.unboundedPreceding, -1)
-        return (df.withColumn(before, F.coalesce(F.sum(weight).over(below), F.lit(0)))
-                  .withColumn(total, F.sum(weight).over(part)))
+        return df.select("*", *[F.coalesce(F.sum(w).over(below), F.lit(0)).alias(b) for w, b in zip(weights, befores)],
+                         *[F.sum(w).over(part).alias(t) for w, t in zip(weights, totals)])
     sliced = with_bucket(df, order, cuts)
-    sums = sliced.groupBy(*group, "_bucket").agg(F.sum(weight).alias("_sum"))
-    over_slices = (W.partitionBy(*group) if group else W.partitionBy(F.lit(0)))
+    sums = sliced.groupBy(*group, "_bucket").agg(*[F.sum(w).alias(f"_sum{i}") for i, w in enumerate(weights)])
+    earlier = part.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = sums.select(
         *[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], F.col("_bucket").alias("_b"),
-        F.coalesce(F.sum("_sum").over(over_slices.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_offset"),
-        F.sum("_sum").over(over_slices).alias(total))
+        *[F.coalesce(F.sum(f"_sum{i}").over(earlier), F.lit(0)).alias(f"_offset{i}") for i in range(len(weights))],
+        *[F.sum(f"_sum{i}").over(part).alias(t) for i, t in enumerate(totals)])
     on = sliced["_bucket"] == offsets["_b"]
     for i, g in enumerate(group):
         on = on & sliced[g].eqNullSafe(offsets[f"_g{i}"])
     inside = W.partitionBy(*group, "_bucket").orderBy(order).rowsBetween(W.unboundedPreceding, -1)
     return (sliced.join(offsets, on)
-            .withColumn(before, F.col("_offset") + F.coalesce(F.sum(weight).over(inside), F.lit(0)))
-            .drop("_bucket", "_b", "_offset", *[f"_g{i}" for i in range(len(group))]))
+            .select("*", *[(F.col(f"_offset{i}") + F.coalesce(F.sum(w).over(inside), F.lit(0))).alias(b)
+                           for i, (w, b) in enumerate(zip(weights, befores))])
+            .drop("_bucket", "_b", *[f"_offset{i}" for i in range(len(weights))], *[f"_g{i}" for i in range(len(group))]))
 
 
 def number_rows(df: DataFrame, order: str, name: str = "idx", group: Sequence[str] = (),
