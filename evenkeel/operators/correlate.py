@@ -73,17 +73,52 @@ def centred_ranks(hist: DataFrame, value: str, rows: str, group: Sequence[str] =
 
 
 def _spearman(nums: DataFrame, pairs: list[tuple[int, int]], bucket_rows: int) -> dict[int, float | None]:
-    """Pearson of average ranks from the pair histogram, all pairs in one job.
+    """Pearson of average ranks. Complete columns are ranked once each; a pair with missing values is
+    ranked on its own complete rows."""
+    sizes = nums.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"n_{c}") for c in nums.columns],
+                     *[F.approx_count_distinct(c).alias(c) for c in nums.columns]).first()
+    n = sizes["n"]
+    if not n:
+        return {}
+    share = max(2, bucket_rows // len(nums.columns))         # the columns share the cuts
+    cuts = cut_points(nums.select(F.explode(F.array(*nums.columns)).alias("v")), "v", share) if n > share else []
+    full = {i for i in range(len(nums.columns)) if sizes[f"n_c{i}"] == n}
+    whole = {p: pair for p, pair in enumerate(pairs) if set(pair) <= full}
+    partial = {p: pair for p, pair in enumerate(pairs) if p not in whole}
+    out: dict[int, float | None] = {}
+    if whole:
+        out.update(_shared_ranks(nums, whole, sizes, cuts))
+    if partial:
+        out.update(_pair_ranks(nums, partial, sizes, cuts))
+    return out
+
+
+def _shared_ranks(nums: DataFrame, pairs: dict[int, tuple[int, int]], sizes, cuts: list) -> dict[int, float | None]:
+    """Replace the values of complete columns by their ranks, then take all pairs in one aggregation."""
+    used = sorted({i for pair in pairs.values() for i in pair})
+    values = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"c{i}").alias("v")) for i in used]))
+    hist = cut_lineage(nums.select(values.alias("s")).groupBy("s.i", "s.v").agg(F.count(F.lit(1)).alias("n")))
+    ranks = cut_lineage(centred_ranks(hist, "v", "n", ["i"], cuts=cuts))
+    rows = nums.select(*[f"c{i}" for i in used])
+    for i in used:
+        dim = ranks.where(F.col("i") == i).select(F.col("v").alias(f"c{i}"), "n", F.col("centred").alias(f"r{i}"))
+        if sizes[f"c{i}"] <= LOOKUP_VALUES:                  # a checked number of values
+            rows = rows.join(F.broadcast(dim.drop("n")), f"c{i}").drop(f"c{i}")
+        else:                                                # reads the rows twice, so they are written between lookups
+            rows = cut_lineage(skew_safe_lookup(rows, dim, [f"c{i}"], "n", sizes["n"]).drop(f"c{i}"))
+    ranked = rows.select(*[F.col(f"r{i}").alias(f"c{i}") for i in used])
+    found = _pearson(ranked, list(pairs.values()))
+    return dict(zip(pairs, (found[k] for k in range(len(pairs)))))
+
+
+def _pair_ranks(nums: DataFrame, pairs: dict[int, tuple[int, int]], sizes, cuts: list) -> dict[int, float | None]:
+    """Ranks within the complete rows of each pair, all pairs in one job.
 
     The column with fewer values is looked up; its ranks are summed per value of the other one, whose
     own ranks then come from the same rows, so nothing is joined back.
     """
-    sizes = nums.agg(F.count(F.lit(1)).alias("n"), *[F.approx_count_distinct(c).alias(c) for c in nums.columns]).first()
-    n = sizes["n"]
-    wide = [(i, j) if sizes[f"c{i}"] >= sizes[f"c{j}"] else (j, i) for i, j in pairs]
-    values = nums.select(F.explode(F.array(*nums.columns)).alias("v"))
-    # the columns share the cuts, and all values may sit in one column's range
-    cuts = cut_points(values, "v", max(2, bucket_rows // len(nums.columns))) if n > bucket_rows // len(nums.columns) else []
+    names, n = list(pairs), sizes["n"]
+    wide = [(i, j) if sizes[f"c{i}"] >= sizes[f"c{j}"] else (j, i) for i, j in pairs.values()]
     points = cut_lineage(_pair_histogram(nums, wide))         # read by the ranks of y and by the lookups
     y_hist = points.groupBy("pair", "y").agg(F.sum("w").alias("n"))
     y_ranks = centred_ranks(y_hist, "y", "n", ["pair"], cuts=cuts).withColumnRenamed("centred", "ry")
@@ -100,7 +135,7 @@ def _spearman(nums: DataFrame, pairs: list[tuple[int, int]], bucket_rows: int) -
     sums = centred_ranks(per_x, "x", "n", ["pair"], cuts=cuts).groupBy("pair").agg(
         F.sum(F.col("s") * F.col("centred")).alias("xy"), F.sum(F.col("centred") ** 2 * F.col("n")).alias("xx"),
         F.sum("q").alias("yy")).collect()                    # one row per pair of columns
-    return {r["pair"]: r["xy"] / (r["xx"] * r["yy"]) ** 0.5 for r in sums if r["xx"] and r["yy"]}
+    return {names[r["pair"]]: r["xy"] / (r["xx"] * r["yy"]) ** 0.5 for r in sums if r["xx"] and r["yy"]}
 
 
 def ordered_pairs(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:

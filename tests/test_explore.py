@@ -110,6 +110,17 @@ def test_correlation(spark, tied, method, options):
     assert got[("const", "const")] is None
 
 
+def test_spearman_with_many_values_per_column(spark, tied, monkeypatch):
+    """Lookups by shuffle with split-off hot values instead of broadcasts."""
+    from evenkeel.operators import correlate
+
+    monkeypatch.setattr(correlate, "LOOKUP_VALUES", 3)
+    got = _matrix(correlation(spark.createDataFrame(tied), "spearman", bucket_rows=60))
+    for x, y in (("a", "c"), ("a", "b"), ("b", "c")):
+        ranks = tied[[x, y]].dropna().rank()
+        assert math.isclose(got[(x, y)], ranks[x].corr(ranks[y]), abs_tol=1e-9), (x, y)
+
+
 def test_pair_counting(spark):
     rng = np.random.default_rng(2)
     x, y, w = rng.integers(0, 30, 500).astype(float), rng.integers(0, 20, 500).astype(float), rng.integers(1, 5, 500)
