@@ -69,3 +69,39 @@ def mix64(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(32)
     return x
+
+
+def packed_schema(df: DataFrame, extra: str):
+    """The schema (row struct<all input columns>, extra columns...), for Spark and for Arrow."""
+    from pyspark.sql.types import StructField, StructType
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    full = StructType([StructField("row", df.schema), *StructType.fromDDL(extra).fields])
+    return full, to_arrow_schema(full)
+
+
+def packed_batch(batch: pa.RecordBatch, extra: list[tuple], arrow: pa.Schema) -> pa.RecordBatch:
+    """The batch's columns packed into `row`, beside one value per row and extra column."""
+    kind = arrow.field("row").type
+    if kind.num_fields:
+        row = pa.StructArray.from_arrays([c.cast(f.type) for c, f in zip(batch.columns, kind)], fields=list(kind))
+    else:
+        row = pa.array([{}] * batch.num_rows, kind)
+    columns = zip(*extra) if extra else [[] for _ in range(len(arrow) - 1)]
+    return pa.RecordBatch.from_arrays(
+        [row, *[pa.array(list(c), f.type) for c, f in zip(columns, list(arrow)[1:])]], schema=arrow)
+
+
+def append_columns(df: DataFrame, column: str, work: Callable[[list], list[tuple]], extra: str) -> DataFrame:
+    """(row, extra...): work gets one column of each batch as a list and gives a tuple per row.
+
+    The input travels as the struct `row`, so no name of its columns can clash with the new ones.
+    """
+    full, arrow = packed_schema(df, extra)
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield packed_batch(batch, work(batch.column(at).to_pylist()), arrow)
+
+    return df.mapInArrow(run, full)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["line_dedup", "url_filters"]
+MODULES = ["line_dedup", "url_filters", "decontaminate"]
 
 
 def load_all():
