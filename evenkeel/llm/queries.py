@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["line_dedup", "url_filters", "decontaminate"]
+MODULES = ["line_quality", "line_dedup", "decontaminate", "url_filters"]
 
 
 def load_all():
