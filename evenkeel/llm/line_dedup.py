@@ -48,6 +48,7 @@ def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     keys = (once.groupBy("h1", "h2").agg(F.count("*").alias("n_docs"),
                                          F.min(F.struct("doc", "t1", "t2", "first")).alias("spared"))
             .where(F.col("n_docs") >= min_docs))
+    keys = cut_lineage(keys)                      # a plain table on this side lets the planner split a hot key's lines
     hits = ranged.join(keys, ["h1", "h2"])
     if keep == "first":
         hits = hits.where(F.struct("doc", "t1", "t2", "pos") != F.col("spared"))

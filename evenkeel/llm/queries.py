@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["line_quality", "line_dedup", "decontaminate", "url_filters"]
+MODULES = ["line_quality", "line_dedup", "decontaminate", "url_filters", "pieces"]
 
 
 def load_all():
