@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["line_quality", "line_dedup", "chosen_path", "decontaminate", "url_filters", "pieces"]
+MODULES = ["line_quality", "line_dedup", "chosen_path", "decontaminate", "pieces", "chat_format", "url_filters"]
 
 
 def load_all():
