@@ -44,7 +44,7 @@ def line_features(text: str) -> tuple[np.ndarray, np.ndarray, int]:
         share[:, k - 1] = np.add.reduceat((kinds == k).astype(np.int64), start) / chars
     last = kinds[np.maximum(start + size - 1, 0)]
     x = np.column_stack([
-        np.ones(n), np.minimum(share[:, 0] * 5, 1), np.minimum(share[:, 1] * 5, 1), share[:, 2], share[:, 3],
+        np.ones(n), np.minimum(share[:, 0] * 10, 1), np.minimum(share[:, 1] * 10, 1), share[:, 2], share[:, 3],
         np.minimum(share[:, 4] * 5, 1), 1 / (1 + words), np.minimum(chars / (1 + words) / 20, 1),
         distinct / np.maximum(words, 1), (last == 5) & (size > 0), seen, words == 0])
     return x, words, int(seen.sum())
@@ -107,7 +107,7 @@ class LineCrf:
         return out
 
 
-def fit_crf(docs: list[tuple[np.ndarray, int]], rounds: int = 150, decay: float = 1e-3) -> LineCrf:
+def fit_crf(docs: list[tuple[np.ndarray, int]], rounds: int = 300, decay: float = 1e-4) -> LineCrf:
     """Fit on documents (line features, quality 0 or 1).
 
     A good document's lines are content. Of a bad document's lines those count as boilerplate that a logistic
