@@ -15,7 +15,8 @@ def suffix_order(s: np.ndarray, bits: int) -> np.ndarray:
     key = s.astype(np.int64)
     for j in range(1, per):
         key <<= bits
-        key[: n - j] |= s[j:]
+        if j < n:
+            key[: n - j] |= s[j:]
     order = np.argsort(key)
     key = key[order]
     new = np.concatenate(([True], key[1:] != key[:-1]))
