@@ -19,6 +19,7 @@ MIN_NOVELTY = 0.95             # marginal compressed bytes for each byte of the
 DICTIONARY_BYTES = 32_768
 SAMPLE_TEXTS = 2000             # contexts that the dictionary's entropy tables are trained on
 IDENTIFIERS = 4000              # most frequent identifiers in the dictionary
+MIN_USES = 3                    # of an identifier in the dictionary
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']? *[:=] *["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
@@ -35,16 +36,19 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
+def _mixed(run: str) -> bool:
+    return any(map(str.isdigit, run)) and any(map(str.isalpha, run))
+
+
 def candidates(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
     """Long strings of letters and digits soon after a sensitive word that meet no base span."""
     covered, done = Covered((a, b) for _, a, b in base), 0
     for word in SENSITIVE.finditer(text):
         at = max(done, word.end())
-        while (m := RUN.search(text, at, len(text))) and m.start() <= word.end() + NEAR:
-            a, b = m.span()
+        while m := RUN.search(text, at, word.end() + NEAR + MIN_CHARS):     # begins near enough; may go on far beyond
+            a, b = RUN.match(text, m.start()).span()
             at = done = b
-            run = text[a:b]
-            if any(c.isdigit() for c in run) and any(c.isalpha() for c in run) and not covered.meets(a, b):
+            if _mixed(text[a:b]) and not covered.meets(a, b):
                 yield a, b
 
 
@@ -58,7 +62,7 @@ def novelty(pack: zstandard.ZstdCompressor, text: str, a: int, b: int) -> float:
 
 
 def sensitive_contexts(docs: DataFrame, text: str) -> DataFrame:
-    """(context): the surroundings of every sensitive word of every text, base matches blanked out."""
+    """(context, raw): the surroundings of every sensitive word of every text; in context whatever may be a secret is blank."""
     def work(texts: list) -> list[tuple]:
         out = []
         for t in texts:
@@ -70,23 +74,24 @@ def sensitive_contexts(docs: DataFrame, text: str) -> DataFrame:
                     last = m.end() + AROUND
                     part = t[max(0, m.start() - AROUND):last]
                     shift = max(0, m.start() - AROUND)
-                    out.append((RUN.sub(lambda r: " " if spans.meets(shift + r.start(), shift + r.end()) else r.group(), part),))
+                    out.append((RUN.sub(lambda r: " " if spans.meets(shift + r.start(), shift + r.end()) or _mixed(r.group())
+                                        else r.group(), part), part))
         return out
 
-    return map_rows(docs.select(text), work, "context string")
+    return map_rows(docs.select(text), work, "context string, raw string")
 
 
 def train_dictionary(docs: DataFrame, text: str = "text", size: int = DICTIONARY_BYTES, sample_texts: int = SAMPLE_TEXTS,
                      identifiers: int = IDENTIFIERS) -> bytes:
     """A zstandard dictionary of the corpus's own code: its most frequent identifiers and its contexts.
 
-    Identifiers are counted over the contexts of all sensitive words in all documents; the most frequent go into the
-    dictionary, its bounded size being a parameter. Entropy tables come from a bounded sample of contexts (those of
+    Identifiers are counted over the contexts of all sensitive words in all documents; the most frequent, of at least
+    MIN_USES uses, go into the dictionary, its bounded size being a parameter: a secret must not prime its own measure. Entropy tables come from a bounded sample of contexts (those of
     the least hash). Without contexts the dictionary is empty and every candidate is measured on its own text.
     """
     found = sensitive_contexts(docs, text)
-    words = map_rows(found, lambda rows: [(w,) for c in rows for w in IDENTIFIER.findall(c)], "word string")
-    top = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(identifiers).collect()
+    words = map_rows(found, lambda _, rows: [(w,) for c in rows for w in IDENTIFIER.findall(c)], "word string")
+    top = words.groupBy("word").count().where(F.col("count") >= MIN_USES).orderBy(F.desc("count"), "word").limit(identifiers).collect()
     sample = [r["context"].encode("utf-8", "surrogatepass") for r in found.groupBy("context").count().orderBy(
         F.xxhash64("context"), "context").limit(sample_texts).collect()]
     common = " ".join(r["word"] for r in reversed(top)).encode()
