@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from evenkeel.functions.scalars import SEED
+from evenkeel.functions.scalars import SEED, missing
 from evenkeel.plans.order import grouped_quantiles
 from evenkeel.plans.quota import sample_exact
 
@@ -90,20 +90,24 @@ def scatter_points(df: DataFrame, x: str, y: str, color: str | None = None, n: i
 
 def scatter_grid(df: DataFrame, x: str, y: str, cells: int = 50) -> DataFrame:
     """Point counts on an equal-width grid: the scatter plot of a table too large to draw."""
-    lo_x, hi_x, lo_y, hi_y = df.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+    pairs = df.select(*[F.when(~missing(df.schema[c]), F.col(f"`{c}`").cast("double")).alias(n) for c, n in ((x, "x"), (y, "y"))])
+    lo_x, hi_x, lo_y, hi_y = pairs.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
+    if lo_x is None or lo_y is None:
+        return df.sparkSession.createDataFrame([], "cell_x int, cell_y int, n_rows long")
 
     def cell(c: str, lo, hi) -> Column:
         width = (float(hi) - float(lo)) / cells or 1.0
         return F.least(F.floor((F.col(c) - float(lo)) / width), F.lit(cells - 1)).cast("int")
 
-    return (df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-            .groupBy(cell(x, lo_x, hi_x).alias("cell_x"), cell(y, lo_y, hi_y).alias("cell_y"))
+    return (pairs.where("x IS NOT NULL AND y IS NOT NULL")
+            .groupBy(cell("x", lo_x, hi_x).alias("cell_x"), cell("y", lo_y, hi_y).alias("cell_y"))
             .agg(F.count(F.lit(1)).alias("n_rows")))
 
 
 def value_counts(df: DataFrame, x: str) -> DataFrame:
     """Rows per value as text, missing included, most frequent first."""
-    key = F.coalesce(F.col(f"`{x}`").cast("string"), F.lit("nan")).alias("key")
+    shown = F.when(~missing(df.schema[x]), F.col(f"`{x}`").cast("string"))      # NaN and NULL are one missing entry
+    key = F.coalesce(shown, F.lit("nan")).alias("key")
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows")).orderBy(F.desc("n_rows"), "key")
 
 

@@ -58,26 +58,28 @@ def fit_logistic(train: DataFrame, feats: Sequence[str], label: str, C: float =
 
 
 def _depth(depth: int) -> int:
-    if not 0 <= depth <= 50:
-        raise ValueError("depth must lie in 0..50")
-    return min(DEEPEST, depth) or DEEPEST
+    if not 0 <= depth <= DEEPEST:
+        raise ValueError(f"depth must lie in 0..{DEEPEST}; 0 is the deepest")
+    return depth or DEEPEST
 
 
 def fit_forest(train: DataFrame, feats: Sequence[str], label: str, trees: int = 300, depth: int = 0,
-               seed: int = SEED) -> Fitted:
-    """Random forest on unscaled features without class weights; depth 0 means as deep as Spark allows."""
-    model = RandomForestClassifier(featuresCol="_features", labelCol=label, numTrees=trees, maxDepth=_depth(depth),
+               seed: int = SEED, max_bins: int = 32) -> Fitted:
+    """Random forest on unscaled features without class weights; depth 0 means as deep as Spark allows.
+
+    Cuts are tried between max_bins quantiles of a feature, all of its values where it has no more."""
+    model = RandomForestClassifier(featuresCol="_features", labelCol=label, numTrees=trees, maxDepth=_depth(depth), maxBins=max_bins,
                                    featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=1024, cacheNodeIds=False
                                    ).fit(_vectors(train, feats))
     return Fitted("Random Forest", model, list(feats))
 
 
 def fit_tree(train: DataFrame, feats: Sequence[str], label: str, depth: int = 5, min_split: int = 2,
-             seed: int = SEED) -> Fitted:
-    """Decision tree. Spark limits the rows of a child, not of the split node, so half of min_split is used."""
+             seed: int = SEED, max_bins: int = 32) -> Fitted:
+    """Decision tree, cuts as in the forest. Spark limits the rows of a child, not of the split node, so half of min_split is used."""
     if not 2 <= min_split <= 50:
         raise ValueError("min_split must lie in 2..50")
-    model = DecisionTreeClassifier(featuresCol="_features", labelCol=label, maxDepth=_depth(depth), seed=seed,
+    model = DecisionTreeClassifier(featuresCol="_features", labelCol=label, maxDepth=_depth(depth), seed=seed, maxBins=max_bins,
                                    minInstancesPerNode=max(1, min_split // 2)).fit(_vectors(train, feats))
     return Fitted("Decision Tree", model, list(feats))
 

@@ -8,22 +8,29 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from evenkeel.functions.scalars import digamma
 from evenkeel.operators.gates import columns_with_nulls, non_numeric_columns, select_features
-from evenkeel.plans.order import BUCKET_ROWS, cut_points, exact_quantiles, number_rows, prefix_sum
+from evenkeel.plans.order import BUCKET_ROWS, cut_points, exact_quantiles, number_rows, prefix_sum, skew_safe_lookup
 from evenkeel.session import cut_lineage
 
 NEIGHBOURS = 3
+LITERAL_CLASSES = 1_000    # classes that travel as a literal map
 BLOCK_VALUES = 20_000      # distinct values per block of neighbours
 
 
 def factorize(df: DataFrame, target: str, name: str = "code") -> DataFrame:
-    """Codes 0..n-1 of the sorted target values; few classes, so they travel as a literal."""
-    found = df.select(target).dropna().distinct().limit(1001).collect()
-    if len(found) > 1000:
-        raise ValueError("a class label with more than 1,000 values is no class label")
-    codes = F.lit(None).cast("int")
-    for i, v in enumerate(sorted(r[0] for r in found)):
-        codes = F.when(F.col(f"`{target}`") == F.lit(v), F.lit(i)).otherwise(codes)
-    return df.withColumn(name, codes)
+    """Codes 0..n-1 of the sorted target values. Few travel as a literal map; many are numbered and joined, the hot ones
+    split off."""
+    counts = df.select(F.col(f"`{target}`").alias("_v")).dropna().groupBy("_v").agg(F.count(F.lit(1)).alias("_rows"))
+    found = counts.select("_v").limit(LITERAL_CLASSES + 1).collect()
+    if len(found) <= LITERAL_CLASSES:
+        if not found:
+            return df.withColumn(name, F.lit(None).cast("int"))
+        pairs = [F.lit(x) for i, v in enumerate(sorted(r[0] for r in found)) for x in (v, i)]
+        return df.withColumn(name, F.try_element_at(F.create_map(*pairs), F.col(f"`{target}`")))
+    codes = number_rows(counts, "_v", "_code").select("_v", "_code", "_rows")
+    keyed = df.withColumn("_v", F.col(f"`{target}`"))
+    known = skew_safe_lookup(keyed.where("_v IS NOT NULL"), codes, ["_v"], "_rows", df.count())
+    return (known.select(*df.columns, F.col("_code").cast("int").alias(name))
+            .unionByName(keyed.where("_v IS NULL").select(*df.columns, F.lit(None).cast("int").alias(name))))
 
 
 def mutual_info(df: DataFrame, feats: Sequence[str], target: str, method: str = "knn",

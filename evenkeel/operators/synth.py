@@ -6,10 +6,10 @@ import hashlib
 import json
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from evenkeel.functions.scalars import SEED, draw, is_near_integer, kind_of, missing, nearest_of, to_number
-from evenkeel.operators.balance import Plan, append_synthetic
+from evenkeel.operators.balance import Plan, append_synthetic, pair_matching_status
 from evenkeel.operators.gates import check_columns, columns_with_nulls, numeric_cast_errors, to_numeric
 from evenkeel.operators.profile import numeric_stats
 from evenkeel.plans.histogram import small_domains
@@ -146,16 +146,34 @@ def bootstrap_columns(synthetic: DataFrame, real: DataFrame, cols: Sequence[str]
     return out
 
 
+def _common_type(a: T.DataType, b: T.DataType) -> str:
+    """The type in which two columns are compared without loss, where there is one."""
+    if kind_of(b) not in ("numeric", "boolean"):
+        return "string"
+    if all(isinstance(t, (T.IntegralType, T.BooleanType)) for t in (a, b)):
+        return "bigint"
+    if all(isinstance(t, (T.IntegralType, T.BooleanType, T.DecimalType)) for t in (a, b)):
+        places = max(t.scale if isinstance(t, T.DecimalType) else 0 for t in (a, b))
+        whole = max(t.precision - t.scale if isinstance(t, T.DecimalType) else 19 for t in (a, b))
+        if places + whole <= 38:
+            return f"decimal({places + whole},{places})"
+    return "double"
+
+
+def _as(c: Column, kind: T.DataType, to: str) -> Column:
+    return (c.cast("int") if isinstance(kind, T.BooleanType) and to != "string" else c).cast(to)
+
+
 def drop_copies(synthetic: DataFrame, train: DataFrame, feats: Sequence[str]) -> DataFrame:
-    """Synthetic rows that equal no train row in all features, numbers compared as numbers.
+    """Synthetic rows that equal no train row in all features, numbers compared as numbers: whole and decimal numbers
+    exactly, as double only where a side is floating.
 
     The copied feature vectors are found on distinct rows first, so the last join meets a short list.
     """
-    types = {f.name: f.dataType for f in train.schema.fields}
+    common = {c: _common_type(synthetic.schema[c].dataType, train.schema[c].dataType) for c in feats}
 
     def keyed(df: DataFrame) -> list[Column]:
-        return [(F.col(f"`{c}`").cast("double") if kind_of(types[c]) in ("numeric", "boolean")
-                 else F.col(f"`{c}`").cast("string")).alias(f"_k{i}") for i, c in enumerate(feats)]
+        return [_as(F.col(f"`{c}`"), df.schema[c].dataType, common[c]).alias(f"_k{i}") for i, c in enumerate(feats)]
 
     def same(left: DataFrame, right: DataFrame) -> Column:
         cond = F.lit(True)
@@ -177,6 +195,14 @@ def require_rows(df: DataFrame) -> DataFrame:
     return df
 
 
+def finish_generated(train: DataFrame, generated: DataFrame, feats: Sequence[str], label: str, minority,
+                     method: str = "generated") -> tuple[DataFrame, DataFrame]:
+    """(balanced train rows, 1:1 status): copies of train rows go, none left is an error, the rest is appended."""
+    fresh = require_rows(drop_copies(generated.select(*feats), train, feats))
+    balanced = append_synthetic(train, fresh, label, minority, method)
+    return balanced, pair_matching_status(balanced, label)
+
+
 # ---- requests ------------------------------------------------------------------------------------
 
 def request_payload(real: DataFrame, excluded: Sequence[str] = (), examples: DataFrame | None = None) -> dict:
@@ -193,7 +219,9 @@ def request_payload(real: DataFrame, excluded: Sequence[str] = (), examples: Dat
         profile[name] = info
     payload = {"task": TASK, "rules": RULES, "minority_feature_profile": profile}
     if examples is not None:
-        rows = examples.select(*cols).limit(MAX_EXAMPLES).collect()
+        rows = examples.select(*cols).limit(MAX_EXAMPLES + 1).collect()
+        if len(rows) > MAX_EXAMPLES:
+            raise ValueError(f"a request holds {MAX_EXAMPLES} example rows at most")
         payload["example_minority_rows"] = [r.asDict() for r in rows]
     return payload
 
@@ -343,11 +371,23 @@ def usage_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
 
 # ---- identity ------------------------------------------------------------------------------------
 
+def double_text(c: Column) -> Column:
+    """A double as <53-bit integer>p<power of two>: exact, and the same text in any engine."""
+    power = F.floor(F.log2(F.abs(c)))
+    whole = c / F.pow(F.lit(2.0), power.cast("double")) * 4503599627370496.0
+    # a logarithm next to a whole number may be rounded to the other side of it
+    power, whole = (F.when(F.abs(whole) >= 9007199254740992.0, power + 1).when(F.abs(whole) < 4503599627370496.0, power - 1).otherwise(power),
+                    F.when(F.abs(whole) >= 9007199254740992.0, whole / 2).when(F.abs(whole) < 4503599627370496.0, whole * 2).otherwise(whole))
+    return (F.when(F.isnan(c), F.lit("nan")).when(c == float("inf"), F.lit("inf")).when(c == float("-inf"), F.lit("-inf"))
+            .when(c == 0, F.lit("0")).when(c.isNotNull(), F.concat(whole.cast("bigint").cast("string"), F.lit("p"), power.cast("string"))))
+
+
 def row_text(df: DataFrame) -> Column:
     """All values of a row with their lengths, so that no two different rows read alike."""
     parts = []
     for f in df.schema.fields:
-        s = F.col(f"`{f.name}`").cast("string")
+        c = F.col(f"`{f.name}`")
+        s = double_text(c.cast("double")) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else c.cast("string")
         parts.append(F.coalesce(F.concat(F.length(s).cast("string"), F.lit(":"), s), F.lit("-")))
     return F.concat(*parts)
 

@@ -46,7 +46,9 @@ def modes(df: DataFrame, cols: Sequence[str]) -> dict[str, object]:
     """Most frequent value per column, the smallest on a tie."""
     if not cols:
         return {}
-    order = F.struct(-F.col("rows"), "int_value", "num_value", "text_value")
+    decimals = [f.name for f in df.schema.fields if isinstance(f.dataType, T.DecimalType)]
+    exact = F.when(F.col("column").isin(decimals), F.col("text_value").try_cast("decimal(38,18)"))   # 9.00 before 10.00
+    order = F.struct(-F.col("rows"), "int_value", "num_value", exact, "text_value")
     best = (column_histogram(df, cols).groupBy("column")
             .agg(F.min_by(F.struct("int_value", "num_value", "text_value"), order).alias("v")).collect())
     types = {f.name: f.dataType for f in df.schema.fields}

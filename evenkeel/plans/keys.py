@@ -34,8 +34,12 @@ def add_row_id(df: DataFrame, keys: Sequence[str] | None = None, name: str = "ro
     Copies are interchangeable, so they are counted first (combined before the shuffle) and
     re-expanded; no window ever holds all copies of a row.
     """
+    if keys and len(keys) == 1:
+        return df.withColumn(name, F.col(keys[0]).cast("string"))
     if keys:
-        return df.withColumn(name, F.concat_ws("|", *[F.col(k).cast("string") for k in keys]))
+        # each part with its length, so that neither NULL nor a separator inside a key makes two rows alike
+        texts = [F.col(k).cast("string") for k in keys]
+        return df.withColumn(name, F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]))
     cols = df.columns
     counted = df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_copies"))
     each = expand_copies(counted, "_copies", "_copy", chunk)

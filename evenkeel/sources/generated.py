@@ -89,5 +89,7 @@ def validate_checkpoint(rows: DataFrame | None, meta: dict | None, job: str, col
     if real is not None:
         out = snap_to_domain(out, real)
     if target_rows is not None:
+        if len(order) < 2:
+            raise ValueError("a checkpoint that is to be cut to its target rows needs batch_no and row_no")
         out = first_rows(out, target_rows)
     return out

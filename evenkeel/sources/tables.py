@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import hashlib
+import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 # The texts a CSV reader counts as missing.
 MISSING_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 ]
-MAX_WHOLE_FILE = 1 << 30
+CSV = {"quote": '"', "escape": '"'}          # a quote inside quotes is doubled
 
 
 def nan_to_null(df: DataFrame) -> DataFrame:
@@ -26,7 +26,8 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", row_id: str | None = None) -> DataFrame:
-    """Parquet or header CSV. `row_id` adds file name and row position, stable under any partitioning."""
+    """Parquet or header CSV. `row_id` adds the file's path below `path` and the row's position in it: stable under
+    any partitioning, the same wherever the table is mounted, and different for files of one name in two folders."""
     if fmt == "csv":
         return _read_csv(spark, path)
     df = spark.read.format(fmt).load(path)
@@ -34,14 +35,30 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", row_id: str
         return nan_to_null(df)
     if fmt != "parquet":
         raise ValueError("row positions are known for parquet only; use add_row_id elsewhere")
-    named = df.select("*", F.concat_ws("#", "_metadata.file_name", F.col("_metadata.row_index").cast("string"))
-                      .alias(row_id))
+    named = df.select("*", F.concat_ws("#", _below(path), F.col("_metadata.row_index").cast("string")).alias(row_id))
     return nan_to_null(named)
 
 
+def _below(path: str) -> Column:
+    """A file's path below the table's; the whole path where the table is named by a pattern, the name of a single file."""
+    root = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "", path).rstrip("/")
+    at = F.locate(root + "/", F.col("_metadata.file_path"))
+    inside = F.expr("_metadata.file_path").substr(at + F.lit(len(root) + 1), F.length("_metadata.file_path"))
+    whole = F.endswith("_metadata.file_path", F.lit(root))
+    return F.when(whole, F.col("_metadata.file_name")).when(at > 0, inside).otherwise(F.col("_metadata.file_path"))
+
+
+def has_open_quotes(spark: SparkSession, path: str) -> bool:
+    """Whether some line holds an odd number of quotes, so that a quoted value goes on in the next line."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).limit(1).isEmpty()
+
+
 def _read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Scan as text, null the missing tokens, then cast each column to the narrowest type all values fit."""
-    text = spark.read.option("header", True).option("multiLine", False).csv(path)
+    """Scan as text, null the missing tokens, then cast each column to the narrowest type all values fit.
+
+    Files are split unless a quoted value holds a line break, which is looked for first; the rows are the same."""
+    text = spark.read.options(**CSV).option("header", True).option("multiLine", has_open_quotes(spark, path)).csv(path)
     quoted = [F.col(f"`{c}`") for c in text.columns]
     text = text.select(*[F.when(~q.isin(MISSING_TOKENS), q).alias(c) for q, c in zip(quoted, text.columns)])
     votes = []
@@ -68,23 +85,19 @@ def _read_csv(spark: SparkSession, path: str) -> DataFrame:
     return nan_to_null(text.select(*cols))
 
 
-def content_fingerprint(spark: SparkSession, path: str) -> str:
-    """md5 of each file's bytes, taken in the tasks; the sorted list is hashed into one value.
+def content_fingerprint(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
+    """One row: a mark of the table's rows and schema by one rule for any size, read in splits.
+
+    Equal content gives an equal mark wherever it lies and however it is cut into files; any changed value changes it."""
+    from evenkeel.operators.synth import dataset_signature
 
-    A file too large to hold as one value is represented by its length and modification time.
-    """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    small = files.where(F.col("length") <= MAX_WHOLE_FILE).select(F.md5("content").alias("mark"))
-    large = files.where(F.col("length") > MAX_WHOLE_FILE).select(
-        F.md5(F.concat_ws("|", "path", F.col("length").cast("string"),
-                          F.col("modificationTime").cast("string"))).alias("mark"))
-    marks = sorted(r[0] for r in small.union(large).collect())     # one short text per file
-    return hashlib.md5("\n".join(marks).encode()).hexdigest()
+    return dataset_signature(spark.read.format(fmt).load(path)).withColumnRenamed("signature", "fingerprint")
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """Header CSV, one file per task; no byte-order mark."""
-    df.write.mode("errorifexists").option("header", True).csv(path)
+    """Header CSV, one file per task; quotes are doubled, blanks kept, no byte-order mark."""
+    (df.write.mode("errorifexists").options(**CSV).option("header", True).option("ignoreLeadingWhiteSpace", False)
+     .option("ignoreTrailingWhiteSpace", False).csv(path))
 
 
 def preview(df: DataFrame, n: int = 20, order: str | None = None) -> DataFrame:

@@ -187,6 +187,19 @@ def drop_copies(spark, sf):
     return sy.drop_copies(synthetic, lines.where("l_returnflag = 'R'"), ["l_quantity", "l_discount"])
 
 
+@query("finish_generated", f"""WITH t AS ({TOXIC}), real AS (SELECT n_chars, quality, lang_code, toxic FROM t),
+  made AS (SELECT n_chars + CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 0.5 END AS n_chars, quality, lang_code FROM t WHERE toxic = 0),
+  fresh AS (SELECT * FROM made WHERE NOT EXISTS (SELECT 1 FROM real r WHERE r.n_chars = made.n_chars AND r.quality = made.quality AND r.lang_code = made.lang_code)),
+  k AS (SELECT toxic, count(*) AS n FROM (SELECT toxic FROM real UNION ALL SELECT 1 FROM fresh) GROUP BY 1)
+  {_STATUS} FROM k""")
+def finish_generated(spark, sf):
+    """Generated rows, half of them copies: copies go, the rest is appended, the 1:1 status is reported."""
+    docs = toxic_docs(spark, sf)
+    made = docs.where("toxic = 0").select((F.col("n_chars") + F.when(F.col("doc_id") % 2 == 0, 0.0).otherwise(0.5)).alias("n_chars"),
+                                          "quality", "lang_code")
+    return sy.finish_generated(docs.select(*TOXIC_FEATS, "toxic"), made, TOXIC_FEATS, "toxic", 1)[1]
+
+
 # ---- requests, responses, costs ------------------------------------------------------------------------------
 
 @query("generation_batches", """SELECT i + 1 AS batch_no, least(25, n - i * 25)::BIGINT AS n_rows FROM
@@ -261,24 +274,32 @@ def usage_cost(spark, sf):
     return rounded(sy.usage_cost(usage, _prices(spark, sf)))
 
 
-def _signature_sql(src: str, cols: dict[str, str]) -> str:
-    text = " || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || {c}, '-')" for c in cols)
+def _double_sql(c: str) -> str:
+    """A double as <53-bit integer>p<power of two>."""
+    p, w = f"floor(log2(abs({c})))", f"({c} / pow(2.0::DOUBLE, floor(log2(abs({c})))) * 4503599627370496.0::DOUBLE)"
+    return (f"CASE WHEN {c} = 0 THEN '0' WHEN abs{w} >= 9007199254740992.0::DOUBLE THEN ({w} / 2)::BIGINT || 'p' || ({p} + 1)::BIGINT "
+            f"WHEN abs{w} < 4503599627370496.0::DOUBLE THEN ({w} * 2)::BIGINT || 'p' || ({p} - 1)::BIGINT ELSE {w}::BIGINT || 'p' || {p}::BIGINT END")
+
+
+def signature_sql(src: str, cols: dict[str, str]) -> str:
+    shown = {c: f"({_double_sql(c)})" if t == "double" else f"CAST({c} AS VARCHAR)" for c, t in cols.items()}
+    text = " || ".join(f"coalesce(length({v}) || ':' || {v}, '-')" for v in shown.values())
     schema = "|".join(f"{c}:{t}" for c, t in cols.items())
     return f"""(SELECT sha256(count(*) || '|' || sum(u::HUGEINT) || '|' || bit_xor(u) || '|{schema}') FROM (SELECT {sql_draw(0, text)} AS u FROM {src}))"""
 
 
-_CUSTOMER = {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_mktsegment": "string"}
+_CUSTOMER = {"c_custkey": "bigint", "c_name": "string", "c_nationkey": "int", "c_acctbal": "double", "c_mktsegment": "string"}
 
 
-@query("dataset_signature", f"SELECT {_signature_sql('customer', _CUSTOMER)} AS signature")
+@query("dataset_signature", f"SELECT {signature_sql('customer', _CUSTOMER)} AS signature")
 def dataset_signature(spark, sf):
-    return sy.dataset_signature(table(spark, sf, "customer").select(*_CUSTOMER))
+    return sy.dataset_signature(table(spark, sf, "customer"))
 
 
-@query("job_id", f"""SELECT substr(sha256('{{"batch_size": 25, "columns": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"], "data_signature": "' ||
-  {_signature_sql('customer', _CUSTOMER)} || '", "excluded_cols": ["c_custkey", "c_name"], "target_rows": 100}}'), 1, 24) AS job_id""")
+@query("job_id", f"""SELECT substr(sha256('{{"batch_size": 25, "columns": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], "data_signature": "' ||
+  {signature_sql('customer', _CUSTOMER)} || '", "excluded_cols": ["c_custkey", "c_name"], "target_rows": 100}}'), 1, 24) AS job_id""")
 def job_id(spark, sf):
-    df = table(spark, sf, "customer").select(*_CUSTOMER)
+    df = table(spark, sf, "customer")
     job, _ = sy.job_id(df, {"batch_size": 25, "excluded_cols": ["c_name", "c_custkey"], "target_rows": 100})
     return spark.createDataFrame([(job,)], "job_id string")
 

@@ -23,10 +23,12 @@ def shape_summary(spark, sf):
     return pf.shape_summary(credit_missing(spark, sf))
 
 
-@query("duplicate_count", """SELECT (count(*) - (SELECT count(*) FROM (SELECT DISTINCT l_returnflag, l_linestatus, l_quantity, l_discount
-  FROM lineitem)))::BIGINT AS n_duplicates FROM lineitem""")
+@query("duplicate_count", """WITH t AS (SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_returnflag = 'R')
+  SELECT (count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM t)))::BIGINT AS n_duplicates FROM t""")
 def duplicate_count(spark, sf):
-    return pf.duplicate_count(table(spark, sf, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_discount"))
+    """All columns of the lines, the returned ones twice."""
+    lines = table(spark, sf, "lineitem")
+    return pf.duplicate_count(lines.unionByName(lines.where("l_returnflag = 'R'")))
 
 
 _INFO = "\nUNION ALL\n".join(
@@ -46,6 +48,9 @@ def missing_report(spark, sf):
     return pf.missing_report(credit_missing(spark, sf))
 
 
+LINE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", *CREDIT_FEATS]
+
+
 def _numeric_sql(c: str, source: str, value: str | None = None, std: bool = True) -> str:
     v = value or c
     return f"""SELECT '{c}' AS "column", count({v})::BIGINT AS count, round(avg({v}), 4) AS mean,
@@ -55,9 +60,9 @@ def _numeric_sql(c: str, source: str, value: str | None = None, std: bool = True
 
 
 @query("describe_numeric", f"WITH m AS ({MISSING}) " + "\nUNION ALL\n".join(
-    _numeric_sql(c, "m", f"{c}::DOUBLE") for c in ["l_partkey", "l_linenumber", *CREDIT_FEATS]))
+    _numeric_sql(c, "m", f"{c}::DOUBLE") for c in LINE_NUMBERS))
 def describe_numeric(spark, sf):
-    return rounded(pf.describe_numeric(credit_missing(spark, sf), ["l_partkey", "l_linenumber", *CREDIT_FEATS]), 4)
+    return rounded(pf.describe_numeric(credit_missing(spark, sf), LINE_NUMBERS), 4)
 
 
 def _text_sql(c: str, source: str) -> str:
@@ -163,9 +168,9 @@ def _pairs_sql(source: str, cols: list[str], corr: str) -> str:
     return "\nUNION ALL\n".join(parts)
 
 
-@query("corr_pearson", f"WITH m AS ({MISSING}) " + _pairs_sql("m", CREDIT_FEATS, "SELECT round(corr({a}, {b}), 6) FROM {src}"))
+@query("corr_pearson", f"WITH m AS ({MISSING}) " + _pairs_sql("m", LINE_NUMBERS, "SELECT round(corr({a}, {b}), 6) FROM {src}"))
 def corr_pearson(spark, sf):
-    return rounded(correlation(credit_missing(spark, sf), "pearson", CREDIT_FEATS))
+    return rounded(correlation(credit_missing(spark, sf), "pearson", LINE_NUMBERS))
 
 
 _RANKED = """SELECT round(corr(ra, rb), 6) FROM (SELECT
@@ -174,9 +179,9 @@ _RANKED = """SELECT round(corr(ra, rb), 6) FROM (SELECT
   FROM {src} WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"""
 
 
-@query("corr_spearman", f"WITH m AS ({MISSING}) " + _pairs_sql("m", CREDIT_FEATS, _RANKED))
+@query("corr_spearman", f"WITH m AS ({MISSING}) " + _pairs_sql("m", LINE_NUMBERS, _RANKED))
 def corr_spearman(spark, sf):
-    return rounded(correlation(credit_missing(spark, sf), "spearman", CREDIT_FEATS))
+    return rounded(correlation(credit_missing(spark, sf), "spearman", LINE_NUMBERS))
 
 
 _TAU = """SELECT round(sum(sign(p.{a} - q.{a}) * sign(p.{b} - q.{b}))

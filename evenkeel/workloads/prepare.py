@@ -10,6 +10,7 @@ from evenkeel.plans.quota import assign_parts
 from evenkeel.plans.recipe import Recipe
 from evenkeel.session import shared_folder
 from evenkeel.sources import tables as src
+from evenkeel.workloads.balance import signature_sql
 from evenkeel.workloads.registry import (CREDIT, CREDIT_FEATS, LINE_ID, LINE_KEYS, MISSING, TOXIC, TOXIC_FEATS, credit_lineitem,
                                          credit_missing, query, rounded, sql_draw, table, toxic_docs)
 
@@ -268,13 +269,13 @@ def shuffle(spark, sf):
 
 # ---- sources and sinks ------------------------------------------------------------------------------------
 
-@query("csv_round_trip", """SELECT c_custkey, c_name, c_nationkey::BIGINT AS c_nationkey, c_acctbal, c_mktsegment FROM customer""")
+@query("csv_round_trip", "SELECT conv_id, turn, role, text FROM conversations")
 def csv_round_trip(spark, sf):
-    """Write the customers as CSV, read them back with inferred types."""
+    """Write the conversations as CSV, quotes and line breaks in them, read them back with inferred types."""
     import uuid
 
     path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
-    src.write_csv(table(spark, sf, "customer"), path)
+    src.write_csv(table(spark, sf, "conversations"), path)
     return src.read_table(spark, path, "csv")
 
 
@@ -295,10 +296,14 @@ def minority_rows(spark, sf):
     return src.minority_rows(toxic_docs(spark, sf), "toxic", 1)
 
 
-@query("content_fingerprint")
+_LINES = {"l_orderkey": "bigint", "l_partkey": "bigint", "l_suppkey": "bigint", "l_linenumber": "int", "l_quantity": "double",
+          "l_extendedprice": "double", "l_discount": "double", "l_tax": "double", "l_returnflag": "string", "l_linestatus": "string",
+          "l_shipdate": "timestamp_ntz"}
+
+
+@query("content_fingerprint", f"SELECT {signature_sql('lineitem', _LINES)} AS fingerprint")
 def content_fingerprint(spark, sf):
-    mark = src.content_fingerprint(spark, f"{sf}/lineitem.parquet")
-    return spark.createDataFrame([(mark,)], "fingerprint string")
+    return src.content_fingerprint(spark, f"{sf}/lineitem.parquet")
 
 
 @query("model_ready", f"SELECT n_chars, quality, lang_code, toxic FROM ({TOXIC})")

@@ -95,6 +95,4 @@ def sql_draw(seed: int | str, text: str) -> str:
     return f"('0x' || substr(md5('{seed}|' || {text}), 1, 15))::BIGINT"
 
 
-LINE_ID = " || '|' || ".join(f"CAST({k} AS VARCHAR)" for k in LINE_KEYS)
-
-
+LINE_ID = " || ".join(f"length(CAST({k} AS VARCHAR)) || ':' || {k}" for k in LINE_KEYS)
