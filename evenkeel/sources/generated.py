@@ -1,4 +1,4 @@
-"""Checkpoints of generated rows: Parquet by job, run and batch, with JSON metadata as the commit mark."""
+"""Checkpoints of generated rows: Parquet by job and run, with JSON metadata as the commit mark of every write."""
 
 from __future__ import annotations
 
@@ -10,7 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.utils import AnalysisException
 
-META = "job_id string, run_id string, status string, generated_rows long, updated_at double, details string"
+META = ("job_id string, run_id string, seq long, write_id string, status string, generated_rows long, updated_at double, "
+        "details string")
 
 
 def _meta_rows(spark: SparkSession, path: str, job: str) -> DataFrame | None:
@@ -21,35 +22,42 @@ def _meta_rows(spark: SparkSession, path: str, job: str) -> DataFrame | None:
 
 
 def _latest(spark: SparkSession, path: str, job: str) -> dict | None:
+    """The last mark of a job by its number; no clock decides."""
     rows = _meta_rows(spark, path, job)
-    last = rows.orderBy(F.desc("updated_at")).limit(1).collect() if rows is not None else []
+    last = rows.orderBy(F.desc("seq"), "write_id").limit(1).collect() if rows is not None else []
     return last[0].asDict() if last else None
 
 
-def _mark(spark: SparkSession, path: str, job: str, run: str, status: str, rows: int, details: dict) -> None:
-    row = [(job, run, status, rows, time.time(), json.dumps(details, ensure_ascii=False, default=str))]
+def _mark(spark: SparkSession, path: str, job: str, run: str, seq: int, write: str, status: str, rows: int, details: dict) -> None:
+    row = [(job, run, seq, write, status, rows, time.time(), json.dumps(details, ensure_ascii=False, default=str))]
     spark.createDataFrame(row, META).coalesce(1).write.mode("append").json(f"{path}/meta")
 
 
 def write_generated(df: DataFrame, path: str, job: str, meta: dict, status: str = "in_progress") -> None:
     """Save the batches in `df` (batch_no, row_no, columns); writing a batch again replaces it.
 
-    The data goes first and the metadata row last, so readers never see half a batch as finished.
+    Rows are appended under the run, whatever their batch, with the id of their write; the metadata row that names
+    the write goes last, so readers never see half a write. Of several writes of a batch the last one counts.
     """
     spark = df.sparkSession
     last = _latest(spark, path, job)
     run = last["run_id"] if last and last["status"] != "dropped" else uuid.uuid4().hex
-    tagged = df.withColumn("job_id", F.lit(job)).withColumn("run_id", F.lit(run))
-    (tagged.repartition("batch_no").write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("job_id", "run_id", "batch_no").parquet(f"{path}/rows"))
+    seq, write = (last["seq"] + 1 if last else 1), uuid.uuid4().hex
+    tagged = df.withColumns({"job_id": F.lit(job), "run_id": F.lit(run), "write_id": F.lit(write)})
+    tagged.write.mode("append").partitionBy("job_id", "run_id").parquet(f"{path}/rows")
+    _mark(spark, path, job, run, seq, write, status, 0, meta | {"uncounted": True})
     total = _rows(spark, path, job, run).count()
-    _mark(spark, path, job, run, status, total, meta)
+    _mark(spark, path, job, run, seq + 1, "", status, total, meta)
 
 
 def _rows(spark: SparkSession, path: str, job: str, run: str) -> DataFrame:
+    """The rows of a run: of every batch those of its last finished write."""
     rows = spark.read.option("partitionColumnTypeInference.enabled", "false").parquet(f"{path}/rows")
     mine = rows.where((F.col("job_id").cast("string") == job) & (F.col("run_id").cast("string") == run))
-    return mine.drop("job_id", "run_id").withColumn("batch_no", F.col("batch_no").cast("bigint"))
+    writes = _meta_rows(spark, path, job).where((F.col("run_id") == run) & (F.col("write_id") != "")).select("write_id", F.col("seq").alias("_seq"))
+    known = mine.join(writes, "write_id").withColumn("batch_no", F.col("batch_no").cast("bigint"))
+    last = known.groupBy("batch_no").agg(F.max("_seq").alias("_seq"))
+    return known.join(last, ["batch_no", "_seq"]).drop("job_id", "run_id", "write_id", "_seq")
 
 
 def read_generated(spark: SparkSession, path: str, job: str) -> tuple[DataFrame, dict] | None:
@@ -62,6 +70,8 @@ def read_generated(spark: SparkSession, path: str, job: str) -> tuple[DataFrame,
     except AnalysisException:
         return None
     meta = {**json.loads(last["details"]), **{k: last[k] for k in ("job_id", "status", "generated_rows", "updated_at")}}
+    if meta.pop("uncounted", False):                 # stopped between the commit mark and the count
+        meta["generated_rows"] = rows.count()
     return rows, meta
 
 
@@ -69,7 +79,7 @@ def drop_generated(spark: SparkSession, path: str, job: str) -> None:
     """Start fresh: a tombstone ends the current run; no file is deleted."""
     last = _latest(spark, path, job)
     if last is not None:
-        _mark(spark, path, job, last["run_id"], "dropped", 0, {})
+        _mark(spark, path, job, last["run_id"], last["seq"] + 1, "", "dropped", 0, {})
 
 
 def validate_checkpoint(rows: DataFrame | None, meta: dict | None, job: str, cols: Sequence[str],
@@ -93,3 +103,32 @@ def validate_checkpoint(rows: DataFrame | None, meta: dict | None, job: str, col
             raise ValueError("a checkpoint that is to be cut to its target rows needs batch_no and row_no")
         out = first_rows(out, target_rows)
     return out
+
+
+def resume_generation(spark: SparkSession, path: str, job: str, responses: DataFrame, cols: Sequence[str], target_rows: int,
+                      batch: int, real: DataFrame, withheld: Sequence[str] = (), row_id: str | None = None,
+                      usage: dict | None = None) -> tuple[DataFrame, dict]:
+    """Go on where a run stopped: (all rows now saved, report).
+
+    Saved rows, token totals and the last batch come from the latest checkpoint; the batches still wanted are numbered
+    on from there, their responses are parsed (an unusable one is an error), withheld columns are drawn from `real`,
+    values are snapped to it, the whole is cut to target_rows and written as a checkpoint of its own. Without a
+    checkpoint the run starts at batch 1; with enough rows saved nothing is added.
+    """
+    from evenkeel.operators.synth import bootstrap_columns, first_rows, parse_generated, pending_batches, snap_to_domain
+
+    found = read_generated(spark, path, job)
+    rows, meta = found if found else (None, {})
+    saved = meta.get("generated_rows", 0)
+    done = rows.agg(F.max("batch_no")).first()[0] or 0 if rows is not None else 0
+    wanted = pending_batches(spark, target_rows, batch, saved, done)
+    fresh = parse_generated(responses.join(wanted.select("batch_no"), "batch_no"), cols)
+    if withheld:
+        fresh = bootstrap_columns(fresh, real, withheld, row_id)
+    fresh = snap_to_domain(fresh, real)
+    tokens = {k: meta.get(k, 0) + (usage or {}).get(k, 0) for k in ("input_tokens", "output_tokens")}
+    write_generated(first_rows(fresh, max(0, target_rows - saved)), path, job, tokens)
+    out, meta = read_generated(spark, path, job)
+    last = out.agg(F.max("batch_no")).first()[0] or 0
+    status = "completed" if meta["generated_rows"] >= target_rows else "in_progress"
+    return out, {"saved_before": saved, "rows": meta["generated_rows"], "last_batch": last, "status": status, **tokens}

@@ -7,22 +7,34 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from evenkeel.operators.synth import domain_of, response_rows, snap_columns
+from evenkeel.operators.synth import domain_of, response_report, response_rows, snap_columns
 
 RESPONSE_SCHEMA = "batch_no long, response string"
 
 
 def response_stream(spark: SparkSession, path: str, cols: Sequence[str], domain: dict | None = None,
                     files_per_trigger: int = 1_000) -> DataFrame:
-    """Rows of new response files, parsed, snapped and each (batch_no, row_no) taken once.
+    """Rows of new response files, parsed, snapped and each batch taken once.
 
-    Keys are finite per job, so the deduplication state is bounded by the rows still wanted.
+    A batch is told apart before its rows are, so the state is one number per batch of the job, not per row.
     """
-    raw = (spark.readStream.schema(RESPONSE_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).json(path))
-    rows = response_rows(raw, cols)
-    if domain:
-        rows = snap_columns(rows, domain)
-    return rows.dropDuplicates(["batch_no", "row_no"])
+    rows = response_rows(_arrivals(spark, path, files_per_trigger).dropDuplicates(["batch_no"]), cols)
+    return snap_columns(rows, domain) if domain else rows
+
+
+def _arrivals(spark: SparkSession, path: str, files_per_trigger: int) -> DataFrame:
+    return spark.readStream.schema(RESPONSE_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).json(path)
+
+
+def report_generated_stream(spark: SparkSession, path: str, cols: Sequence[str], out: str, checkpoint: str,
+                            files_per_trigger: int = 1_000) -> StreamingQuery:
+    """A second sink for what the intake cannot use: one row (batch_no, n_rows, n_valid, problem) for every response
+    that is malformed, empty, lacks a column or has no valid row. It keeps a checkpoint of its own and stops when it
+    has worked through what has arrived; a response that arrives twice is reported once for each different text."""
+    raw = _arrivals(spark, path, files_per_trigger).dropDuplicates(["batch_no", "response"])
+    return (response_report(raw, cols).where("problem IS NOT NULL")
+            .writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
+            .outputMode("append").trigger(availableNow=True).start())
 
 
 def ingest_generated_stream(spark: SparkSession, path: str, cols: Sequence[str], out: str, checkpoint: str,

@@ -11,7 +11,7 @@ from evenkeel.operators.smote import smote as smote_op
 from evenkeel.plans.keys import add_row_id
 from evenkeel.session import shared_folder
 from evenkeel.sources import generated as gen
-from evenkeel.streaming.ingest import ingest_generated_stream
+from evenkeel.streaming.ingest import ingest_generated_stream, report_generated_stream
 from evenkeel.workloads.registry import (CREDIT_FEATS, TOXIC, TOXIC_FEATS, credit_lineitem, query, rounded,
                                          sql_draw, table, toxic_docs)
 
@@ -345,3 +345,41 @@ def ingest_generated_stream_query(spark, sf):
         part.write.mode("append").json(f"{base}/in")
         ingest_generated_stream(spark, f"{base}/in", ["c_custkey", "c_acctbal"], f"{base}/out", f"{base}/state", real).awaitTermination()
     return spark.read.parquet(f"{base}/out").select("batch_no", "row_no", "c_custkey", "c_acctbal")
+
+
+@query("report_generated_stream", """SELECT (c_custkey // 25)::BIGINT AS batch_no, CASE (c_custkey // 25) % 5 WHEN 1 THEN count(*) ELSE 0 END::BIGINT AS n_rows,
+  0::BIGINT AS n_valid, CASE (c_custkey // 25) % 5 WHEN 1 THEN 'absent column c_acctbal' ELSE 'no rows' END AS problem
+  FROM customer WHERE (c_custkey // 25) % 5 IN (1, 2, 3) GROUP BY c_custkey // 25""")
+def report_generated_stream_query(spark, sf):
+    """Of five responses one lacks a column, one is empty, one is cut off; they arrive twice and are reported once."""
+    base = f"{shared_folder(spark)}/report-{uuid.uuid4().hex}"
+    kind = F.col("batch_no") % 5
+    good = _responses(spark, sf).where("batch_no % 5 NOT IN (1, 2, 3) OR batch_no % 5 = 2").withColumn(
+        "response", F.when(kind == 2, F.lit('{"rows": []}')).otherwise(
+            F.regexp_replace("response", '"c_acctbal":"n/k"', '"c_acctbal":"1"')))
+    rows = table(spark, sf, "customer").select(F.floor(F.col("c_custkey") / 25).alias("batch_no"), F.struct("c_custkey").alias("cell"))
+    bad = (rows.where("batch_no % 5 IN (1, 3)").groupBy("batch_no").agg(F.collect_list("cell").alias("rows"))
+           .select("batch_no", F.to_json(F.struct("rows")).alias("response"))
+           .withColumn("response", F.when(kind == 3, F.expr("substring(response, 1, length(response) - 9)")).otherwise(F.col("response"))))
+    for _ in range(2):
+        good.unionByName(bad).write.mode("append").json(f"{base}/in")
+        report_generated_stream(spark, f"{base}/in", ["c_custkey", "c_acctbal"], f"{base}/out", f"{base}/state").awaitTermination()
+    return spark.read.parquet(f"{base}/out").select("batch_no", "n_rows", "n_valid", "problem")
+
+
+@query("resume_generation", """WITH k AS (SELECT min(c_acctbal) AS a, max(c_acctbal) AS b FROM customer WHERE c_mktsegment = 'BUILDING'),
+  r AS (SELECT (c_custkey // 25 + 1)::BIGINT AS batch_no, (row_number() OVER (PARTITION BY c_custkey // 25 ORDER BY c_custkey) - 1)::INT AS row_no,
+    c_custkey::DOUBLE AS c_custkey, c_acctbal FROM customer QUALIFY c_nationkey NOT IN (3, 7)),
+  old AS (SELECT * FROM r WHERE batch_no <= 4), missing AS (SELECT 900 - count(*) AS n FROM old),
+  fresh AS (SELECT * FROM r WHERE batch_no > 4 AND batch_no <= 4 + ceil((SELECT n FROM missing) / 25.0::DOUBLE) ORDER BY batch_no, row_no LIMIT (SELECT n FROM missing))
+  SELECT batch_no, row_no, c_custkey, c_acctbal FROM old UNION ALL SELECT batch_no, row_no, c_custkey, greatest(least(c_acctbal, b), a) FROM fresh, k""")
+def resume_generation(spark, sf):
+    """A run stopped after four batches goes on from its checkpoint, with the responses of all customers at hand."""
+    path, cols = f"{shared_folder(spark)}/resume-{uuid.uuid4().hex}", ["c_custkey", "c_acctbal"]
+    responses = _responses(spark, sf).withColumn("batch_no", F.col("batch_no") + 1)
+    gen.write_generated(sy.parse_generated(responses.where("batch_no <= 4"), cols), path, "job-r", {"input_tokens": 10})
+    real = table(spark, sf, "customer").where("c_mktsegment = 'BUILDING'").select("c_acctbal")
+    rows, report = gen.resume_generation(spark, path, "job-r", responses, cols, 900, 25, real, usage={"input_tokens": 5, "output_tokens": 7})
+    if report["input_tokens"] != 15 or report["output_tokens"] != 7:
+        raise ValueError(f"the token totals were not carried on: {report}")
+    return rows.select("batch_no", "row_no", "c_custkey", "c_acctbal")
