@@ -54,7 +54,7 @@ class Workspace:
     def load(self, path: str, fmt: str = "csv") -> Recipe:
         from evenkeel.sources.tables import content_fingerprint, read_table
 
-        signature = content_fingerprint(self.spark, path)
+        signature = content_fingerprint(self.spark, path, fmt).first()[0]
         if signature != self.signature:
             self.recipe, self.target = Recipe(read_table(self.spark, path, fmt)), None
             self.signature = signature

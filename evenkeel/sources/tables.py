@@ -91,7 +91,8 @@ def content_fingerprint(spark: SparkSession, path: str, fmt: str = "parquet") ->
     Equal content gives an equal mark wherever it lies and however it is cut into files; any changed value changes it."""
     from evenkeel.operators.synth import dataset_signature
 
-    return dataset_signature(spark.read.format(fmt).load(path)).withColumnRenamed("signature", "fingerprint")
+    rows = spark.read.text(path) if fmt == "csv" else spark.read.format(fmt).load(path)      # of a text file its lines
+    return dataset_signature(rows).withColumnRenamed("signature", "fingerprint")
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -177,3 +177,60 @@ def test_first_rows(spark):
     df = spark.range(95).select((F.col("id") / 10).cast("long").alias("batch_no"), (F.col("id") % 10).alias("row_no"), "id").repartition(4)
     assert sorted(r["id"] for r in sy.first_rows(df, 42).collect()) == list(range(42))
     assert sy.first_rows(df, 1000).count() == 95
+
+
+def test_large_whole_numbers_are_no_copies_of_their_neighbours(spark):
+    from evenkeel.operators.synth import drop_copies
+
+    train = spark.createDataFrame([(9007199254740992, 5)], "a long, b int")
+    made = spark.createDataFrame([(9007199254740993, 5), (9007199254740992, 5)], "a long, b int")
+    assert [r["a"] for r in drop_copies(made, train, ["a", "b"]).collect()] == [9007199254740993]
+    floats = spark.createDataFrame([(9007199254740992.0, 5.0)], "a double, b double")
+    assert drop_copies(floats, train, ["a", "b"]).count() == 0
+
+
+def test_no_generated_row_left_is_an_error(spark):
+    import pytest
+
+    from evenkeel.operators.synth import finish_generated
+
+    train = spark.createDataFrame([(1.0, 0), (2.0, 0), (3.0, 1)], "x double, y int")
+    with pytest.raises(ValueError, match="no synthetic rows"):
+        finish_generated(train, spark.createDataFrame([(3.0,)], "x double"), ["x"], "y", 1)
+    status = finish_generated(train, spark.createDataFrame([(3.0,), (4.0,)], "x double"), ["x"], "y", 1)[1].first()
+    assert status["is_matched"]
+
+
+def test_too_many_examples_are_an_error(spark):
+    import pytest
+
+    from evenkeel.operators.synth import request_payload
+
+    real = spark.createDataFrame([(float(k),) for k in range(120)], "x double")
+    with pytest.raises(ValueError, match="example rows"):
+        request_payload(real, (), real)
+    assert len(request_payload(real, (), real.limit(50))["example_minority_rows"]) == 50
+
+
+def test_checkpoint_without_numbers_is_refused_when_cut(spark):
+    import pytest
+
+    from evenkeel.sources.generated import validate_checkpoint
+
+    rows = spark.createDataFrame([(1.0,)], "x double")
+    assert validate_checkpoint(rows, {"job_id": "j"}, "j", ["x"]).count() == 1
+    with pytest.raises(ValueError, match="batch_no"):
+        validate_checkpoint(rows, {"job_id": "j"}, "j", ["x"], target_rows=1)
+
+
+def test_resume_starts_goes_on_and_ends(spark, tmp_path):
+    from evenkeel.sources.generated import resume_generation
+
+    real = spark.createDataFrame([(0.0,), (100.0,), (7.25,)] + [(float(k),) for k in range(30)], "x double")
+    responses = spark.createDataFrame([(b, '{"rows": [' + ", ".join(f'{{"x": {b}.5}}' for _ in range(2)) + "]}") for b in range(1, 9)], "batch_no long, response string")
+    path = str(tmp_path / "run")
+    rows, report = resume_generation(spark, path, "j", responses.where("batch_no <= 2"), ["x"], 5, 2, real, usage={"input_tokens": 3})
+    assert rows.count() == 4 and report["status"] == "in_progress" and report["last_batch"] == 2
+    rows, report = resume_generation(spark, path, "j", responses, ["x"], 5, 2, real, usage={"input_tokens": 4})
+    assert rows.count() == 5 and report["status"] == "completed" and report["input_tokens"] == 7 and report["saved_before"] == 4
+    assert resume_generation(spark, path, "j", responses, ["x"], 5, 2, real)[0].count() == 5

@@ -164,3 +164,14 @@ def test_catalog(spark, sf):
     flagged = {(r["table_name"], r["column_name"]) for r in gates.identifier_columns(gates.column_catalog(frames)).where("is_identifier").collect()}
     assert flagged == {("customer", "c_name"), ("events", "event_id"), ("events", "user_id")}
     assert gates.protected_columns(frames["events"]) == ["event_id", "user_id"]
+
+
+def test_grid_of_missing_values_and_nan(spark):
+    from evenkeel.operators.explore import scatter_grid, value_counts
+
+    none = spark.createDataFrame([(None, 1.0), (None, 2.0)], "x double, y double")
+    assert scatter_grid(none, "x", "y").count() == 0
+    nan = spark.createDataFrame([(float("nan"), 1.0), (1.0, 1.0), (2.0, 3.0)], "x double, y double")
+    assert {(r["cell_x"], r["cell_y"]) for r in scatter_grid(nan, "x", "y", 2).collect()} == {(0, 0), (1, 1)}
+    both = spark.createDataFrame([(float("nan"),), (None,), (1.0,)], "x double")
+    assert [(r["key"], r["n_rows"]) for r in value_counts(both, "x").collect()] == [("nan", 2), ("1.0", 1)]

@@ -128,3 +128,13 @@ def test_reports(spark, scored):
     assert ev.comparison(scores).columns == ["model", *ev.METRICS] and ev.comparison(scores, "validation").count() == 0
     assert ev.melt_metrics(scores).count() == 10 and ev.model_detail(scores, "m").count() == 1
     assert {tuple(r) for r in ev.random_baseline(spark.createDataFrame(scored)).collect()} == {("Random baseline", 0.0, 0.0), ("Random baseline", 1.0, 1.0)}
+
+
+def test_depths_beyond_the_librarys_are_refused(spark):
+    import pytest
+
+    from evenkeel.operators.models import fit_tree
+
+    df = spark.createDataFrame([(float(k), k % 2) for k in range(20)], "x double, y int")
+    with pytest.raises(ValueError, match="depth"):
+        fit_tree(df, ["x"], "y", depth=31)

@@ -164,3 +164,20 @@ def test_shuffle_is_a_permutation(spark):
     df = add_row_id(spark.range(100), ["id"])
     one, two = _col(sp.shuffle(df, "row_id"), "id"), _col(sp.shuffle(df.repartition(5), "row_id"), "id")
     assert one == two != list(range(100)) and sorted(one) == list(range(100))
+
+
+def test_many_classes_are_coded_by_a_join(spark, monkeypatch):
+    from evenkeel.operators import select as sel
+
+    monkeypatch.setattr(sel, "LITERAL_CLASSES", 3)
+    df = spark.createDataFrame([(k, None if k % 7 == 0 else f"c{k % 7}") for k in range(70)], "i long, t string")
+    assert {(r["t"], r["code"]) for r in sel.factorize(df, "t").collect()} == {(None, None)} | {(f"c{k}", k - 1) for k in range(1, 7)}
+
+
+def test_the_mode_of_decimals_breaks_ties_by_value(spark):
+    from decimal import Decimal
+
+    from evenkeel.plans.histogram import modes
+
+    df = spark.createDataFrame([(Decimal("9.00"),), (Decimal("10.00"),)], "d decimal(10,2)")
+    assert Decimal(modes(df, ["d"])["d"]) == Decimal("9.00")

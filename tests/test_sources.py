@@ -100,3 +100,73 @@ def test_entry(spark, sf):
 
     row = entry(spark).first()
     assert row["model"] == "Logistic Regression" and 0 <= row["roc_auc"] <= 1
+
+
+def test_csv_with_quotes_and_line_breaks_inside_quotes(spark, tmp_path):
+    path = tmp_path / "a.csv"
+    path.write_text('t,n\n"x ""y"" z",1\n"line1\nline2",2\n plain ,3\n')
+    from evenkeel.sources.tables import read_table
+
+    got = read_table(spark, str(path), "csv").orderBy("n").collect()
+    assert [(r["t"], r["n"]) for r in got] == [('x "y" z', 1), ("line1\nline2", 2), (" plain ", 3)]
+
+
+def test_csv_round_trip_of_awkward_texts(spark, tmp_path):
+    from evenkeel.sources.tables import read_table, write_csv
+
+    texts = ['a "b" c', '"', 'x\ny', ' lead', 'trail ', 'c,d', '\\', 'back\\"slash', "é\n\n\"q\""]
+    write_csv(spark.createDataFrame(list(enumerate(texts)), "n long, t string"), str(tmp_path / "out"))
+    got = read_table(spark, str(tmp_path / "out"), "csv").orderBy("n").collect()
+    assert [r["t"] for r in got] == texts
+
+
+def test_row_ids_of_equal_file_names_in_two_folders_differ(spark, tmp_path):
+    from evenkeel.sources.tables import read_table
+
+    for p in ("a", "b"):
+        spark.range(3).coalesce(1).write.parquet(str(tmp_path / "t" / f"part={p}"))
+        written = next((tmp_path / "t" / f"part={p}").glob("part-*.parquet"))
+        (tmp_path / "t" / f"part={p}" / "data_0.parquet").write_bytes(written.read_bytes())
+        written.unlink()
+        for crc in (tmp_path / "t" / f"part={p}").glob(".*.crc"):
+            crc.unlink()
+    ids = [r["row_id"] for r in read_table(spark, str(tmp_path / "t"), row_id="row_id").collect()]
+    assert len(set(ids)) == 6 and "part=a/data_0.parquet#0" in ids
+    one = read_table(spark, str(tmp_path / "t" / "part=a" / "data_0.parquet"), row_id="row_id").collect()
+    assert {r["row_id"] for r in one} == {f"data_0.parquet#{k}" for k in range(3)}
+
+
+def test_row_ids_from_keys_with_nulls_and_separators_differ(spark):
+    from evenkeel.plans.keys import add_row_id
+
+    rows = [(1, None, 2), (1, 2, None), (None, 1, 2)]
+    assert add_row_id(spark.createDataFrame(rows, "a int, b int, c int"), ["a", "b", "c"]).select("row_id").distinct().count() == 3
+    texts = [("a|b", "c"), ("a", "b|c"), ("1:a", "-"), ("1:a", None)]
+    assert add_row_id(spark.createDataFrame(texts, "a string, b string"), ["a", "b"]).select("row_id").distinct().count() == 4
+
+
+def test_fingerprint_follows_content_only(spark, tmp_path):
+    from evenkeel.sources.tables import content_fingerprint
+
+    rows = spark.createDataFrame([(k, k / 7, None if k % 3 else "x") for k in range(50)], "a long, d double, t string")
+    rows.repartition(5).write.parquet(str(tmp_path / "one"))
+    rows.coalesce(1).write.parquet(str(tmp_path / "two"))
+    rows.where("a < 49").union(spark.createDataFrame([(49, 7.000000000000001, "x")], rows.schema)).write.parquet(str(tmp_path / "three"))
+    marks = [content_fingerprint(spark, str(tmp_path / p)).first()[0] for p in ("one", "two", "three")]
+    assert marks[0] == marks[1] != marks[2]
+
+
+def test_double_text_is_exact(spark):
+    import math
+
+    from pyspark.sql import functions as F
+
+    from evenkeel.operators.synth import double_text
+
+    values = [0.1, -0.1, 1.0, 2.0 ** 52, 2.0 ** 53 - 1, 1e308, 5e-324, 3.0, 1 / 3, 4503599627370495.5, 0.0, math.nan, math.inf, -math.inf, None]
+    for v, t in spark.createDataFrame([(v,) for v in values], "v double").select("v", double_text(F.col("v"))).collect():
+        if v is None or math.isnan(v) or math.isinf(v) or v == 0:
+            assert t == {None: None, math.inf: "inf", -math.inf: "-inf", 0.0: "0"}.get(v, "nan")
+        else:
+            whole, power = t.split("p")
+            assert 2 ** 52 <= abs(int(whole)) < 2 ** 53 and math.ldexp(int(whole), int(power) - 52) == v
