@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, functions as F
 from evenkeel.functions.scalars import SEED, draw
 from evenkeel.plans.quota import assign_parts, sample_exact
 
+MAX_STRATA = 1_000
+
 __all__ = ["split", "stratum_quotas", "split_sizes", "sample_exact", "shuffle", "class_counts"]
 
 
@@ -48,10 +50,15 @@ def split_sizes(counts: dict[object, int], val: float = 0.2, test: float = 0.2)
 
 
 def split(df: DataFrame, label: str, row_id: str, val: float = 0.2, test: float = 0.2,
-          stratify: bool = True, seed: int = SEED) -> DataFrame:
-    """Add `split` (train, validation, test) with exact sizes; a narrow projection once fitted."""
+          stratify: bool = True, seed: int = SEED, max_strata: int = MAX_STRATA) -> DataFrame:
+    """Add `split` (train, validation, test) with exact sizes; a narrow projection once fitted.
+
+    A label of more than max_strata classes is an error: each class adds a border to the projection."""
     if stratify:
-        counts = {r[0]: r[1] for r in df.groupBy(label).count().collect()}     # one row per class
+        found = df.groupBy(label).count().limit(max_strata + 1).collect()
+        if len(found) > max_strata:
+            raise ValueError(f"{label} has more than {max_strata} classes; raise max_strata or split without strata")
+        counts = {r[0]: r[1] for r in found}
         stratum = F.col(label)
     else:
         counts, stratum = {"all": df.count()}, F.lit("all")

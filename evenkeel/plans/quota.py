@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from evenkeel.functions.scalars import SEED, draw
+from evenkeel.session import cut_lineage
 
 BITS = 60
 STEP = 12                 # prefix bits resolved per pass: 4,096 counters per stratum
@@ -29,8 +30,11 @@ class Border:
 
 def borders(df: DataFrame, u: str, row_id: str, stratum: Column, quotas: dict[object, list[int]],
             step: int = STEP, border_rows: int = BORDER_ROWS) -> dict[tuple[object, int], Border]:
-    """Border of each (stratum, cumulative quota). `quotas` must lie in 0..rows of the stratum."""
-    keyed = df.select(F.col(u).alias("u"), F.col(row_id).cast("string").alias("id"), stratum.alias("s"))
+    """Border of each (stratum, cumulative quota). `quotas` must lie in 0..rows of the stratum.
+
+    The rows are hashed once: hash, id and stratum are written, and every pass reads that narrow table, the later
+    ones only the row groups that can hold a border."""
+    keyed = cut_lineage(df.select(F.col(u).alias("u"), F.col(row_id).cast("string").alias("id"), stratum.alias("s")))
     out: dict[tuple[object, int], Border] = {}
     open_cuts = []                                    # stratum, quota, still needed, prefix, bits known
     for s, ks in quotas.items():

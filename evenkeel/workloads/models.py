@@ -6,7 +6,9 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from evenkeel.functions.scalars import SEED
 from evenkeel.operators import evaluate as ev, models as ml
+from evenkeel.operators.network import Spec, fit_network, initial
 from evenkeel.operators.smote import smote
 from evenkeel.operators.split import split
 from evenkeel.session import cut_lineage, shared_folder
@@ -143,6 +145,35 @@ def logistic_scores(spark, sf):
     return rounded(ml.score(fitted, df).select("l_orderkey", "l_linenumber", "prob"), 5)
 
 
+def _adam_sql(steps: int) -> str:
+    """Adam steps of a network without hidden layers, over the rows grouped by value, and what each epoch reports."""
+    b, w = initial((1, 1), "fan_in", SEED)[::-1].tolist()
+    parts = [f"s0 AS (SELECT {w!r}::DOUBLE AS w, {b!r}::DOUBLE AS b, 0.0::DOUBLE AS mw, 0.0::DOUBLE AS mb, 0.0::DOUBLE AS vw, 0.0::DOUBLE AS vb)"]
+    for k in range(steps):
+        parts.append(f"""r{k} AS (SELECT sum(n * h - p) / sum(n) AS gb, sum((n * h - p) * x) / sum(n) AS gw,
+          sum(n * (greatest(z, 0) + ln(1 + exp(-abs(z)))) - p * z) / sum(n) AS loss, sum(CASE WHEN z >= 0 THEN p ELSE n - p END) / sum(n) AS accuracy
+          FROM (SELECT x, n, p, b + w * x AS z, 1 / (1 + exp(-(b + w * x))) AS h FROM grp, s{k}))""")
+        if k < steps - 1:
+            parts.append(f"""t{k} AS (SELECT w, b, 0.9 * mw + 0.1 * gw AS mw, 0.9 * mb + 0.1 * gb AS mb, 0.999 * vw + 0.001 * gw * gw AS vw,
+              0.999 * vb + 0.001 * gb * gb AS vb FROM s{k}, r{k}),
+              s{k + 1} AS (SELECT w - 0.05 * (mw / {1 - 0.9 ** (k + 1)!r}) / (sqrt(vw / {1 - 0.999 ** (k + 1)!r}) + 1e-8) AS w,
+              b - 0.05 * (mb / {1 - 0.9 ** (k + 1)!r}) / (sqrt(vb / {1 - 0.999 ** (k + 1)!r}) + 1e-8) AS b, mw, mb, vw, vb FROM t{k})""")
+    return ", ".join(parts)
+
+
+_EPOCHS = 12
+
+
+@query("network_linear", f"""WITH c AS (SELECT (l_quantity - 25) / 15.0::DOUBLE AS x, CAST((l_quantity > 25) <> (l_linenumber = 3) AS INT) AS y FROM lineitem),
+  grp AS (SELECT x, count(*)::DOUBLE AS n, sum(y)::DOUBLE AS p FROM c GROUP BY 1), {_adam_sql(_EPOCHS + 1)}
+  {" UNION ALL ".join(f"SELECT {k + 1}::INT AS epoch, round(a.loss, 6) AS loss, round(b.loss, 6) AS val_loss, round(a.accuracy, 6) AS accuracy, round(b.accuracy, 6) AS val_accuracy FROM r{k} a, r{k + 1} b" for k in range(_EPOCHS))}""")
+def network_linear(spark, sf):
+    """The trainer without hidden layers and with one bucket: its history is that of plain Adam on all lines."""
+    df = table(spark, sf, "lineitem").select(((F.col("l_quantity") - 25) / 15.0).alias("x"),
+                                             ((F.col("l_quantity") > 25) != (F.col("l_linenumber") == 3)).cast("int").alias("y"))
+    return rounded(fit_network(df, df, ["x"], "y", Spec((), lr=0.05, epochs=_EPOCHS), buckets=1)[1])
+
+
 # ---- fitted models: no SQL form, checked in the tests ------------------------------------------------------
 
 def _lineitem(spark, sf):

@@ -70,7 +70,7 @@ def test_all_models_learn(spark, parts):
 def test_sharded_training_is_repeatable(spark, parts):
     scaled = parts.select((F.col("a") / 10).alias("a"), "b", "y", "row_id", "split")
     train, val = scaled.where("split = 'train'"), scaled.where("split = 'validation'")
-    nets = [nw.fit_dnn(t, val, ["a", "b"], "y", "row_id", epochs=4, shard_rows=100) for t in (train, train.repartition(5))]
+    nets = [nw.fit_dnn(t, val, ["a", "b"], "y", "row_id", epochs=4, buckets=3) for t in (train.repartition(1), train.repartition(7))]
     assert np.allclose(nets[0][0].flat, nets[1][0].flat)
     losses = [r["loss"] for r in nets[0][1].orderBy("epoch").collect()]
     assert len(losses) == 4 and losses[-1] < losses[0]
@@ -81,7 +81,7 @@ def test_early_stop_keeps_the_best(spark):
     pdf = pd.DataFrame({"x": rng.normal(size=200), "y": rng.integers(0, 2, 200), "row_id": [str(i) for i in range(200)]})
     df = spark.createDataFrame(pdf)
     spec = nw.Spec((16,), lr=0.05, epochs=40, patience=2)
-    net, history = nw.fit_network(df.where("row_id < '3'"), df.where("row_id >= '3'"), ["x"], "y", "row_id", spec)
+    net, history = nw.fit_network(df.where("row_id < '3'"), df.where("row_id >= '3'"), ["x"], "y", spec)
     h = history.toPandas()
     assert len(h) < 40 and len(h) - 1 - h.val_loss.argmin() == 2
 
