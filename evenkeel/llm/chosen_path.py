@@ -188,8 +188,8 @@ def candidates(sets: DataFrame, floor: float) -> DataFrame:
     def compared(buckets: DataFrame) -> DataFrame:
         return buckets.repartition(parts, "path").sortWithinPartitions("path", "sig").mapInArrow(compare, "a binary, b binary")
 
-    now = cut_lineage(sets.select(F.posexplode("tokens").alias("run", "token"), "sig", "sketch")
-                      .select(F.xxhash64("run", "token").alias("path"), "sig", "sketch"))
+    now = (sets.select(F.posexplode("tokens").alias("run", "token"), "sig", "sketch")
+           .select(F.xxhash64("run", "token").alias("path"), "sig", "sketch"))
     edges = None
     for depth in range(DEPTH + 1):
         full = cut_lineage(now.groupBy("path").agg(F.count("*").alias("n"), F.min("sig").alias("pivot"),
@@ -254,9 +254,9 @@ def verified(sets: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
     every two blocks are compared; their spanning edges are then joined into classes.
     """
     parts = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    single = (sets.join(groups, "sig").groupBy("sig", "component")
-              .agg(F.first("shingles").alias("shingles"), F.first("n").alias("n"), F.count("*").alias("copies")))
-    single = cut_lineage(single)
+    # copies are folded before the shuffle, so that a hot group of them is one row for each task
+    single = sets.groupBy("sig").agg(F.first("shingles").alias("shingles"), F.first("n").alias("n"), F.count("*").alias("copies"))
+    single = cut_lineage(single.join(groups, "sig"))
     size = cut_lineage(single.groupBy("component").agg(F.count("*").alias("m"), F.sum("n").alias("weight"))
                        .withColumn("blocks", F.greatest(F.ceil(F.col("m") / BLOCK_SETS), F.ceil(F.col("weight") / BLOCK_SHINGLES)))
                        .withColumn("blocks", F.when(F.col("blocks") <= 1, 1).otherwise(F.col("blocks") * 2).cast("int"))
@@ -305,8 +305,8 @@ def _classes(docs: DataFrame, doc_id: str, text: str, threshold: float, recall:
     """(doc, t1, t2, sig, class, class_size, links) per row of docs; no sig and no class without words."""
     rows = cut_lineage(set_table(docs, doc_id, text, runs_for(threshold, recall)))
     sets = rows.where("sig IS NOT NULL")
-    distinct = sets.groupBy("sig").agg(F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch"))
-    groups = connected_components(candidates(distinct, floor_for(threshold)), "a", "b").select(
+    distinct = cut_lineage(sets.groupBy("sig").agg(F.first("tokens").alias("tokens"), F.first("sketch").alias("sketch")))
+    groups = connected_components(cut_lineage(candidates(distinct, floor_for(threshold))), "a", "b").select(
         F.col("node").alias("sig"), "component")
     exact = verified(sets.select("sig", "n", "shingles"), groups, threshold)
     known = (sets.groupBy("sig").agg(F.min("doc").alias("first"), F.count("*").alias("copies"))
