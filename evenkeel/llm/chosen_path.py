@@ -17,6 +17,7 @@ from evenkeel.llm.components import connected_components
 from evenkeel.session import cut_lineage
 
 SHINGLE, THRESHOLD = 5, 0.8
+BYTES = 5                       # of a shingle's hash
 SKETCH = 128                    # sampled tokens, of each of which one byte is kept to estimate a similarity
 RECALL = 0.999999               # of pairs at the threshold: sets the number of runs
 BUCKET = 2000                   # larger buckets are split further
@@ -39,7 +40,10 @@ def floor_for(threshold: float) -> float:
 
 
 def shingles_of(text: str | None, k: int = SHINGLE) -> np.ndarray:
-    """Sorted 64-bit hashes of the text's k-word shingles; a shorter text with a word is one shingle."""
+    """Sorted 40-bit hashes of the text's k-word shingles; a shorter text with a word is one shingle.
+
+    Forty bits keep the sets small where they are written and shuffled; in sets of a thousand shingles two different
+    ones share a hash once in a million comparisons, which moves a similarity by a thousandth."""
     ids, distinct = local_ids((text or "").encode("utf-8", "surrogatepass").split())
     if not len(ids):
         return np.zeros(0, np.uint64)
@@ -48,7 +52,17 @@ def shingles_of(text: str | None, k: int = SHINGLE) -> np.ndarray:
     total = np.zeros(n, np.uint64)
     for j in range(min(k, len(h))):
         total = total * np.uint64(0x9E3779B97F4A7C15) + h[j:j + n]
-    return np.unique(mix64(total))
+    return np.unique(mix64(total) >> np.uint64(64 - 8 * BYTES))
+
+
+def packed(shingles: np.ndarray) -> bytes:
+    return shingles.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES].tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // BYTES, 8), np.uint8)
+    out[:, :BYTES] = np.frombuffer(data, np.uint8).reshape(-1, BYTES)
+    return out.view("<u8").ravel()
 
 
 def least_hashes(shingles: np.ndarray, count: int) -> np.ndarray:
@@ -77,7 +91,7 @@ def set_table(docs: DataFrame, doc_id: str, text: str, runs: int) -> DataFrame:
                         rows.append((d, t1, t2, None, 0, [], None, None))
                         continue
                     least = least_hashes(s, runs + SKETCH)
-                    data = s.tobytes()
+                    data = packed(s)
                     rows.append((d, t1, t2, xxhash.xxh3_128_digest(data), len(s), least[:runs].view(np.int64).tolist(),
                                  (mix64(least[runs:]) >> np.uint64(56)).astype(np.uint8).tobytes(), data))
                 yield to_batch(rows, arrow)
@@ -278,7 +292,7 @@ def verified(sets: DataFrame, groups: DataFrame, threshold: float) -> DataFrame:
             edge = np.flatnonzero(np.concatenate(([True], task[1:] != task[:-1], [True])))
             rows = []
             for lo, hi in zip(edge[:-1].tolist(), edge[1:].tolist()):
-                a, b = links([np.frombuffer(x, np.uint64) for x in part.column(3).slice(lo, hi - lo).to_pylist()], threshold)
+                a, b = links([unpacked(x) for x in part.column(3).slice(lo, hi - lo).to_pylist()], threshold)
                 root, _ = spanning(hi - lo, a, b)
                 if not whole[lo]:                            # two blocks: pairs across them, or one block with itself
                     within = np.array(inside[lo:hi])
