@@ -37,13 +37,14 @@ def _down(pairs: DataFrame) -> DataFrame:
 def _large_star(down: DataFrame) -> DataFrame:
     """Link every neighbour above a node to the least neighbour of the node."""
     both = down.unionByName(down.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    # written, so that the planner may split the edges of a hot node: it cannot where one side is an aggregation
+    least = cut_lineage(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
     return _down(down.select(F.col("v").alias("u"), F.col("u").alias("v")).join(least, "u")
                  .select(F.col("v").alias("u"), F.col("m").alias("v")))
 
 
 def _small_star(down: DataFrame) -> DataFrame:
     """Link every neighbour below a node, and the node itself, to the least of them."""
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = cut_lineage(down.groupBy("u").agg(F.min("v").alias("m")))
     moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return _down(moved.unionByName(least.select("u", F.col("m").alias("v"))))
