@@ -117,5 +117,10 @@ class TrieShard:
     def search(self, context: np.ndarray, successor: np.ndarray) -> np.ndarray:
         """The code of each (context number, successor), both sorted, -1 where the successor is not there."""
         base = self.base.slice(0, self.base.n)
-        index, found = self.successors.next_geq(base[context] + successor.astype(np.uint64))
-        return np.where(found, self.codes[np.minimum(index, len(self.codes) - 1)].astype(np.int64), -1)
+        room = np.append(base[1:], self.successors.slice(self.successors.n - 1, self.successors.n) + np.uint64(1)) - base
+        wanted = successor.astype(np.uint64)
+        inside = np.flatnonzero(wanted < room[context])     # beyond its context's last successor there is nothing to find
+        index, found = self.successors.next_geq(base[context[inside]] + wanted[inside])
+        out = np.full(len(wanted), -1, np.int64)
+        out[inside[found]] = self.codes[index[found]]
+        return out

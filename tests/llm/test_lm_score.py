@@ -93,3 +93,18 @@ def test_elias_fano():
         index, equal = e.next_geq(wanted)
         assert (index == np.searchsorted(values, wanted)).all()
         assert (equal == np.isin(wanted, values)).all()
+
+
+def test_successors_are_searched_in_their_own_context_only():
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 2 ** 63, 300, dtype=np.uint64))
+    lists = [np.unique(rng.integers(0, 60 if k % 3 else 5, rng.integers(1, 9))) for k in range(len(keys))]
+    flat = np.concatenate(lists)
+    codes = rng.integers(0, 256, len(flat))
+    pointers = np.concatenate(([0], np.cumsum([len(x) for x in lists])))
+    trie = TrieShard(TrieShard.build(keys, pointers, flat, codes))
+    assert (trie.contexts(keys) == np.arange(len(keys))).all() and (trie.contexts(np.sort(keys + np.uint64(1))) == -1).all()
+    context, successor = np.repeat(np.arange(len(keys)), 64), np.tile(np.arange(64), len(keys))
+    want = {(c, s): int(codes[pointers[c] + k]) for c, x in enumerate(lists) for k, s in enumerate(x)}
+    got = trie.search(context, successor)
+    assert [want.get((c, s), -1) for c, s in zip(context.tolist(), successor.tolist())] == got.tolist()
