@@ -20,7 +20,7 @@ from evenkeel.session import cut_lineage
 
 DISCOUNT = 0.75
 BLOCK_TOKENS = 1_000_000          # tokens a task counts at once
-SHARD_TOKENS = 4_000_000          # tokens whose bigrams meet in a shard
+SHARD_TOKENS = 1_500_000          # tokens whose bigrams meet in a shard
 HOT_SHARE = 0.002                 # a context of this share of a block's tokens may be split over shards
 LEVELS = 255                      # codes of a probability
 
