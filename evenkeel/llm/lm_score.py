@@ -21,7 +21,7 @@ from evenkeel.session import cut_lineage
 DISCOUNT = 0.75
 BLOCK_TOKENS = 1_000_000          # tokens a task counts at once
 SHARD_TOKENS = 1_500_000          # tokens whose bigrams meet in a shard
-HOT_SHARE = 0.002                 # a context of this share of a block's tokens may be split over shards
+HOT_PART = 0.25                   # a context of more than this part of a shard's tokens is split over shards
 LEVELS = 255                      # codes of a probability
 
 #: keys no word has: words hold no blank
@@ -60,35 +60,48 @@ def token_blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple
         yield ids, held, words
 
 
-def frequent_contexts(docs: DataFrame, share: float = HOT_SHARE, block_tokens: int = BLOCK_TOKENS) -> tuple[int, dict[int, float]]:
-    """All tokens, and the words (by hash) that make up at least `share` of them, with a lower bound of their share.
+def frequent_contexts(docs: DataFrame, above: float, block_tokens: int = BLOCK_TOKENS) -> tuple[int, dict[int, tuple[int, int]]]:
+    """All tokens, and the contexts (by hash) that more than `above` of them follow, with (followers, followers learned from).
 
-    Each block gives the words of its own that reach the share, 1 / share at most. A word of twice the share overall
-    reaches the sum of `share` in those blocks alone, so none is missed, and the answer is bounded by 1 / share."""
+    START opens every document and is a context like any word. Each block counts all its contexts and Spark adds them
+    up, so the counts are exact; the contexts that stay whole come back as one sum. There are tokens / above hot ones at most."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, words in token_blocks(batches, block_tokens):
-            count = Counter(w for t in words for w in t)
-            n = sum(map(len, words)) + len(words)
-            rows = [(0, n)] + [(xxhash.xxh3_64_intdigest(w) - (1 << 63), c) for w, c in count.items() if c >= share * n]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64())],
-                                             names=["word", "n"])
-
-    found = docs.mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    total = found.where("word = 0").first()
-    if total is None:
-        return 0, {}
-    hot = found.where((F.col("word") != 0) & (F.col("n") >= share * total["n"])).collect()
-    return total["n"], {r["word"] + (1 << 63): r["n"] / total["n"] for r in hot}
+        for _, held, words in token_blocks(batches, block_tokens):
+            learned = Counter(w for t, h in zip(words, held) if not h for w in t)
+            count = Counter(w for t, h in zip(words, held) if h for w in t)
+            count.update(learned)
+            keys = np.fromiter(map(xxhash.xxh3_64_intdigest, count), np.uint64, len(count))
+            yield pa.RecordBatch.from_arrays([
+                pa.array(_signed(np.append(keys, np.uint64(START)))),
+                pa.array(np.append(np.fromiter(count.values(), np.int64, len(count)), len(words))),
+                pa.array(np.append(np.fromiter((learned[w] for w in count), np.int64, len(count)), len(words) - sum(held)))],
+                names=["word", "n", "learned"])
+
+    sums = [F.sum("n").alias("n"), F.sum("learned").alias("learned")]
+    found = docs.mapInArrow(run, "word long, n long, learned long").groupBy("word").agg(*sums)
+    rows = found.groupBy(F.when(F.col("n") > above, F.col("word")).alias("word")).agg(*sums).collect()
+    return (sum(r["n"] for r in rows),
+            {r["word"] + (1 << 63): (r["n"], r["learned"]) for r in rows if r["word"] is not None})
 
 
 class Router:
-    """Which shard counts a bigram: that of its context; a hot context's successors go to as many as its share needs."""
+    """Which shard counts a bigram: that of its context; a hot context's successors go to as many as its count needs."""
 
-    def __init__(self, tokens: int, hot: dict[int, float], shard_tokens: int):
+    def __init__(self, tokens: int, hot: dict[int, tuple[int, int]], shard_tokens: int):
         self.shards = max(1, -(-tokens // shard_tokens))
-        split = {h: int(2 * s * self.shards) + 1 for h, s in hot.items() if 2 * s * self.shards > 1}
+        part = max(1, int(HOT_PART * shard_tokens))
+        split = {h: min(self.shards, -(-n // part)) for h, (n, _) in hot.items() if n > part}
+        split = {h: ways for h, ways in split.items() if ways > 1}
         self.hot = np.array(sorted(split), np.uint64)
         self.ways = np.array([split[int(h)] for h in self.hot], np.uint64)
+        self.learned = np.array([hot[int(h)][1] for h in self.hot], np.int64)
+
+    def full(self, contexts: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """What is learned of each context over all shards, where own is what one shard counts of it."""
+        if not len(self.hot):
+            return own
+        at = np.minimum(np.searchsorted(self.hot, contexts), len(self.hot) - 1)
+        return np.where(self.hot[at] == contexts, self.learned[at], own)
 
     def split(self, contexts: np.ndarray) -> np.ndarray:
         """How many shards share each context."""
@@ -104,7 +117,7 @@ class Router:
 
 
 def block_messages(block: int, ids: list, held: list, words: list[list[bytes]], router: Router) -> Iterator[tuple]:
-    """(shard, kind, block, payload): the block's bigrams for each shard, its hot contexts' counts, and its documents."""
+    """(shard, kind, block, payload): the block's bigrams for each shard, and its documents."""
     distinct = dict.fromkeys(w for t in words for w in t)
     for k, w in enumerate(distinct):
         distinct[w] = k + 2
@@ -131,21 +144,12 @@ def block_messages(block: int, ids: list, held: list, words: list[list[bytes]],
     counts = np.add.reduceat(train.astype(np.int64), first)
     left, right = context[first], token[first]
     shard = router.shard(keys[left], keys[right])
-    ways = router.split(keys[left])
     for s in np.unique(shard):
         pick = np.flatnonzero(shard == s)
         a, a_of = np.unique(left[pick], return_inverse=True)
         b, b_of = np.unique(right[pick], return_inverse=True)
         refs = np.repeat(first[pick] - np.concatenate(([0], np.cumsum(times[pick])[:-1])), times[pick]) + np.arange(times[pick].sum())
         yield int(s), 1, block, _pack(keys[a], np.diff(a_of, prepend=0), keys[b], b_of, counts[pick], times[pick], doc[refs])
-    # a context that several shards share: each needs its count over all of them
-    seen, at = np.unique(left, return_index=True)
-    shared = seen[ways[at] > 1]
-    if len(shared):
-        sums = np.bincount(np.searchsorted(shared, left[np.isin(left, shared)]), counts[np.isin(left, shared)], len(shared)).astype(np.int64)
-        payload = _pack(keys[shared], sums)
-        for s in range(router.shards):
-            yield s, 2, block, payload
     yield block % router.shards, 0, block, pickle.dumps((ids, held, size.tolist()))
 
 
@@ -174,13 +178,10 @@ def count_and_answer(table: pa.Table, arrow: pa.Schema, tokens: int, router: Rou
     Kinds of rows: 0 documents of a block, handed on; 1 sums of a block's documents (base, model, known tokens);
     2 tokens whose bigram is not in the trie; 3 a context's count and successor types; 4 the shard's trie.
     """
-    blocks, parts, totals = [], [], {}
+    blocks, parts = [], []
     for kind, block, payload in zip(*(table.column(c).to_pylist() for c in ("kind", "block", "payload"))):
         if kind == 0:
             yield _rows(arrow, 1, kind=0, block=block, payload=[payload])
-        elif kind == 2:
-            for k, c in zip(*[x.tolist() for x in _unpack(payload)]):
-                totals[k] = totals.get(k, 0) + c
         else:
             a, a_step, b, b_of, counts, times, doc = _unpack(payload)
             parts.append((a[np.cumsum(a_step.astype(np.int64))], b[b_of], counts.astype(np.int64), times.astype(np.int64), doc.astype(np.int64)))
@@ -197,9 +198,7 @@ def count_and_answer(table: pa.Table, arrow: pa.Schema, tokens: int, router: Rou
     owner = pair // len(words)
     types = np.bincount(owner, minlength=len(contexts))
     whole = router.split(contexts) == 1
-    full = np.bincount(owner, count, len(contexts)).astype(np.int64)
-    for k in np.flatnonzero(~whole):                       # shared by several shards: its count over all of them
-        full[k] = totals.get(int(contexts[k]), 0)
+    full = router.full(contexts, np.bincount(owner, count, len(contexts)).astype(np.int64))
 
     worst = np.log10(tokens + 1) + 1                       # no probability of a seen bigram is below 10 ** -worst
     codes = np.rint(np.minimum(-np.log10((count - DISCOUNT) / full[owner]) / worst, 1) * LEVELS).astype(np.uint8)
@@ -268,13 +267,14 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fol
     are texts of their own; an empty table gives an empty result. Words are told apart by 64-bit hashes.
 
     Every task counts blocks of documents and sends each shard its bigrams once per block, with the documents they
-    stand in; shards grow in number with the tokens. A context too frequent for one shard is split by its successors.
-    Nothing but one shard, or one block, is ever held by a task, and the driver gets two totals and the hot contexts.
+    stand in; shards grow in number with the tokens. A context, START included, that more than a quarter of a shard's tokens
+    follow is split by its successors. Nothing but one shard, or one block, is ever held by a task, and the driver gets two
+    totals and the hot contexts, four for each shard at most. One bigram, with its documents, always meets in one shard.
     """
     spark = docs.sparkSession
     fold_of = F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(folds))
     texts = docs.select(F.col(doc_id).cast("long").alias("d"), F.coalesce(fold_of == held_fold, F.lit(False)).alias("h"), F.col(text).alias("t"))
-    tokens, hot = frequent_contexts(texts, block_tokens=block_tokens)
+    tokens, hot = frequent_contexts(texts, HOT_PART * shard_tokens, block_tokens)
     router = spark.sparkContext.broadcast(Router(tokens, hot, shard_tokens))
     arrow, out_arrow, scored_arrow = (to_arrow_schema(StructType.fromDDL(s)) for s in (MESSAGE, OUT, SCORED))
 
@@ -295,7 +295,8 @@ def score_texts(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", fol
     own = F.log10(F.coalesce("c", F.lit(0)) + 1) - norm
     lost = out.where("kind = 2").join(stats.select(F.col("ctx").alias("word"), "c"), "word", "left")
     lost = lost.select("block", "doc", "ctx", own.alias("value"))
-    shared = lost.where("ctx IS NOT NULL").join(stats, "ctx", "left").select("block", "doc", (
+    split = spark.createDataFrame([(h,) for h in _signed(router.value.hot).tolist()], "ctx long")
+    shared = lost.where("ctx IS NOT NULL").join(F.broadcast(stats.join(F.broadcast(split), "ctx")), "ctx", "left").select("block", "doc", (
         F.col("value") + F.coalesce(F.log10(DISCOUNT * F.col("types") / F.col("c")), F.lit(0.0))).alias("value"))
     extra = (lost.where("ctx IS NULL").select("block", "doc", "value").unionByName(shared)
              .groupBy("block", "doc").agg(F.sum("value").alias("extra")))

@@ -108,3 +108,27 @@ def test_successors_are_searched_in_their_own_context_only():
     want = {(c, s): int(codes[pointers[c] + k]) for c, x in enumerate(lists) for k, s in enumerate(x)}
     got = trie.search(context, successor)
     assert [want.get((c, s), -1) for c, s in zip(context.tolist(), successor.tolist())] == got.tolist()
+
+
+def test_a_context_too_large_for_a_shard_is_split_however_small_its_share(docs_of):
+    def loads(rows, shard_tokens):
+        texts = docs_of(rows).selectExpr("doc_id", "crc32(string(doc_id)) % 7 = 2", "text")
+        tokens, hot = m.frequent_contexts(texts, m.HOT_PART * shard_tokens, 400)
+        router = m.Router(tokens, hot, shard_tokens)
+        pairs = [(a, b) for _, t in rows for a, b in zip([b"\t"] + m.fold(t), m.fold(t) + [b"\n"])]
+        left, right = (np.array([m.xxhash.xxh3_64_intdigest(p[k]) for p in pairs], np.uint64) for k in (0, 1))
+        assert tokens == len(pairs)
+        return np.bincount(router.shard(left, right), minlength=router.shards), router, hot, left
+
+    short = [(k, f"w{k}") for k in range(4000)]                      # START has half of all bigrams
+    load, router, hot, left = loads(short, 400)
+    assert hot[m.START] == (4000, sum(zlib.crc32(str(k).encode()) % 7 != 2 for k in range(4000)))
+    assert router.split(np.array([m.START], np.uint64))[0] > 1 and load.max() < 1600
+    # a word of 0.125% of the tokens, but of more than a shard's quarter
+    rare = [(k, " ".join(f"v{k}-{j}" for j in range(39)) + (" rare" if k % 20 == 0 else " v")) for k in range(1000)]
+    _, router, hot, left = loads(rare, 100)
+    key = m.xxhash.xxh3_64_intdigest(b"rare")
+    assert hot[key][0] == 50 and router.split(np.array([key], np.uint64))[0] == 2
+    rows = short[:400] + rare[:60]
+    n = sum(len(m.fold(t)) + 1 for _, t in rows)
+    same(m.score_texts(docs_of(rows), block_tokens=300, shard_tokens=100).collect(), brute(rows), (math.log10(n + 1) + 1) / m.LEVELS / 2 + 1e-9)
