@@ -2,23 +2,28 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from evenkeel.operators.synth import domain_of, response_report, response_rows, snap_columns
 
 RESPONSE_SCHEMA = "batch_no long, response string"
+REPORT = "batch_no long, n_rows long, n_valid long, problem string"
+DIFFERS = "differs from another text"
 
 
 def response_stream(spark: SparkSession, path: str, cols: Sequence[str], domain: dict | None = None,
                     files_per_trigger: int = 1_000) -> DataFrame:
-    """Rows of new response files, parsed, snapped and each batch taken once.
+    """Rows of new response files, parsed, snapped and each (batch_no, row_no) taken once.
 
-    A batch is told apart before its rows are, so the state is one number per batch of the job, not per row.
+    Only valid rows use up their number: a retry after an unusable or shorter response gives the rows still missing.
+    Of differing texts of a batch each row comes from the first that arrives, any of those in one micro-batch; the
+    report names such batches.
     """
-    rows = response_rows(_arrivals(spark, path, files_per_trigger).dropDuplicates(["batch_no"]), cols)
+    rows = response_rows(_arrivals(spark, path, files_per_trigger), cols).dropDuplicates(["batch_no", "row_no"])
     return snap_columns(rows, domain) if domain else rows
 
 
@@ -26,13 +31,34 @@ def _arrivals(spark: SparkSession, path: str, files_per_trigger: int) -> DataFra
     return spark.readStream.schema(RESPONSE_SCHEMA).option("maxFilesPerTrigger", files_per_trigger).json(path)
 
 
+def _report_once(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+    """A batch's unusable texts, and usable ones that differ from its first usable one, each text once."""
+    first, seen = state.get if state.exists else (None, "")
+    seen, out = set(seen.split()), []
+    for text, n_rows, n_valid, problem in sorted(pd.concat(parts)[["text", "n_rows", "n_valid", "problem"]].itertuples(index=False),
+                                                 key=lambda r: r[0]):
+        if text in seen:
+            continue
+        seen.add(text)
+        if pd.isna(problem):
+            first = first or text
+            problem = None if text == first else DIFFERS
+        if problem is not None:
+            out.append((key[0], n_rows, n_valid, problem))
+    state.update((first, " ".join(sorted(seen))))
+    yield pd.DataFrame(out, columns=["batch_no", "n_rows", "n_valid", "problem"])
+
+
 def report_generated_stream(spark: SparkSession, path: str, cols: Sequence[str], out: str, checkpoint: str,
                             files_per_trigger: int = 1_000) -> StreamingQuery:
     """A second sink for what the intake cannot use: one row (batch_no, n_rows, n_valid, problem) for every response
-    that is malformed, empty, lacks a column or has no valid row. It keeps a checkpoint of its own and stops when it
-    has worked through what has arrived; a response that arrives twice is reported once for each different text."""
-    raw = _arrivals(spark, path, files_per_trigger).dropDuplicates(["batch_no", "response"])
-    return (response_report(raw, cols).where("problem IS NOT NULL")
+    that is malformed, empty, lacks a column, has no valid row or differs from an earlier usable one of its batch. It
+    keeps a checkpoint of its own and stops when it has worked through what has arrived; a response that arrives twice
+    is reported once for each different text."""
+    text = F.sha2(F.coalesce("response", F.lit("")), 256).alias("text")
+    raw = _arrivals(spark, path, files_per_trigger).select(F.struct("batch_no", text).alias("batch_no"), "response")
+    return (response_report(raw, cols).select("batch_no.*", "n_rows", "n_valid", "problem").groupBy("batch_no")
+            .applyInPandasWithState(_report_once, REPORT, "first string, seen string", "append", "NoTimeout")
             .writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
             .outputMode("append").trigger(availableNow=True).start())
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.plans.recipe import Workspace
 from evenkeel.sources import generated as gen, tables as src
-from evenkeel.streaming.ingest import ingest_generated_stream
+from evenkeel.streaming.ingest import ingest_generated_stream, report_generated_stream
 
 
 def test_csv_types_and_missing_tokens(spark, tmp_path):
@@ -78,6 +78,24 @@ def test_stream_resumes(spark, tmp_path):
     assert got == [(b, i, 25.0 if b == 3 else (0.0 if b * 10 + i < 12.5 else 25.0)) for b in (1, 2, 3) for i in (0, 1, 3)]
 
 
+@pytest.mark.parametrize("files", [["bad", "good"], ["bad good"]])
+def test_a_bad_response_leaves_its_batch_to_the_retry(spark, tmp_path, files):
+    inbox, out, state, report, marks = (str(tmp_path / x) for x in ("in", "out", "state", "report", "marks"))
+    (tmp_path / "in").mkdir()
+    rows = lambda *a: json.dumps({"rows": [{"a": x} for x in a]})
+    texts = {"bad": {1: '{"rows": [{"a": 1', 2: rows(), 3: json.dumps({"rows": [{"b": 1}]}), 4: rows(7, 8), 5: rows(1, 2)},
+             "good": {1: rows(1, 2), 2: rows(3), 3: rows(4), 4: rows(7, 8, 9), 5: rows(1, 2)}}
+    for k, names in enumerate(files):
+        (tmp_path / "in" / f"{k}.json").write_text("\n".join(
+            json.dumps({"batch_no": b, "response": r}) for name in names.split() for b, r in texts[name].items()))
+        ingest_generated_stream(spark, inbox, ["a"], out, state, None, 1).awaitTermination()
+        report_generated_stream(spark, inbox, ["a"], report, marks, 1).awaitTermination()
+    got = sorted((r["batch_no"], r["row_no"], r["a"]) for r in spark.read.parquet(out).collect())
+    assert got == [(1, 0, 1), (1, 1, 2), (2, 0, 3), (3, 0, 4), (4, 0, 7), (4, 1, 8), (4, 2, 9), (5, 0, 1), (5, 1, 2)]
+    told = sorted((r["batch_no"], r["problem"]) for r in spark.read.parquet(report).collect())
+    assert told == [(1, "no rows"), (2, "no rows"), (3, "absent column a"), (4, "differs from another text")]
+
+
 def test_registered_queries_match_their_sql(spark, sf):
     import duckdb
 
