@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+import random
 import re
 from collections.abc import Iterator
 
@@ -15,7 +17,9 @@ KINDS = ["assign", "access", "hex"]
 NEAR = 48                       # code points before a candidate in which the sensitive word must stand
 AROUND = 200                    # code points of surrounding text on each side that prime the compressor
 MIN_CHARS = 16
-MIN_NOVELTY = 0.95             # marginal compressed bytes for each byte of the candidate
+MIN_NOVELTY = 0.8              # marginal compressed bytes, as a share of what a random string of the same characters adds
+DRAWS = 3                       # random strings a candidate is compared with; one if it is long
+LONG = 256
 DICTIONARY_BYTES = 32_768
 SAMPLE_TEXTS = 2000             # contexts that the dictionary's entropy tables are trained on
 IDENTIFIERS = 4000              # most frequent identifiers in the dictionary
@@ -26,6 +30,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 SENSITIVE = re.compile(r"password|passwd|pwd|secret|token|api_?key|credential|bearer|auth|private[ _]key|access[ _]key", re.I | re.A)
 RUN = re.compile(r"[A-Za-z0-9+/_=.-]{%d,}" % MIN_CHARS)
+DIGIT = re.compile(r"[0-9]")
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{3,}")
 
 
@@ -52,13 +57,29 @@ def candidates(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[in
                 yield a, b
 
 
-def novelty(pack: zstandard.ZstdCompressor, text: str, a: int, b: int) -> float:
-    """Compressed bytes the candidate adds to its surroundings, for each of its own."""
-    before, own, after = text[max(0, a - AROUND):a], text[a:b], text[b:b + AROUND]
-    own_bytes = own.encode("utf-8", "surrogatepass")
-    rest = (before + after).encode("utf-8", "surrogatepass")
-    full = before.encode("utf-8", "surrogatepass") + own_bytes + after.encode("utf-8", "surrogatepass")
-    return (len(pack.compress(full)) - len(pack.compress(rest))) / len(own_bytes)
+def alphabet(own: str) -> str:
+    """The characters a random string like this one is drawn from: whole classes of letters (those of hexadecimal digits,
+    if no other occurs) and digits, and the signs it has."""
+    out = ""
+    for hexadecimal, whole in (("abcdef", "abcdefghijklmnopqrstuvwxyz"), ("ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")):
+        has = set(own) & set(whole)
+        out += "" if not has else hexadecimal if has <= set(hexadecimal) else whole
+    return out + ("0123456789" if DIGIT.search(own) else "") + "".join(sorted(c for c in set(own) if not c.isalnum()))
+
+
+def novelty(pack: zstandard.ZstdCompressor, text: str, a: int, b: int, least: float = 0.0) -> float:
+    """Compressed bytes the candidate adds to its surroundings, as a share of what random strings of its length and
+    characters add in the same place. 0 if it adds less than `least` of their entropy, which they cannot fall below."""
+    before, own, after = (t.encode("utf-8", "surrogatepass") for t in (text[max(0, a - AROUND):a], text[a:b], text[b:b + AROUND]))
+    rest = len(pack.compress(before + after))
+    added = len(pack.compress(before + own + after)) - rest
+    letters = alphabet(text[a:b]).encode()
+    if added < least * 0.9 * len(own) * math.log2(len(letters)) / 8:
+        return 0.0
+    draw = random.Random(own)
+    draws = DRAWS if len(own) < LONG else 1
+    like = sum(len(pack.compress(before + bytes(draw.choices(letters, k=len(own))) + after)) - rest for _ in range(draws))
+    return added * draws / max(like, 1)
 
 
 def sensitive_contexts(docs: DataFrame, text: str) -> DataFrame:
@@ -96,8 +117,9 @@ def train_dictionary(docs: DataFrame, text: str = "text", size: int = DICTIONARY
         F.xxhash64("context"), "context").limit(sample_texts).collect()]
     common = " ".join(r["word"] for r in reversed(top)).encode()
     try:
-        trained = zstandard.train_dictionary(size, [*sample, *[common[k:k + 400] for k in range(0, len(common), 400)]])
-        return trained.as_bytes()
+        tail = common[-(size // 2):]                # the trainer leaves out what its samples hold once: it goes behind
+        trained = zstandard.train_dictionary(size - len(tail), [*sample, *[common[k:k + 400] for k in range(0, len(common), 400)]])
+        return trained.as_bytes() + tail
     except zstandard.ZstdError:                    # too few contexts to learn entropy tables from
         return common[-size:]
 
@@ -111,7 +133,8 @@ def find_secrets(docs: DataFrame, dictionary: bytes, text: str = "text", min_nov
 
     Base matches are counted and digested; `found` holds strings of at least 16 characters, letters and digits among
     them, within 48 characters after a sensitive word, that meet no base match and whose marginal compressed size,
-    against their surroundings and the dictionary, is at least min_novelty bytes a byte. spans names them `novel`
+    against their surroundings and the dictionary, is at least min_novelty of that of random strings of the same length
+    and characters there, so that neither a small alphabet nor length hides a secret. spans names them `novel`
     beside the base spans. Offsets are code points, end exclusive. NULL and empty texts have none, repeated rows get
     the same answer, an empty table gives an empty result; nothing is shuffled.
     """
@@ -125,7 +148,7 @@ def find_secrets(docs: DataFrame, dictionary: bytes, text: str = "text", min_nov
             t = t or ""
             base = base_spans(t)
             new = [{"start": a, "end": b, "novelty": n} for a, b in candidates(t, base)
-                   if (n := novelty(pack, t, a, b)) >= min_novelty]
+                   if (n := novelty(pack, t, a, b, min_novelty)) >= min_novelty]
             every = ordered(base + [("novel", s["start"], s["end"]) for s in new], KINDS)
             out.append((*[sum(k == kind for k, _, _ in base) for kind in KINDS], digest(ordered(base, KINDS)),
                         spelled(every), new))

@@ -1,5 +1,8 @@
+import base64
+import json
 import random
 import re
+import string
 
 from evenkeel.llm import secrets as s
 from evenkeel.llm.spans import digest, ordered, spelled
@@ -46,3 +49,33 @@ def test_odd_documents(docs_of, odd_texts):
     found = s.find_secrets(docs, b"").select("found", "n_assign", "n_access").collect()
     assert len(found) == len(odd_texts) and not any(r["found"] or r["n_assign"] or r["n_access"] for r in found)
     assert s.find_secrets(docs_of([]), b"").count() == 0
+
+
+def test_random_strings_are_reported_whatever_their_alphabet_and_length(docs_of):
+    rng = random.Random(3)
+    words = ["".join(rng.choices(string.ascii_lowercase, k=rng.randint(2, 9))) for _ in range(1500)]
+    names = ["_".join(rng.sample(words, 3)) + f"_v{k % 10}" for k in range(60)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    draw = lambda letters, n: "a7" + "".join(rng.choices(letters, k=n - 2))
+    url64 = lambda data: base64.urlsafe_b64encode(data).decode().rstrip("=")
+
+    def jwt():
+        body = json.dumps({"sub": draw(string.digits, 10), "name": prose(2), "iat": rng.randint(10 ** 9, 2 * 10 ** 9)}).encode()
+        return ".".join((url64(b'{"alg":"HS256","typ":"JWT"}'), url64(body), url64(rng.randbytes(32))))
+
+    kinds = {f"{name} {n}": [draw(letters, n) for _ in range(30)]
+             for name, letters, sizes in (("base36", string.ascii_lowercase + string.digits, (16, 24, 64, 256, 800)),
+                                          ("hex", "0123456789abcdef", (16, 20, 23)),
+                                          ("base64", string.ascii_letters + string.digits + "+/", (16, 24, 64, 256, 400, 1600)))
+             for n in sizes} | {"jwt": [jwt() for _ in range(30)]}
+    plain = [f"{prose(20)} token {rng.choice(names)} {prose(20)}" for _ in range(900)]
+    planted = [(kind, x, f"{prose(20)} secret {x} {prose(20)}") for kind, of in kinds.items() for x in of]
+    dictionary = s.train_dictionary(docs_of(list(enumerate(plain))))
+    rows = [(k, t) for k, t in enumerate([t for _, _, t in planted] + plain[:300])]
+    for given in (dictionary, b""):
+        got = {r["doc_id"]: r["found"] for r in s.find_secrets(docs_of(rows), given).select("row.doc_id", "found").collect()}
+        for kind, of in kinds.items():
+            hit = [any(f["start"] == t.index(x) for f in got[k]) for k, (name, x, t) in enumerate(planted) if name == kind]
+            assert sum(hit) >= 0.8 * len(of), (kind, sum(hit), bool(given))
+    found = {r["doc_id"]: r["found"] for r in s.find_secrets(docs_of(rows), dictionary).select("row.doc_id", "found").collect()}
+    assert not any(found[k] for k in range(len(planted), len(rows)))          # the corpus's own names
