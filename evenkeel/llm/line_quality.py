@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from evenkeel.llm.common import append_columns, local_ids, map_rows, query, table
+from evenkeel.session import cut_lineage
 
 SAMPLE_DOCS = 600              # labelled documents of each class the model is fitted on
 MIN_CONTENT = 0.5              # share of a document's words that must stand in content lines
 MIN_WORDS = 50
+CELLS = 1 << 17                # lines, padding included, that are worked on side by side; a longer document is alone
+FIT_LINES = 500_000            # labelled lines that the driver fits by itself; beyond, tasks sum the gradients
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 FEATURES = ["bias", "symbols", "bangs", "capitals", "digits", "dots", "few_words", "long_words", "distinct_words",
@@ -70,6 +76,18 @@ def base_counts(text: str) -> tuple[int, int, int, int]:
     return n, len(text) - sum(map(text.count, SPACES)), sum(map(text.count, SYMBOLS)), repeated
 
 
+def side_by_side(sizes: list[int], cells: int = CELLS) -> Iterator[list[int]]:
+    """Which documents to work on together: of like length, 256 at most, padded to the longest (the last) within `cells` lines."""
+    part: list[int] = []
+    for k in sorted(range(len(sizes)), key=sizes.__getitem__):
+        if part and (len(part) == 256 or (len(part) + 1) * sizes[k] > cells):
+            yield part
+            part = []
+        part.append(k)
+    if part:
+        yield part
+
+
 class LineCrf:
     """Two labels (0 boilerplate, 1 content): weights of a line's features for content, and label transitions."""
 
@@ -79,9 +97,7 @@ class LineCrf:
     def label(self, sequences: list[np.ndarray]) -> list[np.ndarray]:
         """The best label sequence of each document (Viterbi), documents of like length side by side; a tie is content."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(sequences)
-        by_length = sorted(range(len(sequences)), key=lambda k: len(sequences[k]))
-        for a in range(0, len(by_length), 256):
-            part = by_length[a:a + 256]
+        for part in side_by_side([len(x) for x in sequences]):
             steps = len(sequences[part[-1]])
             gain = np.zeros((len(part), steps))
             size = np.array([len(sequences[k]) for k in part])
@@ -107,43 +123,33 @@ class LineCrf:
         return out
 
 
-def fit_crf(docs: list[tuple[np.ndarray, int]], rounds: int = 300, decay: float = 1e-4) -> LineCrf:
-    """Fit on documents (line features, quality 0 or 1).
+Docs = list[tuple[np.ndarray, int]]
 
-    A good document's lines are content. Of a bad document's lines those count as boilerplate that a logistic
-    regression of lines on the document's label does not hold for content. The chain is then fitted on those
-    label sequences by the likelihood's gradient, from forward and backward sums. Without documents of both kinds
-    all weights are zero, and every line is content.
-    """
+
+def line_gradient(docs: Docs, p: np.ndarray, share: float) -> np.ndarray:
+    """Sum over documents of the logistic regression's gradient; a document weighs 1, each class half of all."""
+    out = np.zeros(len(p))
+    for x, y in docs:
+        out += x.T @ (y - _sigmoid(x @ p)) * (0.5 / (share if y else 1 - share) / len(x))
+    return out
+
+
+def chain_gradient(docs: Docs, p: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sum over documents of what the chain's labels hold less what the model expects, from forward and backward sums."""
     width = len(FEATURES)
-    if len({y for _, y in docs}) < 2:
-        return LineCrf(np.zeros(width), np.zeros((2, 2)))
-    lines = np.concatenate([x for x, _ in docs])
-    mark = np.concatenate([np.full(len(x), float(y)) for x, y in docs])
-    weight = np.concatenate([np.full(len(x), 1 / len(x)) for x, _ in docs])
-    ones = weight[mark == 1].sum() / weight.sum()
-    weight = weight * np.where(mark == 1, 0.5 / ones, 0.5 / (1 - ones))
-    w = _ascend(lambda p: (lines.T @ (weight * (mark - _sigmoid(lines @ p))) / weight.sum()) - decay * p, np.zeros(width), rounds)
-    labels = [np.ones(len(x)) if y else (x @ w > 0).astype(float) for x, y in docs]
-
-    steps = max(len(x) for x, _ in docs)
-    order = sorted(range(len(docs)), key=lambda k: -len(docs[k][0]))
-    x = np.zeros((len(docs), steps, width))
-    y = np.zeros((len(docs), steps), np.int64)
-    size = np.array([len(docs[k][0]) for k in order])
-    for r, k in enumerate(order):
-        x[r, :size[r]], y[r, :size[r]] = docs[k][0], labels[k]
-    inside = np.arange(steps)[None] < size[:, None]
-    alive = inside.sum(0)                                    # sorted by length: a prefix of the rows at each step
-    seen_moves = np.zeros((2, 2))
-    both = inside[:, 1:]
-    np.add.at(seen_moves, (y[:, :-1][both], y[:, 1:][both]), 1)
-    seen_content = (x * (y * inside)[..., None]).sum((0, 1))
-
-    def gradient(p: np.ndarray) -> np.ndarray:
-        w, moves = p[:width], p[width:].reshape(2, 2)
-        gain = np.zeros((len(docs), steps, 2))
-        gain[..., 1] = x @ w
+    w, moves = p[:width], p[width:].reshape(2, 2)
+    out = np.zeros(len(p))
+    for part in side_by_side([len(x) for x, _ in docs]):
+        part = part[::-1]
+        size = np.array([len(docs[k][0]) for k in part])
+        steps = int(size[0])
+        inside = np.arange(steps)[None] < size[:, None]
+        alive = inside.sum(0)                                # sorted by length: a prefix of the rows at each step
+        gain, labels = np.zeros((len(part), steps, 2)), np.zeros((len(part), steps), np.int8)
+        for r, k in enumerate(part):
+            x, good = docs[k]
+            gain[r, :size[r], 1] = x @ w
+            labels[r, :size[r]] = 1 if good else x @ first > 0
         fore, back = np.zeros_like(gain), np.zeros_like(gain)
         fore[:, 0] = gain[:, 0]
         for t in range(1, steps):
@@ -154,12 +160,37 @@ def fit_crf(docs: list[tuple[np.ndarray, int]], rounds: int = 300, decay: float
             ahead = gain[:n, t + 1] + back[:n, t + 1]
             back[:n, t] = np.logaddexp(moves[:, 0] + ahead[:, :1], moves[:, 1] + ahead[:, 1:])
         total = np.logaddexp(fore[:, 0, 0] + back[:, 0, 0], fore[:, 0, 1] + back[:, 0, 1])
-        content = np.exp(fore[..., 1] + back[..., 1] - total[:, None]) * inside
-        pair = np.exp(fore[:, :-1, :, None] + moves + (gain + back)[:, 1:, None, :] - total[:, None, None, None])
-        expected = np.concatenate([(x * content[..., None]).sum((0, 1)), (pair * both[..., None, None]).sum((0, 1)).ravel()])
-        return (np.concatenate([seen_content, seen_moves.ravel()]) - expected) / size.sum() - decay * p
+        for r, k in enumerate(part):
+            n = size[r]
+            out[:width] += docs[k][0].T @ (labels[r, :n] - np.exp(fore[r, :n, 1] + back[r, :n, 1] - total[r]))
+        both = inside[:, 1:]
+        for i in (0, 1):
+            for j in (0, 1):
+                seen = ((labels[:, :-1] == i) & (labels[:, 1:] == j) & both).sum()
+                pair = np.exp(fore[:, :-1, i] + moves[i, j] + gain[:, 1:, j] + back[:, 1:, j] - total[:, None])
+                out[width + 2 * i + j] += seen - pair[both].sum()
+    return out
+
+
+def fit_crf(docs: Docs, rounds: int = 300, decay: float = 1e-4) -> LineCrf:
+    """Fit on documents (line features, quality 0 or 1).
 
-    p = _ascend(gradient, np.concatenate([w, np.zeros(4)]), rounds)
+    A good document's lines are content. Of a bad document's lines those count as boilerplate that a logistic
+    regression of lines on the document's label does not hold for content. The chain is then fitted on those
+    label sequences by the likelihood's gradient, from forward and backward sums. Without documents of both kinds
+    all weights are zero, and every line is content.
+    """
+    return fit_by(lambda gradient, *given: gradient(docs, *given), len(docs), sum(y for _, y in docs), sum(len(x) for x, _ in docs),
+                  rounds, decay)
+
+
+def fit_by(summed: Callable[..., np.ndarray], n_docs: int, n_good: int, n_lines: int, rounds: int = 300, decay: float = 1e-4) -> LineCrf:
+    """fit_crf, where summed(gradient, ...) is gradient(docs, ...) of all documents, wherever they are."""
+    width = len(FEATURES)
+    if n_good in (0, n_docs):
+        return LineCrf(np.zeros(width), np.zeros((2, 2)))
+    w = _ascend(lambda p: summed(line_gradient, p, n_good / n_docs) / n_docs - decay * p, np.zeros(width), rounds)
+    p = _ascend(lambda p: summed(chain_gradient, p, w) / n_lines - decay * p, np.concatenate([w, np.zeros(4)]), rounds)
     return LineCrf(p[:width], p[width:].reshape(2, 2))
 
 
@@ -178,8 +209,11 @@ def _ascend(gradient, p: np.ndarray, rounds: int, rate: float = 0.2) -> np.ndarr
 
 
 def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", quality: str = "quality",
-          sample_docs: int = SAMPLE_DOCS) -> LineCrf:
-    """Fit on at most sample_docs labelled documents of each class, those of the least hash of their id."""
+          sample_docs: int = SAMPLE_DOCS, fit_lines: int = FIT_LINES, rounds: int = 300) -> LineCrf:
+    """Fit on at most sample_docs labelled documents of each class, those of the least hash of their id.
+
+    Up to fit_lines lines come to the driver; of more, the features stay in a table and each round's gradient is
+    summed in tasks, so that the driver holds one vector a task, however long a document is."""
     marked = labels.where(F.col(quality).isin(0, 1) & F.col(doc_id).isNotNull()).select(
         F.col(doc_id).alias("d"), F.col(quality).cast("int").alias("y"), F.xxhash64(F.col(doc_id)).alias("h"))
     chosen = None
@@ -190,10 +224,36 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
              .join(F.broadcast(chosen), "d").select("d", "y", "t"))
 
     def featured(ids, ys, ts):
-        return [(d, y, line_features(t)[0].astype(np.float32).tobytes()) for d, y, t in zip(ids, ys, ts)]
+        return [(d, y, len(x), x.astype(np.float32).tobytes()) for d, y, x in ((d, y, line_features(t)[0]) for d, y, t in zip(ids, ys, ts))]
+
+    found = cut_lineage(map_rows(texts, featured, "d long, y int, n long, x binary").withColumn("rid", F.monotonically_increasing_id()))
+    light = found.select("d", "y", "n", F.xxhash64("x").alias("h"), "rid").orderBy("d", "y", "h", "rid").limit(4 * sample_docs).collect()
+    place = {r["rid"]: k for k, r in enumerate(light)}
+    n_lines, n_good = sum(r["n"] for r in light), sum(r["y"] for r in light)
+    picked = found.where(F.col("rid").isin(list(place))).select("rid", "y", "x")
+    if n_lines <= fit_lines:
+        rows = sorted(picked.collect(), key=lambda r: place[r["rid"]])
+        docs_here = [(_features(r["x"]), r["y"]) for r in rows]
+        return fit_crf(docs_here, rounds)
+
+    def summed(gradient: Callable, *given) -> np.ndarray:
+        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = None
+            for batch in batches:
+                here = [(_features(x), y) for y, x in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+                if here:
+                    part = gradient(here, *given)
+                    total = part if total is None else total + part
+            if total is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], names=["g"])
+
+        return np.sum([r["g"] for r in picked.mapInArrow(run, "g array<double>").collect()], axis=0)
+
+    return fit_by(summed, len(light), n_good, n_lines, rounds)
+
 
-    rows = map_rows(texts, featured, "d long, y int, x binary").orderBy("d", "y", "x").limit(4 * sample_docs).collect()
-    return fit_crf([(np.frombuffer(r["x"], np.float32).reshape(-1, len(FEATURES)).astype(float), r["y"]) for r in rows])
+def _features(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.float32).reshape(-1, len(FEATURES)).astype(float)
 
 
 VERDICT = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
@@ -210,15 +270,19 @@ def judge(docs: DataFrame, model: LineCrf, text: str = "text", min_content: floa
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def work(texts: list) -> list[tuple]:
-        texts = [t or "" for t in texts]
-        lines = [line_features(t) for t in texts]
-        labels = sent.value.label([x for x, _, _ in lines])
-        out = []
-        for t, (x, words, dup), content in zip(texts, lines, labels):
-            n, chars, symbols, repeated = base_counts(t)
-            failed = n < MIN_WORDS or 100 * repeated > 50 * n
-            good = int(words[content].sum())
-            out.append((n, chars, symbols, dup, repeated, failed, not failed and good >= min_content * n, len(words), good))
+        out, part, cells = [], [], 0
+        for k, t in enumerate(texts):
+            part.append(line_features(t or ""))
+            cells += len(part[-1][1])
+            if cells < CELLS and k + 1 < len(texts):
+                continue
+            labels = sent.value.label([x for x, _, _ in part])
+            for t, (x, words, dup), content in zip(texts[len(out):], part, labels):
+                n, chars, symbols, repeated = base_counts(t or "")
+                failed = n < MIN_WORDS or 100 * repeated > 50 * n
+                good = int(words[content].sum())
+                out.append((n, chars, symbols, dup, repeated, failed, not failed and good >= min_content * n, len(words), good))
+            part, cells = [], 0
         return out
 
     return append_columns(docs, text, work, VERDICT)

@@ -1,5 +1,6 @@
 import itertools
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -70,3 +71,40 @@ def test_odd_documents_and_empty_tables(spark, docs_of, odd_texts):
     assert q.judge(docs_of([]), model).count() == 0
     labelled = spark.createDataFrame([(9, 1, 0), (7, 0, 0), (None, 1, 0), (4, None, 0), (99, 1, 1)], "doc_id long, quality int, toxic int")
     assert np.isfinite(q.train(docs, labelled).weights).all()
+
+
+def test_one_long_document_does_not_pad_the_others():
+    rng = np.random.default_rng(2)
+    docs = [(rng.normal(size=(n, len(q.FEATURES))), k % 2) for k, n in enumerate([20_000] + [3] * 255)]
+    model = q.LineCrf(rng.normal(size=len(q.FEATURES)), rng.normal(size=(2, 2)))
+    for run in (lambda: model.label([x for x, _ in docs]), lambda: q.fit_crf(docs, rounds=1)):
+        tracemalloc.start()
+        run()
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 10_000_000                     # padded to the longest: 256 x 20,000 lines, 41 MB of doubles at least
+
+
+def test_gradients_summed_in_tasks_give_the_same_model(spark, docs_of):
+    rows = [(k, "\n".join(f"line {j} of words, that end." if (j + k) % 3 else "## !! || 12" for j in range(2 + k % 7))) for k in range(40)]
+    rows += [(3, rows[3][1]), (40, None), (41, "\n" * 3000)]
+    labels = spark.createDataFrame([(k, int(k % 4 < 2)) for k in range(42)], "doc_id long, quality int")
+    here, spread = (q.train(docs_of(rows), labels, fit_lines=n, rounds=5) for n in (10 ** 6, 0))
+    assert here.weights.any() and np.allclose(here.weights, spread.weights) and np.allclose(here.moves, spread.moves)
+
+
+def test_the_chain_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(4)
+    docs = [(rng.normal(size=(n, len(q.FEATURES))), k % 2) for k, n in enumerate((1, 4, 6, 3))]
+    first, p = rng.normal(size=len(q.FEATURES)), rng.normal(size=len(q.FEATURES) + 4)
+
+    def likelihood(p):
+        out, moves = 0.0, p[-4:].reshape(2, 2)
+        for x, y in docs:
+            score = lambda z: sum(g for g, v in zip(x @ p[:-4], z) if v) + sum(moves[a, b] for a, b in zip(z, z[1:]))
+            seen = [1] * len(x) if y else (x @ first > 0).astype(int).tolist()
+            out += score(seen) - np.logaddexp.reduce([score(z) for z in itertools.product((0, 1), repeat=len(x))])
+        return out
+
+    step = 1e-5 * np.eye(len(p))
+    assert np.allclose(q.chain_gradient(docs, p, first), [(likelihood(p + e) - likelihood(p - e)) / 2e-5 for e in step], atol=1e-6)
