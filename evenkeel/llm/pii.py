@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from evenkeel.llm.common import append_columns, query, table
+from evenkeel.llm.common import append_columns, map_rows, query, table
 from evenkeel.llm.spans import Covered, digest, ordered
 from evenkeel.session import cut_lineage
 
 KINDS = ["email", "ip", "card", "phone"]
 ROUNDS = 3                      # of scoring patterns by instances and instances by patterns
 MIN_SEEDS = 3                   # distinct trusted instances a pattern needs
-MIN_SCORE = 0.8                 # share of a pattern's instances that must be trusted, and trust an instance needs
-MIN_DIGITS = 6                  # of an unseen identifier without @
+MIN_SCORE = 0.8                 # trusted against contradicting instances of a pattern, and trust an instance needs
+MAX_WORDS = 4                   # of an unseen identifier
 
 AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -24,6 +26,7 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 MARK = re.compile(r"[0-9@]")
 DIGIT = re.compile(r"[0-9]")
+SPOKEN = re.compile(r"\S +(?:at|\(at\)|\[at\]) +\S", re.I)
 TRIM = ".,;:!?\"'()[]{}<>#*$%&|"
 
 
@@ -64,6 +67,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+@lru_cache(100_000)
 def _plain(word: str) -> str:
     return DIGIT.sub("0", word.lower().strip(TRIM))
 
@@ -82,86 +86,200 @@ def contexts(text: str, a: int, b: int) -> list[str]:
     return out
 
 
-def scan(text: str) -> tuple:
-    """Base counts, digest and spans, and every slot: base matches as seeds, other words with a digit or @."""
+@lru_cache(100_000)
+def fits(s: str) -> int:
+    """The kinds (as bits) that an unseen identifier may be of; 0 for plain words."""
+    digit = bool(DIGIT.search(s))
+    named = "@" in s or "_" in s or bool(SPOKEN.search(s)) or (digit and any(map(str.isalpha, s)))
+    return int(named) | (0b1110 if digit and "@" not in s else 0)
+
+
+def seeds_and_marked(text: str) -> list[tuple]:
+    """(pattern, instance, kind or NULL, fits): base matches as seeds, and other words with a digit or @, in their contexts."""
+    if not MARK.search(text):
+        return []
     base = base_spans(text)
-    found = ordered(base, KINDS)
-    slots = []
-    if base or MARK.search(text):
-        covered = Covered((a, b) for _, a, b in base)
-        for kind, a, b in base:
-            slots.append((a, b, text[a:b].lower(), kind, True, contexts(text, a, b)))
-        for m in WORD.finditer(text):
-            word = m.group()
-            if MARK.search(word) and not covered.meets(m.start(), m.end()):
-                bare = word.strip(TRIM)
-                a = m.start() + word.index(bare) if bare else m.start()
-                strong = "@" in bare[1:-1] or len(DIGIT.findall(bare)) >= MIN_DIGITS
-                slots.append((a, a + len(bare), bare.lower(), None, strong, contexts(text, a, a + len(bare))))
-    counts = [sum(k == kind for k, _, _ in base) for kind in KINDS]
-    return (*counts, digest(found), [{"start": a, "kind": k, "end": b} for a, _, k, b in found],
-            [{"start": a, "end": b, "instance": i, "kind": k, "strong": s, "patterns": p} for a, b, i, k, s, p in slots])
-
-
-SCANNED = ("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
-           "base array<struct<start:long,kind:string,end:long>>, "
-           "slots array<struct<start:long,end:long,instance:string,kind:string,strong:boolean,patterns:array<string>>>")
-
-
-def score_patterns(slots: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS,
+    covered = Covered((a, b) for _, a, b in base)
+    slots = [(a, b, kind, 1 << KINDS.index(kind)) for kind, a, b in base]
+    for m in WORD.finditer(text):
+        if MARK.search(m.group()) and not covered.meets(m.start(), m.end()):
+            a, b = _bare(text, m.start(), m.end())
+            slots.append((a, b, None, fits(text[a:b])))
+    return [(p, text[a:b].lower(), kind, can) for a, b, kind, can in slots for p in contexts(text, a, b)]
+
+
+def _bare(text: str, a: int, b: int) -> tuple[int, int]:
+    """Without punctuation around it; a bracket that is closed inside stays."""
+    while a < b and text[a] in TRIM and not (text[a] == "(" and ")" in text[a:b]):
+        a += 1
+    while a < b and text[b - 1] in TRIM and not (text[b - 1] == ")" and "(" in text[a:b]):
+        b -= 1
+    return a, b
+
+
+class Stretches:
+    """Finds what stands in given patterns: between the words of two sides up to MAX_WORDS words, beside a one-sided
+    context a word, and on from it the words with digits."""
+
+    def __init__(self, patterns):
+        self.patterns = frozenset(patterns)
+        self.number = {p: k for k, p in enumerate(sorted(self.patterns))}
+        sides = [p.split(" ") for p in self.patterns]
+        self.before = {(x, y) for x, y, z in sides if z == "_"}
+        self.around = {(x, z) for x, y, z in sides if y == "_"}
+        self.after = {(y, z) for x, y, z in sides if x == "_"}
+        self.left = {x for x, _ in self.around}
+
+    def of(self, text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, list[str]]]:
+        """(start, end, patterns) of every stretch that meets no base span."""
+        if not self.patterns:
+            return []
+        words = [(m.start(), m.end()) for m in WORD.finditer(text)]
+        plain = [_plain(text[a:b]) for a, b in words]
+        pairs = set(zip(plain, plain[1:]))
+        if not (self.left.intersection(plain) or pairs & self.before or pairs & self.after):
+            return []
+        n, marked = len(words), [bool(DIGIT.search(p)) for p in plain]
+        found = set()
+        for i in range(n):
+            if i and plain[i - 1] in self.left:
+                j = next((j for j in range(i + 1, min(i + MAX_WORDS, n - 1) + 1) if (plain[i - 1], plain[j]) in self.around), None)
+                if j:
+                    found.add((i, j))
+            if i > 1 and (plain[i - 2], plain[i - 1]) in self.before:
+                j = i + 1
+                while marked[i] and j < n and j < i + MAX_WORDS and marked[j]:
+                    j += 1
+                found.add((i, j))
+            if i + 2 < n and (plain[i + 1], plain[i + 2]) in self.after:
+                h = i
+                while marked[i] and h and i - h + 1 < MAX_WORDS and marked[h - 1]:
+                    h -= 1
+                found.add((h, i + 1))
+        covered, out = Covered((a, b) for _, a, b in base), []
+        for i, j in sorted(found):
+            a, b = _bare(text, words[i][0], words[j - 1][1])
+            if a < b and not covered.meets(a, b) and (here := [p for p in contexts(text, a, b) if p in self.patterns]):
+                out.append((a, b, here))
+        return out
+
+
+EDGES = "pattern string, instance string, kind string, fits int"
+
+
+def reachable(edges: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS) -> set[str]:
+    """The patterns that could be accepted within the rounds: with min_seeds instances, each a seed or in such a pattern."""
+    known, patterns = edges.where("kind IS NOT NULL").select("instance").distinct(), None
+    for _ in range(rounds):
+        patterns = cut_lineage(edges.where("fits > 0").join(known, "instance").groupBy("pattern").agg(
+            F.countDistinct("instance").alias("n")).where(F.col("n") >= min_seeds).select("pattern"))
+        known = cut_lineage(edges.where("fits > 0").join(patterns, "pattern").select("instance").unionByName(known).distinct())
+    return {r["pattern"] for r in patterns.collect()}
+
+
+def score_patterns(edges: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS,
                    min_score: float = MIN_SCORE) -> DataFrame:
-    """(pattern, kind, score) of the accepted patterns, from rows (instance, kind or NULL, strong, pattern).
+    """(pattern, kind, score) of the accepted patterns, from rows (pattern, instance, kind or NULL, fits, n).
+
+    A row without instance stands for n plain words.
 
     The graph has an edge for each pattern and instance that occur together, whatever how often. A pattern's score for
-    a kind is the mean trust of its instances; it is accepted with min_score and min_seeds trusted instances. A seed's
-    trust in its kind is 1; another strong instance is trusted as much as one of its accepted patterns would have to
-    be wrong together for it not to be one (noisy or, each pattern at nine tenths of its score).
+    a kind is the trust of its instances against that and its contradicting instances (seeds of other kinds, plain
+    words, strings that cannot be of the kind); unseen ones that can be are left out. It is accepted with min_score and
+    min_seeds trusted instances. A seed's trust in its kind is 1; another instance is trusted as much as one of its
+    accepted patterns would have to be wrong together for it not to be one (noisy or, each pattern at nine tenths of
+    its score).
     """
-    edges = cut_lineage(slots.groupBy("pattern", "instance").agg(F.max("kind").alias("seed"), F.max("strong").alias("strong")))
+    edges = cut_lineage(edges.groupBy("pattern", "instance").agg(F.max("kind").alias("seed"), F.bit_or("fits").alias("fits"), F.max("n").alias("n")))
     seeds = cut_lineage(edges.where("seed IS NOT NULL").groupBy("instance", F.col("seed").alias("kind")).agg(F.lit(1.0).alias("trust")))
-    size = cut_lineage(edges.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= min_seeds))
+    kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(1 << i).alias("bit")) for i, k in enumerate(KINDS)]))
+    against = cut_lineage(edges.select("pattern", "fits", "n", kinds.alias("k")).groupBy("pattern", "k.kind").agg(
+        F.sum(F.when(F.col("fits").bitwiseAND(F.col("k.bit")) == 0, F.col("n")).otherwise(0)).alias("against")))
+    can = F.lit(False)
+    for i, k in enumerate(KINDS):
+        can = can | ((F.col("kind") == k) & (F.col("fits").bitwiseAND(F.lit(1 << i)) != 0))
     trust, accepted = seeds, None
     for _ in range(rounds):
-        votes = edges.join(trust, "instance").groupBy("pattern", "kind").agg(
+        votes = edges.join(trust, "instance").where(can).groupBy("pattern", "kind").agg(
             F.sum("trust").alias("total"), F.sum((F.col("trust") >= min_score).cast("int")).alias("support"))
-        accepted = cut_lineage(votes.join(size, "pattern").withColumn("score", F.col("total") / F.col("n"))
+        accepted = cut_lineage(votes.join(against, ["pattern", "kind"]).withColumn("score", F.col("total") / (F.col("total") + F.col("against")))
                                .where((F.col("score") >= min_score) & (F.col("support") >= min_seeds))
                                .select("pattern", "kind", "score"))
-        fresh = (edges.where("seed IS NULL AND strong").join(accepted, "pattern").groupBy("instance", "kind")
+        fresh = (edges.where("seed IS NULL").join(accepted, "pattern").where(can).groupBy("instance", "kind")
                  .agg((1 - F.exp(F.sum(F.log(1 - 0.9 * F.col("score"))))).alias("trust")))
         known = seeds.select("instance").distinct()
         trust = cut_lineage(seeds.unionByName(fresh.join(known, "instance", "left_anti")))
     return accepted
 
 
+FOUND = ("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, "
+         "base array<struct<start:long,kind:string,end:long>>, found array<struct<start:long,kind:string,end:long>>")
+
+
 def find_personal_data(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS,
                        min_score: float = MIN_SCORE) -> DataFrame:
     """(row, n_email, n_ip, n_card, n_phone, base_sha256, base, found): every row of docs.
 
     base are the matches of the fixed patterns; found are further spans (start, kind, end), kind `like_<kind>`:
-    strings with an @ inside or min. six digits that stand in an accepted pattern of that kind and meet no base span. Offsets are code
-    points, end exclusive. NULL and empty texts have no spans; repeated rows get the same answer and count as one
-    instance; with no seeds nothing is learned; empty tables give empty results.
+    up to four words that stand in an accepted pattern of that kind, can be of it and meet no base span; of those that
+    overlap the best scored stays. Offsets are code points, end exclusive. NULL and empty texts have no spans; repeated
+    rows get the same answer and count as one instance; with no seeds nothing is learned; empty tables give empty results.
 
-    Texts are scanned once; the slots are then dealt by pattern and by instance, combined before each shuffle. Rows
-    are told apart by a number that is written with the scan, so a lost executor cannot change it.
+    Texts are scanned for seeds, then for all that stands in the patterns that could be accepted, then for the answer;
+    only patterns and instances are shuffled. The driver and each task hold the patterns that three seeds reach.
     """
-    scanned = append_columns(docs, text, lambda texts: [scan(t or "") for t in texts], SCANNED)
-    scanned = cut_lineage(_without_text(scanned, docs, text).withColumn("rid", F.monotonically_increasing_id()))
-    slots = scanned.select("rid", F.explode("slots").alias("s")).select(
-        "rid", "s.start", "s.end", "s.instance", "s.kind", "s.strong", F.explode("s.patterns").alias("pattern"))
-    accepted = score_patterns(slots, rounds, min_seeds, min_score)
-    hits = (slots.where("kind IS NULL AND strong").select("rid", "start", "end", "pattern").join(accepted, "pattern")
-            .groupBy("rid", "start", "end").agg(F.max(F.struct("score", "kind")).alias("best"))
-            .groupBy("rid").agg(F.sort_array(F.collect_list(F.struct(
-                "start", F.concat(F.lit("like_"), F.col("best.kind")).alias("kind"), "end"))).alias("found")))
-    empty = F.array().cast("array<struct<start:long,kind:string,end:long>>")
-    return (scanned.drop("slots").join(hits, "rid", "left")
-            .withColumn("found", F.coalesce("found", empty)).drop("rid"))
+    spark = docs.sparkSession
+    edges = cut_lineage(map_rows(docs.select(text), lambda texts: [e for t in texts for e in seeds_and_marked(t or "")], EDGES).distinct())
+    sent = spark.sparkContext.broadcast(Stretches(reachable(edges, rounds, min_seeds)))
+
+    def standing(texts: list) -> list[tuple]:
+        out, number = set(), sent.value.number
+        for t in texts:
+            for a, b, here in sent.value.of(t, base_spans(t)) if t else ():
+                word = t[a:b].lower()
+                can = fits(t[a:b])
+                row = (word, can, None) if can else (None, 0, xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) - (1 << 63))
+                out.update((number[p], *row) for p in here)
+        return list(out)
+
+    accepted: list = []
+    if sent.value.patterns:
+        # words with digits alone and as part of a stretch are not two instances: what stands there now counts
+        # plain words are told apart by their hash and only counted, a row for each pattern
+        stand = (map_rows(docs.select(text), standing, "at int, instance string, fits int, plain long").distinct()
+                 .groupBy("at", "instance", "fits").agg(F.greatest(F.count("plain"), F.lit(1)).alias("n")))
+        names = spark.createDataFrame([(k, p) for p, k in sent.value.number.items()], "at int, pattern string")
+        stand = stand.join(F.broadcast(names), "at").select("pattern", "instance", F.lit(None).cast("string").alias("kind"), "fits", "n")
+        seeds = edges.where("kind IS NOT NULL").withColumn("n", F.lit(1).cast("long"))
+        accepted = score_patterns(seeds.unionByName(stand), rounds, min_seeds, min_score).collect()
+    scores: dict = {}
+    for r in accepted:
+        scores.setdefault(r["pattern"], []).append((r["score"], r["kind"]))
+    chosen = spark.sparkContext.broadcast((Stretches(scores), scores))
+
+    def work(texts: list) -> list[tuple]:
+        stretches, scores = chosen.value
+        out = []
+        for t in texts:
+            t = t or ""
+            base = base_spans(t)
+            spans, found = ordered(base, KINDS), []
+            best = []
+            for a, b, here in stretches.of(t, base):
+                can = fits(t[a:b])
+                best += [(-s, a - b, a, b, k) for p in here for s, k in scores[p] if can >> KINDS.index(k) & 1]
+            for _, _, a, b, kind in sorted(best):
+                if all(b <= f["start"] or f["end"] <= a for f in found):
+                    found.append({"start": a, "kind": f"like_{kind}", "end": b})
+            out.append((*[sum(k == kind for k, _, _ in base) for kind in KINDS], digest(spans),
+                        [{"start": a, "kind": k, "end": b} for a, _, k, b in spans], sorted(found, key=lambda f: f["start"])))
+        return out
+
+    return _without_text(append_columns(docs, text, work, FOUND), docs, text)
 
 
 def _without_text(scanned: DataFrame, docs: DataFrame, text: str) -> DataFrame:
-    """The row without its text: the scan is written, the texts need not be."""
+    """The row without its text."""
     rest = [F.col("row").getField(c).alias(c) for c in docs.columns if c != text]
     return scanned.withColumn("row", F.struct(*rest) if rest else F.struct(F.lit(0).alias("none")))
 

@@ -64,3 +64,20 @@ def test_odd_documents(docs_of, odd_texts):
     assert p.find_personal_data(docs_of([])).count() == 0
     spelled = p.find_personal_data(docs_of([(1, "a@b.c 10.0.0.1 a@b.c")])).select(p.spelled_spans("base", "found").alias("s")).first()
     assert spelled["s"] == "email:0:5,ip:6:14,email:15:20"
+
+
+def test_few_seeds_find_many_identifiers_of_any_form(docs_of):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    mails = ["john at mail", "john_doe", "@anna", "kim77", "x@intern"]
+    calls = ["030 123 456", "(555) 867-5309", "12345", "AB 12 34", "0171-22"]
+    rows = [(k, f"{word()} please write to a{k}.b@mail{k}.org for help {word()}") for k in range(4)]
+    rows += [(10 + k, f"{word()} please write to {x} for help {word()}") for k, x in enumerate(mails)]
+    rows += [(20 + k, f"{word()} ring us on +1 (499) 555-65{k:02} before noon {word()}") for k in range(4)]
+    rows += [(30 + k, f"{word()} ring us on {x} before noon {word()}") for k, x in enumerate(calls)]
+    rows += [(40 + k, f"{word()} see page on 10.0.0.{k} or {word()}") for k in range(4)]
+    rows += [(50 + k, f"{word()} see page on {word()} or {word()}") for k in range(9)] + [(60, "abcde see page on 77 or abcde")]
+    found = {r["doc_id"]: r["found"] for r in p.find_personal_data(docs_of(rows)).select("row.doc_id", "found").collect()}
+    text = dict(rows)
+    got = {d: [(f["kind"], text[d][f["start"]:f["end"]]) for f in fs] for d, fs in found.items() if fs}
+    assert got == {**{10 + k: [("like_email", x)] for k, x in enumerate(mails)}, **{30 + k: [("like_phone", x)] for k, x in enumerate(calls)}}
