@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["line_quality", "pii", "lm_score", "chat_format", "chosen_path", "decontaminate", "line_dedup", "secrets", "url_filters", "pieces"]
+MODULES = ["line_quality", "pii", "lm_score", "chat_format", "chosen_path", "decontaminate", "line_dedup", "secrets", "url_filters", "pieces",
+           "prefix_trie"]
 
 
 def load_all():
