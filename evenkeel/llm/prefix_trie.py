@@ -188,18 +188,16 @@ def prefix_trie(turns: DataFrame, conv_id: str = "conv_id", turn: str = "turn",
         zero.alias("saved_tokens"), F.when(F.col("n_ends") == 1, F.sha2(F.col("conv_id").cast("string").cast("binary"), 256)).otherwise(none).alias("ends_sha256"))
     every_node = cut_lineage(many.unionByName(single))
 
-    top = convs.agg(F.count("*").alias("n_convs"), F.min("conv").alias("conv_id")).where("n_convs > 0")
-    below = every_node.where("depth = 1").agg(F.count("*").alias("n_children"), F.sum("n_leaves").alias("n_leaves"), F.sum("saved_tokens").alias("saved_tokens"))
-    root_end = ends.where("depth = 0").agg(F.max("ends_sha256").alias("ends_sha256"))
-    root = top.crossJoin(below).crossJoin(root_end)                          # one row each
     out = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
-    root_row = root.select("conv_id", zero.alias("depth"), F.lit(None).cast("long").alias("parent_conv_id"), "n_convs", "n_children",
-                           F.coalesce("n_leaves", F.lit(1)).alias("n_leaves"), F.coalesce("saved_tokens", zero).alias("saved_tokens"),
-                           F.coalesce("ends_sha256", none).alias("ends_sha256"))
+    types = "conv_id long, depth long, parent_conv_id long, n_convs long, n_children long, n_leaves long, saved_tokens long, ends_sha256 string"
+    top = convs.agg(F.count("*"), F.min("conv")).first()
+    below = every_node.where("depth = 1").agg(F.count("*"), F.sum("n_leaves"), F.sum("saved_tokens")).first()
+    turnless = ends.where("depth = 0").select("ends_sha256").first()
+    root = [] if not top[0] else [(top[1], 0, None, top[0], below[0], below[1] or 1, below[2] or 0, turnless[0] if turnless else sha(""))]
+    root_row = turns.sparkSession.createDataFrame(root, types)
     parents = shared.select((F.col("depth") + 1).alias("depth"), F.col("k1").alias("q1"), F.col("k2").alias("q2"), F.col("conv_id").alias("shared_parent"))
-    root_id = F.broadcast(top.select(F.col("conv_id").alias("root_conv")))   # one row
-    found = (every_node.join(parents, ["depth", "q1", "q2"], "left").crossJoin(root_id)
-             .withColumn("parent_conv_id", F.when(F.col("depth") == 1, F.col("root_conv")).otherwise(F.coalesce("shared_parent", "conv_id"))))
+    found = every_node.join(parents, ["depth", "q1", "q2"], "left").withColumn(
+        "parent_conv_id", F.when(F.col("depth") == 1, F.lit(top[1])).otherwise(F.coalesce("shared_parent", "conv_id")))
     return found.select(*out).unionByName(root_row)
 
 
