@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 from collections.abc import Iterable, Iterator, Sequence
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
@@ -20,6 +24,8 @@ BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 BLOCK_BYTES = 4 << 20          # text of one block; a longer text is a block of its own
 ENCODE_BYTES = 256 << 10       # text encoded at once
+KNOWN, KNOWN_CHARS = 150_000, 48         # remembered words, and their length at most: memory, not a limit on texts
+JOINED = 1000                  # unknown words encoded as one text
 WIDE = 4096                    # links of a group above which ids are counted before they are paired
 
 
@@ -51,15 +57,85 @@ class Pair:
                         for i in range(self.b.get_piece_size()) for p in [self.b.id_to_piece(i)]]
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
 
+        # neither tokenizer has a token that goes on over a space behind a non-space, so that words can be encoded alone
+        split = vocabulary.get("pre_tokenizer") or {}
+        self.by_word = (split.get("type") == "ByteLevel" and split.get("use_regex", True) and not vocabulary.get("normalizer")
+                        and not any("▁" in self.b.id_to_piece(i).lstrip("▁") for i in range(self.b.get_piece_size())))
+        self.recent: dict[str, tuple] = {}
+        self.older: dict[str, tuple] = {}
+
     def encode(self, texts: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
         """The ids of each text, space + text for the byte-level one; None where either does not spell space + text."""
         for batch in _batched(texts):
-            left = self.a.encode_batch_fast([" " + t for t in batch], add_special_tokens=False)
-            right = self.b.encode(batch, num_threads=1)
-            for text, x, b in zip(batch, left, right):
-                a, whole = x.ids, (" " + text).encode()
-                same = (b"".join(map(self.a_bytes.__getitem__, a)) == whole and b"".join(map(self.b_bytes.__getitem__, b)) == whole)
-                yield (a, b) if same else None
+            words = [_words(t) if self.by_word else [t] for t in batch]
+            recent, older, new = self.recent, self.older, {}
+            for ws in words:
+                for w, ids in zip(ws, map(recent.get, ws)):
+                    if ids is None:
+                        ids = older.get(w)
+                        if ids is None:
+                            new[w] = None
+                        else:
+                            recent[w] = ids
+            passing = []
+            for w, ids in zip(new, self._spelled(list(new))):
+                if ids is not None:
+                    recent[w] = tuple(ids[0]), tuple(ids[1])        # tuples of numbers are no work for the collector
+                    if len(w) > KNOWN_CHARS:
+                        passing.append(w)
+            for ws in words:
+                ids = list(map(recent.get, ws))
+                yield None if None in ids else tuple(list(chain.from_iterable(map(itemgetter(k), ids))) for k in (0, 1))
+            for w in passing:
+                del recent[w]
+            if len(recent) > KNOWN:                                # words not met for long are forgotten
+                self.recent, self.older = {}, recent
+
+    def _spelled(self, words: list[str]) -> Iterator[tuple[list[int], list[int]] | None]:
+        """The ids of each word. Words that may stand one behind the other are encoded as one text and cut apart."""
+        if not self.by_word:
+            yield from map(self._alone, words)
+            return
+        for k in range(0, len(words), JOINED):
+            part = words[k:k + JOINED]
+            lines = [w for w in part if w and not w[-1].isspace()]
+            got = self._alone(" ".join(lines)) if lines else None
+            if got is None:                                        # one of them is not spelled out, or none is plain
+                yield from map(self._alone, part)
+                continue
+            a, b = got
+            to = np.cumsum([len(w.encode()) + 1 for w in lines])
+            cut_a, cut_b = (np.searchsorted(np.cumsum(t[x]), to) + 1 for t, x in ((self.a_sizes, a), (self.b_sizes, b)))
+            cuts = iter(zip([0, *cut_a.tolist()], cut_a.tolist(), [0, *cut_b.tolist()], cut_b.tolist()))
+            for w in part:
+                if w and not w[-1].isspace():
+                    i, x, j, y = next(cuts)
+                    yield a[i:x], b[j:y]
+                else:
+                    yield self._alone(w)
+
+    def _alone(self, text: str) -> tuple[list[int], list[int]] | None:
+        whole = (" " + text).encode()
+        a = self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids
+        b = self.b.encode(text, num_threads=1) if text else [self.b.piece_to_id("▁")]       # no text, no prefix
+        same = (b"".join(map(self.a_bytes.__getitem__, a)) == whole and b"".join(map(self.b_bytes.__getitem__, b)) == whole)
+        return (a, b) if same else None
+
+
+def _words(text: str) -> list[str]:
+    """The parts of space + text before each space that follows a non-space, without their first space."""
+    words = text.split(" ")
+    if "" not in words and not any(c in text for c in "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") and text.isascii():
+        return words
+    out, held = [], None
+    for w in words:
+        held = w if held is None else f"{held} {w}"
+        if w and not w[-1].isspace():
+            out.append(held)
+            held = None
+    if held is not None:
+        out.append(held)
+    return out
 
 
 def _batched(texts: list[str]) -> Iterator[list[str]]:
@@ -74,30 +150,30 @@ def _batched(texts: list[str]) -> Iterator[list[str]]:
         yield batch
 
 
-def common_ends(a: Sequence[int], b: Sequence[int]) -> tuple[list[int], list[int]]:
+def common_ends(a: list[int], b: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """For each group, how many tokens of a and of b stand up to its end; a and b hold the tokens' ends in bytes.
 
     While tokens go one to one, a[i] equals b[i + shift]. The length of such a stretch is found by probing: the two
-    slices at the current shift are compared at doubling lengths, then at halving ones. Where it breaks off, the
-    side whose end lies further left steps on until both ends meet, and the shift is taken anew.
+    slices at the current shift are compared at doubling lengths, then at halving ones, and the stretch is jumped
+    over. Where it breaks off, the side whose end lies further left steps on until both ends meet, and the shift is taken anew.
     """
-    out_a: list[int] = []
-    out_b: list[int] = []
-    i, shift, n, m = 0, 0, len(a), len(b)
+    heads, shifts, runs = [], [], []                           # a run of one-to-one groups, or a single other group
+    i, shift, n = 0, 0, len(a)
     while i < n:
         j = i + shift
         if a[i] == b[j]:
-            run, probe = 1, 1
-            while i + run < n and a[i + run:i + run + probe] == b[j + run:j + run + probe]:
-                run += probe                                   # a slice beyond the end differs in length, or ends both
+            run = probe = 1
+            while a[i + run:i + run + probe] == b[j + run:j + run + probe] and i + run < n:
+                run += probe
                 probe += probe
             while probe > 1:
                 probe >>= 1
-                if i + run < n and a[i + run:i + run + probe] == b[j + run:j + run + probe]:
+                if a[i + run:i + run + probe] == b[j + run:j + run + probe]:
                     run += probe
-            run = min(run, n - i, m - j)
-            out_a.extend(range(i + 1, i + run + 1))
-            out_b.extend(range(j + 1, j + run + 1))
+            run = min(run, n - i)                              # a last slice may reach beyond both ends
+            heads.append(i + 1)
+            shifts.append(shift)
+            runs.append(run)
             i += run
             continue
         x, y = a[i], b[j]
@@ -108,23 +184,32 @@ def common_ends(a: Sequence[int], b: Sequence[int]) -> tuple[list[int], list[int
             else:
                 j += 1
                 y = b[j]
-        i, j = i + 1, j + 1
-        out_a.append(i)
-        out_b.append(j)
         shift = j - i
-    return out_a, out_b
+        i += 1
+        heads.append(i)
+        shifts.append(shift)
+        runs.append(1)
+    runs = np.array(runs, np.int64)
+    within = np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs)
+    ends_a = np.repeat(np.array(heads, np.int64), runs) + within
+    return ends_a, ends_a + np.repeat(np.array(shifts, np.int64), runs)
 
 
-def spelled(a: list[int], b: list[int], ends_a: list[int], ends_b: list[int], words_a: list[str], words_b: list[str]) -> str:
-    """`a1,a2|b1;a3|b2,b3`: the ids of each group."""
-    out, i, j = [], 0, 0
-    for x, y in zip(ends_a, ends_b):
-        if x - i == 1 and y - j == 1:
-            out.append(words_a[a[i]] + "|" + words_b[b[j]])
-        else:
-            out.append(",".join([words_a[t] for t in a[i:x]]) + "|" + ",".join([words_b[t] for t in b[j:y]]))
-        i, j = x, y
-    return ";".join(out)
+class Speller:
+    """The ids of groups as text, `a1,a2|b1;a3|b2,b3`: ids with each separator are made once."""
+
+    def __init__(self, model: Pair):
+        self.a, self.b = ([np.array([f"{i}{c}" for i in range(len(t))], object) for c in marks]
+                          for t, marks in ((model.a_bytes, ",|"), (model.b_bytes, ",;")))
+
+    def spell(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> str:
+        out = np.empty(len(a) + len(b), object)
+        for ids, marked, ends, before in ((a, self.a, ends_a, np.concatenate(([0], ends_b[:-1]))), (b, self.b, ends_b, ends_a)):
+            sizes = np.diff(ends, prepend=0)
+            to = np.arange(len(ids)) + np.repeat(before, sizes)       # behind what the other side has by then
+            out[to] = marked[0][ids]
+            out[to[ends - 1]] = marked[1][ids[ends - 1]]
+        return "".join(out.tolist())[:-1]
 
 
 def linked(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,18 +219,19 @@ def linked(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray)
     its occurrences are never put down one by one.
     """
     from_a, from_b = np.concatenate(([0], ends_a[:-1])), np.concatenate(([0], ends_b[:-1]))
-    n_b = ends_b - from_b
-    links = (ends_a - from_a) * n_b
-    wide = links > WIDE
-    g = np.repeat(np.arange(len(links))[~wide], links[~wide])
-    k = np.arange(len(g)) - np.repeat(np.cumsum(links[~wide]) - links[~wide], links[~wide])
-    codes = [a[from_a[g] + k // n_b[g]] << 32 | b[from_b[g] + k % n_b[g]]]
-    times = [np.ones(len(g), np.int64)]
+    n_a, n_b = ends_a - from_a, ends_b - from_b
+    links = n_a * n_b
+    one, wide = links == 1, links > WIDE
+    some = np.flatnonzero(~one & ~wide)
+    g = np.repeat(some, links[some])
+    k = np.arange(len(g)) - np.repeat(np.cumsum(links[some]) - links[some], links[some])
+    codes = [a[from_a[one]] << 32 | b[from_b[one]], a[from_a[g] + k // n_b[g]] << 32 | b[from_b[g] + k % n_b[g]]]
+    times = [np.ones(len(codes[0]) + len(codes[1]), np.int64)]
     for w in np.flatnonzero(wide):
-        ids_a, n_a = np.unique(a[from_a[w]:ends_a[w]], return_counts=True)
+        ids_a, m_a = np.unique(a[from_a[w]:ends_a[w]], return_counts=True)
         ids_b, m_b = np.unique(b[from_b[w]:ends_b[w]], return_counts=True)
         codes.append((ids_a[:, None] << 32 | ids_b[None, :]).ravel())
-        times.append((n_a[:, None] * m_b[None, :]).ravel())
+        times.append((m_a[:, None] * m_b[None, :]).ravel())
     return np.concatenate(codes), np.concatenate(times)
 
 
@@ -171,7 +257,7 @@ def align_tokens(docs: DataFrame, text: str = "text", byte_level: str = BYTE_LEV
                 continue
             a, b = got
             ends = common_ends(np.cumsum(model.a_sizes[a]).tolist(), np.cumsum(model.b_sizes[b]).tolist())
-            out.append((a, b, [{"a": x, "b": y} for x, y in zip(*ends)]))
+            out.append((a, b, [{"a": x, "b": y} for x, y in zip(*(e.tolist() for e in ends))]))
         return out
 
     return append_columns(docs, text, work, ALIGNED)
@@ -194,12 +280,15 @@ def _align_blocks(byte_level: str, pieces: str, at: int, keep: list[int], arrow:
     """Texts in, one row a text out, and one row a block with its distinct linked pairs and their documents."""
     def block_batch(number: int, rows: list[list], figures: list[tuple], codes: list, times: list, sizes: list[int]) -> pa.RecordBatch:
         flat = np.concatenate(codes) if codes else np.zeros(0, np.int64)
-        pairs, slot = np.unique(flat, return_inverse=True)
+        slot, pairs = pd.factorize(flat)
         where = np.repeat(np.arange(len(sizes)), sizes) * max(len(pairs), 1) + slot        # (text, pair)
-        order = np.argsort(where, kind="stable")
-        first = np.flatnonzero(np.concatenate(([True], np.diff(where[order]) != 0))) if len(where) else np.zeros(0, np.int64)
-        met = np.add.reduceat(np.concatenate(times)[order], first) if len(where) else np.zeros(0, np.int64)
-        doc, slot = np.divmod(where[order][first], max(len(pairs), 1))
+        often = np.concatenate(times) if times else np.zeros(0, np.int64)
+        single = len(often) == 0 or often.max() == 1
+        order = None if single else np.argsort(where)
+        where = np.sort(where) if single else where[order]
+        first = np.flatnonzero(np.diff(where, prepend=-1))
+        met = np.diff(first, append=len(where)) if single else np.add.reduceat(often[order], first)
+        doc, slot = np.divmod(where[first], max(len(pairs), 1))
         offsets = np.searchsorted(doc, np.arange(len(sizes) + 1)).astype(np.int32)
         n_docs = np.bincount(slot, minlength=len(pairs))
         n, nothing = len(rows), pa.nulls
@@ -214,8 +303,15 @@ def _align_blocks(byte_level: str, pieces: str, at: int, keep: list[int], arrow:
         return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, arrow)], schema=arrow)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gc.disable()                          # nothing here refers to itself, and passes over the remembered words cost a third
+        try:
+            yield from blocks(batches)
+        finally:
+            gc.enable()
+
+    def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, number = _model(byte_level, pieces), TaskContext.get().partitionId() << 32
-        words_a, words_b = ([str(i) for i in range(len(t))] for t in (model.a_bytes, model.b_bytes))
+        speller = Speller(model)
         rows, figures, codes, times, sizes, held = [], [], [], [], [], 0
         for batch in batches:
             texts = batch.column(at).to_pylist()
@@ -230,11 +326,11 @@ def _align_blocks(byte_level: str, pieces: str, at: int, keep: list[int], arrow:
                 else:
                     a, b = np.array(got[0], np.int64), np.array(got[1], np.int64)
                     ends_a, ends_b = common_ends(np.cumsum(model.a_sizes[a]).tolist(), np.cumsum(model.b_sizes[b]).tolist())
-                    code, time = linked(a, b, np.array(ends_a), np.array(ends_b))
+                    code, time = linked(a, b, ends_a, ends_b)
                     codes.append(code)
                     times.append(time)
                     sizes.append(len(code))
-                    figures.append((len(a), len(b), len(ends_a), int(time.sum()), sha(spelled(*got, ends_a, ends_b, words_a, words_b))))
+                    figures.append((len(a), len(b), len(ends_a), int(time.sum()), sha(speller.spell(a, b, ends_a, ends_b))))
                     held += len(text)
                 if held > BLOCK_BYTES or len(rows) > 50_000:
                     yield block_batch(number, rows, figures, codes, times, sizes)

@@ -13,6 +13,10 @@ def model():
     return ct.Pair()
 
 
+def plain(ends):
+    return ends[0].tolist(), ends[1].tolist()
+
+
 def brute_ends(a, b):
     both = sorted(set(a) & set(b))
     return [a.index(x) + 1 for x in both], [b.index(x) + 1 for x in both]
@@ -22,14 +26,14 @@ def brute_ends(a, b):
 @given(st.sets(st.integers(1, 80)), st.sets(st.integers(1, 80)), st.integers(81, 83))
 def test_common_ends(a, b, last):
     a, b = sorted(a | {last}), sorted(b | {last})
-    assert ct.common_ends(a, b) == brute_ends(a, b)
+    assert plain(ct.common_ends(a, b)) == brute_ends(a, b)
 
 
 def test_common_ends_on_long_stretches():
     a = list(range(1, 5001))
     b = [x for x in a if x not in (17, 18, 900, 4000)]
-    assert ct.common_ends(a, b) == brute_ends(a, b)
-    assert ct.common_ends(b, a) == brute_ends(b, a)
+    assert plain(ct.common_ends(a, b)) == brute_ends(a, b)
+    assert plain(ct.common_ends(b, a)) == brute_ends(b, a)
 
 
 def test_wide_groups_count_ids_before_pairing(monkeypatch):
@@ -42,9 +46,9 @@ def test_wide_groups_count_ids_before_pairing(monkeypatch):
         for c, n in zip(*ct.linked(a, b, *ends)):
             out[int(c)] += int(n)
         return out
-    plain = totals()
+    first = totals()
     monkeypatch.setattr(ct, "WIDE", 10)
-    assert totals() == plain and sum(plain.values()) == 150 + 298 + 49
+    assert totals() == first and sum(first.values()) == 150 + 298 + 49
 
 
 def brute(model, rows):
@@ -111,6 +115,14 @@ def test_table(spark, sf, model):
     assert found(df) == brute(model, [tuple(r) for r in df.collect()])
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="ab, 1\n\t\r\u00a0\u3000\x1cé日'▁", max_size=30), max_size=4))
+def test_words_encoded_alone_give_the_ids_of_whole_texts(texts):
+    pair, whole = ct._model(ct.BYTE_LEVEL, ct.PIECES), ct.Pair()
+    whole.by_word = False
+    assert pair.by_word and list(pair.encode(texts)) == list(whole.encode(texts))
+
+
 def test_empty(spark, docs_of):
     assert found(docs_of([(1, "x")]).where("doc_id = 2")) == []
 
