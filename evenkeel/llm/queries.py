@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 MODULES = ["line_quality", "pii", "lm_score", "chat_format", "chosen_path", "decontaminate", "line_dedup", "secrets", "url_filters", "pieces",
-           "prefix_trie", "cross_tokens"]
+           "prefix_trie", "cross_tokens", "license_scan"]
 
 
 def load_all():
