@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import json
 import os
+import re
 from collections.abc import Iterable, Iterator, Sequence
 from itertools import chain
 from operator import itemgetter
@@ -24,7 +25,8 @@ BYTE_LEVEL = "/opt/tokenizers/byte_bpe_50k.json"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 BLOCK_BYTES = 4 << 20          # text of one block; a longer text is a block of its own
 ENCODE_BYTES = 256 << 10       # text encoded at once
-KNOWN, KNOWN_CHARS = 150_000, 48         # remembered words, and their length at most: memory, not a limit on texts
+KNOWN, KNOWN_CHARS = 250_000, 48         # remembered words, and their length at most: memory, not a limit on texts
+HELD = re.compile(r"\s(?= )|\s\Z")        # white space that keeps the next space, or the text's end, in its word
 JOINED = 1000                  # unknown words encoded as one text
 WIDE = 4096                    # links of a group above which ids are counted before they are paired
 
@@ -70,13 +72,12 @@ class Pair:
             words = [_words(t) if self.by_word else [t] for t in batch]
             recent, older, new = self.recent, self.older, {}
             for ws in words:
-                for w, ids in zip(ws, map(recent.get, ws)):
+                for w in set(ws).difference(recent):
+                    ids = older.get(w)
                     if ids is None:
-                        ids = older.get(w)
-                        if ids is None:
-                            new[w] = None
-                        else:
-                            recent[w] = ids
+                        new[w] = None
+                    else:
+                        recent[w] = ids
             passing = []
             for w, ids in zip(new, self._spelled(list(new))):
                 if ids is not None:
@@ -125,7 +126,7 @@ class Pair:
 def _words(text: str) -> list[str]:
     """The parts of space + text before each space that follows a non-space, without their first space."""
     words = text.split(" ")
-    if "" not in words and not any(c in text for c in "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000") and text.isascii():
+    if not text.startswith(" ") and not HELD.search(text):
         return words
     out, held = [], None
     for w in words:
