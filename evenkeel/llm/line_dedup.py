@@ -33,15 +33,18 @@ def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
 
     Occurrences are dealt into ranges of (hash, document, position), so a line that a third of all documents hold
     is spread over many ranges, and each range is read in order; one row per range and key leaves for the count.
+    A NULL text has one empty line and so no bitmap; a very long text costs time in proportion to its lines.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    doc = docs.select(F.col(doc_id).alias("doc"), F.xxhash64(t).alias("t1"), F.xxhash64(F.lit(11), t).alias("t2"),
-                      F.posexplode(lines_of(F.col(text))).alias("pos", "line"))
+    # the text's hashes are taken below the explosion, once a document, and the lines' hashes are written once: dealing
+    # them into ranges reads them twice, and that must not split and hash the texts again
+    doc = (docs.select(F.col(doc_id).alias("doc"), F.xxhash64(t).alias("t1"), F.xxhash64(F.lit(11), t).alias("t2"), t.alias("whole"))
+           .select("doc", "t1", "t2", F.posexplode(lines_of(F.col("whole"))).alias("pos", "line")))
     marks = (doc.select("doc", "t1", "t2", "pos", line_key(F.col("line")).alias("key")).where("key <> ''")
              .select(F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"), "doc", "t1", "t2", "pos"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     place = ["h1", "h2", "doc", "t1", "t2", "pos"]
-    ranged = marks.repartitionByRange(parts, *place).sortWithinPartitions(*place)
+    ranged = cut_lineage(marks).repartitionByRange(parts, *place).sortWithinPartitions(*place)
     ranged = cut_lineage(ranged.groupBy(*place).agg(F.count("*").alias("copies")).drop("copies"))
 
     once = ranged.groupBy("h1", "h2", "doc", "t1", "t2").agg(F.min("pos").alias("first"))
@@ -57,18 +60,29 @@ def keep_bitmaps(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", mi
     return bits.groupBy("doc", "t1", "t2").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
 
 
-def dropped_at(dropped: Column, pos: Column) -> Column:
-    """True where the bitmap has the line; a NULL bitmap keeps everything."""
-    bits = F.coalesce(F.element_at(F.map_from_entries(dropped), F.floor(pos / 64).cast("int")), F.lit(0).cast("long"))
-    return F.call_function("shiftright", bits, (pos % 64).cast("int")).bitwiseAND(F.lit(1)) == 1
+def dropped_lines(dropped: Column) -> Column:
+    """The positions in a bitmap, in order; NULL for a NULL bitmap."""
+    def of_word(w: Column) -> Column:
+        bits = F.sequence(F.lit(0), F.lit(63))
+        marked = F.filter(bits, lambda b: F.call_function("shiftright", w["bits"], b).bitwiseAND(F.lit(1)) == 1)
+        return F.transform(marked, lambda b: w["word"] * 64 + b)
+    return F.flatten(F.transform(dropped, of_word))
 
 
 def kept_lines(lines: Column, dropped: Column) -> Column:
-    return F.when(dropped.isNull(), lines).otherwise(F.filter(lines, lambda _, i: ~dropped_at(dropped, i)))
+    """The lines that a bitmap leaves, in order, in time proportional to the lines.
+
+    Both arrays are bound to a lambda's variable, so that they are made once a document and not once a line.
+    """
+    both = F.array(F.struct(lines.alias("lines"), dropped_lines(dropped).alias("gone")))
+    left = F.transform(both, lambda s: F.transform(
+        F.array_except(F.sequence(F.lit(0), F.size(s["lines"]) - 1), s["gone"]), lambda p: F.get(s["lines"], p)))
+    return F.when(dropped.isNull(), lines).otherwise(F.element_at(left, 1))
 
 
 def with_bitmaps(docs: DataFrame, bitmaps: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, dropped): every row of docs as a struct, with its bitmap or NULL. Input columns can't clash."""
+    """(row, dropped): every row of docs as a struct, with its bitmap or NULL (no line dropped, as for NULL and empty
+    texts). Input columns can't clash; repeated rows each get the bitmap; texts are hashed, not compared."""
     t = F.coalesce(F.col(text), F.lit(""))
     left = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(doc_id).alias("k0"),
                        F.xxhash64(t).alias("k1"), F.xxhash64(F.lit(11), t).alias("k2"))

@@ -59,3 +59,19 @@ def test_empty_and_odd_tables(docs_of, odd_texts):
     assert d.drop_shared_lines(docs_of(odd_texts), min_docs=2).count() == len(odd_texts)
     n = d.drop_shared_lines(docs_of([(1, "a\nb")] * 30).withColumn("n_chars", F.lit(3)), n_chars="n_chars")
     assert {(r["text"], r["n_chars"]) for r in n.collect()} == {("a\nb", 3)}       # repeated rows are one document
+
+
+def test_time_grows_with_the_lines_of_a_long_document(spark):
+    """Ten documents with the same lines, all shared: twice the lines take at most two and a half times as long."""
+    import time
+
+    took = {}
+    for n in (100_000, 200_000):
+        body = "\n".join(f"line {k} here" for k in range(n))
+        docs = spark.createDataFrame([(k, body) for k in range(10)], "doc_id long, text string")
+        start = time.time()
+        got = d.drop_shared_lines(docs, min_docs=10, keep="first").agg({"doc_id": "count"}).first()
+        lengths = sorted(len(r["text"]) for r in d.drop_shared_lines(docs, min_docs=10, keep="first").collect())
+        took[n] = time.time() - start
+        assert got[0] == 10 and lengths == [0] * 9 + [len(body)]
+    assert took[200_000] < 2.5 * max(took[100_000], 4.0)
