@@ -40,19 +40,32 @@ def floor_for(threshold: float) -> float:
 
 
 def shingles_of(text: str | None, k: int = SHINGLE) -> np.ndarray:
-    """Sorted 40-bit hashes of the text's k-word shingles; a shorter text with a word is one shingle.
+    """Sorted 64-bit hashes of the text's k-word shingles; a shorter text with a word is one shingle."""
+    return hashed_shingles(text, k)[0]
 
-    Forty bits keep the sets small where they are written and shuffled; in sets of a thousand shingles two different
-    ones share a hash once in a million comparisons, which moves a similarity by a thousandth."""
+
+def hashed_shingles(text: str | None, k: int = SHINGLE) -> tuple[np.ndarray, bytes]:
+    """The 64-bit hashes of the shingles, sorted, and the set's identity: 128 bits made of two 64-bit hashes of every shingle."""
     ids, distinct = local_ids((text or "").encode("utf-8", "surrogatepass").split())
     if not len(ids):
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, distinct), np.uint64, len(distinct))[ids]
-    n = max(1, len(h) - k + 1)
-    total = np.zeros(n, np.uint64)
-    for j in range(min(k, len(h))):
-        total = total * np.uint64(0x9E3779B97F4A7C15) + h[j:j + n]
-    return np.unique(mix64(total) >> np.uint64(64 - 8 * BYTES))
+        return np.zeros(0, np.uint64), b""
+    n, both = max(1, len(ids) - k + 1), []
+    for seed, factor in ((0, 0x9E3779B97F4A7C15), (1, 0xD6E8FEB86659FD93)):
+        h = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in distinct), np.uint64, len(distinct))[ids]
+        total = np.zeros(n, np.uint64)
+        for j in range(min(k, len(h))):
+            total = total * np.uint64(factor) + h[j:j + n]
+        both.append(mix64(total))
+    first, at = np.unique(both[0], return_index=True)
+    return first, xxhash.xxh3_128_digest(first.tobytes() + both[1][at].tobytes())
+
+
+def shortened(shingles: np.ndarray) -> np.ndarray:
+    """Forty bits of each hash, for the exact comparison: they keep the sets small where they are written and shuffled.
+
+    In sets of a thousand shingles two different ones share a hash once in a million comparisons, which moves a similarity by
+    a thousandth. Which sets are equal is never decided by them, but by the sets' identities."""
+    return np.unique(shingles >> np.uint64(64 - 8 * BYTES))
 
 
 def packed(shingles: np.ndarray) -> bytes:
@@ -86,13 +99,14 @@ def set_table(docs: DataFrame, doc_id: str, text: str, runs: int) -> DataFrame:
             for k in range(0, whole.num_rows, 500):
                 rows = []
                 for d, t1, t2, x in zip(*[c.to_pylist() for c in whole.slice(k, 500).columns]):
-                    s = shingles_of(x)
+                    full, sig = hashed_shingles(x)
+                    s = shortened(full)
                     if not len(s):
                         rows.append((d, t1, t2, None, 0, [], None, None))
                         continue
                     least = least_hashes(s, runs + SKETCH)
                     data = packed(s)
-                    rows.append((d, t1, t2, xxhash.xxh3_128_digest(data), len(s), least[:runs].view(np.int64).tolist(),
+                    rows.append((d, t1, t2, sig, len(s), least[:runs].view(np.int64).tolist(),
                                  (mix64(least[runs:]) >> np.uint64(56)).astype(np.uint8).tobytes(), data))
                 yield to_batch(rows, arrow)
 
@@ -232,7 +246,10 @@ def _all_blocks(over: DataFrame, compare, parts: int) -> DataFrame:
 
 
 def links(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of sets (sorted hashes) with an exact Jaccard similarity of at least threshold."""
+    """All pairs of different sets (sorted hashes) with an exact Jaccard similarity of at least threshold.
+
+    The sets are known to be different: two whose shortened hashes are all alike have at least one shingle each that the
+    other has not, and count so."""
     n, size = len(sets), np.array([len(s) for s in sets])
     if n <= 24:
         common = np.zeros((n, n))
@@ -256,6 +273,7 @@ def links(sets: list[np.ndarray], threshold: float) -> tuple[np.ndarray, np.ndar
             common += block @ block.T
     a, b = np.nonzero(np.triu(common > 0, 1))
     both = common[a, b]
+    both = np.where((both == size[a]) & (both == size[b]), both - 1, both)
     # the small margin keeps exact ratios such as 4/5 on the right side of the division
     near = both / (size[a] + size[b] - both) >= threshold - 1e-9
     return a[near], b[near]

@@ -104,3 +104,17 @@ def test_exact_links_of_many_sets_equal_those_of_few():
     want = {(i, j) for i, j in itertools.combinations(range(40), 2)
             if len(np.intersect1d(sets[i], sets[j])) / len(np.union1d(sets[i], sets[j])) >= 0.8 - 1e-9}
     assert set(zip(*[x.tolist() for x in c.links(sets, 0.8)])) == want and want
+
+
+def test_short_texts_whose_shortened_hashes_collide_stay_apart(spark):
+    """Found among four million one-word texts: one pair of many that share forty bits of their only shingle."""
+    words = [b"w%d" % k for k in range(4_000_000)]
+    hashes = c.mix64(c.np.fromiter(map(c.xxhash.xxh3_64_intdigest, words), c.np.uint64, len(words))) >> c.np.uint64(24)
+    order = c.np.argsort(hashes, kind="stable")
+    at = c.np.flatnonzero(hashes[order][1:] == hashes[order][:-1])
+    assert len(at)
+    a, b = (words[order[at[0] + k]].decode() for k in (0, 1))
+    docs = spark.createDataFrame([(1, a), (2, b), (3, a), (4, None), (5, "other")], "doc_id long, text string")
+    got = {r["doc_id"]: (r["class_id"], r["class_size"], r["n_links"]) for r in c.near_duplicates(docs).collect()}
+    assert got == {1: (1, 2, 1), 2: (2, 1, 0), 3: (1, 2, 1), 4: (4, 1, 0), 5: (5, 1, 0)}
+    assert sorted(r["doc_id"] for r in c.one_of_each(docs).collect()) == [1, 2, 4, 5]
