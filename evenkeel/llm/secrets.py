@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from evenkeel.llm.common import append_columns, map_rows, query, table
 from evenkeel.llm.spans import Covered, digest, ordered, spelled
+from evenkeel.session import cut_lineage
 
 KINDS = ["assign", "access", "hex"]
 NEAR = 48                       # code points before a candidate in which the sensitive word must stand
@@ -31,6 +32,8 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 SENSITIVE = re.compile(r"password|passwd|pwd|secret|token|api_?key|credential|bearer|auth|private[ _]key|access[ _]key", re.I | re.A)
 RUN = re.compile(r"[A-Za-z0-9+/_=.-]{%d,}" % MIN_CHARS)
 DIGIT = re.compile(r"[0-9]")
+JOINT = re.compile(r"[_./=+-]+")
+NAME = re.compile(r"[a-z]{1,12}(?:[A-Z][a-z]{2,11})*|(?:[A-Z][a-z]{2,11})+|[A-Z]{1,12}|[A-Za-z]{0,4}[0-9]{1,3}")
 IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{3,}")
 
 
@@ -41,19 +44,21 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out + [("hex", m.start(), m.end()) for m in HEX.finditer(text)]
 
 
-def _mixed(run: str) -> bool:
-    return any(map(str.isdigit, run)) and any(map(str.isalpha, run))
+def named(run: str) -> bool:
+    """Whether a string is put together as names are: of words of up to twelve letters and short numbers. Only such
+    strings may stand in the dictionary, however often others are copied, so that no secret primes its own measure."""
+    return all(NAME.fullmatch(part) for part in JOINT.split(run) if part)
 
 
 def candidates(text: str, base: list[tuple[str, int, int]]) -> Iterator[tuple[int, int]]:
-    """Long strings of letters and digits soon after a sensitive word that meet no base span."""
+    """Long strings without a blank soon after a sensitive word that meet no base span."""
     covered, done = Covered((a, b) for _, a, b in base), 0
     for word in SENSITIVE.finditer(text):
         at = max(done, word.end())
         while m := RUN.search(text, at, word.end() + NEAR + MIN_CHARS):     # begins near enough; may go on far beyond
             a, b = RUN.match(text, m.start()).span()
             at = done = b
-            if _mixed(text[a:b]) and not covered.meets(a, b):
+            if not covered.meets(a, b):
                 yield a, b
 
 
@@ -83,7 +88,7 @@ def novelty(pack: zstandard.ZstdCompressor, text: str, a: int, b: int, least: fl
 
 
 def sensitive_contexts(docs: DataFrame, text: str) -> DataFrame:
-    """(context, raw): the surroundings of every sensitive word of every text; in context whatever may be a secret is blank."""
+    """(context): the surroundings of every sensitive word of every text; whatever may be a secret is blank."""
     def work(texts: list) -> list[tuple]:
         out = []
         for t in texts:
@@ -95,11 +100,11 @@ def sensitive_contexts(docs: DataFrame, text: str) -> DataFrame:
                     last = m.end() + AROUND
                     part = t[max(0, m.start() - AROUND):last]
                     shift = max(0, m.start() - AROUND)
-                    out.append((RUN.sub(lambda r: " " if spans.meets(shift + r.start(), shift + r.end()) or _mixed(r.group())
-                                        else r.group(), part), part))
+                    out.append((RUN.sub(lambda r: r.group() if named(r.group()) and not spans.meets(shift + r.start(), shift + r.end())
+                                        else " ", part),))
         return out
 
-    return map_rows(docs.select(text), work, "context string, raw string")
+    return map_rows(docs.select(text), work, "context string")
 
 
 def train_dictionary(docs: DataFrame, text: str = "text", size: int = DICTIONARY_BYTES, sample_texts: int = SAMPLE_TEXTS,
@@ -107,11 +112,12 @@ def train_dictionary(docs: DataFrame, text: str = "text", size: int = DICTIONARY
     """A zstandard dictionary of the corpus's own code: its most frequent identifiers and its contexts.
 
     Identifiers are counted over the contexts of all sensitive words in all documents; the most frequent, of at least
-    MIN_USES uses, go into the dictionary, its bounded size being a parameter: a secret must not prime its own measure. Entropy tables come from a bounded sample of contexts (those of
-    the least hash). Without contexts the dictionary is empty and every candidate is measured on its own text.
+    MIN_USES uses, go into the dictionary, its bounded size being a parameter. Strings that are not put together as names
+    are never counted, nor stand in a sample: a secret must not prime its own measure, however often it is copied. Entropy
+    tables come from a bounded sample of contexts (those of the least hash). Contexts are written once. Without contexts the dictionary is empty and every candidate is measured on its own text.
     """
-    found = sensitive_contexts(docs, text)
-    words = map_rows(found, lambda _, rows: [(w,) for c in rows for w in IDENTIFIER.findall(c)], "word string")
+    found = cut_lineage(sensitive_contexts(docs, text))
+    words = map_rows(found, lambda rows: [(w,) for c in rows for w in IDENTIFIER.findall(c) if named(w)], "word string")
     top = words.groupBy("word").count().where(F.col("count") >= MIN_USES).orderBy(F.desc("count"), "word").limit(identifiers).collect()
     sample = [r["context"].encode("utf-8", "surrogatepass") for r in found.groupBy("context").count().orderBy(
         F.xxhash64("context"), "context").limit(sample_texts).collect()]
@@ -131,8 +137,8 @@ FOUND = ("n_assign long, n_access long, n_hex long, base_sha256 string, spans st
 def find_secrets(docs: DataFrame, dictionary: bytes, text: str = "text", min_novelty: float = MIN_NOVELTY) -> DataFrame:
     """(row, n_assign, n_access, n_hex, base_sha256, spans, found): every row of docs.
 
-    Base matches are counted and digested; `found` holds strings of at least 16 characters, letters and digits among
-    them, within 48 characters after a sensitive word, that meet no base match and whose marginal compressed size,
+    Base matches are counted and digested; `found` holds strings of at least 16 characters without a blank, of whatever
+    characters, within 48 characters after a sensitive word, that meet no base match and whose marginal compressed size,
     against their surroundings and the dictionary, is at least min_novelty of that of random strings of the same length
     and characters there, so that neither a small alphabet nor length hides a secret. spans names them `novel`
     beside the base spans. Offsets are code points, end exclusive. NULL and empty texts have none, repeated rows get

@@ -79,3 +79,45 @@ def test_random_strings_are_reported_whatever_their_alphabet_and_length(docs_of)
             assert sum(hit) >= 0.8 * len(of), (kind, sum(hit), bool(given))
     found = {r["doc_id"]: r["found"] for r in s.find_secrets(docs_of(rows), dictionary).select("row.doc_id", "found").collect()}
     assert not any(found[k] for k in range(len(planted), len(rows)))          # the corpus's own names
+
+
+def test_copied_secrets_are_reported_in_every_copy_and_of_any_characters(docs_of):
+    rng = random.Random(5)
+    letters = "".join(rng.choices(string.ascii_lowercase, k=30))
+    digits = "".join(rng.choices(string.digits, k=20))
+    dashed = "-".join("".join(rng.choices("0123456789abcdefxyz", k=8)) for _ in range(4))
+    planted = {1: [f"{RANDOM}"], 3: [letters, dashed], 50: [digits, RANDOM[::-1]]}
+    texts, k = rows(), 1000
+    for copies, secrets in planted.items():
+        for secret in secrets:
+            texts += [(k + j, f"our secret is {secret} and so on {j}") for j in range(copies)]
+            k += copies
+    docs = docs_of(texts)
+    got = {r["doc_id"]: [r["text"][f["start"]:f["end"]] for f in r["found"]]
+           for r in s.find_secrets(docs, s.train_dictionary(docs)).select("row.doc_id", "row.text", "found").collect()}
+    k = 1000
+    for copies, secrets in planted.items():
+        for secret in secrets:
+            assert all(got[k + j] == [secret] for j in range(copies)), secret
+            k += copies
+    assert not any(got[d] for d in range(60))
+
+
+def test_novelty_equals_a_direct_recomputation(docs_of):
+    """Marginal sizes by plain compressions of the three texts, without and with a dictionary."""
+    import zstandard
+
+    primed = s.train_dictionary(docs_of(rows()))
+    for data in (b"", primed):
+        given = zstandard.ZstdCompressionDict(data) if data else None
+        def size(t):  # noqa: E306
+            return len(zstandard.ZstdCompressor(level=3, dict_data=given, write_content_size=False, write_dict_id=False).compress(t.encode()))
+        text = f"a token, then {RANDOM} and the rest"
+        a, b = text.index("kX9"), text.index("kX9") + len(RANDOM)
+        draw = random.Random(RANDOM.encode())
+        letters = s.alphabet(RANDOM).encode()
+        likes = [bytes(draw.choices(letters, k=len(RANDOM))).decode() for _ in range(s.DRAWS)]
+        rest = size(text[:a] + text[b:])
+        want = (size(text) - rest) * s.DRAWS / sum(size(text[:a] + x + text[b:]) - rest for x in likes)
+        pack = zstandard.ZstdCompressor(level=3, dict_data=given, write_content_size=False, write_dict_id=False)
+        assert abs(s.novelty(pack, text, a, b) - want) < 1e-12
