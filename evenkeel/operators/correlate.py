@@ -2,42 +2,47 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evenkeel.functions.scalars import to_number
 from evenkeel.operators.gates import columns_by_kind
-from evenkeel.plans.order import BUCKET_ROWS, cut_points, prefix_sum, skew_safe_lookup, with_bucket
-from evenkeel.session import cut_lineage
+from evenkeel.plans.comoments import PARTIAL, CoMoments, co_moments, pearson, summed
+from evenkeel.plans.order import cut_points, cuts_of_all, with_bucket
+from evenkeel.plans.ranks import average_ranks
+from evenkeel.session import cut_lineage, on_all_cores
 
 SCHEMA = "column_a string, column_b string, corr double"
-LOOKUP_VALUES = 20_000       # distinct values of a column whose ranks are broadcast
+BLOCK_BITS = 13              # rows of one block, whose ranks meet in a task, as a power of two
 GROUP_POINTS = 2_000_000     # points one task counts
+SLICE_ROWS = 50_000          # rows of a slice at least, if the table is small
 
 
 def correlation(df: DataFrame, method: str = "pearson", cols: Sequence[str] | None = None,
-                bucket_rows: int = BUCKET_ROWS, group_points: int = GROUP_POINTS) -> DataFrame:
+                group_points: int = GROUP_POINTS) -> DataFrame:
     """One row per ordered pair of numeric columns; NULL where a column does not vary."""
     cols = list(cols) if cols is not None else columns_by_kind(df)[0]
     if len(cols) < 2:
         raise ValueError("correlation needs at least two numeric columns")
-    nums = df.select(*[to_number(F.col(f"`{c}`")).alias(f"c{i}") for i, c in enumerate(cols)])
+    # adding 0.0 makes one value of the two zeros, which slices tell apart
+    nums = df.select(*[(to_number(F.col(f"`{c}`")) + F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(cols)])
     pairs = list(combinations(range(len(cols)), 2))
+    seen = nums.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in nums.columns for f in (F.avg, F.min, F.max)]).first()
     if method == "pearson":
-        half = _pearson(nums, pairs)
+        half = _pearson(nums, pairs, [seen[f"avg_{c}"] or 0.0 for c in nums.columns])
     elif method == "spearman":
-        half = _spearman(nums, pairs, bucket_rows)
+        half = _spearman(nums, pairs)
     elif method == "kendall":
         half = _kendall(nums, pairs, group_points)
     else:
         raise ValueError(f"unknown method {method!r}")
     # a column correlates fully with itself if it varies at all
-    spread = nums.agg(*[(F.min(c) < F.max(c)).alias(c) for c in nums.columns]).first()
-    rows = [(c, c, 1.0 if spread[f"c{i}"] else None) for i, c in enumerate(cols)]
+    rows = [(c, c, 1.0 if seen[f"min_c{i}"] is not None and seen[f"min_c{i}"] < seen[f"max_c{i}"] else None) for i, c in enumerate(cols)]
     for p, (i, j) in enumerate(pairs):
         rows += [(cols[i], cols[j], half.get(p)), (cols[j], cols[i], half.get(p))]
     return df.sparkSession.createDataFrame(rows, SCHEMA)      # one row per pair of columns
@@ -50,92 +55,81 @@ def _corr(a: Column, b: Column) -> Column:
     return F.covar_pop(x, y) / F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))
 
 
-def _pearson(nums: DataFrame, pairs: list[tuple[int, int]]) -> dict[int, float | None]:
-    """All pairs in one aggregation."""
-    row = nums.agg(*[_corr(F.col(f"c{i}"), F.col(f"c{j}")).alias(f"r{p}") for p, (i, j) in enumerate(pairs)]).first()
-    return {p: row[f"r{p}"] for p in range(len(pairs))}
-
-
-def _pair_histogram(nums: DataFrame, pairs: list[tuple[int, int]]) -> DataFrame:
-    """(pair, x, y, w): complete points of every pair of columns with their multiplicity."""
-    points = [F.struct(F.lit(p).alias("pair"), F.col(f"c{i}").alias("x"), F.col(f"c{j}").alias("y"))
-              for p, (i, j) in enumerate(pairs)]
-    return (nums.select(F.explode(F.array(*points)).alias("p")).select("p.*")
-            .where("x IS NOT NULL AND y IS NOT NULL").groupBy("pair", "x", "y").agg(F.count(F.lit(1)).alias("w")))
-
-
-def centred_ranks(hist: DataFrame, value: str, rows: str, group: Sequence[str] = (), cuts: list | None = None,
-                  bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Adds `centred`: the mean position of the tied rows, less the mean of all positions."""
-    run = prefix_sum(hist, value, rows, group, before="_below", total="_all", cuts=cuts, bucket_rows=bucket_rows)
-    return (run.withColumn("centred", F.col("_below") + (F.col(rows) + 1) / 2.0 - (F.col("_all") + 1) / 2.0)
-            .drop("_below", "_all"))
-
-
-def _spearman(nums: DataFrame, pairs: list[tuple[int, int]], bucket_rows: int) -> dict[int, float | None]:
-    """Pearson of average ranks. Complete columns are ranked once each; a pair with missing values is
-    ranked on its own complete rows."""
-    sizes = nums.agg(F.count(F.lit(1)).alias("n"), *[F.count(c).alias(f"n_{c}") for c in nums.columns],
-                     *[F.approx_count_distinct(c).alias(c) for c in nums.columns]).first()
-    n = sizes["n"]
-    if not n:
-        return {}
-    share = max(2, bucket_rows // len(nums.columns))         # the columns share the cuts
-    cuts = cut_points(nums.select(F.explode(F.array(*nums.columns)).alias("v")), "v", share) if n > share else []
-    full = {i for i in range(len(nums.columns)) if sizes[f"n_c{i}"] == n}
-    whole = {p: pair for p, pair in enumerate(pairs) if set(pair) <= full}
-    partial = {p: pair for p, pair in enumerate(pairs) if p not in whole}
-    out: dict[int, float | None] = {}
-    if whole:
-        out.update(_shared_ranks(nums, whole, sizes, cuts))
-    if partial:
-        out.update(_pair_ranks(nums, partial, sizes, cuts))
+def _pearson(nums: DataFrame, pairs: list[tuple[int, int]], means: Sequence[float]) -> dict[int, float | None]:
+    """All pairs from one pass of matrix products; the few whose variance may be rounding alone are taken again one by one."""
+    m = co_moments(nums, means)
+    found = {p: pearson(m, i, j) for p, (i, j) in enumerate(pairs)}
+    out = {p: r for p, (r, sure) in found.items() if sure}
+    unsure = [p for p in found if p not in out]
+    if unsure:
+        row = nums.agg(*[_corr(F.col(f"c{pairs[p][0]}"), F.col(f"c{pairs[p][1]}")).alias(f"r{p}") for p in unsure]).first()
+        out.update((p, row[f"r{p}"]) for p in unsure)
     return out
 
 
-def _shared_ranks(nums: DataFrame, pairs: dict[int, tuple[int, int]], sizes, cuts: list) -> dict[int, float | None]:
-    """Replace the values of complete columns by their ranks, then take all pairs in one aggregation."""
-    used = sorted({i for pair in pairs.values() for i in pair})
-    values = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"c{i}").alias("v")) for i in used]))
-    hist = cut_lineage(nums.select(values.alias("s")).groupBy("s.i", "s.v").agg(F.count(F.lit(1)).alias("n")))
-    ranks = cut_lineage(centred_ranks(hist, "v", "n", ["i"], cuts=cuts))
-    rows = nums.select(*[f"c{i}" for i in used])
-    for i in used:
-        dim = ranks.where(F.col("i") == i).select(F.col("v").alias(f"c{i}"), "n", F.col("centred").alias(f"r{i}"))
-        if sizes[f"c{i}"] <= LOOKUP_VALUES:                  # a checked number of values
-            rows = rows.join(F.broadcast(dim.drop("n")), f"c{i}").drop(f"c{i}")
-        else:                                                # reads the rows twice, so they are written between lookups
-            rows = cut_lineage(skew_safe_lookup(rows, dim, [f"c{i}"], "n", sizes["n"]).drop(f"c{i}"))
-    ranked = rows.select(*[F.col(f"r{i}").alias(f"c{i}") for i in used])
-    found = _pearson(ranked, list(pairs.values()))
-    return dict(zip(pairs, (found[k] for k in range(len(pairs)))))
-
-
-def _pair_ranks(nums: DataFrame, pairs: dict[int, tuple[int, int]], sizes, cuts: list) -> dict[int, float | None]:
-    """Ranks within the complete rows of each pair, all pairs in one job.
-
-    The column with fewer values is looked up; its ranks are summed per value of the other one, whose
-    own ranks then come from the same rows, so nothing is joined back.
+def rankings(present: np.ndarray) -> tuple[list[tuple[int, int | None]], dict[tuple[int, int], int]]:
+    """Which columns are to be ranked on which rows, from the numbers of rows that have both of two columns.
+
+    ((column, other) or (column, None), number of the ranking for each (column, partner)): a column is ranked on the rows
+    that have its partner too. If all its rows do, that is the ranking of the whole column; partners that are
+    missing in the same rows share one.
+    """
+    d, asked, which = len(present), [], {}
+    for i in range(d):
+        known: dict[int | None, int] = {}
+        for j in range(d):
+            if i == j:
+                continue
+            if present[i, j] == present[i, i]:
+                other = None
+            else:                                    # the first column that is missing exactly where j is
+                other = next(k for k in range(d) if present[k, k] == present[j, j] == present[k, j])
+            if other not in known:
+                known[other] = len(asked)
+                asked.append((i, other))
+            which[i, j] = known[other]
+    return asked, which
+
+
+def _spearman(nums: DataFrame, pairs: list[tuple[int, int]]) -> dict[int, float | None]:
+    """Pearson of average ranks, each pair ranked on its own complete rows.
+
+    One long table (row, ranking, value) is sorted by ranges and ranked there; the ranks then meet by blocks of rows,
+    where they are multiplied: two shuffles, whatever the number of columns.
     """
-    names, n = list(pairs), sizes["n"]
-    wide = [(i, j) if sizes[f"c{i}"] >= sizes[f"c{j}"] else (j, i) for i, j in pairs.values()]
-    points = cut_lineage(_pair_histogram(nums, wide))         # read by the ranks of y and by the lookups
-    y_hist = points.groupBy("pair", "y").agg(F.sum("w").alias("n"))
-    y_ranks = centred_ranks(y_hist, "y", "n", ["pair"], cuts=cuts).withColumnRenamed("centred", "ry")
-    narrow = [p for p, (_, j) in enumerate(wide) if sizes[f"c{j}"] <= LOOKUP_VALUES]
-    few, many = F.col("pair").isin(narrow), ~F.col("pair").isin(narrow)
-    met = []
-    if narrow:                                               # a checked number of values per pair of columns
-        met.append(points.where(few).join(F.broadcast(y_ranks.where(few).drop("n")), ["pair", "y"]))
-    if len(narrow) < len(wide):
-        met.append(skew_safe_lookup(points.where(many), y_ranks.where(many), ["pair", "y"], "n", n))
-    rows = met[0] if len(met) == 1 else met[0].unionByName(met[1])
-    per_x = rows.groupBy("pair", "x").agg(
-        F.sum("w").alias("n"), F.sum(F.col("ry") * F.col("w")).alias("s"), F.sum(F.col("ry") ** 2 * F.col("w")).alias("q"))
-    sums = centred_ranks(per_x, "x", "n", ["pair"], cuts=cuts).groupBy("pair").agg(
-        F.sum(F.col("s") * F.col("centred")).alias("xy"), F.sum(F.col("centred") ** 2 * F.col("n")).alias("xx"),
-        F.sum("q").alias("yy")).collect()                    # one row per pair of columns
-    return {names[r["pair"]]: r["xy"] / (r["xx"] * r["yy"]) ** 0.5 for r in sums if r["xx"] and r["yy"]}
+    present = co_moments(nums, [0.0] * len(nums.columns)).n
+    asked, which = rankings(present)
+    # the row numbers are written, so that a lost executor cannot deal them out anew
+    rows = cut_lineage(on_all_cores(nums.withColumn("id", F.monotonically_increasing_id()), int(present.max(initial=0))))
+    cells = [F.struct(F.lit(g).alias("g"), (F.col(f"c{i}") if other is None else F.when(F.col(f"c{other}").isNotNull(), F.col(f"c{i}"))).alias("v"))
+             for g, (i, other) in enumerate(asked)]
+    long = rows.select("id", F.explode(F.array(*cells)).alias("x")).select("id", "x.g", "x.v").where("v IS NOT NULL")
+    ranks, sizes = average_ranks(long)
+    middle = np.array([(sizes.get(g, 0) + 1) / 2 for g in range(len(asked))])
+    parts = int(nums.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = (ranks.select(F.shiftright("id", BLOCK_BITS).alias("block"), F.col("id").bitwiseAND((1 << BLOCK_BITS) - 1).cast("int").alias("at"), "g", "rank")
+             .repartition(parts, "block").sortWithinPartitions("block"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, block, table = CoMoments(len(middle)), None, None
+        for batch in batches:
+            blocks, at, g, rank = (c.to_numpy() for c in batch.columns)
+            edges = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                if lo == hi:
+                    continue
+                if block != blocks[lo]:
+                    if table is not None:
+                        total.add(table)
+                    block, table = blocks[lo], np.full((1 << BLOCK_BITS, len(middle)), np.nan)
+                table[at[lo:hi], g[lo:hi]] = rank[lo:hi] - middle[g[lo:hi]]
+        if table is not None:
+            total.add(table)
+        yield total.batch()
+
+    m = summed(dealt.mapInArrow(run, PARTIAL), len(middle))
+    # ranks are multiples of a half about their mean: a variance is either 0 or at least a quarter
+    return {p: pearson(m, which[i, j], which[j, i])[0] for p, (i, j) in enumerate(pairs)}
 
 
 def ordered_pairs(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float]:
@@ -214,18 +208,79 @@ def pair_totals(points: DataFrame, group_points: int = GROUP_POINTS) -> dict[int
 
 
 def _kendall(nums: DataFrame, pairs: list[tuple[int, int]], group_points: int) -> dict[int, float | None]:
-    """tau-b with ties, all pairs of columns together."""
-    points = cut_lineage(_pair_histogram(nums, pairs))        # read by the tie counts and the pair counts
-    tied = None
-    for axis in ("x", "y"):
-        t = (points.groupBy("pair", axis).agg(F.sum("w").cast("double").alias("t"))
-             .groupBy("pair").agg(F.sum(F.col("t") * (F.col("t") - 1) / 2).alias(f"t{axis}"), F.sum("t").alias(f"n{axis}")))
-        tied = t if tied is None else tied.join(t, "pair")
-    totals = pair_totals(points, group_points)
+    """tau-b with ties, all pairs of columns together.
+
+    Every column is cut into slices. A row goes once to each of its slices with all its values, so d columns take d
+    copies of a row, not one for each pair. Of two rows, either both lie in one slice of x, which counts them
+    there; or in one slice of y, which counts them there by the slices of x; or they differ in both slices, and then
+    only the grid of slice totals is needed. A task holds the rows of one slice and counts its pairs one after another.
+    """
+    d = len(nums.columns)
+    n = nums.count()
+    # a small table has slices enough for its tasks, a large one slices that fit a task
+    slice_rows = min(group_points, max(SLICE_ROWS, n // 64))
+    cuts = cuts_of_all(nums, n, slice_rows, max(2, group_points // 2))
+    sliced = on_all_cores(nums, n)
+    for i in range(d):
+        sliced = with_bucket(sliced, f"c{i}", cuts[f"c{i}"], f"s{i}")
+    sliced = cut_lineage(sliced.select(*[f"c{i}" for i in range(d)], *[F.when(F.col(f"c{i}").isNotNull(), F.col(f"s{i}")).alias(f"s{i}") for i in range(d)]))
+    own = F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(f"s{i}").alias("slice"), F.col(f"c{i}").alias("v")) for i in range(d)]))
+    # rows of a slice with one value only tie with each other: their number is enough
+    mixed = (sliced.select(own.alias("o")).select("o.*").where("slice IS NOT NULL").groupBy("k", "slice")
+             .agg(F.min("v").alias("a"), F.max("v").alias("b"), F.count("*").alias("rows")))
+    mixed = cut_lineage(mixed.where("a < b").select("k", "slice"))       # at most MAX_BUCKETS rows a column
+    long = sliced.select("*", own.alias("o")).select("*", "o.k", "o.slice").drop("o").join(F.broadcast(mixed), ["k", "slice"], "left_semi")
+
+    def first(i: int, j: int) -> int:
+        """Which column of a pair is x: each is so for about half of its pairs, so that their slices take alike long."""
+        return min(i, j) if (i + j) % 2 else max(i, j)
+
+    def count(key: tuple, rows: pa.Table) -> pa.Table:
+        k = key[0].as_py()
+        c, s = ([rows.column(f"{x}{i}").to_numpy() for i in range(d)] for x in "cs")
+        out = []
+        for m in range(d):
+            if m == k:
+                continue
+            both = ~np.isnan(c[m].astype(float))
+            v = c[k][both].astype(float)
+            ties = np.unique(v, return_counts=True)[1].astype(float)
+            out.append((k, m, float((ties * (ties - 1) / 2).sum()), 0.0, 0.0))
+            ones = np.ones(len(v))
+            if first(k, m) == k:                               # both rows in one slice of x
+                up, down = ordered_pairs(v, c[m][both].astype(float), ones)
+            else:                                              # both in one slice of y, by the slices of x
+                x = s[m][both].astype(float)
+                up, down = ordered_pairs(x, v, ones) if len(x) and x.min() < x.max() else (0.0, 0.0)
+            out.append((min(k, m), max(k, m), 0.0, up, down))
+        return pa.table(list(map(pa.array, zip(*out))), names=["k", "m", "ties", "up", "down"]).cast(_COUNTED)
+
+    counted = long.groupBy("k", "slice").applyInArrow(count, "k int, m int, ties double, up double, down double")
+    inside = {(r["k"], r["m"]): r for r in counted.groupBy("k", "m").agg(*[F.sum(x).alias(x) for x in ("ties", "up", "down")]).collect()}
+    cells = F.explode(F.array(*[F.struct(F.lit(p).alias("pair"), F.col(f"s{i}").cast("double").alias("x"), F.col(f"s{j}").cast("double").alias("y"))
+                                for p, (i, j) in enumerate(pairs)]))
+    grid = cut_lineage(sliced.select(cells.alias("o")).select("o.*").where("x IS NOT NULL AND y IS NOT NULL")
+                       .groupBy("pair", "x", "y").agg(F.count("*").alias("w")))     # summed before the shuffle
+    between = pair_totals(grid, group_points)
+    rows = {r["pair"]: float(r["w"]) for r in grid.groupBy("pair").agg(F.sum("w").alias("w")).collect()}
+    single: dict[tuple[int, int], float] = {}
+    names = F.create_map(*[F.lit(v) for p, (i, j) in enumerate(pairs) for v in (2 * p, i, 2 * p + 1, j)])
+    for axis, side in (("x", 0), ("y", 1)):
+        sums = grid.groupBy("pair", F.col(axis).cast("int").alias("slice")).agg(F.sum("w").cast("double").alias("w"))
+        alone = sums.withColumn("k", names[F.col("pair") * 2 + side]).join(F.broadcast(mixed), ["k", "slice"], "left_anti")
+        for r in alone.groupBy("pair").agg(F.sum(F.col("w") * (F.col("w") - 1) / 2).alias("t")).collect():
+            single[r["pair"], side] = r["t"]
     out = {}
-    for r in tied.collect():                                 # one row per pair of columns
-        every = r["nx"] * (r["nx"] - 1) / 2
-        den = ((every - r["tx"]) * (every - r["ty"])) ** 0.5
-        up, down = totals.get(r["pair"], (0.0, 0.0))
-        out[r["pair"]] = (up - down) / den if den else None
+    for p, (i, j) in enumerate(pairs):
+        size = rows.get(p, 0.0)
+        tied = [single.get((p, side), 0.0) + (inside[k, m]["ties"] if (k, m) in inside else 0.0) for side, (k, m) in enumerate(((i, j), (j, i)))]
+        up, down = between.get(p, (0.0, 0.0))
+        if (i, j) in inside:
+            up, down = up + inside[i, j]["up"], down + inside[i, j]["down"]
+        every = size * (size - 1) / 2
+        den = ((every - tied[0]) * (every - tied[1])) ** 0.5
+        out[p] = (up - down) / den if den else None
     return out
+
+
+_COUNTED = pa.schema([("k", pa.int32()), ("m", pa.int32()), ("ties", pa.float64()), ("up", pa.float64()), ("down", pa.float64())])

@@ -45,16 +45,32 @@ def cut_points(df: DataFrame, order: str, bucket_rows: int = BUCKET_ROWS,
             seen += r["count"]
         return texts
     probs = [(i + 1) / buckets for i in range(buckets - 1)]
-    got = sample.agg(F.percentile_approx(order, probs, max(SKETCH, 10 * buckets))).first()[0] or []
+    return rising(sample.agg(F.percentile_approx(order, probs, max(SKETCH, 10 * buckets))).first()[0] or [])
+
+
+def rising(values: Sequence[float]) -> list[float]:
+    """Quantiles as strictly rising cuts; a hot value, met twice, gets a slice of its own."""
     cuts: list[float] = []
-    for v in map(float, got):
+    for v in map(float, values):
         if not cuts or v > cuts[-1]:
             cuts.append(v)
         elif v == cuts[-1]:
-            cuts.append(float(np.nextafter(v, np.inf)))   # a hot value gets a slice of its own
+            cuts.append(float(np.nextafter(v, np.inf)))
     return cuts
 
 
+def cuts_of_all(nums: DataFrame, n: int, bucket_rows: int, max_buckets: int = MAX_BUCKETS) -> dict[str, list[float]]:
+    """cut_points of every (numeric) column of nums, in one pass; n is the number of rows."""
+    buckets = min(max_buckets, MAX_BUCKETS, math.ceil(n / bucket_rows))
+    if buckets < 2:
+        return {c: [] for c in nums.columns}
+    fraction = min(1.0, max(200 * buckets, 20_000) / n)
+    sample = nums.sample(fraction, seed=1) if fraction < 1.0 else nums
+    probs = [(i + 1) / buckets for i in range(buckets - 1)]
+    got = sample.agg(*[F.percentile_approx(c, probs, max(SKETCH, 10 * buckets)).alias(c) for c in nums.columns]).first()
+    return {c: rising(got[c] or []) for c in nums.columns}
+
+
 def with_bucket(df: DataFrame, order: str, cuts: list, name: str = "_bucket") -> DataFrame:
     """Add the index of the slice [cut, next cut) that holds `order`."""
     if not cuts:

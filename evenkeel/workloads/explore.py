@@ -196,8 +196,8 @@ def corr_kendall(spark, sf):
 
 @query("corr_kendall_lineitem")
 def corr_kendall_lineitem(spark, sf):
-    """All pairs of the four line features: too many row pairs for a self-join in SQL."""
-    return rounded(correlation(table(spark, sf, "lineitem"), "kendall", CREDIT_FEATS))
+    """All pairs of the eight numeric columns: too many row pairs for a self-join in SQL."""
+    return rounded(correlation(table(spark, sf, "lineitem"), "kendall", LINE_NUMBERS))
 
 
 # ---- gates ---------------------------------------------------------------------------------------------

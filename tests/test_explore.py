@@ -91,7 +91,7 @@ def _matrix(df):
     return {(r["column_a"], r["column_b"]): r["corr"] for r in df.collect()}
 
 
-@pytest.mark.parametrize("options", [{}, {"bucket_rows": 40, "group_points": 50}])
+@pytest.mark.parametrize("options", [{}, {"group_points": 50}])
 @pytest.mark.parametrize("method", ["pearson", "spearman", "kendall"])
 def test_correlation(spark, tied, method, options):
     df = spark.createDataFrame(tied).withColumn("const", F.lit(1.0))
@@ -110,15 +110,45 @@ def test_correlation(spark, tied, method, options):
     assert got[("const", "const")] is None
 
 
-def test_spearman_with_many_values_per_column(spark, tied, monkeypatch):
-    """Lookups by shuffle with split-off hot values instead of broadcasts."""
-    from evenkeel.operators import correlate
+def test_ranks_of_values_and_columns_cut_by_ranges(spark, tied):
+    """Few distinct values over many ranges, so that runs of ties and columns go on from range to range."""
+    from evenkeel.plans.ranks import average_ranks
 
-    monkeypatch.setattr(correlate, "LOOKUP_VALUES", 3)
-    got = _matrix(correlation(spark.createDataFrame(tied), "spearman", bucket_rows=60))
-    for x, y in (("a", "c"), ("a", "b"), ("b", "c")):
-        ranks = tied[[x, y]].dropna().rank()
-        assert math.isclose(got[(x, y)], ranks[x].corr(ranks[y]), abs_tol=1e-9), (x, y)
+    rng = np.random.default_rng(5)
+    rows = [(k, g, float(v)) for g, high in ((0, 2), (1, 1), (2, 500), (4, 3)) for k, v in enumerate(rng.integers(0, high, 400 + g))]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("1", "7", "60"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            ranks, sizes = average_ranks(spark.createDataFrame(rows, "id long, g int, v double").repartition(3))
+            got = {(r["g"], r["id"]): r["rank"] for r in ranks.collect()}
+            want = pd.DataFrame(rows, columns=["id", "g", "v"])
+            want["rank"] = want.groupby("g")["v"].rank()
+            assert got == dict(zip(zip(want["g"], want["id"]), want["rank"]))
+            assert sizes == want.groupby("g").size().to_dict()
+            got = _matrix(correlation(spark.createDataFrame(tied), "spearman"))
+            for x, y in (("a", "c"), ("a", "b"), ("b", "c")):
+                paired = tied[[x, y]].dropna().rank()
+                assert math.isclose(got[(x, y)], paired[x].corr(paired[y]), abs_tol=1e-9), (x, y)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_pearson_far_from_zero_and_on_many_columns(spark):
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=500)
+    pdf = pd.DataFrame({f"x{k}": base * (k % 3) + rng.normal(size=500) + 1e9 * (k % 4) for k in range(40)})
+    pdf.loc[::7, "x5"] = np.nan
+    pdf["pairwise_const"] = np.where(pdf["x5"].isna(), pdf["x1"], 0.1)            # varies, but not where x5 is there
+    got = _matrix(correlation(spark.createDataFrame(pdf), "pearson"))
+    want = pdf.corr()
+    for a in pdf.columns:
+        for b in pdf.columns:
+            if {a, b} == {"x5", "pairwise_const"}:
+                assert got[a, b] is None
+            elif a != b:
+                assert math.isclose(got[a, b], want.loc[a, b], abs_tol=1e-5), (a, b)
+    assert spark.createDataFrame([(None, None)], "a double, b double").transform(correlation).where("corr IS NOT NULL").count() == 0
 
 
 def test_pair_counting(spark):
