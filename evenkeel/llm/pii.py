@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
-from evenkeel.llm.common import append_columns, map_rows, query, table
+from evenkeel.llm.common import append_columns, map_rows, query, table, to_batch
 from evenkeel.llm.spans import Covered, digest, ordered
 from evenkeel.session import cut_lineage
 
@@ -17,6 +24,7 @@ ROUNDS = 3                      # of scoring patterns by instances and instances
 MIN_SEEDS = 3                   # distinct trusted instances a pattern needs
 MIN_SCORE = 0.8                 # trusted against contradicting instances of a pattern, and trust an instance needs
 MAX_WORDS = 4                   # of an unseen identifier
+FIRST_PART = 16                 # one text in so many is looked at first, to refute the common patterns early
 
 AT = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -122,13 +130,25 @@ class Stretches:
     context a word, and on from it the words with digits."""
 
     def __init__(self, patterns):
-        self.patterns = frozenset(patterns)
+        self.patterns = set(patterns)
         self.number = {p: k for k, p in enumerate(sorted(self.patterns))}
         sides = [p.split(" ") for p in self.patterns]
         self.before = {(x, y) for x, y, z in sides if z == "_"}
         self.around = {(x, z) for x, y, z in sides if y == "_"}
         self.after = {(y, z) for x, y, z in sides if x == "_"}
-        self.left = {x for x, _ in self.around}
+        self.left = Counter(x for x, _ in self.around)
+
+    def drop(self, pattern: str) -> None:
+        """Look for it no more."""
+        x, y, z = pattern.split(" ")
+        self.patterns.discard(pattern)
+        if y != "_":
+            (self.before if z == "_" else self.after).discard((x, y) if z == "_" else (y, z))
+        elif (x, z) in self.around:
+            self.around.discard((x, z))
+            self.left[x] -= 1
+            if not self.left[x]:
+                del self.left[x]
 
     def of(self, text: str, base: list[tuple[str, int, int]]) -> list[tuple[int, int, list[str]]]:
         """(start, end, patterns) of every stretch that meets no base span."""
@@ -137,7 +157,7 @@ class Stretches:
         words = [(m.start(), m.end()) for m in WORD.finditer(text)]
         plain = [_plain(text[a:b]) for a, b in words]
         pairs = set(zip(plain, plain[1:]))
-        if not (self.left.intersection(plain) or pairs & self.before or pairs & self.after):
+        if not (not self.left.keys().isdisjoint(plain) or pairs & self.before or pairs & self.after):
             return []
         n, marked = len(words), [bool(DIGIT.search(p)) for p in plain]
         found = set()
@@ -167,18 +187,90 @@ class Stretches:
 EDGES = "pattern string, instance string, kind string, fits int"
 
 
-def reachable(edges: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS) -> set[str]:
-    """The patterns that could be accepted within the rounds: with min_seeds instances, each a seed or in such a pattern."""
+def reachable(edges: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS) -> DataFrame:
+    """(pattern): those that could be accepted within the rounds: with min_seeds instances, each a seed or in such a pattern."""
     known, patterns = edges.where("kind IS NOT NULL").select("instance").distinct(), None
     for _ in range(rounds):
         patterns = cut_lineage(edges.where("fits > 0").join(known, "instance").groupBy("pattern").agg(
             F.countDistinct("instance").alias("n")).where(F.col("n") >= min_seeds).select("pattern"))
         known = cut_lineage(edges.where("fits > 0").join(patterns, "pattern").select("instance").unionByName(known).distinct())
-    return {r["pattern"] for r in patterns.collect()}
+    return patterns
+
+
+def most_trust(edges: DataFrame) -> DataFrame:
+    """(pattern, kind, most): how many different words that can be of the kind stand in the pattern."""
+    words = edges.groupBy("pattern", "instance").agg(F.bit_or("fits").alias("fits"))
+    counts = words.groupBy("pattern").agg(*[F.count_if(F.col("fits").bitwiseAND(F.lit(1 << i)) != 0).alias(k) for i, k in enumerate(KINDS)])
+    return counts.select("pattern", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("most")) for k in KINDS])).alias("x")).select(
+        "pattern", "x.kind", "x.most")
+
+
+class Standing:
+    """What stands in patterns, collected over a task's texts; a pattern that is refuted is looked for no more.
+
+    A pattern's trust is bounded by `most` (see score_patterns), so it is refuted for good as soon as it has met
+    more than most * (1 - min_score) / min_score different plain words, in whichever texts. Until then that many plain
+    words are held at most, and nothing of a refuted pattern leaves the task but its number.
+    """
+
+    def __init__(self, patterns: dict[str, int], allowed: dict[str, int]):
+        self.find, self.allowed, self.number = Stretches(patterns), allowed, patterns
+        self.plain: dict[str, set[int]] = {}
+        self.able: dict[str, set[tuple[str, int]]] = {}
+        self.refuted: list[str] = []
+
+    def add(self, text: str) -> None:
+        for a, b, here in self.find.of(text, base_spans(text)):
+            word = text[a:b].lower()
+            can = fits(text[a:b])
+            for p in here:
+                if p not in self.find.patterns:                 # refuted by this very text
+                    continue
+                if can:
+                    self.able.setdefault(p, set()).add((word, can))
+                    continue
+                met = self.plain.setdefault(p, set())
+                met.add(xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) - (1 << 63))
+                if len(met) > self.allowed[p]:
+                    self.refuted.append(p)
+                    self.find.drop(p)
+                    self.plain.pop(p)
+                    self.able.pop(p, None)
+
+    def rows(self) -> Iterator[tuple]:
+        """(at, instance, fits, plain): instances, hashes of plain words, and -1 for a refuted pattern."""
+        for p in self.refuted:
+            yield self.number[p], None, -1, None
+        for p, words in self.able.items():
+            for word, can in words:
+                yield self.number[p], word, can, None
+        for p, words in self.plain.items():
+            for h in words:
+                yield self.number[p], None, 0, h
+
+
+STAND = "at int, instance string, fits int, plain long"
+
+
+def stand_in(texts: DataFrame, patterns, allowed) -> DataFrame:
+    """The rows of Standing for all texts; patterns and allowed are broadcast dictionaries by pattern."""
+    arrow = to_arrow_schema(StructType.fromDDL(STAND))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Standing(patterns.value, allowed.value)
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                if t:
+                    found.add(t)
+        rows = found.rows()
+        while part := list(islice(rows, 20_000)):
+            yield to_batch(part, arrow)
+
+    return texts.mapInArrow(run, STAND)
 
 
 def score_patterns(edges: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS,
-                   min_score: float = MIN_SCORE) -> DataFrame:
+                   min_score: float = MIN_SCORE, most: DataFrame | None = None) -> DataFrame:
     """(pattern, kind, score) of the accepted patterns, from rows (pattern, instance, kind or NULL, fits, n).
 
     A row without instance stands for n plain words.
@@ -188,7 +280,8 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_
     words, strings that cannot be of the kind); unseen ones that can be are left out. It is accepted with min_score and
     min_seeds trusted instances. A seed's trust in its kind is 1; another instance is trusted as much as one of its
     accepted patterns would have to be wrong together for it not to be one (noisy or, each pattern at nine tenths of
-    its score).
+    its score). With `most` (pattern, kind, most) the trust in a pattern adds up to no more than that: several stretches
+    of words around one marked word say no more than the word.
     """
     edges = cut_lineage(edges.groupBy("pattern", "instance").agg(F.max("kind").alias("seed"), F.bit_or("fits").alias("fits"), F.max("n").alias("n")))
     seeds = cut_lineage(edges.where("seed IS NOT NULL").groupBy("instance", F.col("seed").alias("kind")).agg(F.lit(1.0).alias("trust")))
@@ -202,6 +295,8 @@ def score_patterns(edges: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_
     for _ in range(rounds):
         votes = edges.join(trust, "instance").where(can).groupBy("pattern", "kind").agg(
             F.sum("trust").alias("total"), F.sum((F.col("trust") >= min_score).cast("int")).alias("support"))
+        if most is not None:
+            votes = votes.join(most, ["pattern", "kind"]).withColumn("total", F.least("total", F.col("most").cast("double")))
         accepted = cut_lineage(votes.join(against, ["pattern", "kind"]).withColumn("score", F.col("total") / (F.col("total") + F.col("against")))
                                .where((F.col("score") >= min_score) & (F.col("support") >= min_seeds))
                                .select("pattern", "kind", "score"))
@@ -217,7 +312,7 @@ FOUND = ("n_email long, n_ip long, n_card long, n_phone long, base_sha256 string
 
 
 def find_personal_data(docs: DataFrame, text: str = "text", rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS,
-                       min_score: float = MIN_SCORE) -> DataFrame:
+                       min_score: float = MIN_SCORE, early: bool = True) -> DataFrame:
     """(row, n_email, n_ip, n_card, n_phone, base_sha256, base, found): every row of docs.
 
     base are the matches of the fixed patterns; found are further spans (start, kind, end), kind `like_<kind>`:
@@ -225,33 +320,40 @@ def find_personal_data(docs: DataFrame, text: str = "text", rounds: int = ROUNDS
     overlap the best scored stays. Offsets are code points, end exclusive. NULL and empty texts have no spans; repeated
     rows get the same answer and count as one instance; with no seeds nothing is learned; empty tables give empty results.
 
-    Texts are scanned for seeds, then for all that stands in the patterns that could be accepted, then for the answer;
-    only patterns and instances are shuffled. The driver and each task hold the patterns that three seeds reach.
+    Texts are scanned for seeds; then for all that stands in the patterns that could be accepted, first in a small part of
+    the texts, which refutes the common ones, then in all of them; then for the answer. Refuting needs no more texts
+    than it takes and is exact (early=False goes without and gives the same answer). Only patterns and instances are shuffled. The driver and each task hold the patterns that
+    three seeds reach, later those not refuted; their number grows with the seeds of the corpus.
     """
     spark = docs.sparkSession
     edges = cut_lineage(map_rows(docs.select(text), lambda texts: [e for t in texts for e in seeds_and_marked(t or "")], EDGES).distinct())
-    sent = spark.sparkContext.broadcast(Stretches(reachable(edges, rounds, min_seeds)))
+    most = cut_lineage(most_trust(edges).join(reachable(edges, rounds, min_seeds), "pattern"))
+    bound = {r["pattern"]: r["most"] for r in most.groupBy("pattern").agg(F.max("most").alias("most")).collect()}
+    allowed = {p: math.floor(n * (1 - min_score) / min_score + 1e-9) if early else 1 << 60 for p, n in bound.items()}
+    number = {p: k for k, p in enumerate(sorted(allowed))}
 
-    def standing(texts: list) -> list[tuple]:
-        out, number = set(), sent.value.number
-        for t in texts:
-            for a, b, here in sent.value.of(t, base_spans(t)) if t else ():
-                word = t[a:b].lower()
-                can = fits(t[a:b])
-                row = (word, can, None) if can else (None, 0, xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) - (1 << 63))
-                out.update((number[p], *row) for p in here)
-        return list(out)
+    def standing(texts: DataFrame) -> DataFrame:
+        return stand_in(texts, spark.sparkContext.broadcast(number), spark.sparkContext.broadcast(allowed))
 
     accepted: list = []
-    if sent.value.patterns:
+    if number:
+        texts = docs.select(F.col(f"`{text}`").alias("text"))
+        part = texts.where(F.pmod(F.xxhash64("text"), F.lit(FIRST_PART)) == 0)
+        part = part.coalesce(max(1, part.rdd.getNumPartitions() // FIRST_PART))
+        gone = {r["at"] for r in standing(part).where("fits < 0").select("at").distinct().collect()}
+        number = {p: k for p, k in number.items() if k not in gone}
+    if number:
+        stand = cut_lineage(standing(texts))
+        gone = stand.where("fits < 0").select("at").distinct()
+        names = spark.createDataFrame([(k, p) for p, k in number.items()], "at int, pattern string")
         # words with digits alone and as part of a stretch are not two instances: what stands there now counts
         # plain words are told apart by their hash and only counted, a row for each pattern
-        stand = (map_rows(docs.select(text), standing, "at int, instance string, fits int, plain long").distinct()
+        stand = (stand.where("fits >= 0").join(gone, "at", "left_anti").distinct()
                  .groupBy("at", "instance", "fits").agg(F.greatest(F.count("plain"), F.lit(1)).alias("n")))
-        names = spark.createDataFrame([(k, p) for p, k in sent.value.number.items()], "at int, pattern string")
-        stand = stand.join(F.broadcast(names), "at").select("pattern", "instance", F.lit(None).cast("string").alias("kind"), "fits", "n")
-        seeds = edges.where("kind IS NOT NULL").withColumn("n", F.lit(1).cast("long"))
-        accepted = score_patterns(seeds.unionByName(stand), rounds, min_seeds, min_score).collect()
+        stand = stand.join(names, "at").select("pattern", "instance", F.lit(None).cast("string").alias("kind"), "fits", "n")
+        left = names.join(gone, "at", "left_anti").select("pattern")
+        seeds = edges.where("kind IS NOT NULL").join(left, "pattern").select("pattern", "instance", "kind", "fits", F.lit(1).cast("long").alias("n"))
+        accepted = score_patterns(seeds.unionByName(stand), rounds, min_seeds, min_score, most).collect()
     scores: dict = {}
     for r in accepted:
         scores.setdefault(r["pattern"], []).append((r["score"], r["kind"]))

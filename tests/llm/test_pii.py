@@ -3,6 +3,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from evenkeel.llm import pii
 from evenkeel.llm import pii as p
 from evenkeel.llm.spans import digest, ordered
 
@@ -81,3 +82,77 @@ def test_few_seeds_find_many_identifiers_of_any_form(docs_of):
     text = dict(rows)
     got = {d: [(f["kind"], text[d][f["start"]:f["end"]]) for f in fs] for d, fs in found.items() if fs}
     assert got == {**{10 + k: [("like_email", x)] for k, x in enumerate(mails)}, **{30 + k: [("like_phone", x)] for k, x in enumerate(calls)}}
+
+
+def plain_bootstrap(edges, most, rounds, min_seeds, min_score):
+    """score_patterns with dictionaries."""
+    cells = {}
+    for p, i, kind, can, n in edges:
+        old = cells.get((p, i), (None, 0, 0))
+        cells[p, i] = (max(filter(None, (old[0], kind)), default=None), old[1] | can, max(old[2], n))
+    seeds = {(i, c[0]): 1.0 for (p, i), c in cells.items() if c[0]}
+    known, trust, accepted = {i for i, _ in seeds}, dict(seeds), {}
+    for _ in range(rounds):
+        accepted = {}
+        for p in {p for p, _ in cells}:
+            for b, kind in enumerate(pii.KINDS):
+                can = {i: trust[i, kind] for (q, i), c in cells.items() if q == p and i is not None and c[1] >> b & 1 and (i, kind) in trust}
+                against = sum(c[2] for (q, i), c in cells.items() if q == p and not c[1] >> b & 1)
+                total = min(sum(can.values()), most.get((p, kind), 0))
+                if can and total + against and total / (total + against) >= min_score and sum(t >= min_score for t in can.values()) >= min_seeds:
+                    accepted[p, kind] = total / (total + against)
+        wrong = {}
+        for (p, i), c in cells.items():
+            for b, kind in enumerate(pii.KINDS):
+                if c[0] is None and i is not None and (p, kind) in accepted and c[1] >> b & 1 and i not in known:
+                    wrong[i, kind] = wrong.get((i, kind), 1.0) * (1 - 0.9 * accepted[p, kind])
+        trust = seeds | {k: 1 - w for k, w in wrong.items()}
+    return accepted
+
+
+def test_scores_equal_a_plain_bootstrap(spark):
+    rng = random.Random(4)
+    edges = []
+    for k in range(400):
+        j = rng.randrange(25)
+        i = rng.randrange(15) * 4 + (j % 4 if rng.random() < 0.9 else rng.randrange(4))     # mostly of the pattern's kind
+        kind = pii.KINDS[i % 4] if i < 25 else None
+        edges.append((f"p{j} x _", f"i{i}", kind, 1 << i % 4 if kind else rng.choice([1, 14, 15]), 1))
+    edges += [(f"p{k} x _", None, None, 0, rng.randrange(1, 4)) for k in range(0, 25, 3)]
+    most = {(f"p{k} x _", kind): rng.randrange(2, 20) for k in range(25) for kind in pii.KINDS}
+    for rounds in (1, 3):
+        want = plain_bootstrap(edges, most, rounds, 2, 0.6)
+        got = {(r["pattern"], r["kind"]): r["score"] for r in pii.score_patterns(
+            spark.createDataFrame(edges, "pattern string, instance string, kind string, fits int, n long"), rounds, 2, 0.6,
+            spark.createDataFrame([(*k, n) for k, n in most.items()], "pattern string, kind string, most long")).collect()}
+        assert got.keys() == want.keys() and want
+        assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
+def test_early_refutation_changes_nothing(spark, sf, docs_of):
+    rng = random.Random(9)
+    words = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(60)]
+    rows = []
+    for k in range(400):
+        said = " ".join(rng.choices(words, k=30))
+        if k % 4 == 0:
+            said += f" please write to user{k}@mail{k % 7}.example.org about it "
+        if k % 9 == 0:
+            said += f" please write to nick_{k} at home{k} about it "
+        if k % 5 == 0:
+            said = f"{words[k % 3]} {words[k % 4]} +49 30 {1000000 + k} " + said
+        rows.append((k, said))
+    for docs in (docs_of(rows), spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")):
+        answers = [sorted((r["doc_id"], str(r["found"])) for r in pii.find_personal_data(docs, early=e).select("row.doc_id", "found").collect())
+                   for e in (True, False)]
+        assert answers[0] == answers[1]
+
+
+
+def test_a_task_holds_no_more_plain_words_than_it_takes_to_refute():
+    found = pii.Standing({"call me _": 0, "reach him _": 1}, {"call me _": 2, "reach him _": 2})
+    for k in range(1000):
+        found.add(f"call me word{chr(97 + k % 26)}{'x' * (k % 40)} now and reach him a{k}@here")
+    rows = list(found.rows())
+    assert (0, None, -1, None) in rows and not found.plain.get("call me _") and "call me _" not in found.find.patterns
+    assert sum(r[0] == 0 for r in rows) == 1
