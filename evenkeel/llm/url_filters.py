@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from evenkeel.llm.common import query, table
 from evenkeel.llm.components import connected_components
 from evenkeel.llm.line_dedup import LOWER, UPPER
+from evenkeel.session import cut_lineage
 
 TRACKING = "(?:utm_[A-Za-z]+|ref|fbclid|gclid)"
 CANONICAL = r"""(?i)<link\b[^<>]*\brel\s*=\s*["']?canonical\b[^<>]*>"""
@@ -92,7 +93,8 @@ def url_verdicts(pages: DataFrame, rules: list[tuple[str, str, str]], url: str =
     ruled = parsed(nodes, "node").select("component", longest_rule(rules).getField("verdict").alias("v"))
     said = (ruled.groupBy("component").agg(F.bool_or(F.col("v") == "allow").alias("allow"),
                                            F.bool_or(F.col("v") == "block").alias("block")))
-    alias = (nodes.join(said.where("allow OR block"), "component")
+    # written, so that the planner may split the addresses of a component that holds a third of them
+    alias = (nodes.join(cut_lineage(said.where("allow OR block")), "component")
              .select(F.col("node").alias("ek_node"),
                      F.when(F.col("allow"), F.lit("allow")).otherwise(F.lit("block")).alias("ek_alias")))
     own = parsed(packed, "ek_page").withColumn("ek_rule", longest_rule(rules))
