@@ -52,6 +52,18 @@ def imputation_values(df: DataFrame, cols: Sequence[str], method: str, value: st
     raise ValueError(f"unknown imputation {method!r}")
 
 
+def skipped_columns(df: DataFrame, cols: Sequence[str], method: str) -> DataFrame:
+    """(column, reason): the columns that a fill leaves as they are, in the order asked for.
+
+    Mean and median skip what is not numeric; every fit skips a column without any value; a constant skips none.
+    """
+    kinds = _kinds(df)
+    fills = imputation_values(df, cols, method) if method != "constant" else dict.fromkeys(cols)
+    rows = [(c, "not numeric" if method in ("mean", "median") and kinds[c] not in ("numeric", "boolean") else "no value")
+            for c in cols if c not in fills]
+    return df.sparkSession.createDataFrame(rows, "column string, reason string")      # a row a column at most
+
+
 def impute(df: DataFrame, cols: Sequence[str], method: str, value: str = "0",
            fit_on: DataFrame | None = None) -> DataFrame:
     """auto, mean, median, mode or constant fill; an all-missing column stays as it is."""

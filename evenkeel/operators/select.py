@@ -155,12 +155,14 @@ def _rows_within(hist: DataFrame, radii: DataFrame, bucket_rows: int, cuts: list
 
 
 def select_k_best(df: DataFrame, feats: Sequence[str], target: str, k: int | None = None,
-                  method: str = "knn", **options) -> tuple[DataFrame, DataFrame]:
-    """(reduced frame in the original feature order, score table with a `selected` flag)."""
+                  method: str = "knn", fit_on: DataFrame | None = None, **options) -> tuple[DataFrame, DataFrame]:
+    """(reduced frame in the original feature order, score table with a `selected` flag).
+
+    Scores come from all rows, or from those of `fit_on` (the train rows)."""
     k = min(10, len(feats)) if k is None else k
     if not 1 <= k <= len(feats):
         raise ValueError(f"k must lie in 1..{len(feats)}")
-    scores = mutual_info(df, feats, target, method, **options)
+    scores = mutual_info(df if fit_on is None else fit_on, feats, target, method, **options)
     best = {r["feature"] for r in scores.orderBy(F.desc("score"), "feature").limit(k).collect()}
     kept = [c for c in feats if c in best]
     table = scores.withColumn("selected", F.col("feature").isin(kept)).orderBy(F.desc("score"), "feature")

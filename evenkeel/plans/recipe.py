@@ -8,6 +8,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evenkeel.session import cut_lineage
+
 
 @dataclass
 class Recipe:
@@ -16,6 +18,8 @@ class Recipe:
     raw: DataFrame
     actions: list[str] = field(default_factory=list)
     frames: list[DataFrame] = field(default_factory=list)
+    steps: list[Callable[[DataFrame], DataFrame]] = field(default_factory=list)
+    sizes: list[int] = field(default_factory=list)       # rows of raw and of the frames counted so far
     encodings: dict[str, dict[str, int]] = field(default_factory=dict)
     derived: dict[str, object] = field(default_factory=dict)
 
@@ -25,12 +29,13 @@ class Recipe:
 
     def apply(self, action: str, step: Callable[[DataFrame], DataFrame]) -> "Recipe":
         self.frames.append(step(self.current))
+        self.steps.append(step)
         self.actions.append(action)
         self.derived.clear()
         return self
 
     def reset(self) -> "Recipe":
-        for part in (self.actions, self.frames, self.encodings, self.derived):
+        for part in (self.actions, self.frames, self.steps, self.sizes, self.encodings, self.derived):
             part.clear()
         return self
 
@@ -38,10 +43,18 @@ class Recipe:
         return hashlib.sha256("\n".join(self.actions).encode()).hexdigest()[:24]
 
     def log(self) -> DataFrame:
-        """(step_no, action, rows_before, rows_after), one counting job per step."""
+        """(step_no, action, rows_before, rows_after).
+
+        Each step not counted yet is written once, from the written result of the step before it, and counted from the
+        files' footers; the recipe goes on from there. k steps take k passes and the count of the raw table.
+        """
         spark = self.raw.sparkSession
-        sizes = [f.count() for f in (self.raw, *self.frames)] if self.actions else []
-        rows = [(i + 1, a, sizes[i], sizes[i + 1]) for i, a in enumerate(self.actions)]
+        if self.actions and not self.sizes:
+            self.sizes.append(self.raw.count())
+        for k in range(max(0, len(self.sizes) - 1), len(self.actions)):
+            self.frames[k] = cut_lineage(self.steps[k](self.frames[k - 1] if k else self.raw))
+            self.sizes.append(self.frames[k].count())
+        rows = [(i + 1, a, self.sizes[i], self.sizes[i + 1]) for i, a in enumerate(self.actions)]
         return spark.createDataFrame(rows, "step_no int, action string, rows_before long, rows_after long")
 
 

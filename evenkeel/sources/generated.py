@@ -33,28 +33,57 @@ def _mark(spark: SparkSession, path: str, job: str, run: str, seq: int, write: s
     spark.createDataFrame(row, META).coalesce(1).write.mode("append").json(f"{path}/meta")
 
 
+COUNTS = "batch_no long, n long, job_id string, run_id string, write_id string"
+
+
 def write_generated(df: DataFrame, path: str, job: str, meta: dict, status: str = "in_progress") -> None:
     """Save the batches in `df` (batch_no, row_no, columns); writing a batch again replaces it.
 
-    Rows are appended under the run, whatever their batch, with the id of their write; the metadata row that names
-    the write goes last, so readers never see half a write. Of several writes of a batch the last one counts.
+    Rows are appended under the run and the write, whatever their batch; then the write's own rows are counted by
+    batch, from its own files alone; the metadata row that names the write and carries the run's total goes last, so
+    readers never see half a write. Of several writes of a batch the last one counts. A write costs its own rows and one
+    number for each batch written before, never the rows of the run.
     """
     spark = df.sparkSession
     last = _latest(spark, path, job)
     run = last["run_id"] if last and last["status"] != "dropped" else uuid.uuid4().hex
     seq, write = (last["seq"] + 1 if last else 1), uuid.uuid4().hex
     tagged = df.withColumns({"job_id": F.lit(job), "run_id": F.lit(run), "write_id": F.lit(write)})
-    tagged.write.mode("append").partitionBy("job_id", "run_id").parquet(f"{path}/rows")
-    _mark(spark, path, job, run, seq, write, status, 0, meta | {"uncounted": True})
-    total = _rows(spark, path, job, run).count()
-    _mark(spark, path, job, run, seq + 1, "", status, total, meta)
+    tagged.write.mode("append").partitionBy("job_id", "run_id", "write_id").parquet(f"{path}/rows")
+    own = _of_run(spark, f"{path}/rows", job, run).where(F.col("write_id") == write)
+    counts = own.groupBy(F.col("batch_no").cast("long").alias("batch_no")).agg(F.count(F.lit(1)).alias("n"))
+    counts.withColumns({"job_id": F.lit(job), "run_id": F.lit(run), "write_id": F.lit(write)}).write.mode("append").partitionBy(
+        "job_id", "run_id").parquet(f"{path}/counts")
+    _mark(spark, path, job, run, seq, write, status, _total(spark, path, job, run, write, seq), meta)
+
+
+def _of_run(spark: SparkSession, path: str, job: str, run: str, schema: str | None = None) -> DataFrame:
+    reader = spark.read.option("partitionColumnTypeInference.enabled", "false")
+    found = (reader.schema(schema) if schema else reader).parquet(path)
+    return found.where((F.col("job_id").cast("string") == job) & (F.col("run_id").cast("string") == run))
+
+
+def _total(spark: SparkSession, path: str, job: str, run: str, write: str, seq: int) -> int:
+    """Rows of the run: of every batch the count of its last write that is marked, or is this one."""
+    counts = _of_run(spark, f"{path}/counts", job, run, COUNTS)
+    marked = _writes(spark, path, job, run)
+    this = spark.createDataFrame([(write, seq)], "write_id string, _seq long")
+    known = counts.join(this if marked is None else marked.unionByName(this), "write_id")
+    last = known.groupBy("batch_no").agg(F.max_by("n", "_seq").alias("n"))
+    return last.agg(F.sum("n")).first()[0] or 0
+
+
+def _writes(spark: SparkSession, path: str, job: str, run: str) -> DataFrame | None:
+    """(write_id, _seq) of the run's finished writes."""
+    marks = _meta_rows(spark, path, job)
+    if marks is None:
+        return None
+    return marks.where((F.col("run_id") == run) & (F.col("write_id") != "")).select("write_id", F.col("seq").alias("_seq"))
 
 
 def _rows(spark: SparkSession, path: str, job: str, run: str) -> DataFrame:
     """The rows of a run: of every batch those of its last finished write."""
-    rows = spark.read.option("partitionColumnTypeInference.enabled", "false").parquet(f"{path}/rows")
-    mine = rows.where((F.col("job_id").cast("string") == job) & (F.col("run_id").cast("string") == run))
-    writes = _meta_rows(spark, path, job).where((F.col("run_id") == run) & (F.col("write_id") != "")).select("write_id", F.col("seq").alias("_seq"))
+    mine, writes = _of_run(spark, f"{path}/rows", job, run), _writes(spark, path, job, run)
     known = mine.join(writes, "write_id").withColumn("batch_no", F.col("batch_no").cast("bigint"))
     last = known.groupBy("batch_no").agg(F.max("_seq").alias("_seq"))
     return known.join(last, ["batch_no", "_seq"]).drop("job_id", "run_id", "write_id", "_seq")
@@ -70,8 +99,6 @@ def read_generated(spark: SparkSession, path: str, job: str) -> tuple[DataFrame,
     except AnalysisException:
         return None
     meta = {**json.loads(last["details"]), **{k: last[k] for k in ("job_id", "status", "generated_rows", "updated_at")}}
-    if meta.pop("uncounted", False):                 # stopped between the commit mark and the count
-        meta["generated_rows"] = rows.count()
     return rows, meta
 
 

@@ -149,6 +149,32 @@ def select_k_best(spark, sf):
     return sel.select_k_best(df, ["o_custkey", "o_totalprice"], "o_orderstatus", 2, "binned")[0]
 
 
+_LONG = " UNION ALL ".join(f"SELECT '{c}' AS feature, count({c})::BIGINT AS n_rows, round(sum({c}), 2) AS total FROM c" for c in CREDIT_FEATS)
+
+
+@query("select_k_best_frame", f"""{_BINNED}, r AS (SELECT feature, row_number() OVER (ORDER BY score DESC, feature) AS k FROM s)
+  SELECT t.* FROM ({_LONG}) t JOIN r USING (feature) WHERE k <= 2""")
+def select_k_best_frame(spark, sf):
+    """The columns that are kept at k = 2 of 4, scored on all rows: which they are depends on the scores."""
+    df = credit_lineitem(spark, sf).select(*CREDIT_FEATS, "target")
+    kept = sel.select_k_best(df, CREDIT_FEATS, "target", 2, "binned")[0].drop("target")
+    long = kept.select(F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("v")) for c in kept.columns])).alias("x"))
+    return long.groupBy("x.feature").agg(F.count("x.v").alias("n_rows"), F.round(F.sum("x.v"), 2).alias("total"))
+
+
+@query("impute_skipped", f"""WITH m AS ({MISSING}) SELECT 'mean' AS method, 'l_linestatus' AS "column", 'not numeric' AS reason
+  UNION ALL SELECT 'mean', 'nothing', 'no value' FROM m HAVING count(l_quantity) > 0
+  UNION ALL SELECT 'auto', 'nothing', 'no value' FROM m HAVING count(l_quantity) > 0""")
+def impute_skipped(spark, sf):
+    """What mean, automatic and constant fills leave alone; `nothing` has no value."""
+    df = credit_missing(spark, sf).select("l_quantity", "l_linestatus", F.lit(None).cast("double").alias("nothing"))
+    found = None
+    for method in ("mean", "auto", "constant"):
+        part = clean.skipped_columns(df, df.columns, method).select(F.lit(method).alias("method"), "column", "reason")
+        found = part if found is None else found.unionByName(part)
+    return found
+
+
 _PSI = """psi AS (SELECT (i + 1)::BIGINT AS n, -0.5772156649015329 + coalesce(sum(CASE WHEN i > 0 THEN 1.0::DOUBLE / i END)
     OVER (ORDER BY i), 0) AS v FROM range((SELECT count(*)::BIGINT + 1 FROM customer)) t(i))"""
 

@@ -82,6 +82,7 @@ def test_recipe(holes):
     recipe.derived["split"] = "old"
     recipe.apply("drop", lambda d: clean.drop_missing_rows(d, ["x"])).apply("keep", lambda d: d.where("i < 3"))
     assert recipe.derived == {} and [tuple(r) for r in recipe.log().collect()] == [(1, "drop", 5, 3), (2, "keep", 3, 1)]
+    assert recipe.sizes == [5, 3, 1] and [tuple(r) for r in recipe.log().collect()][1] == (2, "keep", 3, 1)
     assert recipe.reset().current is holes and recipe.log().count() == 0
 
 
