@@ -1,9 +1,10 @@
 """Exact k-nearest-neighbour join of a point set with itself, without a cross join.
 
-Points are cut into cells by coordinate splits learned on a bounded sample. Each cell finds its own
-candidates, which bounds every point's search radius; a point then visits only the cells whose box
-reaches into that radius. Copies are folded into one weighted point beforehand, so a hot group of
-copies is a single row.
+Points are cut into cells by a tree whose nodes have a bounded number of children: the cuts are learned on bounded samples,
+for the first level by the driver and for each deeper level in one task a node, so the number of cells grows with the points.
+A point's own cell bounds its search radius. It then goes down the tree to the nearest other cells first, and what it finds
+there shrinks the radius before it asks further; only the last round visits every cell that the radius still reaches. Copies
+are folded into one weighted point beforehand, so a hot group of copies is a single row.
 """
 
 from __future__ import annotations
@@ -18,8 +19,11 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from evenkeel.session import cut_lineage
 
 CELL_POINTS = 2_000          # points one cell should hold
-MAX_CELLS = 1 << 14
+OVERFULL = 2                 # a cell of more than this many times CELL_POINTS is cut again
+FAN = 4_096                  # cells that one node of the tree is cut into at most
 SAMPLE_PER_CELL = 24
+LEAF_SAMPLE = 36             # a cell holds at most this many of the sample
+NEAREST_FIRST = (2, 8)       # cells a point visits in the rounds before the last one
 VISIT_CHUNK = 50_000         # visiting points compared with a cell in one group
 BLOCK = 256                  # rows of a distance matrix held at once
 
@@ -43,8 +47,19 @@ class Splits:
         return -node - 1
 
 
+def _cut(values: np.ndarray) -> float | None:
+    """Where to cut: the widest gap of the middle half, so that clusters stay whole; else any place that leaves two parts."""
+    v = np.sort(values)
+    quarter = len(v) // 4
+    gaps = np.diff(v[quarter:len(v) - quarter])
+    if len(gaps) and gaps.max() > 0:
+        return v[quarter + int(gaps.argmax()) + 1]
+    above = v[v > v[0]]
+    return above[0] if len(above) else None
+
+
 def learn_splits(sample: np.ndarray, leaf: int) -> Splits:
-    """Halve the sample along the widest coordinate until a part holds at most `leaf` of it."""
+    """Cut the sample along the widest coordinate until a part holds at most `leaf` of it."""
     dim, cut, child = [], [], []
     cells = 0
     work = [(np.arange(len(sample)), None, 0)]
@@ -54,15 +69,14 @@ def learn_splits(sample: np.ndarray, leaf: int) -> Splits:
         best = None
         if len(rows) > leaf:
             for d in np.argsort(-(part.max(0) - part.min(0)), kind="stable"):
-                at = np.median(part[:, d])
+                at = _cut(part[:, d])
+                if at is None:
+                    break                             # the widest coordinate is constant: all points are alike
                 right = part[:, d] >= at
-                if right.all():                       # the median is the minimum: cut just above it
-                    at = np.nextafter(at, np.inf)
-                    right = part[:, d] >= at
                 share = min(right.mean(), 1 - right.mean())
-                if share > 0 and (best is None or share > best[0]):
+                if best is None or share > best[0]:
                     best = (share, d, at, right)
-                if share >= 0.25:
+                if share >= 0.2:
                     break
         if best is None:
             place, cells = -(cells + 1), cells + 1
@@ -77,12 +91,13 @@ def learn_splits(sample: np.ndarray, leaf: int) -> Splits:
     return Splits(np.array(dim, dtype=int), np.array(cut), np.array(child, dtype=int).reshape(-1, 2))
 
 
+SLACK = 1 + 1e-9             # a radius is widened by this much against rounding
 FOUND = "pid string, nid string, d2 double, w long, nv array<double>"
 
 
 def nearest_in(asking: np.ndarray, ask_ids: np.ndarray, points: np.ndarray, ids: np.ndarray, weights: np.ndarray,
-               k: int) -> pd.DataFrame:
-    """For each asking point its nearest others up to total weight k, ties by id."""
+               k: int, reach: np.ndarray | None = None) -> pd.DataFrame:
+    """For each asking point its nearest others up to total weight k, ties by id; none beyond its squared `reach`."""
     order = np.argsort(ids)                       # positions follow the ids, so a tie goes to the lower position
     points, ids, weights = points[order], ids[order], weights[order]
     m = min(k + 1, len(points))                   # one more, as a point may meet itself
@@ -103,10 +118,12 @@ def nearest_in(asking: np.ndarray, ask_ids: np.ndarray, points: np.ndarray, ids:
         near, dist = np.take_along_axis(near, rank, axis=1), np.take_along_axis(dist, rank, axis=1)
         weight = np.where(ids[near] == mine[:, None], 0, weights[near])       # a point is no neighbour of itself
         keep = (weight > 0) & (np.cumsum(weight, axis=1) - weight < k)
+        if reach is not None:
+            keep &= dist <= reach[start:start + BLOCK, None] * SLACK
         i, j = np.nonzero(keep)
         at = near[i, j]
         parts.append(pd.DataFrame({"pid": mine[i], "nid": ids[at], "d2": dist[i, j], "w": weights[at],
-                                   "nv": list(points[at])}))
+                                   "nv": pd.Series(list(points[at]), dtype=object)}))
     return pd.concat(parts, ignore_index=True) if parts else pd.DataFrame(columns=["pid", "nid", "d2", "w", "nv"])
 
 
@@ -114,80 +131,184 @@ def _matrix(pdf: pd.DataFrame, column: str = "v") -> np.ndarray:
     return np.stack(pdf[column].to_numpy()) if len(pdf) else np.zeros((0, 1))
 
 
-def nearest_neighbours(points: DataFrame, k: int, cell_points: int = CELL_POINTS,
-                       visit_chunk: int = VISIT_CHUNK) -> DataFrame:
+def _sampled(points: DataFrame, share) -> DataFrame:
+    """A repeatable sample by the id's hash; `share` may be a column."""
+    return points.where(F.pmod(F.xxhash64(F.lit("sample"), "pid"), F.lit(1 << 20)) < F.ceil(share * F.lit(float(1 << 20))))
+
+
+def _parted(left: DataFrame, right: DataFrame, key: str, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both tables with `part`: a key with many rows on the left is cut into parts, its rows on the right are repeated."""
+    load = left.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / F.lit(rows)).cast("int").alias("_parts"))
+    cut = left.join(load, key).withColumn("part", F.pmod(F.xxhash64("pid"), F.col("_parts").cast("bigint")).cast("int"))
+    repeated = right.join(load, key).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    return cut.drop("_parts"), repeated.drop("_parts")
+
+
+def _first_level(points: DataFrame, n: int, cell_points: int, fan: int) -> DataFrame:
+    cells = min(fan, -(-n // cell_points))
+    want = cells * SAMPLE_PER_CELL
+    picked = _sampled(points, F.lit(min(1.0, 1.2 * want / n))).select("v").limit(2 * want).collect()   # bounded; only places cuts
+    splits = learn_splits(np.array([r["v"] for r in picked]), LEAF_SAMPLE)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(c1=[f"{c:06d}" for c in splits.cell(_matrix(pdf))])
+
+    return points.mapInPandas(place, "pid string, w long, v array<double>, c1 string")
+
+
+def _next_level(celled: DataFrame, level: int, cell_points: int, fan: int, chunk: int) -> DataFrame:
+    """Cut the cells of a level that hold too much again; the others go on as their own only child."""
+    above, below = f"c{level}", f"c{level + 1}"
+    wanted = F.least(F.lit(fan), F.ceil(F.col("_n") / F.lit(cell_points)))
+    big = (celled.groupBy(above).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > OVERFULL * cell_points)
+           .withColumn("_share", F.least(F.lit(1.0), 1.2 * wanted * SAMPLE_PER_CELL / F.col("_n"))).drop("_n"))
+    sample = _sampled(celled.join(big, above), F.col("_share")).select(above, "v")
+
+    def learn(pdf: pd.DataFrame) -> pd.DataFrame:
+        tree = learn_splits(_matrix(pdf), LEAF_SAMPLE)
+        return pd.DataFrame({above: pdf[above].iloc[:1].to_numpy(), "dim": [tree.dim], "cut": [tree.cut], "child": [tree.child.ravel()]})
+
+    trees = cut_lineage(sample.groupBy(above).applyInPandas(
+        learn, f"{above} string, dim array<long>, cut array<double>, child array<long>"))
+    inner = ", ".join(f"c{i} string" for i in range(1, level + 2))
+
+    def place(pdf: pd.DataFrame, tree: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf):
+            return pd.DataFrame(columns=[*pdf.columns.drop("part"), below])
+        splits = Splits(np.array(tree["dim"].iloc[0], dtype=int), np.array(tree["cut"].iloc[0]),
+                        np.array(tree["child"].iloc[0], dtype=int).reshape(-1, 2))
+        return pdf.drop(columns="part").assign(**{below: [f"{a}.{c:06d}" for a, c in zip(pdf[above], splits.cell(_matrix(pdf)))]})
+
+    names = ["pid", "w", "v", *[f"c{i}" for i in range(1, level + 1)]]
+    inside, repeated = _parted(celled.join(trees.select(above), above, "left_semi").select(*names), trees, above, chunk)
+    cut = inside.select(*names, "part").groupBy(above, "part").cogroup(repeated.groupBy(above, "part")).applyInPandas(
+        place, f"pid string, w long, v array<double>, {inner}")
+    whole = celled.join(trees.select(above), above, "left_anti").select(*names, F.concat(above, F.lit(".")).alias(below))
+    return cut.unionByName(whole)
+
+
+def _boxes(celled: DataFrame, level: int, width: int) -> DataFrame:
+    """(above, node, lo, hi): the box of the points of each cell of a level."""
+    above = F.col(f"c{level - 1}") if level > 1 else F.lit("")
+    ends = [f(F.col("v")[d]).alias(f"{name}{d}") for d in range(width) for name, f in (("lo", F.min), ("hi", F.max))]
+    return (celled.groupBy(above.alias("above"), F.col(f"c{level}").alias("node")).agg(*ends)
+            .select("above", "node", F.array(*[f"lo{d}" for d in range(width)]).alias("lo"),
+                    F.array(*[f"hi{d}" for d in range(width)]).alias("hi")))
+
+
+ASKED = "pid string, v array<double>, r2 double, home string, above string, gap double"
+
+
+def _reached(asking: pd.DataFrame, nodes: np.ndarray, low: np.ndarray, high: np.ndarray, first: int | None) -> Iterator[pd.DataFrame]:
+    """Each asking point with the nodes whose box its radius reaches, the `first` nearest if given; never its own cell."""
+    for start in range(0, len(asking), BLOCK):
+        part = asking.iloc[start:start + BLOCK]
+        v = _matrix(part)
+        gap = np.zeros((len(part), len(nodes)))
+        for d in range(v.shape[1]):
+            x = v[:, d, None]
+            gap += np.maximum(0.0, np.maximum(low[None, :, d] - x, x - high[None, :, d])) ** 2
+        go = (gap <= part["r2"].to_numpy()[:, None] * SLACK) & (nodes[None, :] != part["home"].to_numpy()[:, None])
+        if first is not None and len(nodes) > first:
+            far = np.where(go, gap, np.inf)
+            near = np.argsort(far, axis=1, kind="stable")[:, :first]
+            taken = np.zeros_like(go)
+            np.put_along_axis(taken, near, True, axis=1)
+            go &= taken
+        i, c = np.nonzero(go)
+        yield part[["pid", "v", "r2", "home"]].iloc[i].assign(above=nodes[c], gap=gap[i, c])
+
+
+def _further(first: int | None):
+    def worker(pdf: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
+        if not len(pdf) or not len(nodes):
+            return pd.DataFrame(columns=["pid", "v", "r2", "home", "above", "gap"])
+        return pd.concat(list(_reached(pdf, nodes["node"].to_numpy(), _matrix(nodes, "lo"), _matrix(nodes, "hi"), first)))
+
+    return worker
+
+
+def _descend(asking: DataFrame, top: tuple[np.ndarray, np.ndarray, np.ndarray], lower: list[DataFrame], first: int | None,
+             chunk: int) -> DataFrame:
+    """(pid, v, r2, cell): the cells each point still has to ask, level by level; a point keeps its `first` nearest nodes of
+    a level, and one more above the last level, where its own cell's node is among them."""
+    keep = first if first is None or not lower else first + 1
+
+    def start(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield from _reached(pdf, *top, keep)
+
+    front = asking.mapInPandas(start, ASKED)
+    for depth, boxes in enumerate(lower):
+        keep = first if first is None or depth == len(lower) - 1 else first + 1
+
+        asked, repeated = _parted(cut_lineage(front), boxes, "above", chunk)
+        front = asked.groupBy("above", "part").cogroup(repeated.groupBy("above", "part")).applyInPandas(_further(keep), ASKED)
+        if first is not None:
+            nearest = W.partitionBy("pid").orderBy("gap", "above")
+            front = front.withColumn("_no", F.row_number().over(nearest)).where(F.col("_no") <= keep).drop("_no")
+    return front.select("pid", "v", "r2", F.col("above").alias("cell"))
+
+
+def nearest_neighbours(points: DataFrame, k: int, cell_points: int = CELL_POINTS, visit_chunk: int = VISIT_CHUNK,
+                       fan: int = FAN) -> DataFrame:
     """(pid, nid, d2, w, nv, place) for distinct weighted points (pid string, w long, v array<double>).
 
     Per pid the nearest other points in order of (squared distance, nid), as many as total weight k needs.
     """
-    n = points.count()
-    cells = min(MAX_CELLS, max(1, -(-n // cell_points)))
-    splits = Splits(np.array([], dtype=int), np.array([]), np.zeros((0, 2), dtype=int))
-    if cells > 1:
-        want = cells * SAMPLE_PER_CELL
-        picked = points.sample(min(1.0, 1.2 * want / n), seed=1).select("v").limit(2 * want).collect()  # bounded; only places cuts
-        splits = learn_splits(np.array([r["v"] for r in picked]), SAMPLE_PER_CELL)
+    return search_cells(points, k, cell_points, visit_chunk, fan)[0]
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            yield pdf.assign(cell=splits.cell(_matrix(pdf)))
 
-    celled = points.mapInPandas(place, "pid string, w long, v array<double>, cell long")
-    if cells > 1:
-        celled = cut_lineage(celled)                 # read several times below
-    width = len(points.select("v").first()["v"]) if n else 0
+def search_cells(points: DataFrame, k: int, cell_points: int = CELL_POINTS, visit_chunk: int = VISIT_CHUNK,
+                 fan: int = FAN) -> tuple[DataFrame, DataFrame | None, int]:
+    """(neighbours as above, (pid, cell) of every visit beyond the own cell, number of cells)."""
+    n = points.count()
 
     def inside(pdf: pd.DataFrame) -> pd.DataFrame:
         v, ids = _matrix(pdf), pdf["pid"].to_numpy()
         return nearest_in(v, ids, v, ids, pdf["w"].to_numpy(), k)
 
-    own = celled.groupBy("cell").applyInPandas(inside, FOUND)
-    if cells == 1:
-        return _ranked(own, k)
-    own = cut_lineage(own)
-    boxes = celled.groupBy("cell").agg(*[x for d in range(width) for x in (
-        F.min(F.col("v")[d]).alias(f"lo{d}"), F.max(F.col("v")[d]).alias(f"hi{d}"))]).collect()   # <= MAX_CELLS rows
-    cell_ids = np.array([b["cell"] for b in boxes])
-    low = np.array([[b[f"lo{d}"] for d in range(width)] for b in boxes])
-    high = np.array([[b[f"hi{d}"] for d in range(width)] for b in boxes])
-    # the radius is final only when the cell alone already holds weight k
-    reach = own.groupBy("pid").agg(F.sum("w").alias("_w"), F.max("d2").alias("_d"))
-    radius = celled.join(reach, "pid", "left").select(
-        "pid", "v", "cell", F.when(F.col("_w") >= k, F.col("_d")).otherwise(F.lit(float("inf"))).alias("r2"))
-
-    def visit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for start in range(0, len(pdf), BLOCK):
-                part = pdf.iloc[start:start + BLOCK]
-                v = _matrix(part)
-                gap = np.zeros((len(part), len(cell_ids)))
-                for d in range(v.shape[1]):
-                    x = v[:, d, None]
-                    gap += np.maximum(0.0, np.maximum(low[None, :, d] - x, x - high[None, :, d])) ** 2
-                go = (gap <= part["r2"].to_numpy()[:, None] * (1 + 1e-9)) & (
-                    cell_ids[None, :] != part["cell"].to_numpy()[:, None])
-                i, c = np.nonzero(go)
-                yield pd.DataFrame({"pid": part["pid"].to_numpy()[i], "v": part["v"].to_numpy()[i], "cell": cell_ids[c]})
-
-    visits = radius.mapInPandas(visit, "pid string, v array<double>, cell long")
-    # a much-visited cell is repeated so that no group holds more than about visit_chunk visitors
-    visits = cut_lineage(visits)
-    load = visits.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(visit_chunk)).cast("int").alias("shares"))
-    load = F.broadcast(load)                                                    # <= MAX_CELLS rows
-    asked = (visits.join(load, "cell").withColumn("share", F.pmod(F.xxhash64("pid"), F.col("shares").cast("bigint")).cast("int"))
-             .select("cell", "share", "pid", "v"))
-    hosts = (celled.join(load, "cell").withColumn("share", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)))
-             .select("cell", "share", "pid", "w", "v"))
+    if n <= cell_points:
+        return _ranked(points.withColumn("cell", F.lit(0)).groupBy("cell").applyInPandas(inside, FOUND), k), None, 1
+    width = len(points.select("v").first()["v"])
+    celled, level = cut_lineage(_first_level(points, n, cell_points, fan)), 1
+    largest = n
+    while True:
+        now = celled.groupBy(f"c{level}").count().agg(F.max("count")).first()[0]
+        if now <= OVERFULL * cell_points or now == largest:             # small enough, or no cut helps
+            break
+        largest = now
+        celled, level = cut_lineage(_next_level(celled, level, cell_points, fan, visit_chunk)), level + 1
+    roots = _boxes(celled, 1, width).collect()                   # at most about `fan` rows
+    top = (np.array([r["node"] for r in roots], dtype=object), np.array([r["lo"] for r in roots]), np.array([r["hi"] for r in roots]))
+    lower = [cut_lineage(_boxes(celled, deep, width)) for deep in range(2, level + 1)]
+    cells = lower[-1].count() if lower else len(roots)
+    homes = celled.select("pid", "w", "v", F.col(f"c{level}").alias("cell"))
 
     def across(guests: pd.DataFrame, home: pd.DataFrame) -> pd.DataFrame:
         if not len(guests) or not len(home):
             return pd.DataFrame(columns=["pid", "nid", "d2", "w", "nv"])
         return nearest_in(_matrix(guests), guests["pid"].to_numpy(), _matrix(home), home["pid"].to_numpy(),
-                          home["w"].to_numpy(), k)
+                          home["w"].to_numpy(), k, guests["r2"].to_numpy())
 
-    others = (asked.groupBy("cell", "share").cogroup(hosts.groupBy("cell", "share"))
-              .applyInPandas(across, FOUND))
-    return _ranked(own.unionByName(others), k)
+    found = cut_lineage(homes.groupBy("cell").applyInPandas(inside, FOUND))
+    visited = None
+    for first in (*NEAREST_FIRST, None):
+        # the radius is final only when weight k is found
+        reach = found.groupBy("pid").agg(F.sum("w").alias("_w"), F.max("d2").alias("_d"))
+        asking = homes.join(reach, "pid", "left").select(
+            "pid", "v", F.when(F.col("_w") >= k, F.col("_d")).otherwise(F.lit(float("inf"))).alias("r2"), F.col("cell").alias("home"))
+        visits = _descend(asking, top, lower, first, visit_chunk)
+        if visited is not None:
+            visits = visits.join(visited, ["pid", "cell"], "left_anti")
+        visits = cut_lineage(visits)
+        asked, hosts = _parted(visits, homes, "cell", visit_chunk)
+        more = asked.groupBy("cell", "part").cogroup(hosts.groupBy("cell", "part")).applyInPandas(across, FOUND)
+        found = cut_lineage(_ranked(found.unionByName(more), k).drop("place")) if first else _ranked(found.unionByName(more), k)
+        done = visits.select("pid", "cell")
+        visited = done if visited is None else visited.unionByName(done)
+    return found, visited, cells
 
 
 def _ranked(found: DataFrame, k: int) -> DataFrame:

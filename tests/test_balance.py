@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evenkeel.operators import balance as bal, synth as sy
-from evenkeel.operators.neighbours import nearest_neighbours
+from evenkeel.operators.neighbours import nearest_neighbours, search_cells
 from evenkeel.operators.smote import smote, smote_rows, weighted_points
 from evenkeel.plans.keys import add_row_id
 
@@ -39,6 +39,40 @@ def test_neighbours_match_brute_force(spark, points, cell, chunk):
         assert by_pid[ids[i]].nid.tolist() == ids[order[:need]].tolist()
 
 
+def _compare_with_brute_force(table, found, k):
+    v, ids, w = np.stack(table.v), table.pid.to_numpy(), table.w.to_numpy()
+    by_pid = {p: g.sort_values("place") for p, g in found.groupby("pid")}
+    for i in range(0, len(v), 7):
+        gap = sum((v[i, d] - v[:, d]) ** 2 for d in range(v.shape[1]))
+        order = [j for j in np.lexsort((ids, gap)) if j != i]
+        need = np.searchsorted(np.cumsum(w[order]), k) + 1
+        assert by_pid[ids[i]].nid.tolist() == ids[order[:need]].tolist()
+
+
+@pytest.mark.parametrize("fan", [4096, 6])           # cells of one level, cells of several levels
+def test_clusters_of_many_features_visit_few_cells(spark, fan):
+    rng = np.random.default_rng(5)
+    centres = rng.uniform(0, 1, (40, 16))
+    x = centres[rng.integers(0, 40, 3000)] + rng.normal(0, 0.02, (3000, 16))
+    names = [f"f{i}" for i in range(16)]
+    pts = weighted_points(spark.createDataFrame([tuple(map(float, r)) for r in x], ", ".join(f"{c} double" for c in names)), names)
+    found, visited, cells = search_cells(pts, 5, 25, 500, fan)
+    assert cells >= 3000 / 25 / 2                                 # no cell holds more than twice 25 points
+    assert visited.count() < 3000 * cells / 10
+    assert visited.distinct().count() == visited.count()          # no cell is asked twice
+    _compare_with_brute_force(pts.toPandas(), found.toPandas(), 5)
+
+
+def test_cells_that_hold_too_much_are_cut_again(spark):
+    """Points that fill one small region densely and a wide one thinly, few cells a level, ties and copies."""
+    rng = np.random.default_rng(6)
+    x = np.vstack([rng.integers(0, 12, (1500, 2)) / 1e4, rng.integers(0, 30, (700, 2)).astype(float)])
+    pts = weighted_points(spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double"), ["a", "b"])
+    found, visited, cells = search_cells(pts, 3, 10, 40, 3)
+    assert cells > 9                                              # more than two levels of three
+    _compare_with_brute_force(pts.toPandas(), found.toPandas(), 3)
+
+
 def test_smote_rows_lie_between_minority_rows(spark, points):
     df = _frame(spark, points)
     got = np.array([tuple(r)[1:] for r in smote_rows(df, ["a", "b", "c"], 300, 360, cell_points=50, bucket_rows=64).collect()])
