@@ -6,16 +6,18 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
 from evenkeel.functions.scalars import SEED
 from evenkeel.operators.network import Network, fit_dnn, fit_mlp
+from evenkeel.operators.trees import Tree, grow_tree
 from evenkeel.session import on_all_cores
 
-DEEPEST = 30        # Spark's limit; stands in for "unlimited"
+DEEPEST = 30        # Spark's limit for forests; stands in for "unlimited"
+DEEPEST_TREE = 50
 THRESHOLD = 0.5
 
 
@@ -74,14 +76,13 @@ def fit_forest(train: DataFrame, feats: Sequence[str], label: str, trees: int =
     return Fitted("Random Forest", model, list(feats))
 
 
-def fit_tree(train: DataFrame, feats: Sequence[str], label: str, depth: int = 5, min_split: int = 2,
-             seed: int = SEED, max_bins: int = 32) -> Fitted:
-    """Decision tree, cuts as in the forest. Spark limits the rows of a child, not of the split node, so half of min_split is used."""
+def fit_tree(train: DataFrame, feats: Sequence[str], label: str, depth: int = 5, min_split: int = 2, max_bins: int = 32) -> Fitted:
+    """Decision tree that cuts a node of at least min_split rows; depth 0 sets no limit. Cuts as in the forest."""
     if not 2 <= min_split <= 50:
         raise ValueError("min_split must lie in 2..50")
-    model = DecisionTreeClassifier(featuresCol="_features", labelCol=label, maxDepth=_depth(depth), seed=seed, maxBins=max_bins,
-                                   minInstancesPerNode=max(1, min_split // 2)).fit(_vectors(train, feats))
-    return Fitted("Decision Tree", model, list(feats))
+    if not 0 <= depth <= DEEPEST_TREE:
+        raise ValueError(f"depth must lie in 0..{DEEPEST_TREE}; 0 sets no limit")
+    return Fitted("Decision Tree", grow_tree(train, feats, label, depth or None, min_split, max_bins), list(feats))
 
 
 def score(fitted: Fitted, df: DataFrame) -> DataFrame:
@@ -91,6 +92,8 @@ def score(fitted: Fitted, df: DataFrame) -> DataFrame:
                                  for i, c in enumerate(fitted.feats)})
         zs = [f"_z{i}" for i in range(len(fitted.feats))]
         out = scaled.withColumn("prob", fitted.model.probability(*zs)).drop(*zs)
+    elif isinstance(fitted.model, Tree):
+        out = df.withColumn("prob", fitted.model.probability(*[F.col(f"`{c}`").cast("double") for c in fitted.feats]))
     else:
         z = [(F.col(f"`{c}`").cast("double") if not fitted.scaler else
               (F.col(f"`{c}`") - F.lit(fitted.scaler[c][0])) / F.lit(fitted.scaler[c][1])).alias(c) for c in fitted.feats]

@@ -107,7 +107,7 @@ def _cuts_sql(c: str) -> str:
     FROM (SELECT {c}, count(*)::DOUBLE AS n, sum(target)::DOUBLE AS p FROM c GROUP BY 1) WINDOW w AS (ORDER BY {c})) WHERE above IS NOT NULL"""
 
 
-#: a label that quantity foretells, so that the two leaves predict different classes (else the library joins them)
+#: a label that quantity foretells
 _LARGE = "SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax, CAST((l_quantity > 25) <> (l_linenumber = 3) AS INT) AS target FROM lineitem"
 
 
@@ -124,6 +124,39 @@ def tree_scores(spark, sf):
     return rounded(ml.score(fitted, df).select("l_orderkey", "l_linenumber", "prob", "pred"))
 
 
+def _levels_sql(levels: int, min_split: int) -> str:
+    """Level by level: the node of each line, each node's best cut (ties by feature and value), the children's numbers."""
+    parts = [f"l0 AS (SELECT *, 1 AS node FROM ({_MIXED}))"]
+    for k in range(levels):
+        hist = " UNION ALL ".join(f"SELECT node, {i} AS f, {c} AS v, count(*)::DOUBLE AS n, sum(target)::DOUBLE AS p FROM l{k} GROUP BY 1, 2, 3"
+                                  for i, c in enumerate(_DEEP))
+        picked = " ".join(f"WHEN {i} THEN {c}" for i, c in enumerate(_DEEP))
+        parts.append(f"""h{k} AS (SELECT node, f, v, lead(v) OVER w AS above, sum(n) OVER w AS nl, sum(p) OVER w AS pl, sum(n) OVER (PARTITION BY node, f) AS alln,
+          sum(p) OVER (PARTITION BY node, f) AS allp FROM ({hist}) WINDOW w AS (PARTITION BY node, f ORDER BY v)),
+        d{k} AS (SELECT node, f, (v + above) / 2 AS cut FROM h{k} WHERE above IS NOT NULL AND alln >= {min_split} AND allp > 0 AND allp < alln
+          QUALIFY row_number() OVER (PARTITION BY node ORDER BY nl - pl * pl / nl - (nl - pl) * (nl - pl) / nl + (alln - nl)
+            - (allp - pl) * (allp - pl) / (alln - nl) - (alln - nl - allp + pl) * (alln - nl - allp + pl) / (alln - nl), f, v) = 1),
+        l{k + 1} AS (SELECT l.* EXCLUDE (node), CASE WHEN f IS NULL THEN l.node WHEN CASE f {picked} END <= cut THEN 2 * l.node ELSE 2 * l.node + 1 END AS node
+          FROM l{k} l LEFT JOIN d{k} d ON l.node = d.node)""")
+    return ", ".join(parts)
+
+
+_DEEP = ["l_quantity", "l_discount", "l_tax", "l_linenumber"]
+#: a label that several columns tell together
+_MIXED = """SELECT l_orderkey, l_linenumber, l_quantity, l_discount, l_tax, CAST((l_quantity > 25 AND l_discount > 0.04) <> (l_linenumber >= 5)
+  OR (l_returnflag = 'R' AND l_extendedprice > 30000) AS INT) AS target FROM lineitem"""
+
+
+@query("tree_levels", f"""WITH {_levels_sql(4, 7)}, s AS (SELECT node, avg(target) AS prob FROM l4 GROUP BY 1)
+  SELECT l_orderkey, l_linenumber, round(prob, 6) AS prob, CAST(prob >= 0.5 AS INT) AS pred FROM l4 JOIN s USING (node)""")
+def tree_levels(spark, sf):
+    """A tree of four levels, nodes of fewer than seven rows left whole, and the score of every line."""
+    mixed = F.expr("CAST((l_quantity > 25 AND l_discount > 0.04) <> (l_linenumber >= 5) OR (l_returnflag = 'R' AND l_extendedprice > 30000) AS INT)")
+    df = table(spark, sf, "lineitem").withColumn("target", mixed)
+    fitted = ml.fit_tree(df, _DEEP, "target", depth=4, min_split=7, max_bins=64)
+    return rounded(ml.score(fitted, df).select("l_orderkey", "l_linenumber", "prob", "pred"))
+
+
 def _newton_sql(steps: int) -> str:
     """Newton steps for a slope (with the penalty 1 / n) and an intercept, over the rows grouped by value."""
     parts = ["w0 AS (SELECT 0.0::DOUBLE AS a, 0.0::DOUBLE AS b)"]

@@ -130,11 +130,59 @@ def test_reports(spark, scored):
     assert {tuple(r) for r in ev.random_baseline(spark.createDataFrame(scored)).collect()} == {("Random baseline", 0.0, 0.0), ("Random baseline", 1.0, 1.0)}
 
 
-def test_depths_beyond_the_librarys_are_refused(spark):
-    import pytest
-
-    from evenkeel.operators.models import fit_tree
-
+def test_depths_beyond_the_limits_are_refused(spark):
     df = spark.createDataFrame([(float(k), k % 2) for k in range(20)], "x double, y int")
     with pytest.raises(ValueError, match="depth"):
-        fit_tree(df, ["x"], "y", depth=31)
+        ml.fit_forest(df, ["x"], "y", depth=31)
+    with pytest.raises(ValueError, match="depth"):
+        ml.fit_tree(df, ["x"], "y", depth=51)
+
+
+def _plain_tree(x, y, depth, min_split):
+    """Shares of class 1 by plain recursion: every cut between two neighbouring values of the node."""
+    out = np.full(len(y), y.mean())
+    if len(y) < min_split or y.min() == y.max() or depth == 0:
+        return out
+    best = None
+    for f in range(x.shape[1]):
+        values = np.unique(x[:, f])
+        for low, high in zip(values[:-1], values[1:]):
+            left = x[:, f] <= (low + high) / 2
+            impurity = sum(m.sum() * (1 - y[m].mean() ** 2 - (1 - y[m].mean()) ** 2) for m in (left, ~left))
+            if best is None or impurity < best[0] - 1e-9:
+                best = (impurity, left)
+    if best is not None:
+        for m in (best[1], ~best[1]):
+            out[m] = _plain_tree(x[m], y[m], depth - 1, min_split)
+    return out
+
+
+@pytest.mark.parametrize("depth,min_split", [(3, 2), (0, 7), (6, 31)])
+def test_tree_against_plain_recursion(spark, depth, min_split):
+    rng = np.random.default_rng(depth)
+    x = np.column_stack([rng.integers(0, 9, 400), rng.integers(0, 5, 400) / 4, rng.integers(0, 2, 400)]).astype(float)
+    y = ((x[:, 0] > 4) ^ (rng.random(400) < .25)).astype(int)
+    df = spark.createDataFrame([(*map(float, r), int(t), i) for i, (r, t) in enumerate(zip(x, y))], "a double, b double, c double, y int, i int")
+    fitted = ml.fit_tree(df.repartition(3), ["a", "b", "c"], "y", depth, min_split)
+    got = [r["prob"] for r in ml.score(fitted, df).orderBy("i").collect()]
+    assert np.allclose(got, _plain_tree(x, y, depth or 99, min_split))
+    assert fitted.model.rows[fitted.model.feature >= 0].min() >= min_split
+
+
+def test_odd_min_split_leaves_a_node_whole(spark):
+    """Nine rows, five of them right of the first cut: cut again with min_split 5, whole with 6 (and with half of it a child)."""
+    df = spark.createDataFrame([(0., 0)] * 4 + [(1., 1), (2., 1), (3., 1), (4., 1), (5., 0)], "x double, y int")
+    counts = {m: len(ml.fit_tree(df, ["x"], "y", 0, m).model.feature) for m in (5, 6)}
+    assert counts == {5: 5, 6: 3}
+
+
+def test_tree_on_odd_tables(spark):
+    same = spark.createDataFrame([(1.0, 0), (1.0, 1)], "x double, y int")
+    assert ml.fit_tree(same, ["x"], "y").model.prob.tolist() == [0.5]            # nothing to cut
+    wide = spark.createDataFrame([(float(k), int(k >= 700)) for k in range(1000)], "x double, y int")
+    tree = ml.fit_tree(wide, ["x"], "y", max_bins=10).model                       # cut at an exact tenth
+    assert abs(tree.cut[0] - 0.7 * 999) < 1e-9 and tree.prob[tree.feature < 0].tolist() == [0.0, 1.0]
+    with pytest.raises(ValueError, match="rows"):
+        ml.fit_tree(same.where("x > 5"), ["x"], "y")
+    with pytest.raises(ValueError, match="complete"):
+        ml.fit_tree(spark.createDataFrame([(None, 0), (1.0, 1)], "x double, y int"), ["x"], "y")
