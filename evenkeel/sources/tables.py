@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
@@ -25,12 +26,27 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def read_table(spark: SparkSession, path: str, fmt: str = "parquet", row_id: str | None = None) -> DataFrame:
-    """Parquet or header CSV. `row_id` adds the file's path below `path` and the row's position in it: stable under
+def keep_range(df: DataFrame, ranges: Mapping[str, tuple]) -> DataFrame:
+    """Rows whose columns lie in closed ranges (None leaves an end open); a missing value, NaN included, lies in none.
+
+    On a scan the comparisons reach the Parquet reader, which a filter behind `nan_to_null` does not."""
+    for c, (low, high) in ranges.items():
+        q = F.col(f"`{c}`")
+        df = df.where(q.isNotNull() if low is None else q >= F.lit(low))
+        if high is not None:
+            df = df.where(q <= F.lit(high))
+        if isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType)):
+            df = df.where(~F.isnan(q))                    # NaN compares above every number
+    return df
+
+
+def read_table(spark: SparkSession, path: str, fmt: str = "parquet", row_id: str | None = None,
+               ranges: Mapping[str, tuple] | None = None) -> DataFrame:
+    """Parquet or header CSV; `ranges` keeps the rows of `keep_range`, as part of the scan for Parquet. `row_id` adds the file's path below `path` and the row's position in it: stable under
     any partitioning, the same wherever the table is mounted, and different for files of one name in two folders."""
     if fmt == "csv":
-        return _read_csv(spark, path)
-    df = spark.read.format(fmt).load(path)
+        return keep_range(_read_csv(spark, path), ranges or {})
+    df = keep_range(spark.read.format(fmt).load(path), ranges or {})
     if row_id is None:
         return nan_to_null(df)
     if fmt != "parquet":

@@ -310,6 +310,14 @@ def preview(spark, sf):
     return src.preview(table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), 20, "o_orderkey")
 
 
+@query("scan_ranges", """SELECT l_orderkey, l_linenumber, l_extendedprice, l_discount FROM lineitem
+  WHERE l_extendedprice BETWEEN 20000 AND 40000 AND l_discount >= 0.05""")
+def scan_ranges(spark, sf):
+    """Lines of a price range; the comparisons of doubles are made by the Parquet reader."""
+    lines = src.read_table(spark, f"{sf}/lineitem.parquet", ranges={"l_extendedprice": (20000.0, 40000.0), "l_discount": (0.05, None)})
+    return lines.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_discount")
+
+
 @query("strip_headers", "SELECT n_nationkey, n_name FROM nation JOIN customer ON c_nationkey = n_nationkey")
 def strip_headers(spark, sf):
     nation = table(spark, sf, "nation").select(F.col("n_nationkey").alias(" n_nationkey "), F.col("n_name").alias("n_name "))

@@ -17,6 +17,31 @@ def test_csv_types_and_missing_tokens(spark, tmp_path):
     assert [tuple(r) for r in df.collect()] == [(1, 1.5, "a", True, None), (None, None, None, False, None), (3, None, "5d", True, None)]
 
 
+def test_ranges_of_doubles_reach_the_reader(spark, tmp_path):
+    nan = float("nan")
+    rows = [(float(k), k, f"s{k}") for k in range(20)] + [(nan, 20, "nan"), (None, 21, None), (float("inf"), None, "inf"), (-0.0, 23, "zero")]
+    path = str(tmp_path / "t")
+    spark.createDataFrame(rows, "x double, i int, s string").coalesce(1).write.parquet(path)
+
+    def kept(**ranges):
+        return {r["s"] for r in src.read_table(spark, path, ranges=ranges).collect()}
+
+    assert kept(x=(5.0, 7.0)) == {"s5", "s6", "s7"}
+    assert kept(x=(18.0, None)) == {"s18", "s19", "inf"}                    # NaN compares above all numbers, but is missing
+    assert kept(x=(None, 1.0)) == {"s0", "s1", "zero"}
+    assert kept(x=(None, None)) == {f"s{k}" for k in range(20)} | {"inf", "zero"}
+    assert kept(x=(0.0, 3.0), i=(2, None)) == {"s2", "s3", "zero"} and kept(x=(9.0, 8.0)) == set()
+    assert kept(s=("s18", "s2")) == {"s18", "s19", "s2"}
+    plain = src.nan_to_null(spark.read.parquet(path)).where("x >= 18")
+    assert {r["s"] for r in plain.collect()} == kept(x=(18.0, None))
+    numbered = src.read_table(spark, path, row_id="row_id", ranges={"x": (5.0, 7.0)})
+    everything = {r["s"]: r["row_id"] for r in src.read_table(spark, path, row_id="row_id").collect()}
+    assert {r["s"]: r["row_id"] for r in numbered.collect()} == {s: everything[s] for s in ("s5", "s6", "s7")}
+    plan = numbered._jdf.queryExecution().executedPlan().toString()
+    pushed = plan[plan.index("PushedFilters"):].split("\n")[0]
+    assert "GreaterThanOrEqual(x,5.0)" in pushed and "LessThanOrEqual(x,7.0)" in pushed
+
+
 def test_round_trip_and_fingerprint(spark, tmp_path):
     df = spark.createDataFrame([(1, "a,b"), (2, 'q"q')], "i long, s string")
     src.write_csv(df, str(tmp_path / "one"))
