@@ -23,7 +23,7 @@ OVERFULL = 2                 # a cell of more than this many times CELL_POINTS i
 FAN = 4_096                  # cells that one node of the tree is cut into at most
 SAMPLE_PER_CELL = 24
 LEAF_SAMPLE = 36             # a cell holds at most this many of the sample
-NEAREST_FIRST = (2, 8)       # cells a point visits in the rounds before the last one
+NEAREST_FIRST = (4,)         # cells a point visits in each round before the last one
 VISIT_CHUNK = 50_000         # visiting points compared with a cell in one group
 BLOCK = 256                  # rows of a distance matrix held at once
 
