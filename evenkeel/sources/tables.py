@@ -7,6 +7,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from evenkeel.sources.records import csv_records
+
 # The texts a CSV reader counts as missing.
 MISSING_TOKENS = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -65,16 +67,29 @@ def _below(path: str) -> Column:
 
 
 def has_open_quotes(spark: SparkSession, path: str) -> bool:
-    """Whether some line holds an odd number of quotes, so that a quoted value goes on in the next line."""
+    """Whether a quoted value may go on in the next line: some line holds an odd number of quotes or a lone one inside a value."""
     quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).limit(1).isEmpty()
+    lone = F.col("value").rlike('[^,"]"(?:"")*+[^,"]')
+    return not spark.read.text(path).where((quotes % 2 == 1) | lone).limit(1).isEmpty()
 
 
-def _read_csv(spark: SparkSession, path: str) -> DataFrame:
-    """Scan as text, null the missing tokens, then cast each column to the narrowest type all values fit.
+def _csv_text(spark: SparkSession, path: str) -> DataFrame:
+    """All columns as text. Files are split, those with line breaks inside quotes by `csv_records`; the rows are the same.
+
+    Only carriage returns inside lines beside such quotes leave a file to one task."""
+    reader = spark.read.options(**CSV).option("header", True)
+    if not has_open_quotes(spark, path):
+        return reader.csv(path)
+    names = reader.option("multiLine", True).csv(path).columns
+    if not spark.read.option("lineSep", "\n").text(path).where(F.col("value").rlike("(?s)\r.")).limit(1).isEmpty():
+        return reader.csv(path)
+    schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in names)
+    return csv_records(spark, path).select(F.from_csv("value", schema, CSV).alias("r")).select("r.*")
 
-    Files are split unless a quoted value holds a line break, which is looked for first; the rows are the same."""
-    text = spark.read.options(**CSV).option("header", True).option("multiLine", has_open_quotes(spark, path)).csv(path)
+
+def _read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Scan as text, null the missing tokens, then cast each column to the narrowest type all values fit."""
+    text = _csv_text(spark, path)
     quoted = [F.col(f"`{c}`") for c in text.columns]
     text = text.select(*[F.when(~q.isin(MISSING_TOKENS), q).alias(c) for q, c in zip(quoted, text.columns)])
     votes = []
