@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evenkeel.plans.recipe import Workspace
 from evenkeel.sources import generated as gen, tables as src
-from evenkeel.streaming.ingest import ingest_generated_stream, report_generated_stream
+from evenkeel.streaming.ingest import ingest_generated_stream, packed_rows, report_generated_stream, taken_rows
 
 
 def test_csv_types_and_missing_tokens(spark, tmp_path):
@@ -121,6 +121,53 @@ def test_a_bad_response_leaves_its_batch_to_the_retry(spark, tmp_path, files):
     assert told == [(1, "no rows"), (2, "no rows"), (3, "absent column a"), (4, "differs from another text")]
 
 
+def _entries(spark, state):
+    """(batch_no, upto, bytes above) of the intake's state, as the store holds it."""
+    rows = spark.read.format("statestore").load(state).selectExpr("key.batch_no", "value.groupState.*").collect()
+    return {r["batch_no"]: (r["upto"], len(r["above"])) for r in rows}
+
+
+def test_the_state_of_a_batch_is_one_entry_that_does_not_grow(spark, tmp_path):
+    inbox, out, state = (str(tmp_path / x) for x in ("in", "out", "state"))
+    (tmp_path / "in").mkdir()
+    rows = lambda cells: json.dumps({"rows": [{"a": x} for x in cells]})
+    whole, holes = rows(range(1000)), rows(x if x % 10 else "n/k" for x in range(1000))
+    seen = []
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.json").write_text("\n".join(
+            json.dumps({"batch_no": b, "response": r}) for b, r in ((1, whole), (2, holes), (None, rows([5])))))
+        ingest_generated_stream(spark, inbox, ["a"], out, state, None, 1, keep_seconds=3600).awaitTermination()
+        seen.append(_entries(spark, state))
+    assert seen[0] == seen[1] == seen[2] == {1: (1000, 0), 2: (0, 125), None: (1, 0)}
+    got = {r["batch_no"]: r["count"] for r in spark.read.parquet(out).groupBy("batch_no").count().collect()}
+    assert got == {1: 1000, 2: 900, None: 1}
+    (tmp_path / "in" / "last.json").write_text(json.dumps({"batch_no": 2, "response": whole}))      # the retry fills the holes
+    ingest_generated_stream(spark, inbox, ["a"], out, state, None, 1, keep_seconds=3600).awaitTermination()
+    assert _entries(spark, state)[2] == (1000, 0)
+    assert sorted(r["row_no"] for r in spark.read.parquet(out).where("batch_no = 2").collect()) == list(range(1000))
+
+
+def test_entries_of_quiet_batches_go(spark, tmp_path):
+    inbox, out, state, report, marks = (str(tmp_path / x) for x in ("in", "out", "state", "report", "marks"))
+    (tmp_path / "in").mkdir()
+    for b in (1, 2, 3):
+        (tmp_path / "in" / f"{b}.json").write_text("\n".join(
+            json.dumps({"batch_no": b, "response": r}) for r in ('{"rows": [{"a": 1}]}', '{"rows": []}')))
+        ingest_generated_stream(spark, inbox, ["a"], out, state, None, 1, keep_seconds=0.001).awaitTermination()
+        report_generated_stream(spark, inbox, ["a"], report, marks, 1, keep_seconds=0.001).awaitTermination()
+    assert set(_entries(spark, state)) <= {3} and spark.read.format("statestore").load(marks).count() <= 1
+    assert sorted(r["batch_no"] for r in spark.read.parquet(out).collect()) == [1, 2, 3]
+    assert sorted(r["batch_no"] for r in spark.read.parquet(report).collect()) == [1, 2, 3]
+
+
+def test_packed_rows_round_trip():
+    import numpy as np
+
+    for taken in ([], [0], [1], [1, 1, 0, 1], [0] * 9 + [1], [1] * 20, [1] * 20 + [0, 0, 1, 0]):
+        upto, above = packed_rows(np.array(taken, bool))
+        assert list(np.flatnonzero(taken_rows(upto, above))) == list(np.flatnonzero(taken))
+
+
 def test_registered_queries_match_their_sql(spark, sf):
     import duckdb
 
