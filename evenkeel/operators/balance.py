@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -79,6 +80,21 @@ def require_plan(df: DataFrame, label: str, target_ratio: float = 1.0, least_min
     return plan
 
 
+def ratio_report(df: DataFrame, label: str, ratios: Sequence[float]) -> DataFrame:
+    """(target_ratio, current_ratio, needed, problem) for each ratio asked for, from one count of the classes.
+
+    `problem` is NULL where `require_plan` would accept the ratio; `needed` is then the number of missing rows."""
+    wanted = df.sparkSession.createDataFrame([(float(r),) for r in ratios], "target_ratio double")
+    plan = rebalance_plan(df, label).select("minority", "majority", "current_ratio")       # one row
+    ratio = F.col("target_ratio")
+    problem = (F.when(~ratio.between(0.10, 1.00), F.lit("the target ratio must lie in 0.10..1.00"))
+               .when(F.coalesce("minority", F.lit(0)) < 1, F.lit("the minority class needs at least 1 rows"))
+               .when(ratio <= F.col("current_ratio"), F.lit("the target ratio must exceed the current one")))
+    needed = F.when(problem.isNull(), F.ceil(F.col("majority") * ratio) - F.col("minority")).cast("bigint")
+    return (wanted.withColumn("_one", F.lit(1)).join(F.broadcast(plan.withColumn("_one", F.lit(1))), "_one")
+            .select("target_ratio", "current_ratio", needed.alias("needed"), problem.alias("problem")))
+
+
 def append_synthetic(train: DataFrame, synthetic: DataFrame, label: str, minority_label, method: str,
                      row_id: str | None = None, shuffled: bool = False) -> DataFrame:
     """Train rows plus synthetic rows labelled with the minority class, marked and tagged with the method.

@@ -200,17 +200,54 @@ def finish_generated(spark, sf):
     return sy.finish_generated(docs.select(*TOXIC_FEATS, "toxic"), made, TOXIC_FEATS, "toxic", 1)[1]
 
 
+_RATIOS = [0.05, 0.1, 0.3, 0.5, 0.75, 1.0, 1.1]
+
+
+@query("ratio_guard", f"""WITH c AS (SELECT least(sum(r), sum(1 - r)) AS lo, greatest(sum(r), sum(1 - r)) AS hi FROM (SELECT CAST(l_returnflag = 'R' AS INT) AS r FROM lineitem)),
+  t AS (SELECT unnest({_RATIOS}::DOUBLE[]) AS target_ratio), p AS (SELECT target_ratio, lo, hi, lo / hi AS current_ratio,
+    CASE WHEN target_ratio NOT BETWEEN 0.1 AND 1 THEN 'the target ratio must lie in 0.10..1.00'
+      WHEN target_ratio <= lo / hi THEN 'the target ratio must exceed the current one' END AS problem FROM t, c)
+  SELECT target_ratio, round(current_ratio, 6) AS current_ratio, CASE WHEN problem IS NULL THEN ceil(hi * target_ratio) - lo END::BIGINT AS needed, problem FROM p""")
+def ratio_guard(spark, sf):
+    """Which target ratios the returned lines allow."""
+    return bal.ratio_report(credit_lineitem(spark, sf), "target", _RATIOS).withColumn("current_ratio", F.round("current_ratio", 6))
+
+
 # ---- requests, responses, costs ------------------------------------------------------------------------------
 
 @query("generation_batches", """SELECT i + 1 AS batch_no, least(25, n - i * 25)::BIGINT AS n_rows FROM
   (SELECT count(*) FILTER (toxic = 0) - count(*) FILTER (toxic = 1) AS n FROM labels), range(100000) r(i) WHERE i * 25 < n""")
 def generation_batches(spark, sf):
-    """Requests for the missing minority rows; only sizes are compared, the text is checked in the tests."""
+    """Requests for the missing minority rows, by size; `generation_requests` compares their text."""
+    return _requests(spark, sf).where(F.length("request") > 0).drop("request")
+
+
+def _requests(spark, sf):
     real = toxic_docs(spark, sf).where("toxic = 1")
     plan = bal.require_plan(table(spark, sf, "labels"), "toxic")
     examples = sy.example_rows(real.withColumn("row_id", F.col("doc_id").cast("string")), 10, "row_id")
     payload = sy.request_payload(real, ["doc_id", "toxic"], examples)
-    return sy.generation_batches(spark, payload, plan.needed, 25).where(F.length("request") > 0).drop("request")
+    return sy.generation_batches(spark, payload, plan.needed, 25)
+
+
+_FEATURE = "struct<dtype:string,min:double,max:double,mean:double,std:double,q1:double,median:double,q3:double,allowed_values:array<double>>"
+_REQUEST = (f"task string, rules array<string>, minority_feature_profile map<string,{_FEATURE}>, "
+            "example_minority_rows array<map<string,double>>, number_of_rows long")
+_EXAMPLES = f"(SELECT * FROM real ORDER BY {sql_draw(sy.SEED, 'CAST(doc_id AS VARCHAR)')}, CAST(doc_id AS VARCHAR) LIMIT 10)"
+
+
+@query("generation_requests", f"""WITH t AS ({TOXIC}), real AS (SELECT * FROM t WHERE toxic = 1),
+  b AS (SELECT i + 1 AS batch_no, least(25, n - i * 25)::BIGINT AS number_of_rows FROM
+    (SELECT count(*) FILTER (toxic = 0) - count(*) FILTER (toxic = 1) AS n FROM labels), range(100000) r(i) WHERE i * 25 < n),
+  p AS ({" UNION ALL ".join(f"SELECT (SELECT sum({c}) FROM {_EXAMPLES}) AS example_sum, * FROM ({_profile_sql(c)})" for c in TOXIC_FEATS)})
+  SELECT batch_no, number_of_rows, '{sy.TASK}' AS task, {len(sy.RULES)} AS n_rules, 10 AS n_examples, p.* FROM b, p""")
+def generation_requests(spark, sf):
+    """The text of every request, read back: the rows it asks for, the profile of each feature and the example rows."""
+    read = _requests(spark, sf).select("batch_no", F.from_json("request", _REQUEST).alias("r")).select("batch_no", "r.*")
+    wide = read.select("batch_no", "number_of_rows", "task", F.size("rules").alias("n_rules"), F.size("example_minority_rows").alias("n_examples"),
+                       "example_minority_rows", F.explode("minority_feature_profile").alias("column", "feature"))
+    total = F.aggregate("example_minority_rows", F.lit(0.0), lambda s, row: s + F.element_at(row, F.col("column")))
+    return rounded(wide.select("batch_no", "number_of_rows", "task", "n_rules", "n_examples", total.alias("example_sum"), "column", "feature.*"))
 
 
 @query("pending_batches", """SELECT l_orderkey AS batch_no FROM lineitem EXCEPT SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F'""")

@@ -256,6 +256,14 @@ def protect_identifiers(spark, sf):
     return gates.protect_identifiers(table(spark, sf, "events"))
 
 
+@query("exclusion_list", "SELECT ts, event_type, props FROM events")
+def exclusion_list(spark, sf):
+    """Events without their protected columns and one that the user excludes besides; naming a protected one again changes nothing."""
+    events = table(spark, sf, "events")
+    protected = gates.protected_columns(events)
+    return events.drop(*gates.exclusions(protected, ["value", *protected[:1]]))
+
+
 _NAMES = ", ".join(f"'{x}'" for x in gates.EXACT_IDENTIFIERS)
 _PARTS = " OR ".join(f"contains(clean, '{x}')" for x in gates.IDENTIFIER_PARTS)
 

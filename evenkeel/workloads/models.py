@@ -14,7 +14,7 @@ from evenkeel.operators.split import split
 from evenkeel.session import cut_lineage, shared_folder
 from evenkeel.sources.tables import read_table, write_csv
 from evenkeel.workloads.prepare import split_toxic
-from evenkeel.workloads.registry import CREDIT, CREDIT_FEATS, SCORES, TOXIC_FEATS, credit_lineitem, query, rounded, scores, table
+from evenkeel.workloads.registry import CREDIT, CREDIT_FEATS, LINE_KEYS, SCORES, TOXIC_FEATS, credit_lineitem, query, rounded, scores, table
 
 _AUC = """a AS (SELECT model, split, sum(y) AS p, sum(1 - y) AS n, sum(CASE WHEN y = 1 THEN r END) AS u FROM (SELECT *,
     rank() OVER (PARTITION BY model, split ORDER BY prob) + (count(*) OVER (PARTITION BY model, split, prob) - 1) / 2.0 AS r FROM s) GROUP BY 1, 2),
@@ -178,6 +178,25 @@ def logistic_scores(spark, sf):
     return rounded(ml.score(fitted, df).select("l_orderkey", "l_linenumber", "prob"), 5)
 
 
+_PARTED = f"""SELECT *, CASE WHEN l_linenumber <= 4 THEN 'train' WHEN l_linenumber = 5 THEN 'validation' ELSE 'test' END AS split FROM ({CREDIT})"""
+
+
+@query("train_all_plain", f"""WITH parted AS ({_PARTED}), c AS (SELECT * FROM parted WHERE split = 'train'), m AS (SELECT avg(l_tax) AS m, stddev_pop(l_tax) AS d FROM c),
+  grp AS (SELECT (l_tax - m) / d AS z, count(*)::DOUBLE AS n, sum(target)::DOUBLE AS p FROM c, m GROUP BY 1), {_newton_sql(8)},
+  best AS (SELECT * FROM ({_cuts_sql('l_tax')}) ORDER BY impurity, cut LIMIT 1), whole AS (SELECT count(*)::DOUBLE AS n, sum(target)::DOUBLE AS p FROM c),
+  held AS (SELECT split, target AS y, 1 / (1 + exp(-(a + b * (l_tax - m) / d))) AS linear,
+    CASE WHEN l_tax <= cut THEN best.p / best.n ELSE (whole.p - best.p) / (whole.n - best.n) END AS tree FROM parted, m, w8, best, whole WHERE split <> 'train'),
+  s AS (SELECT 'Logistic Regression' AS model, split, y, linear AS prob FROM held UNION ALL SELECT 'Decision Tree', split, y, tree FROM held)
+  SELECT model, 'No oversampling' AS sampling, split, y, round(prob, 5) AS prob, CAST(prob >= 0.5 AS INT) AS pred, count(*) AS n FROM s GROUP BY ALL""")
+def train_all_plain(spark, sf):
+    """Two models on the same train lines without balancing, and the counts of their scores on all other lines."""
+    split = F.expr("CASE WHEN l_linenumber <= 4 THEN 'train' WHEN l_linenumber = 5 THEN 'validation' ELSE 'test' END")
+    key = F.concat_ws("-", *LINE_KEYS)
+    parts = cut_lineage(credit_lineitem(spark, sf).select("l_tax", "target", key.alias("row_id"), split.alias("split")))
+    predictions, _ = ml.train_all(parts, ["l_tax"], "target", "row_id", ["Logistic Regression", "Decision Tree"], {"Decision Tree": {"depth": 1}})
+    return rounded(predictions, 5).groupBy("model", "sampling", "split", "y", "prob", "pred").agg(F.count(F.lit(1)).alias("n"))
+
+
 def _adam_sql(steps: int) -> str:
     """Adam steps of a network without hidden layers, over the rows grouped by value, and what each epoch reports."""
     b, w = initial((1, 1), "fan_in", SEED)[::-1].tolist()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evenkeel.operators import clean, encode, gates, select as sel, split as sp
 from evenkeel.plans.keys import add_row_id
 from evenkeel.plans.quota import assign_parts
-from evenkeel.plans.recipe import Recipe
+from evenkeel.plans.recipe import Recipe, Workspace
 from evenkeel.session import shared_folder
 from evenkeel.sources import tables as src
 from evenkeel.workloads.balance import signature_sql
@@ -78,6 +78,41 @@ def preprocessing_log(spark, sf):
     return recipe.log()
 
 
+@query("reset_to_raw", f"SELECT l_orderkey, l_linenumber, l_quantity, l_linestatus FROM ({MISSING})")
+def reset_to_raw(spark, sf):
+    """Two steps, one of them written by the log, and back to the raw table."""
+    recipe = Recipe(_holes(spark, sf))
+    recipe.apply("drop rows / l_quantity", lambda d: clean.drop_missing_rows(d, ["l_quantity"]))
+    recipe.log()
+    recipe.apply("drop columns / l_linestatus", lambda d: d.drop("l_linestatus")).reset()
+    if recipe.actions or recipe.log().count():
+        raise ValueError("a reset recipe keeps no steps")
+    return recipe.current
+
+
+@query("load_resets_state", """SELECT 'lineitem again' AS loaded, 1::BIGINT AS n_steps, count(*) FILTER (l_quantity > 25)::BIGINT AS n_rows FROM lineitem
+  UNION ALL SELECT 'orders', 0, count(*) FROM orders UNION ALL SELECT 'lineitem after orders', 0, count(*) FROM lineitem""")
+def load_resets_state(spark, sf):
+    """Loading the same content keeps the steps; other content starts afresh."""
+    work, found = Workspace(spark), []
+    work.load(f"{sf}/lineitem.parquet", "parquet").apply("filter / l_quantity", lambda d: d.where("l_quantity > 25"))
+    for name, path in (("lineitem again", "lineitem"), ("orders", "orders"), ("lineitem after orders", "lineitem")):
+        recipe = work.load(f"{sf}/{path}.parquet", "parquet")
+        found.append(recipe.current.agg(F.lit(name).alias("loaded"), F.lit(len(recipe.actions)).cast("bigint").alias("n_steps"),
+                                        F.count(F.lit(1)).alias("n_rows")))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+@query("csv_documents", f"""SELECT doc_id, CASE WHEN text NOT IN ({', '.join(f"'{t}'" for t in src.MISSING_TOKENS)}) THEN text END AS text FROM documents""")
+def csv_documents(spark, sf):
+    """Whole texts, nearly all with line breaks, as CSV and back; the files are read in splits."""
+    import uuid
+
+    path = f"{shared_folder(spark)}/csv-{uuid.uuid4().hex}"
+    src.write_csv(table(spark, sf, "documents").select("doc_id", "text"), path)
+    return src.read_table(spark, path, "csv")
+
+
 def _one_hot(name: str, drop_first: bool) -> None:
     statuses, flags = ["F", "O"], ["A", "N", "R"]
     first = 1 if drop_first else 0

@@ -100,6 +100,21 @@ def test_smote_guards(spark, points):
             bad()
 
 
+def test_ratio_report_agrees_with_the_plan(spark):
+    ratios = [0.05, 0.1, 0.2, 0.25, 0.26, 0.5, 1.0, 1.01]
+    for n, m in ((20, 5), (3, 3), (9, 1)):
+        df = spark.createDataFrame([(0,)] * n + [(1,)] * m + [(None,)], "y int")
+        rows = {r["target_ratio"]: r for r in bal.ratio_report(df, "y", ratios).collect()}
+        assert set(rows) == set(ratios)
+        for ratio in ratios:
+            try:
+                assert rows[ratio]["needed"] == bal.require_plan(df, "y", ratio).needed and rows[ratio]["problem"] is None
+            except ValueError as refused:
+                assert rows[ratio]["needed"] is None and str(refused).startswith(rows[ratio]["problem"])
+    empty = bal.ratio_report(spark.createDataFrame([], "y int"), "y", [0.5]).collect()
+    assert [(r["needed"], r["problem"]) for r in empty] == [(None, "the minority class needs at least 1 rows")]
+
+
 def test_plan_and_status(spark):
     even = spark.createDataFrame([("b",), ("a",), (None,)], "y string")
     plan = bal.rebalance_plan(even, "y").first()
