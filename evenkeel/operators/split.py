@@ -7,11 +7,13 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from evenkeel.functions.scalars import SEED, draw
+from evenkeel.plans.order import number_rows
 from evenkeel.plans.quota import assign_parts, sample_exact
+from evenkeel.session import cut_lineage
 
 MAX_STRATA = 1_000
 
-__all__ = ["split", "stratum_quotas", "split_sizes", "sample_exact", "shuffle", "class_counts"]
+__all__ = ["split", "stratum_quotas", "quota_table", "split_sizes", "sample_exact", "shuffle", "class_counts"]
 
 
 def stratum_quotas(counts: dict[object, int], n: int) -> dict[object, int]:
@@ -30,6 +32,25 @@ def stratum_quotas(counts: dict[object, int], n: int) -> dict[object, int]:
     return out
 
 
+def quota_table(df: DataFrame, stratum: str, n: int) -> DataFrame:
+    """(stratum, n_rows): `stratum_quotas` as a Spark job, for any number of strata, in whole numbers.
+
+    Strata are counted once; the rest is dealt by remainder through `number_rows`, so that no task ranks them all."""
+    counts = cut_lineage(df.groupBy(F.col(f"`{stratum}`").alias("stratum")).agg(F.count(F.lit(1)).alias("_rows")))
+    total = counts.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+    if not 0 <= n <= total:
+        raise ValueError(f"cannot take {n} of {total} rows")
+    share = F.col("_rows").cast("decimal(38,0)") * F.lit(n)            # beyond a bigint for large tables
+    shared = (counts.withColumn("_share", share.cast("decimal(38,0)"))
+              .withColumn("_whole", F.expr(f"_share div {total or 1}"))
+              .withColumn("_left", F.expr(f"cast(_share % {total or 1} AS bigint)")))
+    rest = n - (shared.agg(F.sum("_whole")).first()[0] or 0)
+    order = F.concat(F.lpad((F.lit(total) - F.col("_left")).cast("string"), 20, "0"),
+                     F.coalesce(F.col("stratum").cast("string"), F.lit("None")))
+    ranked = number_rows(shared.withColumn("_order", order), "_order", "_place")
+    return ranked.select("stratum", (F.col("_whole") + F.when(F.col("_place") < rest, 1).otherwise(0)).cast("bigint").alias("n_rows"))
+
+
 def split_sizes(counts: dict[object, int], val: float = 0.2, test: float = 0.2) -> dict[object, list[int]]:
     """[train, validation, test] rows per stratum: hold out val+test first, then divide it."""
     for ratio in (val, test):

@@ -293,8 +293,15 @@ def split_toxic(spark, sf):
   e AS (SELECT s, 10000 * n / sum(n) OVER ()::DOUBLE AS e FROM k)
   SELECT s AS stratum, (floor(e) + (row_number() OVER (ORDER BY e - floor(e) DESC, s) <= 10000 - sum(floor(e)) OVER ())::INT)::BIGINT AS n_rows FROM e""")
 def stratum_quotas(spark, sf):
-    counts = {r[0]: r[1] for r in table(spark, sf, "lineitem").groupBy("l_returnflag").count().collect()}
-    return spark.createDataFrame(list(sp.stratum_quotas(counts, 10_000).items()), "stratum string, n_rows long")
+    return sp.quota_table(table(spark, sf, "lineitem"), "l_returnflag", 10_000)
+
+
+@query("stratum_quotas_wide", """WITH k AS (SELECT o_custkey AS s, count(*) AS n FROM orders GROUP BY 1),
+  e AS (SELECT s, 5000 * n // sum(n) OVER () AS e, 5000 * n % sum(n) OVER () AS r FROM k)
+  SELECT s AS stratum, (e + (row_number() OVER (ORDER BY r DESC, CAST(s AS VARCHAR)) <= 5000 - sum(e) OVER ())::INT)::BIGINT AS n_rows FROM e""")
+def stratum_quotas_wide(spark, sf):
+    """A sample of 5,000 orders shared among all customers in proportion to their orders."""
+    return sp.quota_table(table(spark, sf, "orders"), "o_custkey", 5_000)
 
 
 @query("sample_exact", f"SELECT {', '.join(LINE_KEYS)} FROM lineitem ORDER BY {sql_draw(7, LINE_ID)}, {LINE_ID} LIMIT 1234")

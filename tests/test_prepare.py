@@ -182,3 +182,15 @@ def test_the_mode_of_decimals_breaks_ties_by_value(spark):
 
     df = spark.createDataFrame([(Decimal("9.00"),), (Decimal("10.00"),)], "d decimal(10,2)")
     assert Decimal(modes(df, ["d"])["d"]) == Decimal("9.00")
+
+
+def test_quota_table_is_the_plain_rule(spark):
+    from evenkeel.operators import split as sp
+
+    for counts, n in (({"a": 7, "b": 7, "c": 7}, 10), ({"x": 1, None: 5, "y": 3}, 4), ({"k%03d" % i: 1 + i % 9 for i in range(300)}, 611), ({"a": 2}, 0)):
+        df = spark.createDataFrame([(s,) for s, c in counts.items() for _ in range(c)], "s string")
+        got = {r["stratum"]: r["n_rows"] for r in sp.quota_table(df, "s", n).collect()}
+        assert got == sp.stratum_quotas(counts, n) and sum(got.values()) == n
+    assert sp.quota_table(spark.createDataFrame([], "s string"), "s", 0).count() == 0
+    with pytest.raises(ValueError):
+        sp.quota_table(spark.createDataFrame([("a",)], "s string"), "s", 2)
