@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from evenkeel.functions.scalars import SEED, missing
-from evenkeel.plans.order import grouped_quantiles
+from evenkeel.plans.order import grouped_quantiles, skew_safe_lookup
 from evenkeel.plans.quota import sample_exact
+from evenkeel.session import cut_lineage
 
 
 def histogram(df: DataFrame, x: str, bins: int = 30) -> DataFrame:
@@ -65,14 +66,12 @@ def _fences(rows: DataFrame) -> DataFrame:
     return q.select("*", (F.col("q1") - reach).alias("low_fence"), (F.col("q3") + reach).alias("high_fence"))
 
 
-def _meet(hist: DataFrame, fences: DataFrame, salts: int = 16) -> DataFrame:
-    """Give each value its group's fences; the one-row-per-group side is repeated per salt so that a
-    hot group is spread over several tasks."""
-    salted = hist.withColumn("_salt", F.pmod(F.xxhash64("y"), F.lit(salts)).cast("int"))
-    spread = (fences.withColumnRenamed("key", "_key")
-              .withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))))
-    on = salted["key"].eqNullSafe(spread["_key"]) & (salted["_salt"] == spread["_s"])
-    return salted.join(spread, on).drop("_key", "_s", "_salt")
+def _meet(hist: DataFrame, fences: DataFrame) -> DataFrame:
+    """Give each value its group's fences. Hot groups, of which there are at most a thousand, meet theirs by broadcast,
+    the others by a shuffle; the group stands in a struct, so that the one without a name meets its fences too."""
+    few = cut_lineage(fences.select(F.struct("key").alias("_key"), F.col("n").alias("_size"), *[c for c in fences.columns if c != "key"]))
+    total = few.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return skew_safe_lookup(hist.withColumn("_key", F.struct("key")), few, ["_key"], "_size", total).drop("_key")
 
 
 def scatter_points(df: DataFrame, x: str, y: str, color: str | None = None, n: int | None = None,

@@ -67,6 +67,16 @@ def test_box(spark):
     assert ex.box_outliers(df, "v", "g").agg(F.sum("n_rows")).first()[0] == sum(r["n_outliers"] for r in got.values())
 
 
+def test_box_of_small_groups_beside_a_hot_one(spark):
+    rows = [("hot", float(i % 97)) for i in range(3000)] + [(None, 5.0)] + [(f"g{i}", float(i)) for i in range(50)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    got = {r["key"]: r for r in ex.box_stats(df, "v", "g").collect()}
+    assert len(got) == 52 and (got[None]["n_rows"], got[None]["whisker_low"], got[None]["n_outliers"]) == (1, 5.0, 0)
+    assert (got["hot"]["n_rows"], got["hot"]["q1"], got["hot"]["whisker_high"]) == (3000, 24.0, 96.0)
+    assert all(got[f"g{i}"]["med"] == i for i in range(50))
+    assert ex.box_stats(df.limit(0), "v", "g").count() == 0
+
+
 def test_bars_and_lines(edge):
     assert [tuple(r) for r in ex.value_counts(edge, "s").collect()] == [("b", 3), ("a", 2), ("nan", 1)]
     assert [tuple(r) for r in ex.group_aggregate(edge, "s", "none", "sum").collect()] == [("a", 0.0), ("b", 0.0), (None, 0.0)]
