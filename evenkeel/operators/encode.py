@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 from evenkeel.functions.scalars import kind_of
 from evenkeel.plans.histogram import small_domains
 from evenkeel.plans.order import number_rows, skew_safe_lookup
+from evenkeel.session import cut_lineage
 
 MAX_DUMMIES = 1_000
 MAX_LITERAL_CODES = 1_000
@@ -44,8 +45,8 @@ def one_hot(df: DataFrame, cols: Sequence[str], drop_first: bool = False,
 
 def ordinal_map(df: DataFrame, c: str) -> DataFrame:
     """(category, code, rows): codes 0..n-1 by sorted text, numbered without a one-task window."""
-    counts = (df.select(_text(df, c).alias("category")).where("category IS NOT NULL")
-              .groupBy("category").agg(F.count(F.lit(1)).alias("n_rows")))
+    counts = cut_lineage(df.select(_text(df, c).alias("category")).where("category IS NOT NULL")
+                         .groupBy("category").agg(F.count(F.lit(1)).alias("n_rows")))        # read twice, to slice and to number
     return number_rows(counts, "category", "code").select("category", "code", "n_rows")
 
 
@@ -81,8 +82,8 @@ def ordinal_encode(df: DataFrame, cols: Sequence[str], fit_on: DataFrame | None
 
 
 def _joined_codes(df: DataFrame, source: DataFrame, c: str) -> DataFrame:
-    codes = ordinal_map(source, c).withColumnRenamed("category", "_category")
-    total = source.count()
+    codes = cut_lineage(ordinal_map(source, c).withColumnRenamed("category", "_category"))     # counted and numbered once
+    total = codes.agg(F.coalesce(F.sum("n_rows"), F.lit(0))).first()[0]
     texts = df.withColumn("_category", _text(df, c))
     known = skew_safe_lookup(texts.where("_category IS NOT NULL"), codes, ["_category"], "n_rows", total)
     none = texts.where("_category IS NULL").withColumn("code", F.lit(None).cast("bigint"))
