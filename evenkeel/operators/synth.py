@@ -371,10 +371,16 @@ def usage_cost(usage: DataFrame, prices: DataFrame) -> DataFrame:
 
 # ---- identity ------------------------------------------------------------------------------------
 
+TWO52 = 4503599627370496.0
+
+
 def double_text(c: Column) -> Column:
     """A double as <53-bit integer>p<power of two>: exact, and the same text in any engine."""
     power = F.floor(F.log2(F.abs(c)))
-    whole = c / F.pow(F.lit(2.0), power.cast("double")) * 4503599627370496.0
+    return _double_text(c, power, c / F.pow(F.lit(2.0), power.cast("double")) * TWO52)
+
+
+def _double_text(c: Column, power: Column, whole: Column) -> Column:
     # a logarithm next to a whole number may be rounded to the other side of it
     power, whole = (F.when(F.abs(whole) >= 9007199254740992.0, power + 1).when(F.abs(whole) < 4503599627370496.0, power - 1).otherwise(power),
                     F.when(F.abs(whole) >= 9007199254740992.0, whole / 2).when(F.abs(whole) < 4503599627370496.0, whole * 2).otherwise(whole))
@@ -388,17 +394,39 @@ def row_text(df: DataFrame) -> Column:
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
         s = double_text(c.cast("double")) if isinstance(f.dataType, (T.DoubleType, T.FloatType)) else c.cast("string")
-        parts.append(F.coalesce(F.concat(F.length(s).cast("string"), F.lit(":"), s), F.lit("-")))
+        parts.append(_sized(s))
     return F.concat(*parts)
 
 
+def _sized(s: Column) -> Column:
+    return F.coalesce(F.concat(F.length(s).cast("string"), F.lit(":"), s), F.lit("-"))
+
+
+def _staged_text(df: DataFrame) -> DataFrame:
+    """One column `text`: `row_text` of each row, in projections of their own, so that what a later one reads several times
+    is worked out once a row."""
+    fields = df.schema.fields
+    doubles = [i for i, f in enumerate(fields) if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
+    step = df.select(*[F.col(f"`{f.name}`").cast("double" if i in doubles else "string").alias(f"v{i}") for i, f in enumerate(fields)])
+    if doubles:
+        x = {i: F.col(f"v{i}") for i in doubles}
+        plain = {i: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")) & (c != 0) for i, c in x.items()}
+        step = step.select("*", *[F.when(plain[i], F.floor(F.log2(F.abs(x[i])))).alias(f"p{i}") for i in doubles])
+        step = step.select("*", *[(x[i] / F.pow(F.lit(2.0), F.col(f"p{i}").cast("double")) * TWO52).alias(f"w{i}") for i in doubles])
+        texts = {i: _double_text(x[i], F.col(f"p{i}"), F.col(f"w{i}")) for i in doubles}
+        step = step.select(*[texts.get(i, F.col(f"v{i}")).alias(f"v{i}") for i in range(len(fields))])
+    return step.select(F.concat(*[_sized(F.col(f"v{i}")) for i in range(len(fields))]).alias("text"))
+
+
 def dataset_signature(df: DataFrame) -> DataFrame:
     """One row: a hash of content and schema that does not depend on row order or partitioning."""
-    u = draw(0, row_text(df))
+    rows = _staged_text(df).select(draw(0, "text").alias("u"))
     schema = "|".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema.fields)
-    sums = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(u.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("s"),
-                  F.coalesce(F.bit_xor(u), F.lit(0)).cast("string").alias("x"))
-    return sums.select(F.sha2(F.concat_ws("|", F.col("n").cast("string"), "s", "x", F.lit(schema)), 256).alias("signature"))
+    # the 60 bits are added up in three parts, each in a bigint
+    parts = [F.coalesce(F.sum(F.shiftright("u", at).bitwiseAND((1 << 20) - 1)), F.lit(0)).cast("decimal(38,0)").alias(f"s{at}") for at in (0, 20, 40)]
+    sums = rows.agg(F.count(F.lit(1)).alias("n"), *parts, F.coalesce(F.bit_xor("u"), F.lit(0)).cast("string").alias("x"))
+    total = (F.col("s40") * (1 << 40) + F.col("s20") * (1 << 20) + F.col("s0")).cast("decimal(38,0)").cast("string")
+    return sums.select(F.sha2(F.concat_ws("|", F.col("n").cast("string"), total, "x", F.lit(schema)), 256).alias("signature"))
 
 
 def job_id(df: DataFrame, settings: dict) -> tuple[str, dict]:

@@ -260,3 +260,22 @@ def test_double_text_is_exact(spark):
         else:
             whole, power = t.split("p")
             assert 2 ** 52 <= abs(int(whole)) < 2 ** 53 and math.ldexp(int(whole), int(power) - 52) == v
+
+
+def test_a_signature_works_out_each_text_once_a_row(spark):
+    """The logarithm of a double and the mark of a row stand once each in the plan."""
+    from evenkeel.operators.synth import dataset_signature, draw, row_text
+
+    values = [1.0, -0.5, 0.1, 1e-310, 1.7e308, 0.0, float("nan"), float("inf"), float("-inf"), None, 3.0, 3.0]
+    df = spark.createDataFrame([(v, i, None if i % 3 == 0 else "a|b") for i, v in enumerate(values)], "v double, k long, s string")
+    plan = dataset_signature(df)._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert plan.count("log2(") == 1 and plan.count("md5(") == 1
+    u = [r[0] for r in df.select(draw(0, row_text(df))).collect()]
+    x = 0
+    for one in u:
+        x ^= one
+    import hashlib
+
+    want = hashlib.sha256(f"{len(u)}|{sum(u)}|{x}|v:double|k:bigint|s:string".encode()).hexdigest()
+    assert dataset_signature(df).first()[0] == want
+    assert dataset_signature(df.limit(0)).first()[0] == hashlib.sha256(b"0|0|0|v:double|k:bigint|s:string").hexdigest()
