@@ -26,6 +26,7 @@ LEAF_SAMPLE = 36             # a cell holds at most this many of the sample
 NEAREST_FIRST = (4,)         # cells a point visits in each round before the last one
 VISIT_CHUNK = 50_000         # visiting points compared with a cell in one group
 BLOCK = 256                  # rows of a distance matrix held at once
+ASKING = 1_024               # points that go down the tree of boxes at once
 
 
 @dataclass(frozen=True)
@@ -200,36 +201,77 @@ def _boxes(celled: DataFrame, level: int, width: int) -> DataFrame:
 ASKED = "pid string, v array<double>, r2 double, home string, above string, gap double"
 
 
-def _reached(asking: pd.DataFrame, nodes: np.ndarray, low: np.ndarray, high: np.ndarray, first: int | None) -> Iterator[pd.DataFrame]:
+@dataclass(frozen=True)
+class BoxTree:
+    """Boxes in a binary tree: a node's box holds those of its two children, so a point looks at few of them."""
+    low: np.ndarray
+    high: np.ndarray
+    child: np.ndarray        # (nodes, 2)
+    box: np.ndarray          # the box of a leaf, else -1
+
+    @staticmethod
+    def of(low: np.ndarray, high: np.ndarray) -> "BoxTree":
+        middle = low / 2 + high / 2
+        lows, highs, child, box = [], [], [], []
+        work = [(np.arange(len(low)), None, 0)]
+        while work:
+            rows, parent, side = work.pop()
+            here = len(box)
+            if parent is not None:
+                child[parent][side] = here
+            lows.append(np.fmin.reduce(low[rows]))
+            highs.append(np.fmax.reduce(high[rows]))
+            child.append([0, 0])
+            box.append(int(rows[0]) if len(rows) == 1 else -1)
+            if len(rows) > 1:
+                part = middle[rows]
+                widest = int(np.argmax(np.fmax.reduce(part) - np.fmin.reduce(part)))
+                halves = rows[np.argsort(part[:, widest], kind="stable")]
+                work += [(halves[len(rows) // 2:], here, 1), (halves[:len(rows) // 2], here, 0)]
+        return BoxTree(np.array(lows), np.array(highs), np.array(child), np.array(box))
+
+    def met(self, v: np.ndarray, r2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, box, squared gap) of the pairs where a row's radius reaches a box."""
+        row, node, found = np.arange(len(v)), np.zeros(len(v), dtype=np.int64), []
+        while len(row):
+            gap = np.zeros(len(row))
+            for d in range(v.shape[1]):
+                x = v[row, d]
+                gap += np.maximum(0.0, np.maximum(self.low[node, d] - x, x - self.high[node, d])) ** 2
+            go = gap <= r2[row] * SLACK
+            row, node, gap = row[go], node[go], gap[go]
+            leaf = self.box[node] >= 0
+            found.append((row[leaf], self.box[node[leaf]], gap[leaf]))
+            row, node = np.repeat(row[~leaf], 2), self.child[node[~leaf]].ravel()
+        return tuple(np.concatenate(part) for part in zip(*found)) if found else (row, row, np.zeros(0))
+
+
+def _reached(asking: pd.DataFrame, nodes: np.ndarray, boxes: BoxTree, first: int | None) -> Iterator[pd.DataFrame]:
     """Each asking point with the nodes whose box its radius reaches, the `first` nearest if given; never its own cell."""
-    for start in range(0, len(asking), BLOCK):
-        part = asking.iloc[start:start + BLOCK]
-        v = _matrix(part)
-        gap = np.zeros((len(part), len(nodes)))
-        for d in range(v.shape[1]):
-            x = v[:, d, None]
-            gap += np.maximum(0.0, np.maximum(low[None, :, d] - x, x - high[None, :, d])) ** 2
-        go = (gap <= part["r2"].to_numpy()[:, None] * SLACK) & (nodes[None, :] != part["home"].to_numpy()[:, None])
-        if first is not None and len(nodes) > first:
-            far = np.where(go, gap, np.inf)
-            near = np.argsort(far, axis=1, kind="stable")[:, :first]
-            taken = np.zeros_like(go)
-            np.put_along_axis(taken, near, True, axis=1)
-            go &= taken
-        i, c = np.nonzero(go)
-        yield part[["pid", "v", "r2", "home"]].iloc[i].assign(above=nodes[c], gap=gap[i, c])
+    for start in range(0, len(asking), ASKING):
+        part = asking.iloc[start:start + ASKING]
+        i, c, gap = boxes.met(_matrix(part), part["r2"].to_numpy())
+        other = nodes[c] != part["home"].to_numpy()[i]
+        i, c, gap = i[other], c[other], gap[other]
+        if first is not None and len(i):
+            order = np.lexsort((c, gap, i))
+            i, c, gap = i[order], c[order], gap[order]
+            begins = np.flatnonzero(np.concatenate(([True], i[1:] != i[:-1])))
+            place = np.arange(len(i)) - np.repeat(begins, np.diff(np.append(begins, len(i))))
+            i, c, gap = i[place < first], c[place < first], gap[place < first]
+        yield part[["pid", "v", "r2", "home"]].iloc[i].assign(above=nodes[c], gap=gap)
 
 
 def _further(first: int | None):
     def worker(pdf: pd.DataFrame, nodes: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf) or not len(nodes):
             return pd.DataFrame(columns=["pid", "v", "r2", "home", "above", "gap"])
-        return pd.concat(list(_reached(pdf, nodes["node"].to_numpy(), _matrix(nodes, "lo"), _matrix(nodes, "hi"), first)))
+        return pd.concat(list(_reached(pdf, nodes["node"].to_numpy(), BoxTree.of(_matrix(nodes, "lo"), _matrix(nodes, "hi")), first)))
 
     return worker
 
 
-def _descend(asking: DataFrame, top: tuple[np.ndarray, np.ndarray, np.ndarray], lower: list[DataFrame], first: int | None,
+def _descend(asking: DataFrame, top: tuple[np.ndarray, BoxTree], lower: list[DataFrame], first: int | None,
              chunk: int) -> DataFrame:
     """(pid, v, r2, cell): the cells each point still has to ask, level by level; a point keeps its `first` nearest nodes of
     a level, and one more above the last level, where its own cell's node is among them."""
@@ -281,7 +323,8 @@ def search_cells(points: DataFrame, k: int, cell_points: int = CELL_POINTS, visi
         largest = now
         celled, level = cut_lineage(_next_level(celled, level, cell_points, fan, visit_chunk)), level + 1
     roots = _boxes(celled, 1, width).collect()                   # at most about `fan` rows
-    top = (np.array([r["node"] for r in roots], dtype=object), np.array([r["lo"] for r in roots]), np.array([r["hi"] for r in roots]))
+    top = (np.array([r["node"] for r in roots], dtype=object),
+           BoxTree.of(*(np.array([r[end] for r in roots], dtype=float) for end in ("lo", "hi"))))
     lower = [cut_lineage(_boxes(celled, deep, width)) for deep in range(2, level + 1)]
     cells = lower[-1].count() if lower else len(roots)
     homes = celled.select("pid", "w", "v", F.col(f"c{level}").alias("cell"))

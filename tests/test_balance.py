@@ -283,3 +283,25 @@ def test_resume_starts_goes_on_and_ends(spark, tmp_path):
     rows, report = resume_generation(spark, path, "j", responses, ["x"], 5, 2, real, usage={"input_tokens": 4})
     assert rows.count() == 5 and report["status"] == "completed" and report["input_tokens"] == 7 and report["saved_before"] == 4
     assert resume_generation(spark, path, "j", responses, ["x"], 5, 2, real)[0].count() == 5
+
+
+def test_a_point_looks_at_few_boxes_to_find_those_it_reaches():
+    from evenkeel.operators.neighbours import BoxTree
+
+    class Counted(np.ndarray):
+        looked = 0
+
+        def __getitem__(self, at):
+            Counted.looked += np.size(at[0]) if isinstance(at, tuple) else 0
+            return np.asarray(super().__getitem__(at))
+
+    rng = np.random.default_rng(8)
+    low = np.array([(i, j) for i in range(50) for j in range(40)], dtype=float)
+    high, v = low + rng.uniform(0, 1, low.shape), rng.uniform(0, 40, (300, 2))
+    r2 = np.where(np.arange(300) % 100 == 0, np.inf, 0.3)
+    tree = BoxTree.of(low, high)
+    row, box, gap = BoxTree(tree.low.view(Counted), tree.high, tree.child, tree.box).met(v, r2)
+    gaps = (np.maximum(0, np.maximum(low[None] - v[:, None], v[:, None] - high[None])) ** 2).sum(-1)
+    want = [(i, j) for i, j in zip(*np.nonzero(gaps <= r2[:, None]))]
+    assert sorted(zip(row, box)) == want and np.allclose(gap, gaps[row, box])
+    assert Counted.looked < 300 * 2000 * 2 / 10                   # of 2,000 boxes with two coordinates each
