@@ -20,6 +20,7 @@ from evenkeel.session import cut_lineage, on_all_cores
 SCHEMA = "column_a string, column_b string, corr double"
 BLOCK_BITS = 13              # rows of one block, whose ranks meet in a task, as a power of two
 GROUP_POINTS = 2_000_000     # points one task counts
+SHORT_BITS = 5               # rows of a block whose pairs are compared one by one, as a power of two
 SLICE_ROWS = 50_000          # rows of a slice at least, if the table is small
 
 
@@ -166,6 +167,39 @@ def ordered_pairs(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, f
     return rising, falling
 
 
+def inversions(ranks: np.ndarray) -> int:
+    """Pairs whose first rank is larger than the second: counted pair by pair in short blocks, then, as blocks are sorted
+    together two by two, from the places that the first block's rows take."""
+    n, bits = len(ranks), max(SHORT_BITS, int(len(ranks) - 1).bit_length())
+    key = np.full(1 << bits, int(ranks.max(initial=0)) + 1, dtype=np.int64)      # filled up with rows that exceed all others
+    key[:n] = ranks
+    rows = np.ascontiguousarray(key.reshape(-1, 1 << SHORT_BITS).T).astype(np.int32)
+    found = sum(int(np.count_nonzero(rows[:-s] > rows[s:])) for s in range(1, 1 << SHORT_BITS))
+    key = (key << bits) | np.arange(1 << bits)                   # of equal ranks the first stays first
+    for bit in range(SHORT_BITS, bits):
+        block = key.reshape(-1, 2 << bit)
+        block.sort(axis=1)
+        # rows that a first-block row has before it, less those of its own block
+        of_first = ((block >> bit) & 1 == 0).sum(axis=0)
+        found += int(of_first @ np.arange(2 << bit)) - len(block) * ((1 << bit) * ((1 << bit) - 1) // 2)
+    return found
+
+
+def unit_pairs(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """`ordered_pairs` of points of weight 1, whose coordinates are whole numbers from 0, such as ranks."""
+    bits = int(y.max(initial=0)).bit_length()
+    both = np.sort((x.astype(np.int64) << bits) | y)             # within one x no pair falls
+    falling = inversions(both & ((1 << bits) - 1))
+    rising = len(both) * (len(both) - 1) // 2 - falling - _ties(both >> bits) - _ties(np.sort(y)) + _ties(both)
+    return float(rising), float(falling)
+
+
+def _ties(ordered: np.ndarray) -> int:
+    """Pairs of equal values."""
+    sizes = np.diff(np.concatenate(([0], np.flatnonzero(ordered[1:] != ordered[:-1]) + 1, [len(ordered)])))
+    return int((sizes * (sizes - 1) // 2).sum())
+
+
 def _count_group(pdf: pd.DataFrame) -> pd.DataFrame:
     up, down = ordered_pairs(*(pdf[c].to_numpy() for c in ("x", "y", "w")))
     return pd.DataFrame({"pair": [int(pdf["pair"].iloc[0])], "up": [up], "down": [down]})
@@ -238,20 +272,21 @@ def _kendall(nums: DataFrame, pairs: list[tuple[int, int]], group_points: int) -
     def count(key: tuple, rows: pa.Table) -> pa.Table:
         k = key[0].as_py()
         c, s = ([rows.column(f"{x}{i}").to_numpy() for i in range(d)] for x in "cs")
-        out = []
+        there, rank, out = [~np.isnan(x.astype(float)) for x in c], [], []
+        for m in range(d):                                         # a column is sorted once, its pairs then are whole numbers
+            rank.append(np.zeros(len(c[m]), dtype=np.int64))
+            rank[m][there[m]] = np.unique(c[m][there[m]], return_inverse=True)[1]
         for m in range(d):
             if m == k:
                 continue
-            both = ~np.isnan(c[m].astype(float))
-            v = c[k][both].astype(float)
-            ties = np.unique(v, return_counts=True)[1].astype(float)
-            out.append((k, m, float((ties * (ties - 1) / 2).sum()), 0.0, 0.0))
-            ones = np.ones(len(v))
+            both = there[m]
+            v = rank[k][both]
+            out.append((k, m, float(_ties(np.sort(v))), 0.0, 0.0))
             if first(k, m) == k:                               # both rows in one slice of x
-                up, down = ordered_pairs(v, c[m][both].astype(float), ones)
+                up, down = unit_pairs(v, rank[m][both])
             else:                                              # both in one slice of y, by the slices of x
-                x = s[m][both].astype(float)
-                up, down = ordered_pairs(x, v, ones) if len(x) and x.min() < x.max() else (0.0, 0.0)
+                x = s[m][both].astype(np.int64)
+                up, down = unit_pairs(x, v) if len(x) and x.min() < x.max() else (0.0, 0.0)
             out.append((min(k, m), max(k, m), 0.0, up, down))
         return pa.table(list(map(pa.array, zip(*out))), names=["k", "m", "ties", "up", "down"]).cast(_COUNTED)
 

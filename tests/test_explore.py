@@ -215,3 +215,12 @@ def test_grid_of_missing_values_and_nan(spark):
     assert {(r["cell_x"], r["cell_y"]) for r in scatter_grid(nan, "x", "y", 2).collect()} == {(0, 0), (1, 1)}
     both = spark.createDataFrame([(float("nan"),), (None,), (1.0,)], "x double")
     assert [(r["key"], r["n_rows"]) for r in value_counts(both, "x").collect()] == [("nan", 2), ("1.0", 1)]
+
+
+def test_pairs_of_unit_points_match_the_weighted_count():
+    from evenkeel.operators.correlate import unit_pairs
+
+    rng = np.random.default_rng(12)
+    for n, a, b in ((1, 3, 3), (2, 1, 1), (33, 4, 50), (700, 9, 700), (3000, 3000, 2)):
+        x, y = rng.integers(0, a, n), rng.integers(0, b, n)
+        assert unit_pairs(x, y) == ordered_pairs(x.astype(float), y.astype(float), np.ones(n))
