@@ -13,14 +13,19 @@ from evenkeel.session import cut_lineage
 
 LOCAL = ("part int, open int, id long, g int, below long, ties long, "
          "first_g int, first_v double, first_n long, first_rows long, last_g int, last_v double, last_n long, last_below long, last_rows long")
-INSIDE, FIRST, LAST, COUNT = 0, 1, 2, 3
+INSIDE, FIRST, LAST, COUNT, LONG, DONE = range(6)
+HELD_ROWS = 100_000          # rows of an open run that a task holds; the others wait in the written table for the run's size
 
 
 class _Ranker:
-    """The sorted rows of one range: ranks that begin anew, but for runs that may go on in another range."""
+    """The sorted rows of one range: ranks that begin anew, but for runs that may go on in another range.
 
-    def __init__(self, part: int):
+    A run is held until its size is known. Of a long run the rows leave earlier, as LONG with the number of the run in place
+    of `below`; a row DONE with this number as its id, and the kind of run as first_n, follows at its end."""
+
+    def __init__(self, part: int, held_rows: int = HELD_ROWS):
         self.part, self.first, self.run, self.held, self.n, self.below = part, None, None, [], 0, 0
+        self.held_rows, self.long, self.n_long = held_rows, None, 0
 
     def add(self, g: np.ndarray, v: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
         change = np.concatenate(([0], np.flatnonzero((g[1:] != g[:-1]) | (v[1:] != v[:-1])) + 1, [len(g)]))
@@ -29,10 +34,14 @@ class _Ranker:
             begin = int(change[1])
             self.held.append(ids[:begin])
             self.n += begin
+            if sum(map(len, self.held)) > self.held_rows:
+                if self.long is None:
+                    self.long, self.n_long = self.n_long, self.n_long + 1
+                yield self._waiting()
         if begin == len(g):
             return
         if self.run is not None:
-            yield self._close()
+            yield from self._close()
         starts = change[np.searchsorted(change, begin):-1]
         sizes = np.diff(np.append(starts, len(g)))
         # all runs but the last one are closed here; positions begin anew with each g
@@ -50,7 +59,7 @@ class _Ranker:
                 self._open(g, v, ids, starts[0], below[0])
                 return
             self.run, self.held, self.n, self.below = (int(g[starts[0]]), float(v[starts[0]])), [ids[starts[0]:starts[1]]], int(sizes[0]), int(below[0])
-            yield self._close()
+            yield from self._close()
             skip = 1
         if whole > skip:
             lo, hi = starts[skip], starts[whole]
@@ -66,19 +75,29 @@ class _Ranker:
                    pa.array(np.asarray(below, np.int64)), pa.array(np.asarray(ties, np.int64))]
         return _local(columns, n)
 
-    def _close(self, last: bool = False) -> pa.RecordBatch:
-        ids = np.concatenate(self.held)
+    def _waiting(self) -> pa.RecordBatch:
+        ids, self.held = np.concatenate(self.held), []
+        return self._rows(LONG, ids, np.full(len(ids), self.run[0]), np.full(len(ids), self.long), np.zeros(len(ids)))
+
+    def _close(self, last: bool = False) -> Iterator[pa.RecordBatch]:
         kind = INSIDE
         if self.first is None:
             self.first, kind = (*self.run, self.n), FIRST
         elif last:
             kind = LAST
-        return self._rows(kind, ids, np.full(len(ids), self.run[0]), np.full(len(ids), self.below), np.full(len(ids), self.n))
+        if self.long is None:
+            ids = np.concatenate(self.held)
+            yield self._rows(kind, ids, np.full(len(ids), self.run[0]), np.full(len(ids), self.below), np.full(len(ids), self.n))
+            return
+        if self.held:
+            yield self._waiting()
+        yield _marked({"part": self.part, "open": DONE, "id": self.long, "g": self.run[0], "below": self.below, "ties": self.n, "first_n": kind})
+        self.long = None
 
     def finish(self, rows_of: dict[int, int]) -> Iterator[pa.RecordBatch]:
         if self.run is None:
             return
-        yield self._close(last=True)
+        yield from self._close(last=True)
         inner = {g: n for g, n in rows_of.items() if g not in (self.first[0], self.run[0])}
         if inner:                                                # columns that lie in this range as a whole
             k = len(inner)
@@ -87,7 +106,7 @@ class _Ranker:
         mark = {"part": self.part, "open": None, "first_g": self.first[0], "first_v": self.first[1], "first_n": self.first[2],
                 "first_rows": rows_of[self.first[0]], "last_g": self.run[0], "last_v": self.run[1], "last_n": self.n,
                 "last_below": self.below, "last_rows": rows_of[self.run[0]]}
-        yield pa.RecordBatch.from_arrays([pa.array([mark.get(f.name)], f.type) for f in _SCHEMA], schema=_SCHEMA)
+        yield _marked(mark)
 
 
 _SCHEMA = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "double": pa.float64()}[t]) for n, t in (c.split(" ") for c in LOCAL.split(", "))])
@@ -97,18 +116,23 @@ def _local(columns: list[pa.Array], n: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*columns, *[pa.nulls(n, f.type) for f in list(_SCHEMA)[len(columns):]]], schema=_SCHEMA)
 
 
-def average_ranks(long: DataFrame) -> tuple[DataFrame, dict[int, int]]:
+def _marked(mark: dict) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([mark.get(f.name)], f.type) for f in _SCHEMA], schema=_SCHEMA)
+
+
+def average_ranks(long: DataFrame, held_rows: int = HELD_ROWS) -> tuple[DataFrame, dict[int, int]]:
     """((id, g, rank), rows of each g) from rows (id long, g int, v double), v never NULL; ties share their mean position, from 1.
 
     The rows are dealt into ranges of (g, v, id), so neither a column nor a value that a third of the rows hold is
     one task's work. Each task ranks its own range and reports its first and its last run; the driver composes these
-    reports (one a range) and sends back, for each range, what stands before it and how large the cut runs are in all.
+    reports (one a range, and one for each run of more than held_rows rows) and sends back, for each range, what stands before
+    it and how large the cut runs are in all.
     """
     spark = long.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranker, rows_of = _Ranker(TaskContext.get().partitionId()), {}
+        ranker, rows_of = _Ranker(TaskContext.get().partitionId(), held_rows), {}
         for batch in batches:
             if batch.num_rows:
                 ids, g, v = (batch.column(k).to_numpy() for k in range(3))
@@ -145,4 +169,16 @@ def average_ranks(long: DataFrame) -> tuple[DataFrame, dict[int, int]]:
     below = F.when(F.col("open") == FIRST, F.col("f_below")).when(F.col("open") == LAST, F.col("l_below")).otherwise(
         F.col("below") + F.when(F.col("g") == F.col("p_g"), F.col("moved")).otherwise(0))
     ties = F.when(F.col("open") == FIRST, F.col("f_ties")).when(F.col("open") == LAST, F.col("l_ties")).otherwise(F.col("ties"))
-    return met.select("id", "g", (below + (ties + 1) / 2).alias("rank")), rows_of
+    ranks = met.select("id", "g", (below + (ties + 1) / 2).alias("rank"))
+    done = local.where(F.col("open") == DONE).collect()          # one row a long run, each of more than held_rows rows
+    if done:
+        at = {m["part"]: (m["first_g"], o, spans[f], spans[x]) for m, o, f, x in zip(marks, offsets, firsts, lasts)}
+        sizes = []
+        for r in done:
+            p_g, moved, first, last = at[r["part"]]
+            inside = (r["below"] + (moved if r["g"] == p_g else 0), r["ties"])
+            sizes.append((r["part"], r["id"], *{FIRST: first, LAST: last}.get(r["first_n"], inside)))
+        known = F.broadcast(spark.createDataFrame(sizes, "p int, run long, r_below long, r_ties long"))
+        late = local.where(F.col("open") == LONG).join(known, (F.col("part") == F.col("p")) & (F.col("below") == F.col("run")))
+        ranks = ranks.unionByName(late.select("id", "g", (F.col("r_below") + (F.col("r_ties") + 1) / 2).alias("rank")))
+    return ranks, rows_of

@@ -224,3 +224,24 @@ def test_pairs_of_unit_points_match_the_weighted_count():
     for n, a, b in ((1, 3, 3), (2, 1, 1), (33, 4, 50), (700, 9, 700), (3000, 3000, 2)):
         x, y = rng.integers(0, a, n), rng.integers(0, b, n)
         assert unit_pairs(x, y) == ordered_pairs(x.astype(float), y.astype(float), np.ones(n))
+
+
+def test_a_run_of_equal_values_is_not_held_whole(spark):
+    from evenkeel.plans.ranks import _Ranker, average_ranks
+
+    ranker = _Ranker(0, 50)
+    for k in range(40):
+        list(ranker.add(np.zeros(20, int), np.full(20, 7.0), np.arange(20) + 20 * k))
+        assert sum(map(len, ranker.held)) <= 50 + 20
+    rng = np.random.default_rng(13)
+    for hot in (0.0, 0.5, 1.0):
+        v = np.where(rng.random(3000) < hot, 1.0, rng.integers(0, 9, 3000).astype(float))
+        g = rng.integers(0, 3, 3000)
+        rows = [(i, int(g[i]), float(v[i])) for i in range(3000)]
+        ranks, sizes = average_ranks(spark.createDataFrame(rows, "id long, g int, v double").repartition(3), held_rows=25)
+        got = {(r["id"], r["g"]): r["rank"] for r in ranks.collect()}
+        assert len(got) == 3000 and sizes == {k: int((g == k).sum()) for k in range(3)}
+        for k in range(3):
+            mine = np.flatnonzero(g == k)
+            below, ties = (v[mine][:, None] > v[mine]).sum(1), (v[mine][:, None] == v[mine]).sum(1)
+            assert [got[i, k] for i in mine.tolist()] == (below + (ties + 1) / 2).tolist()
