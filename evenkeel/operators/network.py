@@ -24,6 +24,7 @@ from evenkeel.plans.keys import add_row_id
 from evenkeel.plans.quota import assign_parts
 
 BUCKETS = 4                       # mini-batches of an epoch
+TASK_ROWS = 2_000                 # folded rows of one task of a step at least
 HISTORY = "epoch int, loss double, val_loss double, accuracy double, val_accuracy double"
 SUMS = "g array<double>, loss double, right double, n double"
 
@@ -160,6 +161,17 @@ def _weighted(df: DataFrame, feats: Sequence[str], label: str, buckets: int, see
                        (F.floor(F.col("_n") / buckets) + (F.col("_k") < F.col("_n") % buckets).cast("int")).cast("double").alias("_w"))
 
 
+def _dealt(folded: DataFrame) -> DataFrame:
+    """Kept in as many partitions as there are cores, fewer for a few rows: each step starts a task for every one of them, so
+    their number must not grow with the table."""
+    first = folded.persist(StorageLevel.MEMORY_AND_DISK)
+    parts = min(folded.sparkSession.sparkContext.defaultParallelism, math.ceil(first.count() / TASK_ROWS))
+    rows = first.repartition(max(1, parts)).persist(StorageLevel.MEMORY_AND_DISK)
+    rows.count()
+    first.unpersist()
+    return rows
+
+
 def fit_network(train: DataFrame, val: DataFrame, feats: Sequence[str], label: str, spec: Spec, seed: int = SEED,
                 buckets: int = BUCKETS) -> tuple[Network, DataFrame]:
     """(network with the best watched weights, history). Rows must be scaled and complete.
@@ -169,8 +181,7 @@ def fit_network(train: DataFrame, val: DataFrame, feats: Sequence[str], label: s
     """
     feats = list(feats)
     sizes = (len(feats), *spec.hidden, 1)
-    rows = _weighted(train, feats, label, buckets, seed).persist(StorageLevel.MEMORY_AND_DISK)
-    held = _weighted(val, feats, label, 1, seed).persist(StorageLevel.MEMORY_AND_DISK)
+    rows, held = _dealt(_weighted(train, feats, label, buckets, seed)), _dealt(_weighted(val, feats, label, 1, seed))
     total = {r["_bucket"]: r["n"] for r in rows.groupBy("_bucket").agg(F.sum("_w").alias("n")).collect()}
     flat = initial(sizes, spec.init, seed)
     m, v, step = np.zeros(len(flat)), np.zeros(len(flat)), 0

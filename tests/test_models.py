@@ -186,3 +186,26 @@ def test_tree_on_odd_tables(spark):
         ml.fit_tree(same.where("x > 5"), ["x"], "y")
     with pytest.raises(ValueError, match="complete"):
         ml.fit_tree(spark.createDataFrame([(None, 0), (1.0, 1)], "x double, y int"), ["x"], "y")
+
+
+@pytest.mark.parametrize("shuffled", [1, 40])
+def test_the_steps_of_a_network_take_as_many_tasks_as_cores(spark, monkeypatch, shuffled):
+    """However many partitions the table comes in; a few rows take one task."""
+    from evenkeel.operators.network import Spec, fit_network
+
+    df = spark.range(12_000).selectExpr("id / 12000.0 AS x", "cast(id % 2 AS int) AS y")
+    seen, frame = [], type(df)
+    inner = frame.mapInPandas
+
+    def watched(self, *args, **kw):
+        seen.append(self.rdd.getNumPartitions())
+        return inner(self, *args, **kw)
+
+    monkeypatch.setattr(frame, "mapInPandas", watched)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", shuffled)
+    try:
+        fit_network(df, df.limit(50), ["x"], "y", Spec((), epochs=1))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert seen == [spark.sparkContext.defaultParallelism] * 4 + [1]
