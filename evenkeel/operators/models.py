@@ -69,9 +69,10 @@ def fit_forest(train: DataFrame, feats: Sequence[str], label: str, trees: int =
                seed: int = SEED, max_bins: int = 32) -> Fitted:
     """Random forest on unscaled features without class weights; depth 0 means as deep as Spark allows.
 
-    Cuts are tried between max_bins quantiles of a feature, all of its values where it has no more."""
+    Cuts are tried between max_bins quantiles of a feature, all of its values where it has no more. Each row keeps the node it
+    has reached in every tree, so that a level costs one step a row and tree, not a walk from the root; the trees are the same."""
     model = RandomForestClassifier(featuresCol="_features", labelCol=label, numTrees=trees, maxDepth=_depth(depth), maxBins=max_bins,
-                                   featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=1024, cacheNodeIds=False
+                                   featureSubsetStrategy="sqrt", seed=seed, maxMemoryInMB=1024, cacheNodeIds=True
                                    ).fit(_vectors(train, feats))
     return Fitted("Random Forest", model, list(feats))
 
