@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from evenkeel.functions.scalars import digamma
 from evenkeel.operators.gates import columns_with_nulls, non_numeric_columns, select_features
-from evenkeel.plans.order import BUCKET_ROWS, cut_points, exact_quantiles, number_rows, prefix_sum, skew_safe_lookup
+from evenkeel.plans.order import BUCKET_ROWS, cut_points, exact_quantiles, number_rows, skew_safe_lookup, with_bucket
 from evenkeel.session import cut_lineage
 
 NEIGHBOURS = 3
 LITERAL_CLASSES = 1_000    # classes that travel as a literal map
-BLOCK_VALUES = 20_000      # distinct values per block of neighbours
+SLICE_ROWS = 50_000        # rows of all features per slice of values
 
 
 def factorize(df: DataFrame, target: str, name: str = "code") -> DataFrame:
@@ -84,74 +86,123 @@ def _nearest(df: DataFrame, feats: Sequence[str], bucket_rows: int) -> DataFrame
 
     For each value the distance to its third neighbour of the same class, then the number of rows of
     any class strictly closer. A value with more copies than that counts its copies instead.
+
+    The values of a feature lie in slices. A slice borrows the nearest values of each class from the slices around it,
+    which settles every distance; rows whose reach ends in another slice ask that slice.
     """
     hist = (_unpivoted(df, feats, lambda c: F.col(f"`{c}`").cast("double"))
             .groupBy("f", "x", "_class").agg(F.count(F.lit(1)).alias("n")))
     values = df.select(F.explode(F.array(*[F.col(f"`{c}`").cast("double") for c in feats])).alias("x"))
-    cuts = cut_points(values, "x", max(2, bucket_rows // len(feats)))          # the features share the cuts
+    cuts = cut_points(values, "x", min(max(2, bucket_rows // len(feats)), SLICE_ROWS))     # the features share the cuts
+    hist = cut_lineage(with_bucket(hist, "x", cuts, "_slice"))                # read by every step below
     sizes = W.partitionBy("f")
     classes = (hist.groupBy("f", "_class").agg(F.sum("n").alias("n_class"))
                .where("n_class > 1"))                            # a class of one has no neighbour
     classes = classes.withColumn("n_all", F.sum("n_class").over(sizes))
     small = F.broadcast(classes)                                 # features x classes rows, classes <= 1,000
     hist = hist.join(small, ["f", "_class"])
-    radii = cut_lineage(_same_class_radius(hist, cuts, bucket_rows))     # asked for three times below
-    counted = _rows_within(hist, radii, bucket_rows, cuts)
+    solved = cut_lineage(_solved(hist, _borrowed(hist), cuts))
+    counted = solved.where("m IS NOT NULL").unionByName(_asked(hist, solved.where("m IS NULL"), cuts))
     score = (digamma(F.max("n_all")) + F.sum((digamma(F.col("k")) - digamma(F.col("n_class")) - digamma(F.col("m")))
                                              * F.col("n")) / F.sum("n"))
     return _names(counted.groupBy("f").agg(F.greatest(F.lit(0.0), score).alias("score")), feats)
 
 
-def _same_class_radius(hist: DataFrame, cuts: list, bucket_rows: int) -> DataFrame:
-    """Adds r (distance to the k-th same-class neighbour) and k.
+_POINT = "f int, _slice int, _class int, x double, n long"
 
-    Distinct values are numbered within their class and cut into blocks that overlap by k rows, so
-    every neighbour is inside the block however unevenly the class is spread.
-    """
-    k, size = NEIGHBOURS, max(min(bucket_rows, BLOCK_VALUES), 4 * NEIGHBOURS)
-    placed = number_rows(hist, "x", "_at", ["f", "_class"], cuts=cuts)
-    block = F.floor(F.col("_at") / size)
-    into = F.col("_at") % size
-    homes = F.array_compact(F.array(block, F.when((into < k) & (block > 0), block - 1),
-                                    F.when(into >= size - k, block + 1)))
-    spread = placed.withColumn("_block", F.explode(homes))
-    w = W.partitionBy("f", "_class", "_block").orderBy("_at")
-    near = []
-    for step in range(1, k + 1):
-        for side in (F.lag, F.lead):
-            near.append(F.struct(F.abs(side("x", step).over(w) - F.col("x")).alias("d"), side("n", step).over(w).alias("c")))
-    distances = F.flatten(F.transform(F.filter(F.array(*near), lambda s: s["d"].isNotNull()),
-                                      lambda s: F.array_repeat(s["d"], F.least(s["c"], F.lit(k)).cast("int"))))
-    own = F.array_repeat(F.lit(0.0), F.least(F.col("n") - 1, F.lit(k)).cast("int"))
-    wanted = F.least(F.lit(k), F.col("n_class") - 1).cast("int")
-    found = (spread.withColumn("_d", F.array_sort(F.concat(own, distances))).where(F.col("_block") == block)
-             .withColumn("r", F.element_at("_d", wanted)))
-    return (found.withColumn("k", F.when(F.col("r") == 0, F.col("n")).otherwise(wanted).cast("bigint"))
-            .drop("_d", "_block", "_at"))
-
-
-def _rows_within(hist: DataFrame, radii: DataFrame, bucket_rows: int, cuts: list) -> DataFrame:
-    """Adds m: rows of any class within r of x (strictly, unless r is 0), from running totals at both ends.
-
-    The reach stays a hair below r, so that rows exactly r away are left out whatever the last bit says.
+
+def _borrowed(hist: DataFrame) -> DataFrame:
+    """What each slice borrows: for each of its classes the three nearest values before and after it."""
+    k = NEIGHBOURS
+
+    def ends(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_class", "x"])
+        mine = pdf.groupby("_class")
+        return pdf[(mine.cumcount() < k) | (mine.cumcount(ascending=False) < k)]
+
+    def lend(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("x")                              # at most six values of a slice
+        home = pdf["_slice"].to_numpy()
+        first = np.flatnonzero(np.r_[True, home[1:] != home[:-1]])
+        last = np.r_[first[1:], len(home)]
+        at = np.concatenate([first[:, None] - 1 - np.arange(k), last[:, None] + np.arange(k)], axis=1)
+        row, col = np.nonzero((at >= 0) & (at < len(home)))
+        return pdf.iloc[at[row, col]].assign(_slice=home[first[row]])
+
+    points = hist.select("f", "_slice", "_class", "x", "n")
+    return (points.groupBy("f", "_slice").applyInPandas(ends, _POINT)
+            .groupBy("f", "_class").applyInPandas(lend, _POINT))
+
+
+def _solved(hist: DataFrame, borrowed: DataFrame, cuts: list) -> DataFrame:
+    """Adds k, the reach of each value and m (rows of any class within reach), where both ends lie in its slice.
+
+    The reach stays a hair below the distance, so that rows exactly as far away are left out whatever the last bit says.
     """
-    totals = hist.groupBy("f", "x").agg(F.sum("n").alias("n"))
-    tie = F.col("r") == 0
-    reach = F.greatest(F.col("r") - F.col("r") * 1e-9 - F.abs("x") * 1e-14, F.col("r") / 2)
-    asks = radii.select("f", "x", "_class", F.explode(F.array(
-        F.struct((F.col("x") - reach).alias("pos"), (~tie).alias("upto"), F.lit(-1).alias("side")),
-        F.struct((F.col("x") + reach).alias("pos"), tie.alias("upto"), F.lit(1).alias("side"))
-    )).alias("a")).select("f", "x", "_class", "a.*")
-    # questions and data meet by position in one running total, so no range join is needed
-    at = (totals.select("f", F.col("x").alias("pos"), "n")
-          .unionByName(asks.select("f", "pos", F.lit(0).cast("bigint").alias("n")))
-          .groupBy("f", "pos").agg(F.sum("n").alias("n")))
-    run = (prefix_sum(at, "pos", "n", ["f"], before="_below", total="_all", bucket_rows=bucket_rows, cuts=cuts)
-           .select("f", "pos", "_below", F.col("n").alias("_here")))
-    answers = (asks.join(run, ["f", "pos"])
-               .withColumn("cum", F.col("_below") + F.when(F.col("upto"), F.col("_here")).otherwise(0))
-               .groupBy("f", "x", "_class").agg(F.sum(F.col("cum") * F.col("side")).alias("m")))
-    return radii.join(answers, ["f", "x", "_class"])
+    k, edges = NEIGHBOURS, np.array([-np.inf, *cuts, np.inf])
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["_class", "x"])
+        x, n, label = pdf["x"].to_numpy(), pdf["n"].to_numpy(), pdf["_class"].to_numpy()
+        far, copies = np.full((len(x), 2 * k), np.inf), np.zeros((len(x), 2 * k), dtype=np.int64)
+        for step in range(1, min(k, len(x) - 1) + 1):
+            same = label[step:] == label[:-step]
+            gap = np.where(same, x[step:] - x[:-step], np.inf)
+            far[step:, step - 1], copies[step:, step - 1] = gap, np.where(same, n[:-step], 0)
+            far[:-step, k + step - 1], copies[:-step, k + step - 1] = gap, np.where(same, n[step:], 0)
+        own = ~np.isnan(pdf["n_class"].to_numpy(dtype=float))
+        pdf, x, n, far, copies = pdf[own], x[own], n[own], far[own], copies[own]
+        n_class = pdf["n_class"].to_numpy(dtype=np.int64)
+        wanted = np.minimum(k, n_class - 1)
+        order = np.argsort(far, axis=1, kind="stable")
+        reached = n[:, None] - 1 + np.cumsum(np.take_along_axis(copies, order, axis=1), axis=1) >= wanted[:, None]
+        r = np.take_along_axis(np.take_along_axis(far, order, axis=1), reached.argmax(axis=1)[:, None], axis=1)[:, 0]
+        tie = n - 1 >= wanted
+        r = np.where(tie, 0.0, r)
+        reach = np.maximum(r - r * 1e-9 - np.abs(x) * 1e-14, r / 2)
+        low, high = x - reach, x + reach
+        rising = np.argsort(x, kind="stable")
+        m = _below(x[rising], n[rising], high, tie) - _below(x[rising], n[rising], low, ~tie)
+        home = int(pdf["_slice"].iloc[0])
+        inside = (low >= edges[home]) & (high < edges[home + 1])
+        return pd.DataFrame({"f": pdf["f"], "_class": pdf["_class"], "x": x, "n": n, "n_class": n_class, "n_all": pdf["n_all"].astype("int64"),
+                             "k": np.where(tie, n, wanted), "tie": tie, "low": low, "high": high,
+                             "m": pd.Series(m, index=pdf.index, dtype="Int64").where(inside)})
+
+    names = ["f", "_slice", "_class", "x", "n", "n_class", "n_all"]
+    own = hist.select(*names)
+    lent = borrowed.select(*names[:5], F.lit(None).cast("bigint").alias("n_class"), F.lit(None).cast("bigint").alias("n_all"))
+    return own.unionByName(lent).groupBy("f", "_slice").applyInPandas(
+        solve, "f int, _class int, x double, n long, n_class long, n_all long, k long, tie boolean, low double, high double, m long")
+
+
+def _below(x: np.ndarray, n: np.ndarray, pos: np.ndarray, upto: np.ndarray) -> np.ndarray:
+    """Rows of the rising x before each position, those at it included where upto says so."""
+    run = np.r_[0, np.cumsum(n)]
+    return np.where(upto, run[np.searchsorted(x, pos, side="right")], run[np.searchsorted(x, pos, side="left")])
+
+
+def _asked(hist: DataFrame, rows: DataFrame, cuts: list) -> DataFrame:
+    """Adds m to the rows whose reach ends in another slice: the slices of both ends count the rows below them."""
+    ends = F.array(F.struct(F.col("low").alias("pos"), (~F.col("tie")).alias("upto"), F.lit(-1).alias("side")),
+                   F.struct(F.col("high").alias("pos"), F.col("tie").alias("upto"), F.lit(1).alias("side")))
+    asks = with_bucket(rows.select("f", "x", "_class", F.explode(ends).alias("a")).select("f", "x", "_class", "a.*"), "pos", cuts, "_slice")
+
+    def count(points: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        points = points.sort_values("x")
+        cum = _below(points["x"].to_numpy(), points["n"].to_numpy(dtype=np.int64), asked["pos"].to_numpy(), asked["upto"].to_numpy(dtype=bool))
+        return asked[["f", "_slice", "x", "_class", "side"]].assign(cum=cum)
+
+    inner = (hist.select("f", "_slice", "x", "n").groupBy("f", "_slice")
+             .cogroup(asks.groupBy("f", "_slice")).applyInPandas(count, "f int, _slice int, x double, _class int, side int, cum long"))
+    # a few numbers per slice carry the rows of all slices before it
+    earlier = W.partitionBy("f").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    offsets = (hist.select("f", "_slice", "n").unionByName(asks.select("f", "_slice", F.lit(0).cast("bigint").alias("n")))
+               .groupBy("f", "_slice").agg(F.sum("n").alias("n"))
+               .select("f", "_slice", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_offset")))
+    answers = (inner.join(offsets, ["f", "_slice"]).groupBy("f", "x", "_class")
+               .agg(F.sum((F.col("cum") + F.col("_offset")) * F.col("side")).alias("m")))
+    return rows.drop("m").join(answers, ["f", "x", "_class"])
 
 
 def select_k_best(df: DataFrame, feats: Sequence[str], target: str, k: int | None = None,
