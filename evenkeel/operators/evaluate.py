@@ -9,7 +9,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from evenkeel.plans.order import BUCKET_ROWS, prefix_sum
+from evenkeel.plans.order import BUCKET_ROWS, cut_points, prefix_sum, with_bucket
 from evenkeel.session import cut_lineage
 
 METRICS = ["accuracy", "precision", "recall", "f1", "roc_auc"]
@@ -22,10 +22,21 @@ def score_histogram(predictions: DataFrame, by: Sequence[str] = KEYS) -> DataFra
         F.sum(F.col("y").cast("bigint")).alias("pos"), F.sum(1 - F.col("y").cast("bigint")).alias("neg"))
 
 
-def _area(hist: DataFrame, by: list[str], bucket_rows: int) -> DataFrame:
-    run = prefix_sum(hist, "prob", "neg", by, before="_below", total="_neg", bucket_rows=bucket_rows)
-    sums = run.groupBy(*by).agg(F.sum(F.col("pos") * (F.col("_below") + F.col("neg") / 2.0)).alias("u"),
-                                F.sum("pos").alias("p"), F.sum("neg").alias("n"))
+def _area(counts: DataFrame, by: list[str], bucket_rows: int) -> DataFrame:
+    """The area from written counts per score (a score may come twice): one shuffle of the scores, into slices of their range.
+
+    Negatives below a positive lie in its own slice or in slices before it; a few numbers per slice carry the latter.
+    """
+    cuts = cut_points(counts, "prob", bucket_rows)
+    slices = [*by, "_slice"]
+    scores = (with_bucket(counts.select(*by, "prob", "pos", "neg"), "prob", cuts, "_slice").repartition(*slices)
+              .groupBy(*slices, "prob").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
+    below = F.coalesce(F.sum("neg").over(W.partitionBy(*slices).orderBy("prob").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    inside = (scores.withColumn("_below", below).groupBy(*slices)
+              .agg(F.sum(F.col("pos") * (F.col("_below") + F.col("neg") / 2.0)).alias("u"), F.sum("pos").alias("p"), F.sum("neg").alias("n")))
+    earlier = F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = inside.withColumn("u", F.col("u") + F.col("p") * earlier).groupBy(*by).agg(
+        F.sum("u").alias("u"), F.sum("p").alias("p"), F.sum("n").alias("n"))
     return sums.select(*by, (F.col("u") / F.nullif(F.col("p").cast("double") * F.col("n"), F.lit(0.0))).alias("roc_auc"))
 
 
@@ -57,8 +68,7 @@ def metrics(predictions: DataFrame, by: Sequence[str] = KEYS, bucket_rows: int =
         *by, ratio(F.col("n") - fp - fn, F.col("n").cast("double")).alias("accuracy"),
         ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"),
         ratio(2 * tp, 2 * tp + fp + fn).alias("f1"))
-    hist = called.groupBy(*by, "prob").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    area = _area(hist, by, bucket_rows).select(*[F.col(k).alias(f"_{k}") for k in by], "roc_auc")
+    area = _area(called, by, bucket_rows).select(*[F.col(k).alias(f"_{k}") for k in by], "roc_auc")
     on = F.lit(True)
     for k in by:
         on = on & F.col(k).eqNullSafe(F.col(f"_{k}"))
