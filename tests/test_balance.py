@@ -1,11 +1,13 @@
 """Class balance, neighbours, SMOTE and synthetic rows."""
 
 import json
+import os
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from evenkeel import session
 from evenkeel.operators import balance as bal, synth as sy
 from evenkeel.operators.neighbours import nearest_neighbours, search_cells
 from evenkeel.operators.smote import smote, smote_rows, weighted_points
@@ -305,3 +307,43 @@ def test_a_point_looks_at_few_boxes_to_find_those_it_reaches():
     want = [(i, j) for i, j in zip(*np.nonzero(gaps <= r2[:, None]))]
     assert sorted(zip(row, box)) == want and np.allclose(gap, gaps[row, box])
     assert Counted.looked < 300 * 2000 * 2 / 10                   # of 2,000 boxes with two coordinates each
+
+
+def test_a_block_looks_at_few_points_and_finds_the_nearest():
+    from evenkeel.operators.neighbours import closest
+
+    rng = np.random.default_rng(9)
+    for points in (rng.integers(0, 40, (1500, 2)).astype(float), rng.normal(size=(1500, 3)), np.round(rng.normal(size=(1500, 1)), 2)):
+        points[5, 0], points[6, 0] = np.nan, np.inf
+        gap = sum((points[:, None, d] - points[None, :, d]) ** 2 for d in range(points.shape[1]))
+        near, dist = closest(points, points, 6)
+        for i in set(range(1500)) - {5, 6}:
+            want = np.argsort(gap[i], kind="stable")[:6]
+            assert near[i].tolist() == want.tolist() and dist[i].tolist() == gap[i, want].tolist()
+
+
+def test_smote_writes_little_for_a_row(spark, monkeypatch):
+    """Neighbour lists of points whose search ends in their own cell are not written."""
+    from evenkeel.operators import neighbours, smote as module
+
+    written = []
+
+    def weighed(df):
+        kept = session.cut_lineage(df)
+        written.append(sum(os.path.getsize(f.removeprefix("file:")) for f in kept.inputFiles()))
+        return kept
+
+    monkeypatch.setattr(neighbours, "cut_lineage", weighed)
+    monkeypatch.setattr(module, "cut_lineage", weighed)
+    rng = np.random.default_rng(10)
+    df = spark.createDataFrame([tuple(map(float, r)) for r in rng.uniform(0, 1000, (20_000, 2))], "a double, b double")
+    assert smote_rows(df, ["a", "b"], 20_000, 20_000, cell_points=1_000).count() == 20_000
+    assert sum(written) < 20_000 * 150                            # 16 of them are the row itself
+
+
+def test_smote_of_rows_with_missing_values_in_several_cells(spark):
+    rng = np.random.default_rng(11)
+    rows = [(None if i % 10 == 0 else float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(0, 100, (900, 2)))]
+    out = smote_rows(spark.createDataFrame(rows, "a double, b double"), ["a", "b"], 900, 900, cell_points=60).collect()
+    assert sorted(r["synthetic_no"] for r in out) == list(range(900))
+    assert 0 < sum(r["a"] is None for r in out) < 200 and not any(r["b"] is None or r["a"] != r["a"] for r in out)
