@@ -12,16 +12,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from evenkeel.functions.scalars import to_number
 from evenkeel.operators.gates import columns_by_kind
-from evenkeel.plans.comoments import PARTIAL, CoMoments, co_moments, pearson, summed
+from evenkeel.plans.comoments import co_moments, pearson
 from evenkeel.plans.order import cut_points, cuts_of_all, with_bucket
-from evenkeel.plans.ranks import average_ranks
+from evenkeel.plans.ranks import rank_moments, sliced
 from evenkeel.session import cut_lineage, on_all_cores
 
 SCHEMA = "column_a string, column_b string, corr double"
-BLOCK_BITS = 13              # rows of one block, whose ranks meet in a task, as a power of two
 GROUP_POINTS = 2_000_000     # points one task counts
 SHORT_BITS = 5               # rows of a block whose pairs are compared one by one, as a power of two
 SLICE_ROWS = 50_000          # rows of a slice at least, if the table is small
+MOST_SLICES = 1 << 20        # slices of all rankings together, whose counts the driver holds
 
 
 def correlation(df: DataFrame, method: str = "pearson", cols: Sequence[str] | None = None,
@@ -33,11 +33,11 @@ def correlation(df: DataFrame, method: str = "pearson", cols: Sequence[str] | No
     # adding 0.0 makes one value of the two zeros, which slices tell apart
     nums = df.select(*[(to_number(F.col(f"`{c}`")) + F.lit(0.0)).alias(f"c{i}") for i, c in enumerate(cols)])
     pairs = list(combinations(range(len(cols)), 2))
-    seen = nums.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in nums.columns for f in (F.avg, F.min, F.max)]).first()
+    seen = nums.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{f.__name__}_{c}") for c in nums.columns for f in (F.avg, F.min, F.max, F.count)]).first()
     if method == "pearson":
         half = _pearson(nums, pairs, [seen[f"avg_{c}"] or 0.0 for c in nums.columns])
     elif method == "spearman":
-        half = _spearman(nums, pairs)
+        half = _spearman(nums, pairs, seen["n"], [seen[f"count_{c}"] for c in nums.columns], max(1, group_points // 4))
     elif method == "kendall":
         half = _kendall(nums, pairs, group_points)
     else:
@@ -92,43 +92,39 @@ def rankings(present: np.ndarray) -> tuple[list[tuple[int, int | None]], dict[tu
     return asked, which
 
 
-def _spearman(nums: DataFrame, pairs: list[tuple[int, int]]) -> dict[int, float | None]:
-    """Pearson of average ranks, each pair ranked on its own complete rows.
+def _present(rows: DataFrame, n: int, there: Sequence[int]) -> np.ndarray:
+    """The number of rows that have both of two columns; only columns with missing values are looked at."""
+    out = np.array([[b if a == n else a for b in there] for a in there])
+    holes = [i for i, a in enumerate(there) if a < n]
+    if len(holes) > 1:
 
-    One long table (row, ranking, value) is sorted by ranges and ranked there; the ranks then meet by blocks of rows,
-    where they are multiplied: two shuffles, whatever the number of columns.
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(holes), len(holes)))
+            for batch in batches:
+                mask = np.column_stack([c.is_valid().to_numpy(zero_copy_only=False) for c in batch.columns]).astype(float)
+                total += mask.T @ mask
+            i, j = np.indices(total.shape)
+            yield pa.RecordBatch.from_arrays([pa.array(i.ravel(), pa.int32()), pa.array(j.ravel(), pa.int32()), pa.array(total.ravel())], names=["i", "j", "n"])
+
+        both = rows.select(*[f"c{i}" for i in holes]).mapInArrow(run, "i int, j int, n double").groupBy("i", "j").agg(F.sum("n").alias("n"))
+        for r in both.collect():                             # one row a pair of columns
+            out[holes[r["i"]], holes[r["j"]]] = int(r["n"])
+    return out
+
+
+def _spearman(nums: DataFrame, pairs: list[tuple[int, int]], n: int, there: Sequence[int], slice_rows: int) -> dict[int, float | None]:
+    """Pearson of average ranks, each pair ranked on its own complete rows; n rows, of which columns have `there` values.
+
+    Columns are cut into slices of values, which counts put in place; ranks are worked out within slices, and only of values
+    whose slice holds others too: two shuffles of packed values, whatever the number of columns or rankings.
     """
-    present = co_moments(nums, [0.0] * len(nums.columns)).n
-    asked, which = rankings(present)
     # the row numbers are written, so that a lost executor cannot deal them out anew
-    rows = cut_lineage(on_all_cores(nums.withColumn("id", F.monotonically_increasing_id()), int(present.max(initial=0))))
-    cells = [F.struct(F.lit(g).alias("g"), (F.col(f"c{i}") if other is None else F.when(F.col(f"c{other}").isNotNull(), F.col(f"c{i}"))).alias("v"))
-             for g, (i, other) in enumerate(asked)]
-    long = rows.select("id", F.explode(F.array(*cells)).alias("x")).select("id", "x.g", "x.v").where("v IS NOT NULL")
-    ranks, sizes = average_ranks(long)
-    middle = np.array([(sizes.get(g, 0) + 1) / 2 for g in range(len(asked))])
-    parts = int(nums.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = (ranks.select(F.shiftright("id", BLOCK_BITS).alias("block"), F.col("id").bitwiseAND((1 << BLOCK_BITS) - 1).cast("int").alias("at"), "g", "rank")
-             .repartition(parts, "block").sortWithinPartitions("block"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, block, table = CoMoments(len(middle)), None, None
-        for batch in batches:
-            blocks, at, g, rank = (c.to_numpy() for c in batch.columns)
-            edges = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(blocks)]
-            for lo, hi in zip(edges[:-1], edges[1:]):
-                if lo == hi:
-                    continue
-                if block != blocks[lo]:
-                    if table is not None:
-                        total.add(table)
-                    block, table = blocks[lo], np.full((1 << BLOCK_BITS, len(middle)), np.nan)
-                table[at[lo:hi], g[lo:hi]] = rank[lo:hi] - middle[g[lo:hi]]
-        if table is not None:
-            total.add(table)
-        yield total.batch()
-
-    m = summed(dealt.mapInArrow(run, PARTIAL), len(middle))
+    rows = cut_lineage(on_all_cores(nums.withColumn("id", F.monotonically_increasing_id()), n)).select("id", *nums.columns)
+    asked, which = rankings(_present(rows, n, there))
+    # a small table has slices enough for its tasks
+    size = min(slice_rows, max(SLICE_ROWS, n // 64))
+    cuts = cuts_of_all(rows.select(*nums.columns), n, size, max(2, MOST_SLICES // len(asked)))
+    m = rank_moments(rows, sliced(rows, asked, [cuts[c] for c in nums.columns]))
     # ranks are multiples of a half about their mean: a variance is either 0 or at least a quarter
     return {p: pearson(m, which[i, j], which[j, i])[0] for p, (i, j) in enumerate(pairs)}
 

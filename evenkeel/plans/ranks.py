@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
+from evenkeel.plans.comoments import PARTIAL, CoMoments, summed
 from evenkeel.session import cut_lineage
 
 LOCAL = ("part int, open int, id long, g int, below long, ties long, "
@@ -182,3 +184,217 @@ def average_ranks(long: DataFrame, held_rows: int = HELD_ROWS) -> tuple[DataFram
         late = local.where(F.col("open") == LONG).join(known, (F.col("part") == F.col("p")) & (F.col("below") == F.col("run")))
         ranks = ranks.unionByName(late.select("id", "g", (F.col("r_below") + (F.col("r_ties") + 1) / 2).alias("rank")))
     return ranks, rows_of
+
+
+ROW_BITS = 16                # rows of one block, which a slice sends and gets ranks for together, as a power of two
+HOME = -1                    # the key of a block's own row, among those of its values in slices
+SENT = "key int, block long, at binary, data array<binary>"
+_SENT = pa.schema([("key", pa.int32()), ("block", pa.int64()), ("at", pa.binary()), ("data", pa.list_(pa.binary()))])
+
+
+@dataclass(frozen=True)
+class Slices:
+    """The columns cut into slices of values, and for each ranking (column, other or None) what lies below a slice and in it."""
+    asked: list[tuple[int, int | None]]
+    cuts: list[np.ndarray]
+    below: list[np.ndarray]      # of a ranking, by slice
+    rows: list[np.ndarray]
+    mixed: list[np.ndarray]      # of a column, by slice: whether it holds more than one value
+
+    def of(self, column: int) -> list[int]:
+        return [g for g, (i, _) in enumerate(self.asked) if i == column]
+
+    def column(self, key: int) -> tuple[int, int]:
+        """(column, slice) of a key: slices are numbered column by column."""
+        begins = np.cumsum([0, *map(len, self.mixed)])
+        column = int(np.searchsorted(begins, key, "right")) - 1
+        return column, key - int(begins[column])
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, list[np.ndarray]]]:
+    """(block, rows in it, columns) from batches (id, columns...), whose ids rise; a block may come in several pieces."""
+    held: list[tuple[np.ndarray, list[np.ndarray]]] = []
+
+    def piece() -> tuple[int, np.ndarray, list[np.ndarray]]:
+        ids = np.concatenate([i for i, _ in held])
+        return int(ids[0] >> ROW_BITS), ids & ((1 << ROW_BITS) - 1), [np.concatenate(c) for c in zip(*(c for _, c in held))]
+
+    for batch in batches:
+        ids, *columns = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        columns = [c.astype(float, copy=False) for c in columns]
+        blocks = ids >> ROW_BITS
+        edges = [0, *(np.flatnonzero(blocks[1:] != blocks[:-1]) + 1).tolist(), len(ids)]
+        for lo, hi in zip(edges[:-1], edges[1:]):
+            if lo == hi:
+                continue
+            if held and held[0][0][0] >> ROW_BITS != blocks[lo]:
+                yield piece()
+                held.clear()
+            held.append((ids[lo:hi], [c[lo:hi] for c in columns]))
+    if held:
+        yield piece()
+
+
+def _in_order(values: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions of the values by size, without the missing ones; where each slice begins among them, and the end; the values)."""
+    there = np.flatnonzero(~np.isnan(values))
+    order = there[np.argsort(values[there])]
+    v = values[order]
+    return order, np.concatenate(([0], np.searchsorted(v, cuts), [len(v)])), v
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """The first bytes of all values, then the second ones, and so on: sorted values shrink well this way."""
+    return np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes()
+
+
+def _from_planes(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def _rising(values: np.ndarray) -> bytes:
+    """Whole numbers that never fall: the first one, then the steps in as few bytes as the largest needs."""
+    steps = np.diff(values)
+    return int(values[0]).to_bytes(8, "little") + _planes(steps.astype(np.min_scalar_type(int(steps.max(initial=0)))))
+
+
+def _from_rising(data: bytes, n: int) -> np.ndarray:
+    out = np.empty(n, dtype=np.int64)
+    out[0] = int.from_bytes(data[:8], "little")
+    if n > 1:
+        out[1:] = _from_planes(data[8:], np.dtype(f"u{(len(data) - 8) // (n - 1)}"))
+    return np.cumsum(out)
+
+
+def sliced(rows: DataFrame, asked: list[tuple[int, int | None]], cuts: Sequence[Sequence[float]]) -> Slices:
+    """Counts the rows of each slice and ranking, in one pass over rows (id, columns...); a slice takes [cut, next cut)."""
+    edges = [np.array(c, dtype=float) for c in cuts]
+    groups = [[(g, other) for g, (i, other) in enumerate(asked) if i == c] for c in range(len(edges))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = [np.zeros(len(edges[i]) + 1, dtype=np.int64) for i, _ in asked]
+        low, high = ([np.full(len(e) + 1, end) for e in edges] for end in (np.inf, -np.inf))
+        for _, _, columns in _blocks(batches):
+            for c, values in enumerate(columns):
+                order, begins, v = _in_order(values, edges[c])
+                full = np.flatnonzero(np.diff(begins))
+                low[c][full] = np.minimum(low[c][full], v[begins[full]])
+                high[c][full] = np.maximum(high[c][full], v[begins[full + 1] - 1])
+                for g, other in groups[c]:
+                    upto = begins if other is None else np.concatenate(([0], np.cumsum(~np.isnan(columns[other][order]))))[begins]
+                    n[g] += np.diff(upto)
+        for g, (i, _) in enumerate(asked):
+            full = np.flatnonzero(n[g])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(full), g), pa.int32()), pa.array(full, pa.int32()), pa.array(n[g][full]),
+                                              pa.array(low[i][full]), pa.array(high[i][full])], names=["g", "slice", "n", "low", "high"])
+
+    found = (rows.mapInArrow(run, "g int, slice int, n long, low double, high double").groupBy("g", "slice")
+             .agg(F.sum("n").alias("n"), F.min("low").alias("low"), F.max("high").alias("high")).toArrow())    # rankings x slices
+    g, at, n, low, high = (found.column(c).to_numpy() for c in ("g", "slice", "n", "low", "high"))
+    counts = [np.zeros(len(edges[i]) + 1, dtype=np.int64) for i, _ in asked]
+    mixed = [np.zeros(len(e) + 1, dtype=bool) for e in edges]
+    for k, (i, _) in enumerate(asked):
+        mine = g == k
+        counts[k][at[mine]] = n[mine]
+        mixed[i][at[mine]] |= low[mine] < high[mine]
+    return Slices(list(asked), edges, [np.concatenate(([0], np.cumsum(c)[:-1])) for c in counts], counts, mixed)
+
+
+def rank_moments(rows: DataFrame, s: Slices) -> CoMoments:
+    """The co-moments of all rankings (average ranks less their mean) of rows (id, columns...), which must be written.
+
+    A value whose slice holds no other value has the rank that the counts give. The others go to their slice, where they are
+    ranked: a block of rows sends each slice one row with all its values there and gets one row with their ranks back, so
+    that Spark moves few large rows. The ranks meet what the block knows itself, and are multiplied there.
+    """
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    width, d = len(s.asked), len(s.cuts)
+    first_key = np.cumsum([0, *map(len, s.mixed)])
+    groups = [s.of(c) for c in range(d)]
+    code = np.int16 if max(map(len, s.mixed)) < 1 << 15 else np.int32
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), _SENT)], schema=_SENT)
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, at, columns in _blocks(batches):
+            codes = [np.where(np.isnan(v), -1, np.searchsorted(s.cuts[c], v, "right")).astype(code) for c, v in enumerate(columns)]
+            yield batch([(HOME, block, _planes(at.astype(np.uint16)), [_planes(x) for x in codes])])
+
+    def to_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, at, columns in _blocks(batches):
+            out = []
+            for c, values in enumerate(columns):
+                if not s.mixed[c].any():
+                    continue
+                order, begins, v = _in_order(values, s.cuts[c])
+                there = at[order].astype(np.uint16)
+                held = [~np.isnan(columns[s.asked[g][1]][order]) for g in groups[c] if s.asked[g][1] is not None]
+                for k in np.flatnonzero(s.mixed[c] & (np.diff(begins) > 0)).tolist():
+                    lo, hi = begins[k], begins[k + 1]
+                    out.append((int(first_key[c]) + k, block, there[lo:hi].tobytes(), [_planes(v[lo:hi]), *[np.packbits(h[lo:hi]).tobytes() for h in held]]))
+            if out:
+                yield batch(out)
+
+    def rank(group: pa.Table) -> pa.Table:
+        key = group.column("key")[0].as_py()
+        c, _ = s.column(key)
+        data = group.column("data").to_pylist()
+        sizes = np.array([len(x[0]) // 8 for x in data])
+        v = np.concatenate([_from_planes(x[0], np.float64) for x in data])
+        order = np.argsort(v, kind="stable")                     # of sorted pieces
+        ends, x, ranks, bits = np.cumsum(sizes), v[order], [], 0
+        for g in groups[c]:
+            if s.asked[g][1] is None:
+                counted = np.ones(len(v), dtype=bool)
+            else:
+                bits += 1
+                counted = np.concatenate([np.unpackbits(np.frombuffer(p[bits], np.uint8), count=n) for p, n in zip(data, sizes)]).astype(bool)
+            upto = np.concatenate(([0], np.cumsum(counted[order])))
+            begins = np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1])))
+            run_ends = np.append(begins[1:], len(x))
+            twice = upto[begins] + upto[run_ends] + 1            # twice the mean of the positions begin + 1 .. end
+            ranked = np.empty(len(v), dtype=np.int64)
+            ranked[order] = np.repeat(twice, run_ends - begins)
+            ranks.append(ranked)
+        out = [[_rising(r[lo:hi]) for r in ranks] for lo, hi in zip((ends - sizes).tolist(), ends.tolist())]
+        return pa.table([group.column("key"), group.column("block"), group.column("at"), pa.array(out, pa.list_(pa.binary()))], schema=_SENT)
+
+    known = [np.where(s.mixed[i], np.nan, s.below[g] + (s.rows[g] + 1) / 2) for g, (i, _) in enumerate(s.asked)]
+    middle = np.array([(n.sum() + 1) / 2 for n in s.rows])
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, now, table, there = CoMoments(width), None, None, None
+
+        def close() -> None:
+            for g, (i, other) in enumerate(s.asked):
+                table[~(there[:, i] if other is None else there[:, i] & there[:, other]), g] = np.nan
+            total.add(table - middle)
+
+        for b in batches:
+            for key, block, at, data in zip(*(c.to_pylist() for c in b.columns)):
+                if block != now:
+                    if now is not None:
+                        close()
+                    now, table, there = block, np.full((1 << ROW_BITS, width), np.nan), np.zeros((1 << ROW_BITS, d), dtype=bool)
+                at = _from_planes(at, np.uint16) if key == HOME else np.frombuffer(at, np.uint16)
+                if key == HOME:
+                    for c, x in enumerate(data):
+                        codes = _from_planes(x, code)
+                        there[at, c] = codes >= 0
+                        for g in groups[c]:
+                            here = known[g][codes]
+                            sure = (codes >= 0) & ~np.isnan(here)
+                            table[at[sure], g] = here[sure]
+                else:
+                    c, k = s.column(key)
+                    for g, x in zip(groups[c], data):
+                        table[at, g] = s.below[g][k] + _from_rising(x, len(at)) / 2
+        if now is not None:
+            close()
+        yield total.batch()
+
+    ranked = rows.mapInArrow(to_slices, SENT).groupBy("key").applyInArrow(rank, SENT)
+    dealt = rows.mapInArrow(homes, SENT).unionByName(ranked).repartition(parts, "block").sortWithinPartitions("block")
+    return summed(dealt.mapInArrow(multiply, PARTIAL), width)

@@ -1,5 +1,6 @@
 """Profiles, chart aggregates and correlations against pandas."""
 
+import itertools
 import math
 
 import numpy as np
@@ -245,3 +246,30 @@ def test_a_run_of_equal_values_is_not_held_whole(spark):
             mine = np.flatnonzero(g == k)
             below, ties = (v[mine][:, None] > v[mine]).sum(1), (v[mine][:, None] == v[mine]).sum(1)
             assert [got[i, k] for i in mine.tolist()] == (below + (ties + 1) / 2).tolist()
+
+
+def test_spearman_of_several_blocks_slices_and_missing_patterns(spark, monkeypatch):
+    """Hot values, infinities, columns missing in other rows, more rows than a block; only the rows themselves are written."""
+    from evenkeel.operators import correlate
+    from evenkeel.plans import ranks
+
+    written, kept = [], correlate.cut_lineage
+
+    def counted(df):
+        out = kept(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(correlate, "cut_lineage", counted)
+    monkeypatch.setattr(ranks, "cut_lineage", counted)
+    rng = np.random.default_rng(12)
+    n = 70_000
+    wide = rng.normal(size=n)
+    pdf = pd.DataFrame({"few": rng.integers(0, 5, n).astype(float), "wide": wide, "hot": np.where(rng.random(n) < 0.4, 3.0, wide + rng.normal(size=n)),
+                        "holes": np.where(rng.random(n) < 0.1, np.nan, np.round(wide, 2)), "other": np.where(rng.random(n) < 0.3, np.nan, rng.integers(0, 900, n))})
+    pdf.loc[:3, "wide"] = [np.inf, -np.inf, np.inf, -0.0]
+    got = _matrix(correlation(spark.createDataFrame(pdf).repartition(3), "spearman", group_points=20_000))
+    assert sum(written) == n
+    for x, y in itertools.combinations(pdf.columns, 2):
+        paired = pdf[[x, y]].dropna().rank()
+        assert math.isclose(got[x, y], paired[x].corr(paired[y]), abs_tol=1e-9), (x, y)
