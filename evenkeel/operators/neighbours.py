@@ -450,7 +450,7 @@ def search(points: DataFrame, k: int, finish: Callable[[Rows, np.ndarray, Near],
 
     def inside(group: pa.Table) -> pa.Table:
         hosts, home = Rows.of(group.filter(group.column("head"))), group.column(cell)[0].as_py()
-        ask = group.filter(group.column("asks"))
+        ask = group.filter(group.column("asks")).sort_by([("pid", "ascending"), ("head", "descending")])
         own = Rows.of(ask)
         i, at, d2 = nearest_in(own.v, own.pid, hosts.v, hosts.pid, hosts.w, k)
         r2 = np.full(len(own.pid), np.inf)
