@@ -118,8 +118,8 @@ def _spearman(nums: DataFrame, pairs: list[tuple[int, int]], n: int, there: Sequ
     Columns are cut into slices of values, which counts put in place; ranks are worked out within slices, and only of values
     whose slice holds others too: two shuffles of packed values, whatever the number of columns or rankings.
     """
-    # the row numbers are written, so that a lost executor cannot deal them out anew
-    rows = cut_lineage(on_all_cores(nums.withColumn("id", F.monotonically_increasing_id()), n)).select("id", *nums.columns)
+    # the row numbers are written, so that a lost executor cannot deal them out anew, and in order, so that blocks lie together
+    rows = cut_lineage(on_all_cores(nums, n).withColumn("id", F.monotonically_increasing_id())).select("id", *nums.columns)
     asked, which = rankings(_present(rows, n, there))
     # a small table has slices enough for its tasks
     size = min(slice_rows, max(SLICE_ROWS, n // 64))

@@ -258,6 +258,7 @@ def test_spearman_of_several_blocks_slices_and_missing_patterns(spark, monkeypat
     def counted(df):
         out = kept(df)
         written.append(out.count())
+        assert all(a < b for part in out.select("id").rdd.glom().collect() for a, b in itertools.pairwise(r["id"] for r in part))
         return out
 
     monkeypatch.setattr(correlate, "cut_lineage", counted)
